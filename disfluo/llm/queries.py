@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from disfluo.llm.decontam import ORACLE_OP2, op2_decontamination
 from disfluo.llm.langid import op4_language_id
+from disfluo.llm.mixing import ORACLE_OP3, op3_mixing
 from disfluo.llm.quality import op8_quality_divergence
 from disfluo.llm.toxicity import op9_toxicity
+from disfluo.llm.urls import op1_url_reputation
 
 QUERIES = {
+    "op1_url_reputation": op1_url_reputation,
+    "op2_decontamination": op2_decontamination,
+    "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op8_quality_divergence": op8_quality_divergence,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": ORACLE_OP2, "op3_mixing": ORACLE_OP3}
