@@ -69,8 +69,10 @@ def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
         size = max(n, 2 * len(_POWERS))
+        factors = np.full(size, 0x9E3779B97F4A7C15, dtype=np.uint64)
+        factors[0] = 1
         with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate(([1], np.full(size - 1, 0x9E3779B97F4A7C15, dtype=np.uint64))), dtype=np.uint64)
+            _POWERS = np.cumprod(factors, dtype=np.uint64)
     return _POWERS[:n]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from disfluo.llm.decontam import ORACLE_OP2, op2_decontamination
 from disfluo.llm.langid import op4_language_id
+from disfluo.llm.lm import op10_lm_score
 from disfluo.llm.mixing import ORACLE_OP3, op3_mixing
 from disfluo.llm.quality import op8_quality_divergence
 from disfluo.llm.toxicity import op9_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op8_quality_divergence": op8_quality_divergence,
     "op9_toxicity": op9_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {"op2_decontamination": ORACLE_OP2, "op3_mixing": ORACLE_OP3}
