@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Iterator
 
@@ -17,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch that goes to a Python worker; texts may be long, so batches are short.
 ARROW_ROWS = 1000
 
-BLOCK_SCHEMA = "block long, ids binary, nulls binary, lens binary, body binary"
+BLOCK_COLUMNS = ["block", "ids", "nulls", "lens", "body", "extra"]
+BLOCK_SCHEMA = "block long, ids binary, nulls binary, lens binary, body binary, extra binary"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,9 +94,10 @@ def word_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A few MB of documents: ids, which of them (and of the texts) are null, lengths, and the bytes of all texts with one newline after each."""
+    """A few MB of documents: ids, which of them are null, lengths, the bytes of all texts with one newline after each, and
+    the rows' other columns, if they were asked for."""
 
-    def __init__(self, block: int, ids: bytes, nulls: bytes, lens: bytes, body: bytes):
+    def __init__(self, block: int, ids: bytes, nulls: bytes, lens: bytes, body: bytes, extra: bytes):
         self.block = int(block)
         self.ids = np.frombuffer(ids, dtype=np.int64)
         self.null_id = np.frombuffer(nulls, dtype=bool)
@@ -103,6 +106,7 @@ class Block:
         self.starts = self.ends - self.lens - 1
         self.bytes = pa.decompress(body, decompressed_size=int(self.ends[-1]), codec="zstd", asbytes=True)
         self.body = np.frombuffer(self.bytes, dtype=np.uint8)
+        self.extra = pickle.loads(extra) if extra else []
 
     def frame(self, **columns) -> pd.DataFrame:
         ids = pd.array(self.ids, dtype="Int64")
@@ -110,43 +114,49 @@ class Block:
         return pd.DataFrame({"doc_id": ids} | columns)
 
 
-def _packed(block: int, ids: list, texts: list[bytes]) -> tuple:
+def _packed(block: int, ids: list, texts: list[bytes], extra: list[tuple]) -> tuple:
     null = np.array([i is None or i != i for i in ids], dtype=bool)
     numbers = np.array([0 if n else int(i) for i, n in zip(ids, null)], dtype=np.int64)
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     body = b"\n".join([*texts, b""])
-    return block, numbers.tobytes(), null.tobytes(), lens.tobytes(), pa.compress(body, codec="zstd", asbytes=True)
+    return block, numbers.tobytes(), null.tobytes(), lens.tobytes(), pa.compress(body, codec="zstd", asbytes=True), pickle.dumps(extra) if extra else b""
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """Documents packed into rows of about block_bytes of text, compressed, in a checkpoint.
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, extra: list[str] | None = None) -> DataFrame:
+    """Documents packed into rows of about block_bytes of text, compressed, in a checkpoint; with the columns named in extra.
 
     A null text becomes an empty one. A text longer than a block makes a block of its own. Because the table is written
     once, a block's number always stands for the same documents, so what is computed for a block elsewhere finds its texts again.
     """
+    extra = extra or []
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        n, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        n, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for i, t in zip(batch["id"].tolist(), batch["text"].tolist()):
+            others = zip(*[batch[f"x{k}"].tolist() for k in range(len(extra))]) if extra else [()] * len(batch)
+            for i, t, other in zip(batch["id"].tolist(), batch["text"].tolist(), others):
                 data = t.encode("utf-8", "replace") if isinstance(t, str) else b""
-                ids.append(None if i is None or i is pd.NA else i)
-                texts.append(data)
+                rows.append((None if i is None or i is pd.NA else i, data, tuple(None if x is pd.NA or x != x else x for x in other)))
                 size += len(data) + 24
                 if size >= block_bytes:
-                    yield pd.DataFrame([_packed(n, ids, texts)], columns=["block", "ids", "nulls", "lens", "body"])
-                    n, ids, texts, size = n + 1, [], [], 0
-        if ids:
-            yield pd.DataFrame([_packed(n, ids, texts)], columns=["block", "ids", "nulls", "lens", "body"])
+                    yield _frame(n, rows, extra)
+                    n, rows, size = n + 1, [], 0
+        if rows:
+            yield _frame(n, rows, extra)
 
-    narrow = short_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = short_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(extra)])
     return stable(narrow.mapInPandas(pack, BLOCK_SCHEMA))
 
 
+def _frame(n: int, rows: list[tuple], extra: list[str]) -> pd.DataFrame:
+    ids, texts, others = zip(*rows)
+    return pd.DataFrame([_packed(n, list(ids), list(texts), list(others) if extra else [])], columns=BLOCK_COLUMNS)
+
+
 def blocks_of(pdf: pd.DataFrame) -> Iterator[Block]:
-    for row in pdf[["block", "ids", "nulls", "lens", "body"]].itertuples(index=False):
+    for row in pdf[BLOCK_COLUMNS].itertuples(index=False):
         yield Block(*row)
 
 
