@@ -123,7 +123,7 @@ def _packed(block: int, ids: list, texts: list[bytes], extra: list[tuple]) -> tu
 
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, extra: list[str] | None = None) -> DataFrame:
-    """Documents packed into rows of about block_bytes of text, compressed, in a checkpoint; with the columns named in extra.
+    """Documents packed into rows of about block_bytes of text, compressed, in a checkpoint; with the columns named in extra, as text.
 
     A null text becomes an empty one. A text longer than a block makes a block of its own. Because the table is written
     once, a block's number always stands for the same documents, so what is computed for a block elsewhere finds its texts again.
@@ -146,7 +146,7 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rows:
             yield _frame(n, rows, extra)
 
-    narrow = short_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(extra)])
+    narrow = short_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("string").alias(f"x{k}") for k, c in enumerate(extra)])
     return stable(narrow.mapInPandas(pack, BLOCK_SCHEMA))
 
 

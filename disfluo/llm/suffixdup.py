@@ -312,7 +312,8 @@ def remove_repeats(spark, docs: DataFrame, sf_dir: str, cfg: Repeat = Repeat())
 
     A cut inside a character drops the rest of that character. A document of which no word is left goes.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    columns = docs.columns
+    extra = [c for c in columns if c not in ("doc_id", "text")]
 
     def finish(block: Block, gone: np.ndarray) -> pd.DataFrame:
         texts = [block.body[i:j][~gone[i:j]].tobytes().decode("utf-8", "ignore") for i, j in zip(block.starts.tolist(), (block.ends - 1).tolist())]
@@ -321,7 +322,8 @@ def remove_repeats(spark, docs: DataFrame, sf_dir: str, cfg: Repeat = Repeat())
         for k, name in enumerate(extra):
             out[name] = pd.Series([row[k] for row in block.extra], dtype="object")
         if "n_chars" in extra:
-            out["n_chars"] = pd.Series([len(t) if hit else n for t, hit, n in zip(texts, touched, out["n_chars"])], dtype="Int64")
-        return out[[not hit or bool(t.split()) for t, hit in zip(texts, touched)]][docs.columns]
+            out["n_chars"] = [str(len(t)) if hit else n for t, hit, n in zip(texts, touched, out["n_chars"])]
+        return out[[not hit or bool(t.split()) for t, hit in zip(texts, touched)]][columns]
 
-    return _marked(docs, cfg, extra, finish, docs.schema)
+    marked = _marked(docs, cfg, extra, finish, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in columns))
+    return marked.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in docs.dtypes])
