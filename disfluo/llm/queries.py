@@ -7,6 +7,7 @@ from disfluo.llm.langid import op4_language_id
 from disfluo.llm.lm import op10_lm_score
 from disfluo.llm.mixing import ORACLE_OP3, op3_mixing
 from disfluo.llm.neardup import op5_near_duplicates
+from disfluo.llm.pagetext import op6_page_text
 from disfluo.llm.quality import op8_quality_divergence
 from disfluo.llm.suffixdup import op7_suffix_dedup
 from disfluo.llm.toxicity import op9_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_page_text": op6_page_text,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_divergence": op8_quality_divergence,
     "op9_toxicity": op9_toxicity,
