@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from disfluo.plans import evaluation, rates, texts
+
+QUERIES: dict = {**rates.QUERIES, **texts.QUERIES, **evaluation.QUERIES}
+ORACLES: dict = {**rates.ORACLES, **texts.ORACLES, **evaluation.ORACLES}
