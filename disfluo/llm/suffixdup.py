@@ -278,8 +278,8 @@ def _removed(block: Block, replies: pd.DataFrame, cfg: Repeat, bits: int) -> np.
 
 
 def _marked(docs: DataFrame, cfg: Repeat, extra: list[str], finish, schema) -> DataFrame:
-    blocks = text_blocks(docs, extra=extra)
-    buckets = buckets_for(blocks, 8 << 20)
+    blocks = text_blocks(docs, extra=extra, block_bytes=1 << 20)
+    buckets = buckets_for(blocks, 4 << 20)
     bits = buckets.bit_length() - 1
     states = segment_states(blocks, cfg, buckets)
     replies = states.unionByName(partial_matches(blocks, states, cfg, buckets))
