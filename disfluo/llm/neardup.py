@@ -9,9 +9,12 @@ hash for each element plus the darts.
 
 Signatures are cut into bands. Documents that share a band are candidates; every link is confirmed by the exact Jaccard
 similarity of the shingle sets. Classes are the connected components of the links of ``similarity`` or more among
-candidates. Within a band's bucket not all pairs are made: each member meets the bucket's least document, and only members
-that are still in different classes afterwards meet others, round by round, until no bucket holds an unchecked pair of
-members of different classes. Exact copies are merged first.
+candidates. Exact copies are merged first. Within a band's bucket not all pairs are made: every member meets the bucket's
+head, the document whose bands fall into the fullest buckets (the original, where there is one), and what links to it is
+one class. Pairs of the others that are in different classes then meet only if they can be similar at all: of a document's
+shingles only those that also stand in another class can be shared with it, which bounds the size that a partner may have.
+Partners are looked up by bucket and size, so documents that merely resemble the same original don't meet each other. The
+bound is exact: no link among candidates is lost.
 
 Defined results: null or empty texts, and texts of white space, have no shingle and are never duplicates: each is a class
 of its own. Repeated rows and copies share a class; a class is named by its least doc_id; null ids are kept apart, as
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from disfluo.llm.common import mix64, read, short_batches, stable, word_hashes
@@ -34,14 +37,12 @@ from disfluo.llm.common import mix64, read, short_batches, stable, word_hashes
 
 @dataclass(frozen=True)
 class Darts:
-    """bands * rows coordinates: at a similarity of 0.8 a pair is missed with probability (1 - 0.8**rows)**bands, about
-    0.0002; star_rounds: rounds in which members meet one document of each other class in the bucket, before the rest meet in full."""
+    """bands * rows coordinates: at a similarity of 0.8 a pair is missed with probability (1 - 0.8**rows)**bands, about 0.0002."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 16
     rows: int = 4
-    star_rounds: int = 2
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -151,53 +152,53 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(docs: DataFrame, pairs: DataFrame, cfg: Darts) -> DataFrame:
-    """Pairs (a, b) with their exact similarity."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stable(shingle_sets(docs, ids, cfg))
+def _links(pairs: DataFrame, sets: DataFrame, cfg: Darts) -> DataFrame:
+    """Those of the pairs (a, b) whose exact similarity reaches the limit."""
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    met = met.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), common.alias("common"))
-    return met.select("a", "b", (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("similarity"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return met.filter(F.col("common") >= cfg.similarity * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+
+
+def _could_be_similar(open_: DataFrame, sets: DataFrame, cfg: Darts) -> DataFrame:
+    """Pairs (a, b) of members (band, bucket, id, root) of one bucket and different classes that the bound allows.
+
+    With u shingles of x in other classes, similarity s to y needs overlap >= s / (1 + s) * (|x| + |y|) and overlap <= u, so
+    |y| <= (1 + s) / s * u - |x|; and |y| >= s * |x|. Sizes are compared in bins of five percent, then exactly.
+    """
+    s, step = cfg.similarity, math.log(1.05)
+    known = open_.select("id", "root").distinct().join(sets, "id")
+    items = known.select("id", "root", F.explode("items").alias("item"))
+    shared = items.groupBy("item").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("item")
+    u = items.join(shared, "item").groupBy("id").agg(F.count("*").alias("u"))
+    sized = known.select("id", F.size("items").alias("n")).join(u, "id").withColumn("most", (1 + s) / s * F.col("u") - F.col("n")).filter(F.col("most") >= s * F.col("n"))
+    at = stable(open_.join(sized.select("id", "n", "most"), "id"))
+    bin_of = lambda x: F.floor(F.log(x) / step).cast("int")
+    seek = at.select("band", "bucket", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("most").alias("xm"), F.explode(F.sequence(bin_of(s * F.col("n")), bin_of(F.col("most")))).alias("bin"))
+    there = at.select("band", "bucket", bin_of(F.col("n")).alias("bin"), F.col("id").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("most").alias("ym"))
+    fits = (F.col("xr") != F.col("yr")) & (F.col("x") < F.col("y")) & (F.col("yn") <= F.col("xm")) & (F.col("xn") <= F.col("ym"))
+    return seek.join(there, (seek["band"] == there["band"]) & (seek["bucket"] == there["bucket"]) & (seek["bin"] == there["bin"]) & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, cfg: Darts = Darts()) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_links: confirmed links of its text's representative to others."""
     signed = stable(signatures(docs, cfg))
-    alike = signed.filter("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    reps = stable(alike)
+    reps = stable(signed.filter("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     member = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    shared = member.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1").select("band", "bucket", "lead")
-    member = stable(member.join(shared, ["band", "bucket"]))  # only buckets of two or more
-    pairs = stable(member.filter("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    tried, linked, round_no = pairs, None, 0
-    roots = None
-    while True:
-        new = stable(_links(docs, pairs, cfg).filter(F.col("similarity") >= cfg.similarity))
-        linked = new if linked is None else stable(linked.unionByName(new))
+    full = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    member = stable(member.join(full, ["band", "bucket"]))  # only buckets of two or more
+    central = member.groupBy("id").agg(F.sum("n").alias("central"))
+    heads = member.join(central, "id").groupBy("band", "bucket").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("head"))
+    met = stable(member.join(heads, ["band", "bucket"]).filter("id <> head").select("band", "bucket", "id", "head"))
+    pairs = met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    sets = stable(shingle_sets(docs, member.select("id").distinct(), cfg))
+    linked = stable(_links(pairs, sets, cfg))
+    roots = components(linked)
+    rest = met.select("band", "bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))  # heads have met everyone in their bucket
+    mixed = rest.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "bucket")
+    more = stable(_links(_could_be_similar(stable(rest.join(mixed, ["band", "bucket"])), sets, cfg), sets, cfg))
+    if more.limit(1).count():
+        linked = stable(linked.unionByName(more).distinct())
         roots = components(linked)
-        labelled = member.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = labelled.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "bucket")
-        open_ = stable(labelled.select("band", "bucket", "id", "root").join(mixed, ["band", "bucket"]))
-        if round_no < cfg.star_rounds:  # one document of each class in the bucket, another one each round, meets the members of the others
-            turn = F.xxhash64(F.lit(round_no), "id")
-            heads = open_.groupBy("band", "bucket", "root").agg(F.min_by("id", turn).alias("head"))
-            first = F.row_number().over(Window.partitionBy("band", "bucket").orderBy("root"))
-            heads = heads.withColumn("k", first).filter("k <= 2").select("band", "bucket", F.col("root").alias("other"), "head")
-            met = open_.join(heads, ["band", "bucket"])
-        else:  # what is left meets in full
-            met = open_.join(open_.select("band", "bucket", F.col("root").alias("other"), F.col("id").alias("head")), ["band", "bucket"])
-        met = met.filter(F.col("root") != F.col("other")).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-        pairs = stable(met.join(tried, ["a", "b"], "left_anti"))
-        empty = pairs.limit(1).count() == 0
-        if empty and round_no >= cfg.star_rounds:
-            break
-        if empty:
-            round_no = cfg.star_rounds
-            continue
-        tried = stable(tried.unionByName(pairs))
-        round_no += 1
     degree = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     of = reps.select("content", "id").join(roots, "id", "left").join(degree, "id", "left")
     of = of.select("content", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
