@@ -83,36 +83,45 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 class Segments:
     """The segments of a block: first and last window, anchor, document, and both fingerprints."""
 
-    def __init__(self, block: Block, cfg: Repeat):
-        n, body = len(block.body), block.body
-        empty = np.zeros(0, dtype=np.int64)
-        self.first = self.last = self.anchor = self.doc = empty
-        self.key = self.content = np.zeros(0, dtype=np.uint64)
-        long = np.flatnonzero(block.lens >= cfg.length)
-        if not len(long):
-            return
+    def __init__(self, block: Block, cfg: Repeat, span: int = 1 << 18):
+        parts, d = [], 0
+        while d < len(block.lens):  # a few hundred KB of documents at a time, which bounds the working memory
+            e = max(d + 1, int(np.searchsorted(block.ends, block.starts[d] + span, side="right")))
+            lo, hi = int(block.starts[d]), int(block.ends[e - 1])
+            long = np.flatnonzero(block.lens[d:e] >= cfg.length) + d
+            if len(long):
+                found = self._within(block.body[lo:hi], block.starts[long] - lo, block.ends[long] - lo, cfg)
+                parts.append([x + lo if k < 3 else x for k, x in enumerate(found)])
+            d = e
+        names = ("first", "last", "anchor", "key", "content")
+        for k, name in enumerate(names):
+            kind = np.int64 if k < 3 else np.uint64
+            setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=kind))
+        self.doc = np.searchsorted(block.ends, self.first, side="right")
+
+    @staticmethod
+    def _within(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, cfg: Repeat) -> list[np.ndarray]:
+        """First window, last window, anchor and both fingerprints of each segment of the documents that lie at the places given."""
+        n, low = len(body), np.uint64(0xFFFFFFFF)
         grams = rolling(body, cfg.anchor)
-        place = np.arange(len(grams), dtype=np.uint64)
-        low = np.uint64(0xFFFFFFFF)
-        at = (sliding_least((grams & ~low) | place, cfg.length - cfg.anchor + 1) & low).astype(np.int64)
+        at = (sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), cfg.length - cfg.anchor + 1) & low).astype(np.int64)
         edge = np.zeros(n + 1, dtype=np.int8)
-        edge[block.starts[long]] += 1
-        edge[block.ends[long] - cfg.length] -= 1  # past the last window; the newline after a text is no part of it
+        edge[starts] += 1
+        edge[ends - cfg.length] -= 1  # past the last window; the newline after a text is no part of it
         valid = np.cumsum(edge[: len(at)]).astype(bool)
         new = np.ones(len(at), dtype=bool)
         new[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
-        new[block.starts[long]] = True
-        starts = np.flatnonzero(new & valid)
+        new[starts] = True
         stop = np.ones(len(at), dtype=bool)
         stop[:-1] = new[1:] | ~valid[1:]
-        self.first, self.last, self.anchor = starts, np.flatnonzero(stop & valid), at[starts]
-        self.doc = np.searchsorted(block.ends, starts, side="right")
-        self.key = grams[self.anchor]
+        first, last = np.flatnonzero(new & valid), np.flatnonzero(stop & valid)
+        anchor = at[first]
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _power(M, n), dtype=np.uint64)))
-            end = self.last + cfg.length
-            whole = (sums[end] - sums[starts]) * _power(M_INVERSE, n)[starts]
-            self.content = mix64(whole + ((end - starts).astype(np.uint64) << np.uint64(32)) + (self.anchor - starts).astype(np.uint64))
+            end = last + cfg.length
+            whole = (sums[end] - sums[first]) * _power(M_INVERSE, n)[first]
+            content = mix64(whole + ((end - first).astype(np.uint64) << np.uint64(32)) + (anchor - first).astype(np.uint64))
+        return [first, last, anchor, grams[anchor], content]
 
 
 class Units:
@@ -217,9 +226,12 @@ def suffix_runs(text: np.ndarray, depth: int) -> np.ndarray:
     return rank.astype(np.int64)
 
 
-def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets: int) -> DataFrame:
-    """For each block the units matched in part, and for each the windows that are matched, as bits."""
-    bits = buckets.bit_length() - 1
+def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets: int, finer: int = 4) -> DataFrame:
+    """For each block the units matched in part, and for each the windows that are matched, as bits.
+
+    Buckets are ``finer`` times as many as the states', since sorting suffixes takes much more memory than their bytes.
+    """
+    bits, more = buckets.bit_length() - 1, finer.bit_length() - 1
 
     def send(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -227,7 +239,8 @@ def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets:
             u, state = Units(block, cfg, bits), _states(replies)
             units = np.flatnonzero(state == PARTLY)
             s, lead = u.segments, u.lead[units]
-            edges = np.searchsorted(u.bucket[units], np.arange(buckets + 1))
+            fine = (u.bucket[units] << more) | (u.rest[units] >> np.uint64(32 - more)).astype(np.int64)
+            edges = np.searchsorted(fine, np.arange(buckets * finer + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 at = slice(edges[b], edges[b + 1])
                 first, end = s.first[lead[at]], s.last[lead[at]] + cfg.length
