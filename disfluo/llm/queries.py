@@ -11,7 +11,7 @@ from disfluo.llm.pagetext import op6_page_text
 from disfluo.llm.quality import op8_quality_divergence
 from disfluo.llm.suffixdup import op7_suffix_dedup
 from disfluo.llm.toxicity import op9_toxicity
-from disfluo.llm.urls import op1_url_reputation
+from disfluo.llm.urls import ORACLE_OP1, op1_url_reputation
 
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": ORACLE_OP2, "op3_mixing": ORACLE_OP3}
+ORACLES: dict[str, str] = {"op1_url_reputation": ORACLE_OP1, "op2_decontamination": ORACLE_OP2, "op3_mixing": ORACLE_OP3}

@@ -136,3 +136,43 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_url_reputation(spark, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return judge(pages, page_outcomes(pages, read(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(level: str, parent: str | None, cfg: Reputation) -> str:
+    """Common table expressions of one level: counts with the parent's mean (c_), prior strength (k_) and posterior (l_)."""
+    keep = f", c.{parent}" if parent else ""
+    source = "h c, t" if parent is None else f"h c JOIN l_{parent} USING ({parent})"
+    mean = "t.overall" if parent is None else f"l_{parent}.mean"
+    return f"""c_{level} AS (SELECT {level}{keep.replace('c.', '')}, CAST(sum(c.n) AS DOUBLE) AS n, CAST(sum(c.good) AS DOUBLE) AS good, any_value({mean}) AS m FROM {source} GROUP BY {level}{keep.replace('c.', '')}),
+r_{level} AS (SELECT sum((good - n * m) * (good - n * m) / n - m * (1 - m)) / nullif(sum(m * (1 - m) * (n - 1)), 0) AS rho FROM c_{level}),
+k_{level} AS (SELECT CASE WHEN coalesce(rho, 0) <= 0 THEN {cfg.strongest} ELSE least({cfg.strongest}, greatest({cfg.weakest}, 1 / rho - 1)) END AS k FROM r_{level}),
+l_{level} AS (SELECT {level}, m * k + good AS a, (1 - m) * k + n - good AS b, (m * k + good) / (k + n) AS mean FROM c_{level}, k_{level})"""
+
+
+def _rules_sql() -> tuple[str, str]:
+    name, verdict = "NULL", "NULL"
+    for h, p, what in sorted(RULES, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        name, verdict = f"CASE WHEN {fits} THEN '{h}{p}' ELSE {name} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
+    return name, verdict
+
+
+def _names_sql(columns: str, source: str) -> str:
+    two = "array_to_string(parts[-2:], '.')"
+    known = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    return f"SELECT {columns}, CASE WHEN {two} IN ({known}) THEN array_to_string(parts[-3:], '.') ELSE {two} END AS domain, CASE WHEN {two} IN ({known}) THEN {two} ELSE parts[-1] END AS suffix FROM (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts FROM {source})"
+
+
+_CFG = Reputation()
+ORACLE_OP1 = rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+o AS (SELECT host, quality FROM (SELECT host, CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})[^/0-9]*/?$', 1), '') AS BIGINT) AS doc_id FROM p) JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+g AS (SELECT host, count(*) AS n, sum(quality) AS good FROM o GROUP BY host), h AS ({_names_sql("host, n, good", "g")}),
+t AS (SELECT (1 + coalesce(sum(good), 0)) / CAST(2 + coalesce(sum(n), 0) AS DOUBLE) AS overall FROM h),
+{_level_sql("suffix", None, _CFG)}, {_level_sql("domain", "suffix", _CFG)}, {_level_sql("host", "domain", _CFG)},
+e AS ({_names_sql("host", "(SELECT DISTINCT host FROM p)")}),
+q AS (SELECT e.host, coalesce(x.a, coalesce(d.mean, s.mean, overall) * k) AS a, coalesce(x.b, (1 - coalesce(d.mean, s.mean, overall)) * k) AS b
+  FROM e CROSS JOIN t CROSS JOIN k_host LEFT JOIN l_host x ON x.host = e.host LEFT JOIN l_domain d ON d.domain = e.domain LEFT JOIN l_suffix s ON s.suffix = e.suffix),
+v AS (SELECT host, a / (a + b) - {_CFG.z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) >= {_CFG.floor} AS good FROM q)
+SELECT page_id, host, path, {_rules_sql()[0]} AS rule, coalesce({_rules_sql()[1]}, CASE WHEN good THEN 'allow' ELSE 'block' END) AS verdict FROM p JOIN v USING (host)
+"""
