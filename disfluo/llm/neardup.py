@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 
 from disfluo.llm.common import mix64, read, short_batches, stable, word_hashes
 
+#: Keeps a similarity of just the limit from falling short by rounding.
+ROUNDING = 1e-6
+
 
 @dataclass(frozen=True)
 class Darts:
@@ -156,27 +159,36 @@ def _links(pairs: DataFrame, sets: DataFrame, cfg: Darts) -> DataFrame:
     """Those of the pairs (a, b) whose exact similarity reaches the limit."""
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return met.filter(F.col("common") >= cfg.similarity * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+    return met.filter(F.col("common") + ROUNDING >= cfg.similarity * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
-def _could_be_similar(open_: DataFrame, sets: DataFrame, cfg: Darts) -> DataFrame:
+def _could_be_similar(open_: DataFrame, sets: DataFrame, bands: DataFrame, cfg: Darts, groups: int = 16) -> DataFrame:
     """Pairs (a, b) of members (band, bucket, id, root) of one bucket and different classes that the bound allows.
 
-    With u shingles of x in other classes, similarity s to y needs overlap >= s / (1 + s) * (|x| + |y|) and overlap <= u, so
-    |y| <= (1 + s) / s * u - |x|; and |y| >= s * |x|. Sizes are compared in bins of five percent, then exactly.
+    Only shingles that also stand in another class can be shared. With u of them in x, similarity s to y needs overlap >=
+    s / (1 + s) * (|x| + |y|) and overlap <= u, so |y| <= (1 + s) / s * u - |x|, and |y| >= s * |x|: sizes are compared in
+    bins of five percent, then exactly. What passes is held against a finer bound, the sum of the lesser counts over groups
+    of shingles, and a pair is made only in the first band that it shares.
     """
     s, step = cfg.similarity, math.log(1.05)
     known = open_.select("id", "root").distinct().join(sets, "id")
     items = known.select("id", "root", F.explode("items").alias("item"))
     shared = items.groupBy("item").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("item")
-    u = items.join(shared, "item").groupBy("id").agg(F.count("*").alias("u"))
-    sized = known.select("id", F.size("items").alias("n")).join(u, "id").withColumn("most", (1 + s) / s * F.col("u") - F.col("n")).filter(F.col("most") >= s * F.col("n"))
-    at = stable(open_.join(sized.select("id", "n", "most"), "id"))
+    each = [F.count_if(F.pmod("item", F.lit(groups)) == g) for g in range(groups)]
+    u = items.join(shared, "item").groupBy("id").agg(F.count("*").alias("u"), F.array(*each).alias("g"))
+    sized = known.select("id", F.size("items").alias("n")).join(u, "id").withColumn("most", (1 + s) / s * F.col("u") - F.col("n") + ROUNDING).filter(F.col("most") >= s * F.col("n"))
+    at = stable(open_.join(sized.join(bands, "id").select("id", "n", "most", "g", "bands"), "id"))
     bin_of = lambda x: F.floor(F.log(x) / step).cast("int")
-    seek = at.select("band", "bucket", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("most").alias("xm"), F.explode(F.sequence(bin_of(s * F.col("n")), bin_of(F.col("most")))).alias("bin"))
-    there = at.select("band", "bucket", bin_of(F.col("n")).alias("bin"), F.col("id").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("most").alias("ym"))
-    fits = (F.col("xr") != F.col("yr")) & (F.col("x") < F.col("y")) & (F.col("yn") <= F.col("xm")) & (F.col("xn") <= F.col("ym"))
-    return seek.join(there, (seek["band"] == there["band"]) & (seek["bucket"] == there["bucket"]) & (seek["bin"] == there["bin"]) & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    side = lambda k, bin_: at.select("band", "bucket", bin_.alias("bin"), *[F.col(c).alias(k + c) for c in ("id", "root", "n", "most", "g", "bands")])
+    x, y = side("x_", F.explode(F.sequence(bin_of(s * F.col("n")), bin_of(F.col("most"))))), side("y_", bin_of(F.col("n")))
+    c = F.col
+    possible = F.aggregate(F.zip_with("x_g", "y_g", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda p, q: p + q)
+    fits = (
+        (c("x_root") != c("y_root")) & (c("x_id") < c("y_id")) & (c("y_n") <= c("x_most")) & (c("x_n") <= c("y_most")) & ((1 + s) * possible + ROUNDING >= s * (c("x_n") + c("y_n")))
+        & (F.array_position(F.zip_with("x_bands", "y_bands", lambda p, q: p == q), True) == x["band"] + 1)
+    )
+    met = x.join(y, (x["band"] == y["band"]) & (x["bucket"] == y["bucket"]) & (x["bin"] == y["bin"]) & fits)
+    return met.select(c("x_id").alias("a"), c("y_id").alias("b"))
 
 
 def classes(docs: DataFrame, cfg: Darts = Darts()) -> DataFrame:
@@ -195,7 +207,7 @@ def classes(docs: DataFrame, cfg: Darts = Darts()) -> DataFrame:
     roots = components(linked)
     rest = met.select("band", "bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))  # heads have met everyone in their bucket
     mixed = rest.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "bucket")
-    more = stable(_links(_could_be_similar(stable(rest.join(mixed, ["band", "bucket"])), sets, cfg), sets, cfg))
+    more = stable(_links(_could_be_similar(stable(rest.join(mixed, ["band", "bucket"])), sets, reps.select("id", "bands"), cfg), sets, cfg))
     if more.limit(1).count():
         linked = stable(linked.unionByName(more).distinct())
         roots = components(linked)
