@@ -121,7 +121,8 @@ class Segments:
             end = last + cfg.length
             whole = (sums[end] - sums[first]) * _power(M_INVERSE, n)[first]
             content = mix64(whole + ((end - first).astype(np.uint64) << np.uint64(32)) + (anchor - first).astype(np.uint64))
-        return [first, last, anchor, grams[anchor], content]
+            key = mix64(grams[anchor] + np.uint64(0x2545F4914F6CDD1D))  # anchors have small hashes, so their own would crowd the first buckets
+        return [first, last, anchor, key, content]
 
 
 class Units:
