@@ -90,7 +90,8 @@ def overlaps(docs: DataFrame, items: DataFrame, cfg: Overlap = Overlap(), masks=
     else:  # seeds meet by hash without their texts, which then come to the diagonals that are left
         places = _seeds(docs, "words", ["doc_id"], masks).select("mask", "seed", "doc_id", "pos").join(test.drop("item"), ["mask", "seed"])
         places = places.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
-        hits = places.join(items, "item_id").join(docs, "doc_id").withColumn("part", _along("words", "item"))
+        own, texts = items.withColumnRenamed("item_id", "i"), docs.withColumnRenamed("doc_id", "d")  # rows without an id are taken together
+        hits = places.join(own, F.col("item_id").eqNullSafe(F.col("i"))).join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).withColumn("part", _along("words", "item"))
     hits = hits.select("doc_id", "item_id", "diagonal", "part", "item", F.size("item").alias("n_item"))
     found = _compared(hits, cfg)
     best = F.max_by(F.struct("diagonal", "n_matched", "n_item"), F.struct("n_matched", -F.col("diagonal")))
