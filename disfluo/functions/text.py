@@ -100,6 +100,7 @@ def sentence_split(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r'([.!?])\s+([A-Z"“])', "$1\n$2"), "\n")
 
 
+# Parts that rule a sentence out, and titles that look like a sentence end.
 BAD_PARTS = ("<unk>", "@-@", "@.@", "@,@", "=", "|", "http", "–", "—")
 ABBREVIATIONS = ("St.", "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Jr.", "Sr.", "No.", "vs.")
 
