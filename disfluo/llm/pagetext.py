@@ -1,33 +1,38 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are sorted by host and path across the cluster, so that a page stands beside the pages of its host with the nearest
-paths. Each page's lines are aligned with those of the neighbour that shares the longer beginning of the path, by a longest
-common subsequence, and the shared lines are deleted: what two pages of a place have in common is its template.
+paths. Each page's lines are aligned with those of its neighbours on both sides, by a longest common subsequence, the
+neighbour that shares the longer beginning of the path first. What two pages of a place have in common is its template.
 
-Markup decides first where it is explicit: lines inside navigation, headers, footers, sidebars, forms, notices, adverts,
-comments, scripts and styles are no candidates; and if a page marks its article (``article`` or ``main``), lines in it are
-the text and never deleted, since articles may rightly share passages. Differencing decides for all other pages.
+Lines inside navigation, headers, footers, sidebars, forms, notices, adverts, comments, scripts and styles are no candidates.
+Of the others, lines that the nearest neighbour shares are deleted. Markup checks that: if a page marks its article
+(``article`` or ``main``), only lines in it are text, and those that a single neighbour shares are restored, since two
+articles may rightly share passages; what the neighbours on both sides share is template there too.
+
+A neighbour is the nearest page of the host whose lines differ: equal pages are passed over, also across partitions, for which
+each partition gets the page before its first run of equal pages and the page after its last one.
 
 Defined results: null or empty html gives an empty text; a null or malformed url has an empty host and path, and such pages
-are neighbours of each other; a page without a neighbour of its host in its partition is not differenced; if nearly all of a
-page's lines are shared, the pages are copies of each other and nothing is deleted (so repeated rows keep their text);
-unclosed, misnested and cut-off markup is read as far as it goes. Extra columns are ignored.
+are neighbours of each other; a page without another page of its host with other lines is not differenced; where differencing
+would leave nothing, nothing is deleted; unclosed, misnested and cut-off markup is read as far as it goes. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import os
 import re
-from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import read, short_batches
+from disfluo.llm.common import ARROW_ROWS, read, short_batches, stable
 from disfluo.llm.urls import host_of, path_of
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -143,55 +148,171 @@ def shared_by_lcs(a: list, b: list) -> set[int]:
     return out
 
 
-@dataclass(frozen=True)
-class Differencing:
-    """copies: share of a page's characters that, shared with its neighbour, makes the two copies of each other."""
+def main_text(lines: list[tuple[str, bool]], *others: list[tuple[str, bool]] | None) -> str:
+    """What is left of a page's lines without those of its template, by its neighbours, the nearest one first."""
+    own, near = [text for text, _ in lines], []
+    for other in others:
+        texts = [text for text, _ in other or []]
+        if texts and texts != own and texts not in near:
+            near.append(texts)
+    shared = [shared_by_lcs(own, texts) for texts in near]
+    if any(inside for _, inside in lines):
+        places = [k for k, (_, inside) in enumerate(lines) if inside]
+        tries = [shared[0] & shared[1]] if len(shared) > 1 else []
+    else:
+        places, tries = list(range(len(own))), shared
+    left = next((kept for gone in tries if (kept := [k for k in places if k not in gone])), places)
+    return "\n".join(own[k] for k in left)
+
+
+PARSED = "page_id long, url string, host string, path string, digest string, lines binary, size long"
+
+
+def _pack(lines: list[tuple[str, bool]]) -> tuple[str, bytes, int]:
+    """Digest of the lines' text, the lines compressed, and their size before."""
+    body = "\n".join("01"[inside] + text for text, inside in lines).encode("utf-8", "surrogatepass")
+    digest = hashlib.md5("\n".join(text for text, _ in lines).encode("utf-8", "surrogatepass")).hexdigest()
+    return digest, pa.compress(body, codec="zstd", asbytes=True), len(body)
+
+
+def _unpack(data: bytes, size: int) -> list[tuple[str, bool]]:
+    if not size:
+        return []
+    body = pa.decompress(data, decompressed_size=int(size), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+    return [(line[1:], line[0] == "1") for line in body.split("\n")]
+
+
+class Run:
+    """Consecutive pages of a part and host with equal lines; pages: (page_id, url, path, side)."""
+
+    def __init__(self, part: int, host: str, digest: str, lines: bytes, size: int):
+        self.part, self.host, self.digest, self.lines, self.size = part, host, digest, lines, size
+        self.pages: list[tuple] = []
+
+    def row(self, part: int, side: int, page: tuple) -> tuple:
+        return part, side, *page[:2], self.host, page[2], self.digest, self.lines, self.size
+
 
-    copies: float = 0.9
+EDGE = ["part", "side", "page_id", "url", "host", "path", "digest", "lines", "size"]
 
 
-def main_text(lines: list[tuple[str, bool]], other: list[tuple[str, bool]] | None, cfg: Differencing = Differencing()) -> str:
-    """Lines of the article; without a marked article, the lines that the neighbouring page doesn't share."""
-    marked = [text for text, inside in lines if inside]
-    if marked:
-        return "\n".join(marked)
-    own = [text for text, _ in lines]
-    if other:
-        shared = shared_by_lcs(own, [text for text, _ in other])
-        if sum(len(own[k]) for k in shared) < cfg.copies * sum(map(len, own)):
-            own = [text for k, text in enumerate(own) if k not in shared]
-    return "\n".join(own)
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[Run]:
+    run = None
+    for batch in batches:
+        for part, side, i, url, host, path, digest, lines, size in zip(*[batch[c].astype("Int64").tolist() if c == "page_id" else batch[c].tolist() for c in EDGE]):
+            if run is None or (run.part, run.host, run.digest) != (part, host, digest):
+                if run is not None:
+                    yield run
+                run = Run(part, host, digest, lines, size)
+            run.pages.append((None if i is pd.NA else i, url, path, side))
+    if run is not None:
+        yield run
 
 
-def extract(pages: DataFrame, cfg: Differencing = Differencing()) -> DataFrame:
-    """page_id, url, text and n_chars of each page. One shuffle, by range of (host, path), which no host can overload."""
+def _ends(runs: Iterator[Run]) -> Iterator[tuple[int, list[Run], list[Run]]]:
+    """Each part's number, its first two and its last two runs, in order."""
+    heads: list[Run] = []
+    tails: list[Run] = []
+    for run in runs:
+        if tails and tails[-1].part != run.part:
+            yield tails[-1].part, heads, tails
+            heads, tails = [], []
+        heads = heads if len(heads) == 2 else [*heads, run]
+        tails = [*tails[-1:], run]
+    if tails:
+        yield tails[-1].part, heads, tails
 
-    def common(x: tuple, y: tuple) -> int:
-        return len(os.path.commonprefix([x[3], y[3]])) if x[2] == y[2] else -1
 
-    def finish(page: tuple, before: tuple | None, after: tuple | None) -> tuple:
-        near = max((p for p in (before, after) if p is not None and p[2] == page[2]), key=lambda p: common(page, p), default=None)
-        text = main_text(page[4], near[4] if near else None, cfg)
-        return page[0], page[1], text, len(text)
+def _wanted(ordered: DataFrame) -> dict[tuple, list[tuple]]:
+    """Which edge pages, as (part, side, place), are the pages beyond which parts' edges, as (group, side): group 2n is part n's
+    first run, 2n + 1 its last one if it is another."""
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "url", "text", "n_chars"]
-        window: deque = deque([None], maxlen=3)
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(part, side, k, r.host, r.digest, heads[0] is tails[-1]) for part, heads, tails in _ends(_runs(batches)) for side, runs in ((1, heads), (-1, tails)) for k, r in enumerate(runs)]
+        yield pd.DataFrame(rows, columns=["part", "side", "k", "host", "digest", "single"])
+
+    thin = ordered.select("part", "side", "page_id", F.lit("").alias("url"), "host", F.lit("").alias("path"), "digest", F.lit(b"").alias("lines"), F.lit(0).alias("size"))
+    runs: dict[int, dict] = {1: {}, -1: {}}
+    single = {}
+    for r in sorted(thin.mapInPandas(summary, "part int, side int, k int, host string, digest string, single boolean").collect()):  # at most four short rows for each part
+        runs[r["side"]].setdefault(r["part"], []).append((r["host"], r["digest"]))
+        single[r["part"]] = r["single"]
+    out: dict[tuple, list[tuple]] = {}
+    parts = sorted(single)
+    for at, part in enumerate(parts):
+        for side in (-1, 1):
+            own = runs[-side][part][0 if side < 0 else -1]
+            at_other = at + side
+            while 0 <= at_other < len(parts):
+                met = list(enumerate(runs[side][parts[at_other]]))
+                near = next(((k, run) for k, run in met[::side] if run != own), None)
+                if near:
+                    if near[1][0] == own[0]:
+                        out.setdefault((parts[at_other], side, near[0]), []).append((2 * part + (side > 0 and not single[part]), side))
+                    break
+                at_other += side
+    return out
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of each page. One shuffle, by range of (host, path), which no host can overload, and a
+    small one of the runs at the parts' edges, to meet the pages beyond."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            ids = batch["page_id"].astype("Int64").tolist()
-            for i, url, host, path, page in zip(ids, batch["url"], batch["host"], batch["path"], batch["html"]):
-                window.append((None if i is pd.NA else i, url, host, path, page_lines(page if isinstance(page, str) else "")))
-                if len(window) == 3:
-                    out.append(finish(window[1], window[0], window[2]))
-            yield _typed(out, names)
-        if len(window) > 1:
-            yield _typed([finish(window[-1], window[-2], None)], names)
+            packed = [_pack(page_lines(page if isinstance(page, str) else "")) for page in batch["html"]]
+            out = batch[["page_id", "url", "host", "path"]].astype({"page_id": "Int64"})
+            yield out.assign(digest=[p[0] for p in packed], lines=[p[1] for p in packed], size=[p[2] for p in packed])
 
     url = F.col("url").cast("string")
     rows = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
-    ordered = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInPandas(walk, "page_id long, url string, text string, n_chars long")
+    order = ["host", "path", "page_id"]
+    sorted_rows = stable(rows.mapInPandas(parse, PARSED).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ordered = sorted_rows.withColumn("side", F.lit(0)).select(*EDGE)
+    wanted = _wanted(ordered)
+    groups = {group for targets in wanted.values() for group, _ in targets}
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, heads, tails in _ends(_runs(batches)):
+            rows = [r.row(group, at, r.pages[0 if side > 0 else -1]) for side, runs in ((1, heads), (-1, tails)) for k, r in enumerate(runs) for group, at in wanted.get((part, side, k), ())]
+            if 2 * part in groups:
+                rows += [heads[0].row(2 * part, 0, page) for page in heads[0].pages] + [r.row(2 * part, 1, r.pages[0]) for r in heads[1:]]
+            if 2 * part + 1 in groups:
+                rows += [tails[-1].row(2 * part + 1, 0, page) for page in tails[-1].pages] + [r.row(2 * part + 1, -1, r.pages[-1]) for r in tails[:-1]]
+            yield pd.DataFrame(rows, columns=EDGE).astype({"page_id": "Int64"})
+
+    def finish(run: Run, before: Run | None, after: Run | None) -> list[tuple]:
+        own, texts = _unpack(run.lines, run.size), {}
+        beside = [(path, _unpack(r.lines, r.size)) for r, path in ((before, before and before.pages[-1][2]), (after, after and after.pages[0][2])) if r is not None and r.host == run.host]
+        out = []
+        for i, url, path, side in run.pages:
+            if side == 0:
+                near = tuple(sorted(range(len(beside)), key=lambda k: -len(os.path.commonprefix([path, beside[k][0]]))))
+                if near not in texts:
+                    texts[near] = main_text(own, *[beside[k][1] for k in near])
+                out.append((i, url, texts[near], len(texts[near])))
+        return out
+
+    def walk(left_out: set[int]):
+        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, out = ["page_id", "url", "text", "n_chars"], []
+            before = run = None
+            for after in chain(_runs(batches), [None]):
+                if run is not None:
+                    first, last = before is None or before.part != run.part, after is None or after.part != run.part
+                    if not (first and 2 * run.part in left_out or last and 2 * run.part + 1 in left_out):
+                        out += finish(run, None if first else before, None if last else after)
+                if len(out) >= ARROW_ROWS:
+                    yield _typed(out, names)
+                    out = []
+                before, run = run, after
+            yield _typed(out, names)
+
+        return judge
+
+    schema = "page_id long, url string, text string, n_chars long"
+    beyond = ordered.mapInPandas(edges, ordered.schema).repartition("part").sortWithinPartitions("part", "side", *order)
+    return ordered.mapInPandas(walk(groups), schema).unionByName(beyond.mapInPandas(walk(set()), schema))
 
 
 def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:

@@ -143,6 +143,22 @@ def test_page_differencing():
     assert pagetext.main_text(pagetext.page_lines(kept), None) == "T & U\na b\nc"
 
 
+def test_differencing_acts_in_articles_and_past_equal_pages_and_partitions(spark):
+    note = "Read our terms before you quote this."
+    html = lambda k: f"<div>Site name</div><article><p>{note}<p>Story {k} of the day.<p>More on {k // 2}.</article>"
+    plain = lambda k: f"<div>Site name</div><p>Story {k // 3} here.<p>All rights reserved"
+    rows = [(k, f"http://a.net/p/{k:03}", html(k)) for k in range(60)] + [(100 + k, f"http://b.net/p/{k:03}", plain(k)) for k in range(60)] + [(200 + k, f"http://c.net/{k}", plain(0)) for k in range(40)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        got = {r["page_id"]: r["text"] for r in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert {k: got[k] for k in range(1, 59)} == {k: f"Story {k} of the day.\nMore on {k // 2}." for k in range(1, 59)}  # what one neighbour shares stays
+    assert {k: got[100 + k] for k in range(60)} == {k: f"Story {k // 3} here." for k in range(60)}
+    assert {got[200 + k] for k in range(40)} == {"Site name\nStory 0 here.\nAll rights reserved"} and len(got) == 160
+
+
 def test_pages_give_the_documents_they_show(spark, table):
     docs = dict(table("documents")[["doc_id", "text"]].to_numpy().tolist())
     got = QUERIES["op6_page_text"](spark, MID).toPandas()
