@@ -36,10 +36,8 @@ CONTEXT_BUCKETS = 48
 
 @dataclass(frozen=True)
 class Interpolation:
-    """fit_blocks: text blocks that the few mixture weights are fitted on at most (a bounded sample, drawn by hash; counts
-    cover everything); rounds: of expectation-maximisation."""
+    """rounds: of expectation-maximisation, over the deleted counts of all training tokens."""
 
-    fit_blocks: int = 48
     rounds: int = 60
 
 
@@ -197,10 +195,7 @@ def score(docs: DataFrame, cfg: Interpolation = Interpolation(), modulus: int =
             out.append(pd.DataFrame({"cell": values, "n": add(np.ones(len(key))), "p2": add(p2), "p1": add(p1)}))
         return pd.concat(out)
 
-    total = blocks.count()
-    every = max(1, -(-total // cfg.fit_blocks))
-    pick = F.pmod(F.xxhash64("block"), F.lit(every)) == 0
-    cells = blocks.filter(pick).groupBy("block").cogroup(answers.filter(pick).groupBy("block")).applyInPandas(cells_of, "cell long, n double, p2 double, p1 double")
+    cells = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cells_of, "cell long, n double, p2 double, p1 double")
     rows = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()  # at most 48 * 100 * 100 cells
     weights = learn_weights(np.array([(r["cell"] // 10000, r["n"], r["p2"] / r["n"], r["p1"] / r["n"]) for r in rows if r["n"] > 0]), uniform, cfg.rounds)
 

@@ -259,3 +259,10 @@ def test_lm_counts_and_base_score_by_plain_counting(spark, sf, table):
 def test_weights_by_expectation_maximisation():
     w = lm.learn_weights(np.array([(3, 1000.0, 0.5, 0.001), (3, 100.0, 0.0, 0.001), (0, 500.0, 0.0, 0.01)]), 1e-6, 50)
     assert w.sum(axis=1) == pytest.approx(np.ones(len(w))) and w[3, 0] > 0.8 and w[0, 1] > 0.9 and (w > 0).all()
+
+
+def test_mixture_weights_are_fitted_on_every_block(spark, sf, monkeypatch):
+    docs = common.read(spark, sf, "documents")
+    whole = lm.score(docs).toPandas().set_index("doc_id")["score"]
+    monkeypatch.setattr(lm, "text_blocks", lambda d: common.text_blocks(d, block_bytes=2000))
+    assert lm.score(docs).toPandas().set_index("doc_id")["score"].to_dict() == pytest.approx(whole.to_dict(), rel=1e-9)
