@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from disfluo.llm.common import read, short_batches, stable
@@ -29,10 +29,10 @@ MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 @dataclass(frozen=True)
 class Divergence:
-    """share: least part of a batch's words that makes a word a candidate for the common words of its language (at most 1/share
-    of them come from a batch); common: how many of the candidates, by total count, make the histogram beside "other"."""
+    """held: different words that a task adds up before it hands them on; common: how many words, by their count over all
+    documents, make the histogram beside "other"."""
 
-    share: float = 0.004
+    held: int = 200_000
     common: int = 40
     min_words: int = 50
     min_common: int = 10
@@ -121,39 +121,36 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, cfg: Divergence = Divergence()) -> dict[str, list[bytes]]:
-    """The most frequent words of each language.
+    """The most frequent words of each language, by their counts over all documents (this top-k is the feature).
 
-    A word that makes ``share`` of a language's words makes that share of at least one batch of it, so each batch needs
-    to report only such words; their counts are added up and the top ``common`` are kept (this top-k is the feature).
+    Each task adds up its words, and hands on what it has when there are ``held`` different ones; the sums by word are exact.
     """
 
-    def heavy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[tuple, int] = defaultdict(int)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = defaultdict(Counter)
 
-        def spill():
-            for lang, c in counts.items():
-                least = max(2, cfg.share * sum(c.values()))
-                for w, n in c.items():
-                    if n >= least:
-                        kept[lang, w] += n
+        def spill() -> pd.DataFrame:
+            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
             counts.clear()
+            return pd.DataFrame(rows, columns=["lang", "word", "n"])
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
                 if isinstance(lang, str) and isinstance(text, str):
                     counts[lang].update(_words(text))
-            spill()
-        if kept:
-            yield pd.DataFrame([(k[0], k[1], n) for k, n in kept.items()], columns=["lang", "word", "n"])
-
-    total = stable(_narrow(docs).mapInPandas(heavy, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))  # read once for each language
-    langs = [r[0] for r in total.select("lang").distinct().collect()]
-    out = {}
-    for lang in sorted(langs):
-        top = total.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(cfg.common).collect()
-        out[lang] = [bytes(r["word"]) for r in top]
-    return out
+            if sum(map(len, counts.values())) >= cfg.held:
+                yield spill()
+        if counts:
+            yield spill()
+
+    total = _narrow(docs).mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    total = stable(total.withColumn("slice", F.pmod(F.xxhash64("word"), F.lit(64))))
+    # the best of each slice first, so that a language's words never meet in one task
+    best = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= cfg.common)
+    out: dict[str, list] = defaultdict(list)
+    for r in best.select("lang", "word", "n").collect():  # at most 64 * common words of each language
+        out[r["lang"]].append((-r["n"], bytes(r["word"])))
+    return {lang: [w for _, w in sorted(ws)[: cfg.common]] for lang, ws in sorted(out.items())}
 
 
 def references(docs: DataFrame, words: dict[str, list[bytes]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:

@@ -218,6 +218,18 @@ def test_divergence_keeps_prose_and_drops_symbol_soup(spark, table):
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality.js_distance(np.array([1.0, 1]), np.array([2.0, 2])) == 0
 
 
+def test_common_words_are_counted_over_all_documents(spark, table):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]  # all below 0.4 % of the words, the first half a little more frequent
+    docs = [(k, " ".join(rng.sample(words, 400) + words[:100]), "en") for k in range(300)] + [(900 + k, "rare rare rare once", "en") for k in range(20)]
+    got = quality.common_words(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(7))
+    assert got == {"en": sorted(w.encode() for w in words[:100])[:40]}
+    own = table("documents")
+    for lang, found in quality.common_words(common.read(spark, MID, "documents")).items():
+        counts = Counter(w for t in own[own["lang"] == lang]["text"] for w in t.lower().encode().split())
+        assert found == sorted(counts, key=lambda w: (-counts[w], w))[:40]
+
+
 def test_toxicity_learns_from_document_labels(spark):
     rng = random.Random(6)
     clean = [f"word{i}" for i in range(300)]
