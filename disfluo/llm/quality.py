@@ -4,8 +4,8 @@ Each document's histograms of character classes and of common words are held aga
 Jensen-Shannon distance (square root of the base-2 divergence, so 0 to 1). References are sums over all documents.
 
 Defined results: a null or empty text has no words and fails the base rule; an unknown or null language is judged by the
-nearest reference; documents under ``min_words`` words or ``min_common`` common words are not judged on that histogram
-(they pass it); with no reference at all nothing is judged. Repeated rows are judged alike. Extra columns are ignored.
+nearest reference; documents under ``min_words`` words are not judged on the histograms (they pass); a text without any common
+word is judged as all "other"; with no reference at all nothing is judged. Repeated rows are judged alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ class Divergence:
     held: int = 200_000
     common: int = 40
     min_words: int = 50
-    min_common: int = 10
     char_limit: float = 0.25
     word_limit: float = 0.5
 
@@ -194,9 +193,9 @@ def divergences(docs: DataFrame, cfg: Divergence = Divergence()) -> DataFrame:
     refs = references(docs, words)
     place = {lang: {w: k for k, w in enumerate(ws)} for lang, ws in words.items()}
 
-    def distance(lang: str, own: list[bytes], chars: np.ndarray) -> tuple[float | None, float | None]:
+    def distance(lang: str, own: list[bytes], chars: np.ndarray) -> tuple[float, float]:
         hist = word_histogram(own, place[lang])
-        return js_distance(chars, refs[lang][0]), js_distance(hist, refs[lang][1]) if hist[:-1].sum() >= cfg.min_common else None
+        return js_distance(chars, refs[lang][0]), js_distance(hist, refs[lang][1])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -209,7 +208,7 @@ def divergences(docs: DataFrame, cfg: Divergence = Divergence()) -> DataFrame:
                 if n_words >= cfg.min_words and refs:
                     own, chars = _words(text), char_classes(text)
                     tried = [distance(k, own, chars) for k in ([lang] if lang in refs else refs)]
-                    char, word = min(tried, key=lambda x: (x[0] or 0) + (x[1] or 0))
+                    char, word = min(tried, key=sum)
                 kept = not failed and (char is None or char <= cfg.char_limit) and (word is None or word <= cfg.word_limit)
                 rows.append((None if pd.isna(i) else int(i), n_words, *rest, failed, char, word, kept))
             out = pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])

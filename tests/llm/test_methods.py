@@ -230,6 +230,18 @@ def test_common_words_are_counted_over_all_documents(spark, table):
         assert found == sorted(counts, key=lambda w: (-counts[w], w))[:40]
 
 
+def test_salad_of_plain_letters_is_judged_on_its_words(spark, table):
+    rng = random.Random(7)
+    salad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(6, 9))) for _ in range(n)) for n in (60, 200, 900)]
+    docs = common.read(spark, MID, "documents").select("doc_id", "text", "lang")
+    added = spark.createDataFrame([(10_000_000 + k, t, "en") for k, t in enumerate(salad)], docs.schema)
+    got = quality.divergences(docs.unionByName(added)).filter("doc_id >= 10000000").collect()
+    words = quality.common_words(docs.unionByName(added))
+    other = np.array([0.0] * 40 + [1.0])
+    want = quality.js_distance(other, quality.references(docs.unionByName(added), words)["en"][1])
+    assert len(got) == 3 and all(not r["base_failed"] and r["word_distance"] == pytest.approx(want) for r in got)
+
+
 def test_toxicity_learns_from_document_labels(spark):
     rng = random.Random(6)
     clean = [f"word{i}" for i in range(300)]
