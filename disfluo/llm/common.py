@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,22 +26,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def short_batches(df: DataFrame) -> DataFrame:
-    """Keep Arrow batches of df's session short, so that a worker never holds more than ARROW_ROWS texts at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """df, with Arrow batches of its session at ARROW_ROWS rows at most, so that a worker never holds more texts at once.
+
+    The setting is read when a plan runs, so it stays; it bounds batches and changes no result of any query.
+    """
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
     return df
 
 
 def stable(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that the cluster names, so that a lost executor costs no recomputation.
 
-    Only where no folder is set (tests, a single machine) a temporary one is made.
+    A temporary folder serves only where none is set and the whole of Spark runs in this process.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def id_text(name: str) -> Column:
+    """An integer id as text: a column of numbers with a null in it would reach pandas as floats."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def whole_numbers(ids) -> pd.Series:
+    """Ids that came as text, as integers and nulls."""
+    return pd.Series([int(x) if isinstance(x, str) else pd.NA for x in ids], dtype="Int64")
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -93,6 +119,9 @@ def word_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mix64(np.add.reduceat(chars * power, first) + lengths.astype(np.uint64)), start, end
 
 
+ROW_BITS = 21  # a row's number is its block's, and its place there in so many bits
+
+
 class Block:
     """A few MB of documents: ids, which of them are null, lengths, the bytes of all texts with one newline after each, and
     the rows' other columns, if they were asked for."""
@@ -106,53 +135,74 @@ class Block:
         self.starts = self.ends - self.lens - 1
         self.bytes = pa.decompress(body, decompressed_size=int(self.ends[-1]), codec="zstd", asbytes=True)
         self.body = np.frombuffer(self.bytes, dtype=np.uint8)
-        self.extra = pickle.loads(extra) if extra else []
+        self.rows = (self.block << ROW_BITS) + np.arange(len(self.ids), dtype=np.int64)
+        self.extra = pa.ipc.open_stream(extra).read_all() if extra else None
 
     def frame(self, **columns) -> pd.DataFrame:
         ids = pd.array(self.ids, dtype="Int64")
         ids[self.null_id] = pd.NA
         return pd.DataFrame({"doc_id": ids} | columns)
 
+    def texts(self) -> list[bytes]:
+        return [self.bytes[i : j - 1] for i, j in zip(self.starts.tolist(), self.ends.tolist())]
+
+    def table(self, texts: list[bytes]) -> pa.Table:
+        """The rows with other texts (null where a text was null): id, text and the columns asked for."""
+        null = self.extra["null_text"].to_pylist()
+        own = {"id": pa.array(self.ids, mask=self.null_id), "text": pa.array([None if n else t for n, t in zip(null, texts)], type=pa.binary())}
+        return pa.table(own | {c: self.extra[c] for c in self.extra.column_names if c != "null_text"})
 
-def _packed(block: int, ids: list, texts: list[bytes], extra: list[tuple]) -> tuple:
-    null = np.array([i is None or i != i for i in ids], dtype=bool)
-    numbers = np.array([0 if n else int(i) for i, n in zip(ids, null)], dtype=np.int64)
+
+def _packed(block: int, rows: pa.Table, names: list[str]) -> tuple:
+    ids = rows["id"].combine_chunks()
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    texts = [t or b"" for t in rows["text"].to_pylist()]
     lens = np.array([len(t) for t in texts], dtype=np.int64)
-    body = b"\n".join([*texts, b""])
-    return block, numbers.tobytes(), null.tobytes(), lens.tobytes(), pa.compress(body, codec="zstd", asbytes=True), pickle.dumps(extra) if extra else b""
+    others = b""
+    if names:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.select(names).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows.select(names))
+        others = sink.getvalue().to_pybytes()
+    return block, ids.fill_null(0).to_numpy().tobytes(), null.tobytes(), lens.tobytes(), pa.compress(b"\n".join([*texts, b""]), codec="zstd", asbytes=True), others
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, extra: list[str] | None = None) -> DataFrame:
-    """Documents packed into rows of about block_bytes of text, compressed, in a checkpoint; with the columns named in extra, as text.
+def text_blocks(docs: DataFrame, block_bytes: int = 2 << 20, whole: bool = False) -> DataFrame:
+    """Documents packed into rows of about block_bytes of text, compressed, in a checkpoint; if whole, with all their columns.
 
     A null text becomes an empty one. A text longer than a block makes a block of its own. Because the table is written
-    once, a block's number always stands for the same documents, so what is computed for a block elsewhere finds its texts again.
+    once, a block's number and a row's place in it always stand for the same row, whatever the ids are.
     """
-    extra = extra or []
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.col("text").cast("string").cast("binary")
+    extra = [text.isNull().alias("null_text"), *[F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(others)]] if whole else []
+    names = ["null_text", *[f"x{k}" for k in range(len(others))]] if whole else []
+    schema = pa.schema([(c, pa.int64() if c == "block" else pa.binary()) for c in BLOCK_COLUMNS])
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        n, rows, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            others = zip(*[batch[f"x{k}"].tolist() for k in range(len(extra))]) if extra else [()] * len(batch)
-            for i, t, other in zip(batch["id"].tolist(), batch["text"].tolist(), others):
-                data = t.encode("utf-8", "replace") if isinstance(t, str) else b""
-                rows.append((None if i is None or i is pd.NA else i, data, tuple(None if x is pd.NA or x != x else x for x in other)))
-                size += len(data) + 24
-                if size >= block_bytes:
-                    yield _frame(n, rows, extra)
-                    n, rows, size = n + 1, [], 0
-        if rows:
-            yield _frame(n, rows, extra)
+        n, held, size = TaskContext.get().partitionId() << 20, [], 0
 
-    narrow = short_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("string").alias(f"x{k}") for k, c in enumerate(extra)])
-    return stable(narrow.mapInPandas(pack, BLOCK_SCHEMA))
+        def packed() -> pa.RecordBatch:
+            row = _packed(n, pa.Table.from_batches(held).combine_chunks(), names)
+            return pa.RecordBatch.from_pylist([dict(zip(BLOCK_COLUMNS, row))], schema=schema)
 
+        for batch in batches:
+            start = 0
+            for at, length in enumerate(batch.column("size").to_pylist()):
+                size += length + 24
+                if size >= block_bytes:
+                    held.append(batch.slice(start, at + 1 - start))
+                    yield packed()
+                    n, held, size, start = n + 1, [], 0, at + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield packed()
 
-def _frame(n: int, rows: list[tuple], extra: list[str]) -> pd.DataFrame:
-    ids, texts, others = zip(*rows)
-    return pd.DataFrame([_packed(n, list(ids), list(texts), list(others) if extra else [])], columns=BLOCK_COLUMNS)
+    narrow = short_batches(docs).select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"), *extra)
+    return stable(narrow.mapInArrow(pack, BLOCK_SCHEMA))
 
 
 def blocks_of(pdf: pd.DataFrame) -> Iterator[Block]:
@@ -160,6 +210,26 @@ def blocks_of(pdf: pd.DataFrame) -> Iterator[Block]:
         yield Block(*row)
 
 
+def block_of(row: Column) -> Column:
+    return F.shiftright(row, ROW_BITS)
+
+
+def unpacked(docs: DataFrame, blocks: DataFrame, answers: DataFrame, edit: Callable[[Block, pd.DataFrame], pa.Table], added: str = "") -> DataFrame:
+    """docs' rows from their blocks (packed whole), with exact types: edit makes a block's table from it and its answers (rows
+    with a column ``block``); added names columns that it puts at the end."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in docs.columns}
+    schema = ", ".join(["id long, text binary", *[f"x{k} {kinds[c]}" for k, c in enumerate(others)], *([added] if added else [])])
+
+    def emit(own: pa.Table, got: pa.Table) -> pa.Table:
+        replies = got.to_pandas()
+        return pa.concat_tables([edit(Block(*row.values()), replies) for row in own.select(BLOCK_COLUMNS).to_pylist()])
+
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(emit, schema)
+    place = {"doc_id": "id", "text": "text"} | {c: f"x{k}" for k, c in enumerate(others)}
+    return out.select(*[F.col(place[c]).cast(kinds[c]).alias(c) for c in docs.columns], *[c for c in out.columns if c not in place.values()])
+
+
 def buckets_for(blocks: DataFrame, bytes_each: int, least: int = 16) -> int:
     """A power of two of hash buckets, as many as the text needs for about bytes_each of text in each."""
     stat = blocks.agg(F.sum(F.octet_length("body")).alias("b")).first()["b"] or 0

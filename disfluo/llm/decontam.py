@@ -8,8 +8,9 @@ enough substitutions.
 Tokens: lower-cased words without their characters that are neither letters nor digits.
 
 Defined results: null and empty texts, and texts or items shorter than the shortest mask, take no part; an item that
-stands in a document more than once, or several equal items, give one row for each (document, item), for the best
-diagonal; repeated documents give repeated rows' best once for each id; a null id is kept as null. Extra columns are ignored.
+stands in a document more than once, and documents or items that share an id, give one row for each (document id, item id),
+for the best diagonal among them, each text being held against each item on its own; a null id is an id. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import read
+from disfluo.llm.common import fresh, read, stable
 
 #: Places of the tokens that each seed looks at; the others are ignored. Six tokens each, in spans of seven to nine.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 6, 7), (0, 1, 4, 5, 7, 8))
@@ -28,13 +29,15 @@ MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 6, 7), (0, 1, 4, 5
 @dataclass(frozen=True)
 class Overlap:
     """window: tokens of the item that are held against the document at once (the whole item if it is shorter); similarity:
-    least share of them that must agree; least: tokens that must agree at least; small_seeds: seeds of the test set up to
-    which its table is broadcast (beyond, both sides are shuffled by hash)."""
+    least share of them that must agree; least: tokens that must agree at least; small_seeds: seeds of the test set, of some
+    40 bytes each, up to which their table is broadcast (beyond, both sides are shuffled by hash); small_bytes: text of the
+    test set up to which it is broadcast."""
 
     window: int = 20
     similarity: float = 0.8
     least: int = 8
     small_seeds: int = 400_000
+    small_bytes: int = 16 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -42,7 +45,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(clean, r"\s+"), lambda w: w != "")
 
 
-def _seeds(df: DataFrame, words: str, keep: list[str], masks=MASKS) -> DataFrame:
+def _seeds(df: DataFrame, words: str, keep: list[str | Column], masks=MASKS) -> DataFrame:
     """One row for each place and mask that fits: the columns kept, pos, mask and seed (a 64-bit hash).
 
     The hash of a place is a plain expression on the exploded place, so it stays within generated code.
@@ -50,6 +53,7 @@ def _seeds(df: DataFrame, words: str, keep: list[str], masks=MASKS) -> DataFrame
     n = F.size(words)
     shortest = min(m[-1] for m in masks) + 1
     at = df.select(*keep, words, F.explode(F.when(n >= shortest, F.sequence(F.lit(0), n - shortest))).alias("pos"))
+    keep = at.columns[:-2]
     look = F.array(*[F.array(F.lit(j), *map(F.lit, m)) for j, m in enumerate(masks)])
     at = at.select(*keep, words, "pos", F.explode(look).alias("look")).filter(F.col("pos") + F.get("look", F.lit(len(masks[0]))) < n)
     word = lambda k: F.get(F.col(words), F.col("pos") + F.get("look", F.lit(k + 1)))
@@ -58,54 +62,73 @@ def _seeds(df: DataFrame, words: str, keep: list[str], masks=MASKS) -> DataFrame
 
 
 def _compared(hits: DataFrame, cfg: Overlap) -> DataFrame:
-    """Rows (doc_id, item_id, diagonal, part, item, n_item) to overlaps: part is the document along the item's diagonal.
+    """Rows (doc_id, k, item_id, diagonal, part, item, n_item) to matches: part is the document along the item's diagonal.
 
     Exploding arrays of one element keeps what they hold from being computed anew at each use.
     """
+    keep = ("doc_id", "k", "item_id", "diagonal", "n_item")
     same = F.zip_with("part", "item", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     add = lambda a, b: a + b
     w = F.least(F.lit(cfg.window), F.col("n_item"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_item") - w), lambda i: F.aggregate(F.slice("same", i + 1, w), F.lit(0), add)))
-    out = hits.select("doc_id", "item_id", "diagonal", "n_item", F.explode(F.array(same)).alias("same"))
-    out = out.select("doc_id", "item_id", "diagonal", "n_item", "same", F.explode(F.array(best)).alias("best"))
+    out = hits.select(*keep, F.explode(F.array(same)).alias("same"))
+    out = out.select(*keep, "same", F.explode(F.array(best)).alias("best"))
     agree = F.aggregate("same", F.lit(0), add)
-    return out.filter((F.col("best") >= cfg.least) & (F.col("best") >= cfg.similarity * w)).select("doc_id", "item_id", "diagonal", agree.alias("n_matched"), F.col("n_item").cast("int").alias("n_item"))
+    return out.filter((F.col("best") >= cfg.least) & (F.col("best") >= cfg.similarity * w)).select("doc_id", "k", "item_id", "diagonal", agree.alias("n_matched"), F.col("n_item").cast("int").alias("n_item"))
 
 
-def _along(words: str, item: str) -> Column:
+def _along(n_item: Column) -> Column:
     """The document's tokens at the item's places, null where the document has ended or not begun."""
     before = F.greatest(F.lit(0), -F.col("diagonal"))
-    inside = F.slice(words, F.greatest(F.lit(0), F.col("diagonal")) + 1, F.size(item) - before)
+    inside = F.slice("words", F.greatest(F.lit(0), F.col("diagonal")) + 1, n_item - before)
     return F.when(F.col("diagonal") < 0, F.concat(F.array_repeat(F.lit(None).cast("string"), before), inside)).otherwise(inside)
 
 
+def matches(docs: DataFrame, items: DataFrame, cfg: Overlap = Overlap(), masks=MASKS) -> DataFrame:
+    """doc_id, k (md5 of the text), item_id, diagonal, n_matched and n_item of every diagonal on which a text and an item overlap.
+
+    Seeds meet without the items' texts, each diagonal is taken once, and only then come the texts to it.
+    """
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("k"), tokens(text).alias("words"))
+    items = stable(items.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).filter(F.size("item") > 0)).withColumn("it", F.monotonically_increasing_id())
+    test = _seeds(items, "item", ["it", F.size("item").alias("n_item")], masks).select("mask", "seed", "it", F.col("pos").alias("at"), "n_item")
+    diagonal = (F.col("pos") - F.col("at")).alias("diagonal")
+    if test.limit(cfg.small_seeds + 1).count() <= cfg.small_seeds:  # rows of a fixed width, so their number bounds the broadcast
+        hits = _seeds(docs, "words", ["doc_id", "k"], masks).join(F.broadcast(test), ["mask", "seed"])
+        hits = hits.select("doc_id", "k", "it", "n_item", diagonal, "words").select("doc_id", "k", "it", "diagonal", _along(F.col("n_item")).alias("part"))
+        hits = hits.groupBy("doc_id", "k", "it", "diagonal").agg(F.first("part").alias("part"))
+    else:  # both sides meet by hash, and the documents then come to the diagonals that are left
+        places = _seeds(docs, "words", ["doc_id", "k"], masks).select("mask", "seed", "doc_id", "k", "pos").join(test, ["mask", "seed"])
+        places = places.select("doc_id", "k", "it", "n_item", diagonal).distinct()
+        own = docs.select("k", "words").groupBy("k").agg(F.first("words").alias("words"))
+        hits = places.join(own, "k").select("doc_id", "k", "it", "diagonal", _along(F.col("n_item")).alias("part"))
+    size = items.agg(F.sum(F.aggregate("item", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0
+    texts = items.select("it", "item_id", "item", F.size("item").alias("n_item"))
+    return _compared(hits.join(F.broadcast(texts) if size <= cfg.small_bytes else texts, "it"), cfg)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, cfg: Overlap = Overlap(), masks=MASKS) -> DataFrame:
     """One row for each document and test item that overlap: doc_id, item_id, n_matched, n_item, diagonal."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("words"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item"))
-    test = _seeds(items, "item", ["item_id"], masks).select("mask", "seed", "item_id", F.col("pos").alias("at"), "item")
-    if test.limit(cfg.small_seeds + 1).count() <= cfg.small_seeds:  # the broadcast side's size is checked
-        hits = _seeds(docs, "words", ["doc_id"], masks).join(F.broadcast(test), ["mask", "seed"])
-        hits = hits.withColumn("diagonal", F.col("pos") - F.col("at")).withColumn("part", _along("words", "item"))
-    else:  # seeds meet by hash without their texts, which then come to the diagonals that are left
-        places = _seeds(docs, "words", ["doc_id"], masks).select("mask", "seed", "doc_id", "pos").join(test.drop("item"), ["mask", "seed"])
-        places = places.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
-        own, texts = items.withColumnRenamed("item_id", "i"), docs.withColumnRenamed("doc_id", "d")  # rows without an id are taken together
-        hits = places.join(own, F.col("item_id").eqNullSafe(F.col("i"))).join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).withColumn("part", _along("words", "item"))
-    hits = hits.select("doc_id", "item_id", "diagonal", "part", "item", F.size("item").alias("n_item"))
-    found = _compared(hits, cfg)
     best = F.max_by(F.struct("diagonal", "n_matched", "n_item"), F.struct("n_matched", -F.col("diagonal")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.n_matched", "best.n_item", "best.diagonal")
+    found = matches(docs, items, cfg, masks).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return found.select("doc_id", "item_id", "best.n_matched", "best.n_item", "best.diagonal")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without those that hold a part of a test item; the columns stay as they are."""
-    leaks = overlaps(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_id"), "left_anti")
+def drop_contaminated(spark, docs: DataFrame, sf_dir: str, few: int = 500_000) -> DataFrame:
+    """Pipeline stage: the rows whose text holds no part of a test item; all columns, whatever their names, stay as they are.
+
+    The decision hangs on the text alone, so null, repeated and shared ids make no difference; null and empty texts stay, as
+    does everything where there are no items; an empty table gives an empty table. The texts that go are broadcast, as
+    digests, if they are few.
+    """
+    leaks = stable(matches(docs, read(spark, sf_dir, "benchmark")).select(F.col("k").alias(fresh(docs, "leak"))).distinct())
+    gone = leaks.columns[0]
+    return docs.join(F.broadcast(leaks) if leaks.count() <= few else leaks, F.md5(F.col("text").cast("string").cast("binary")) == F.col(gone), "left_anti")
 
 
 def _mask_sql(table: str, key: str) -> str:

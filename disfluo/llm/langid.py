@@ -18,16 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import mix64, read, remainder, short_batches, uniform
+from disfluo.llm.common import id_text, mix64, read, remainder, short_batches, uniform, whole_numbers
 
 
 @dataclass(frozen=True)
 class Fit:
-    """bound: training texts of each language at most, drawn by a hash of the id (the documented sample); rejected: share
-    of the training texts that the rejection distance leaves out."""
+    """bound, total: training texts of each language and of all together at most, drawn by a hash of the id (the documented
+    sample; of more languages than ``total`` the most frequent are learned); rejected: share of the training texts that the
+    rejection distance leaves out."""
 
     dims: int = 4096
     bound: int = 600
+    total: int = 4000
     centroids: int = 3
     rounds: int = 8
     rejected: float = 0.005
@@ -101,12 +103,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, cfg: Fit = Fit()) -> Model:
-    """Learn from at most ``bound`` texts of each language; only their vectors come to the driver."""
+    """Learn from the bounded sample; only its vectors come to the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.total).collect()}
     if not counts:
         return Model(cfg)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, cfg.bound / n))])
+    bound = max(1, min(cfg.bound, cfg.total // len(counts)))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, bound / n))])
     rows = known.filter(uniform("doc_id", cfg.seed) < share[F.col("lang")]).select("lang", F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +120,7 @@ def fit(docs: DataFrame, cfg: Fit = Fit()) -> Model:
                 yield pd.DataFrame({"lang": [p[0] for p in part], "id": [p[1] for p in part], "v": [p[2].tobytes() for p in part]})
 
     got = short_batches(rows).mapInPandas(vectors, "lang string, id string, v binary").toPandas().sort_values(["lang", "id", "v"], kind="stable")
-    got = got.groupby("lang").head(cfg.bound)
+    got = got.groupby("lang").head(bound)
     if not len(got):
         return Model(cfg)
     x = np.stack([np.frombuffer(v, dtype=np.float32) for v in got["v"]]).astype(np.float64)
@@ -135,9 +138,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [model.predict(t if isinstance(t, str) else None) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [bool(g[2]) for g in got]})
+            yield pd.DataFrame({"doc_id": whole_numbers(batch["doc_id"]), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [bool(g[2]) for g in got]})
 
-    narrow = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = short_batches(docs).select(id_text("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(judge, "doc_id long, lang_pred string, score double, rejected boolean")
 
 

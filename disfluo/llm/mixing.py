@@ -14,21 +14,33 @@ counts as the empty text; an empty table gives an empty table. Extra columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import WORD, read, stable
+from disfluo.llm.common import WORD, Block, block_of, blocks_of, fresh, read, stable, text_blocks, unpacked
+
+
+ORDER = ("order", "doc_id", "size", "row")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """rows with the shuffling hash: the md5 of the id as text."""
+    return rows.withColumn("order", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the shuffling hash: a number below 2**48 from the id's md5, and the whole md5."""
+    """doc_id, source, size in words, the shuffling hash, and row, which tells apart rows that are packed in blocks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), digest.alias("order"))
+    return _ordered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.lit(0).cast("long").alias("row")))
 
 
 def targets(totals: DataFrame, repeats: int = 3) -> DataFrame:
-    """source, source_size, weight, target by water-filling: sources are capped in order of repeats * size / weight until the rest fit.
+    """source, source_size, n, target by water-filling: sources are capped in order of repeats * size / weight until the rest fit.
 
     One row for each source (a mixture's table of weights), so the windows over all of it are small.
     """
@@ -42,67 +54,103 @@ def targets(totals: DataFrame, repeats: int = 3) -> DataFrame:
     t = t.withColumn("level", level)
     ratio = F.col("most") / F.col("weight")
     at = t.filter(F.col("level") * F.col("weight") <= F.col("most")).agg(F.min_by("level", F.struct(ratio, F.col("source").isNull(), F.col("source"))).alias("water"))
-    return t.crossJoin(F.broadcast(at)).select("source", "source_size", "weight", F.least(F.col("water") * F.col("weight"), F.col("most")).alias("target"))
+    return t.crossJoin(F.broadcast(at)).select("source", "source_size", "n", F.least(F.col("water") * F.col("weight"), F.col("most")).alias("target"))
 
 
 def finish(offset: Column, cum: Column, turn: Column, total: Column, target: Column) -> Column:
     return (turn * total + offset + cum) / target
 
 
-def mix(docs: DataFrame, repeats: int = 3, bin_rows: int = 500, bucket_rows: int = 20_000) -> DataFrame:
-    """doc_id, size, source_size, target and taken (size times the copies that the mix takes).
+def _with_source(rows: DataFrame, table: DataFrame, sources: int, few: int = 10_000, salts: int = 64) -> DataFrame:
+    """rows with their source's line of a table. A table of few sources is broadcast; else both sides meet by source and a
+    salt, so that no source's rows meet in one task."""
+    named = table.withColumnRenamed("source", "s")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if sources <= few:
+        return rows.join(F.broadcast(named), same).drop("s")
+    salted = named.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*ORDER), F.lit(salts)).cast("int")).join(salted, same & (F.col("salt") == F.col("t"))).drop("s", "t", "salt")
+
+
+def _cut(copies: DataFrame, budget: int, few: int, bins: int) -> tuple[Row, bool] | None:
+    """Where the queue ends: a copy's key (v, order, doc_id, size, row, turn), and whether that copy is still taken; None if all are.
+
+    The finish times' range is cut into bins, and the bin in which the budget ends into bins again, until it holds few
+    copies; among copies of one time the hash's range is cut likewise. Only totals of bins come to the driver, and only the
+    last few copies are put in order at once.
+    """
+    filled = 0
+    number = F.conv(F.substring("order", 1, 12), 16, 10).cast("double")
+    for value in (F.col("v"), number):
+        bounds = copies.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
+        low, high = bounds["a"], bounds["b"]
+        if low is None:
+            return None
+        while True:
+            within = copies.filter(value.between(low, high))
+            at = F.least(F.floor((value - low) / max(high - low, 1e-300) * bins), F.lit(bins - 1)).alias("bin")
+            totals = within.groupBy(at).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.min(value).alias("a"), F.max(value).alias("b")).collect()  # at most ``bins`` rows
+            ends = None
+            for r in sorted(totals, key=lambda r: r["bin"]):
+                if filled + r["words"] > budget:
+                    ends = r
+                    break
+                filled += r["words"]
+            if ends is None:
+                return None
+            low, high = ends["a"], ends["b"]
+            if ends["rows"] <= few or low == high:
+                break
+        copies = copies.filter(value.between(low, high))
+        if ends["rows"] <= few:
+            break
+    key = F.struct("v", *ORDER, "turn")
+    running = F.sum("size").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = copies.withColumn("running", running).agg(F.max(F.when(F.col("running") <= budget - filled, key)).alias("last"), F.min(key).alias("first")).first()
+    return (ends["last"], True) if ends["last"] is not None else (ends["first"], False)
+
+
+def _goes(v: Column, turn: float, cut: tuple[Row, bool] | None) -> Column:
+    if cut is None:
+        return F.lit(True)
+    at, taken = cut
+    mine = F.struct(v.alias("v"), *ORDER, F.lit(turn).alias("turn"))
+    end = F.struct(F.lit(at["v"]).alias("v"), F.lit(at["order"]).alias("order"), *[F.lit(at[c]).cast("long").alias(c) for c in ORDER[1:]], F.lit(at["turn"]).alias("turn"))
+    return mine <= end if taken else mine < end
+
+
+def mix(docs: DataFrame, repeats: int = 3, few: int = 10_000, bins: int = 4096, slice_rows: int = 20_000) -> DataFrame:
+    """doc_id, size, source_size, target and taken (size times the copies that the mix takes)."""
+    return mix_sizes(sizes(docs), repeats, few, bins, slice_rows).drop("row")
+
+
+def mix_sizes(sized: DataFrame, repeats: int = 3, few: int = 10_000, bins: int = 4096, slice_rows: int = 20_000) -> DataFrame:
+    """The mix of rows as ``sizes`` gives them.
 
     Running sums are taken in two steps, so that no source and no range of times lands in one task: within (source, slice of
-    the hash), and over the slices' totals; the cut is found by a histogram of finish times and an exact order within the one
-    bin that holds it.
+    the hash), as many slices as the source's rows need, and over the slices' totals.
     """
-    sized = stable(sizes(docs))
-    rows = sized.count()
-    bins = min(1 << 20, max(4096, rows // bin_rows))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    mixture = [(r["source"], r["source_size"], r["target"]) for r in targets(totals, repeats).collect()]
-    spark = docs.sparkSession
-    table = spark.createDataFrame(mixture, "source string, source_size long, target double")
-    slices = max(16, rows // bucket_rows)
-    queued = sized.withColumn("slice", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") * slices / 4294967296.0).cast("int"))
-    same = F.col("source").eqNullSafe(F.col("s"))
+    sized = stable(sized)
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    table = stable(targets(totals, repeats))
+    sources, budget = table.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    queued = _with_source(sized, table, sources)
+    share = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 4294967296.0
+    queued = queued.withColumn("slice", F.floor(share * (1 + F.floor(F.col("n") / slice_rows))).cast("long"))
     offsets = queued.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(F.col("source").alias("s"), F.col("slice").alias("k"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = queued.withColumn("cum", F.sum("size").over(within))
-    queued = queued.join(offsets, same & (F.col("slice") == F.col("k"))).drop("s", "k")
-    queued = stable(queued.join(F.broadcast(table.withColumnRenamed("source", "s")), same).drop("s"))  # one row for each source
-    turns = F.array(*[F.lit(float(k)) for k in range(repeats)])
-    copies = queued.filter("size > 0 and target > 0").withColumn("turn", F.explode(turns))
-    copies = copies.withColumn("v", finish(F.col("offset"), F.col("cum"), F.col("turn"), F.col("source_size"), F.col("target")))
-    budget = sum(x[1] for x in mixture)
-    copies = copies.filter(F.col("v") < 2.0).withColumn("bin", F.floor(F.col("v") * (bins // 2)).cast("int"))
-    filled, cut_bin = 0, None
-    for r in sorted(copies.groupBy("bin").agg(F.sum("size").alias("words")).collect()):  # at most ``bins`` rows
-        if filled + r["words"] > budget:
-            cut_bin = r["bin"]
-            break
-        filled += r["words"]
-    key = ("v", "order", "doc_id", "size", "turn")
-    cut = None
-    if cut_bin is not None:
-        running = F.sum("size").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        fits = copies.filter(F.col("bin") == cut_bin).withColumn("running", running).filter(F.col("running") <= budget - filled)
-        cut = fits.agg(F.max(F.struct(*key)).alias("last")).first()["last"]
+    queued = stable(queued.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k"))).drop("s", "k", "n", "slice"))
+    sent = (F.col("size") > 0) & (F.col("target") > 0)
+    at = lambda turn: finish(F.col("offset"), F.col("cum"), turn, F.col("source_size"), F.col("target"))
+    copies = queued.filter(sent).withColumn("turn", F.explode(F.array(*[F.lit(float(k)) for k in range(repeats)])))
+    cut = _cut(copies.withColumn("v", at(F.col("turn"))), budget, few, bins)
     taken = F.lit(0).cast("long")
     for k in range(repeats):
-        v = finish(F.col("offset"), F.col("cum"), F.lit(float(k)), F.col("source_size"), F.col("target"))
-        if cut_bin is None:
-            goes = F.lit(True)
-        else:
-            goes = F.floor(v * (bins // 2)) < cut_bin
-            if cut is not None:
-                mine = F.struct(v.alias("v"), "order", "doc_id", "size", F.lit(float(k)).alias("turn"))
-                last = F.struct(F.lit(cut["v"]).alias("v"), F.lit(cut["order"]).alias("order"), F.lit(cut["doc_id"]).cast("long").alias("doc_id"), F.lit(cut["size"]).cast("long").alias("size"), F.lit(cut["turn"]).alias("turn"))
-                goes = goes | ((F.floor(v * (bins // 2)) == cut_bin) & (mine <= last))
-        taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & goes, F.col("size")).otherwise(0)
-    return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+        taken = taken + F.when(sent & _goes(at(F.lit(float(k))), float(k), cut), F.col("size")).otherwise(0)
+    return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "row")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
@@ -110,9 +158,31 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the mix takes, with how often (``copies``); columns of documents stay."""
-    taken = mix(docs).filter(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("copies")).dropDuplicates(["_id"])
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """Pipeline stage: the rows that the mix takes, with all their columns, and ``copies`` (how often each is taken; under
+    another name, with an underscore after it, where the table has that column).
+
+    Null and empty texts have no words, so they are not taken; rows are told apart by their place, so repeated rows and null
+    or repeated ids are each taken on their own; an empty table gives an empty table.
+    """
+    blocks = text_blocks(docs, whole=True)
+    source = docs.columns.index("source") - sum(docs.columns.index(c) < docs.columns.index("source") for c in ("doc_id", "text"))
+    name = fresh(docs, "copies")
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in blocks_of(batch):
+                own = [x if x is None else str(x) for x in block.extra[f"x{source}"].to_pylist()]
+                yield block.frame(source=own, size=[len(t.split()) for t in block.texts()], row=block.rows)
+
+    def take(block: Block, taken: pd.DataFrame) -> pa.Table:
+        copies = np.zeros(len(block.rows), dtype=np.int32)
+        copies[taken["row"].to_numpy() - block.rows[0]] = taken["copies"]
+        out = block.table(block.texts()).append_column(name, pa.array(copies))
+        return out.filter(pa.array(copies > 0))
+
+    mixed = mix_sizes(_ordered(blocks.mapInPandas(words, "doc_id long, source string, size long, row long"))).filter("taken > 0")
+    mixed = mixed.select(block_of(F.col("row")).alias("block"), "row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    return unpacked(docs, blocks, mixed, take, f"`{name}` int")
 
 
 ORACLE_OP3 = r"""

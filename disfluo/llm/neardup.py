@@ -1,14 +1,15 @@
 """Near-duplicate detection by DartMinHash.
 
-A document is a weighted set: its distinct shingles of five lower-cased words (the whole text if it has fewer), of weight
-one each, so that the weighted Jaccard similarity that signatures estimate is the Jaccard similarity of the shingle sets.
+A document is a weighted set: its distinct shingles of five lower-cased words (the whole text if it has fewer), each
+weighted by how often it stands in the text. Similarity is the weighted Jaccard similarity: sum of the lesser weights over
+sum of the greater ones.
 Darts fall on the strip (element, weight, rank) as a Poisson process that is a function of the element alone; a document
 keeps those under its own weights, takes as many ranks as give it about k ln k + 2k darts, hashes each to one of k
 coordinates, and keeps the least rank in each. Only darts below the rank limit are ever made, so the work is about one
 hash for each element plus the darts.
 
-Signatures are cut into bands. Documents that share a band are candidates; every link is confirmed by the exact Jaccard
-similarity of the shingle sets. Classes are the connected components of the links of ``similarity`` or more among
+Signatures are cut into bands. Documents that share a band are candidates; every link is confirmed by the weighted Jaccard
+similarity itself. Classes are the connected components of the links of ``similarity`` or more among
 candidates. Exact copies are merged first. Within a band's bucket not all pairs are made: every member meets the bucket's
 head, the document whose bands fall into the fullest buckets (the original, where there is one), and what links to it is
 one class. Pairs of the others that are in different classes then meet only if they can be similar at all: of a document's
@@ -17,8 +18,8 @@ Partners are looked up by bucket and size, so documents that merely resemble the
 bound is exact: no link among candidates is lost.
 
 Defined results: null or empty texts, and texts of white space, have no shingle and are never duplicates: each is a class
-of its own. Repeated rows and copies share a class; a class is named by its least doc_id; null ids are kept apart, as
-classes of their own named null. Extra columns are ignored.
+of its own. Repeated rows and copies share a class; a class is named by its least doc_id, and by null if no member has
+one; rows that share an id are judged each by its own text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import mix64, read, short_batches, stable, word_hashes
+from disfluo.llm.common import Block, block_of, blocks_of, mix64, read, stable, text_blocks, unpacked, word_hashes
 
 #: Keeps a similarity of just the limit from falling short by rounding.
 ROUNDING = 1e-6
@@ -48,17 +50,17 @@ class Darts:
     rows: int = 4
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    h, _, _ = word_hashes(np.frombuffer((text or "").lower().encode("utf-8", "replace"), dtype=np.uint8))
+def shingles(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of a text's shingles, and how often each stands in it."""
+    h, _, _ = word_hashes(np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-8"), dtype=np.uint8))
     if not len(h):
-        return h
+        return h, np.zeros(0, dtype=np.int64)
     n = max(1, len(h) - words + 1)
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(min(words, len(h))):
             out = out * np.uint64(0xD6E8FEB86659FD93) + h[k : k + n]
-    return np.unique(mix64(out + np.uint64(min(words, len(h)))))
+    return np.unique(mix64(out + np.uint64(min(words, len(h)))), return_counts=True)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -99,41 +101,54 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndar
         limit *= 2
 
 
-def signatures(docs: DataFrame, cfg: Darts = Darts()) -> DataFrame:
-    """doc_id, content (a 128-bit key of the shingle set, null without a shingle) and the hashes of the bands."""
+def _repeated(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of an element's first, second, ... occurrence: as sets of these, weighted sets have their weighted similarity."""
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        return mix64(np.repeat(elements, counts) + nth.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+
+def signatures(blocks: DataFrame, cfg: Darts = Darts()) -> DataFrame:
+    """row, doc_id, content (a 128-bit key of the weighted set, null without a shingle) and the hashes of the bands."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            content, bands = [], []
-            for text in batch["text"]:
-                s = shingles(text if isinstance(text, str) else "", cfg.words)
-                if not len(s):
-                    content.append(None)
-                    bands.append(None)
-                    continue
-                sig = dart_signature(s, np.ones(len(s)), cfg.bands * cfg.rows).reshape(cfg.bands, cfg.rows)
-                key = np.arange(cfg.bands, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    for j in range(cfg.rows):
-                        key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, j])
-                    content.append(f"{int(s.sum(dtype=np.uint64)):016x}{int(mix64(s).sum(dtype=np.uint64)):016x}")
-                bands.append(key.view(np.int64).tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "content": content, "bands": bands})
-
-    narrow = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInPandas(sign, "doc_id long, content string, bands array<long>")
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, cfg: Darts = Darts()) -> DataFrame:
-    """id and the set of shingle hashes (cut to 32 bits, which tell apart the shingles of two documents) of the documents asked for."""
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [np.unique((shingles(t, cfg.words) >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist() for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "items": got})
-
-    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null")
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, items array<int>")
+            for block in blocks_of(batch):
+                content, bands = [], []
+                for text in block.texts():
+                    s, counts = shingles(text, cfg.words)
+                    if not len(s):
+                        content.append(None)
+                        bands.append(None)
+                        continue
+                    sig = dart_signature(s, counts.astype(np.float64), cfg.bands * cfg.rows).reshape(cfg.bands, cfg.rows)
+                    key = np.arange(cfg.bands, dtype=np.uint64)
+                    every = s if counts.max() == 1 else _repeated(s, counts)
+                    with np.errstate(over="ignore"):
+                        for j in range(cfg.rows):
+                            key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, j])
+                        content.append(f"{int(every.sum(dtype=np.uint64)):016x}{int(mix64(every).sum(dtype=np.uint64)):016x}")
+                    bands.append(key.view(np.int64).tolist())
+                yield block.frame(row=block.rows, content=content, bands=bands)
+
+    return blocks.mapInPandas(sign, "doc_id long, row long, content string, bands array<long>")
+
+
+def shingle_sets(blocks: DataFrame, rows: DataFrame, cfg: Darts = Darts()) -> DataFrame:
+    """id and items of the rows asked for (column id): hashes of the shingles' occurrences, cut to 32 bits, which tell apart
+    those of two documents."""
+
+    def sets(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        ids, items = [], []
+        for block in blocks_of(own):
+            for row in sorted(asked["id"].tolist()):
+                at = row - int(block.rows[0])
+                every = _repeated(*shingles(block.bytes[block.starts[at] : block.ends[at] - 1], cfg.words))
+                ids.append(row)
+                items.append(np.unique((every >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+        return pd.DataFrame({"id": np.array(ids, dtype=np.int64), "items": pd.Series(items, dtype=object)})
+
+    return blocks.groupBy("block").cogroup(rows.select(block_of(F.col("id")).alias("block"), "id").groupBy("block")).applyInPandas(sets, "id long, items array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,7 +177,7 @@ def _links(pairs: DataFrame, sets: DataFrame, cfg: Darts) -> DataFrame:
     return met.filter(F.col("common") + ROUNDING >= cfg.similarity * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
-def _could_be_similar(open_: DataFrame, sets: DataFrame, bands: DataFrame, cfg: Darts, groups: int = 16) -> DataFrame:
+def _could_be_similar(open_: DataFrame, sets: DataFrame, bands: DataFrame, cfg: Darts, groups: int = 16, full: int = 128) -> DataFrame:
     """Pairs (a, b) of members (band, bucket, id, root) of one bucket and different classes that the bound allows.
 
     Only shingles that also stand in another class can be shared. With u of them in x, similarity s to y needs overlap >=
@@ -181,20 +196,28 @@ def _could_be_similar(open_: DataFrame, sets: DataFrame, bands: DataFrame, cfg:
     bin_of = lambda x: F.floor(F.log(x) / step).cast("int")
     side = lambda k, bin_: at.select("band", "bucket", bin_.alias("bin"), *[F.col(c).alias(k + c) for c in ("id", "root", "n", "most", "g", "bands")])
     x, y = side("x_", F.explode(F.sequence(bin_of(s * F.col("n")), bin_of(F.col("most"))))), side("y_", bin_of(F.col("n")))
+    place = ["band", "bucket", "bin"]
+    # a full bin's members on one side are dealt out by a salt, and each of the other side's meets every part
+    parts = y.groupBy(*place).agg(F.count("*").alias("m")).filter(F.col("m") > full).select(*place, F.ceil(F.col("m") / full).cast("int").alias("parts"))
+    dealt = F.coalesce("parts", F.lit(1))
+    x = x.join(parts, place, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("parts")
+    y = y.join(parts, place, "left").withColumn("salt", F.pmod(F.xxhash64("y_id"), dealt).cast("int")).drop("parts")
     c = F.col
     possible = F.aggregate(F.zip_with("x_g", "y_g", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda p, q: p + q)
     fits = (
         (c("x_root") != c("y_root")) & (c("x_id") < c("y_id")) & (c("y_n") <= c("x_most")) & (c("x_n") <= c("y_most")) & ((1 + s) * possible + ROUNDING >= s * (c("x_n") + c("y_n")))
         & (F.array_position(F.zip_with("x_bands", "y_bands", lambda p, q: p == q), True) == x["band"] + 1)
     )
-    met = x.join(y, (x["band"] == y["band"]) & (x["bucket"] == y["bucket"]) & (x["bin"] == y["bin"]) & fits)
-    return met.select(c("x_id").alias("a"), c("y_id").alias("b"))
+    same = (x["band"] == y["band"]) & (x["bucket"] == y["bucket"]) & (x["bin"] == y["bin"]) & (x["salt"] == y["salt"])
+    return x.join(y, same & fits).select(c("x_id").alias("a"), c("y_id").alias("b"))
 
 
-def classes(docs: DataFrame, cfg: Darts = Darts()) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and n_links: confirmed links of its text's representative to others."""
-    signed = stable(signatures(docs, cfg))
-    reps = stable(signed.filter("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+def classes_of_rows(blocks: DataFrame, cfg: Darts = Darts()) -> DataFrame:
+    """row, doc_id, class_id (the least id of the row's class) and first (the row that stands for it: the least by id, then by place)."""
+    signed = stable(signatures(blocks, cfg))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    reps = signed.filter("content is not null").groupBy("content").agg(F.min(place).alias("least"), F.first("bands").alias("bands"))
+    reps = stable(reps.select("content", "least", F.col("least.row").alias("id"), "bands"))
     member = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     full = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
     member = stable(member.join(full, ["band", "bucket"]))  # only buckets of two or more
@@ -202,21 +225,24 @@ def classes(docs: DataFrame, cfg: Darts = Darts()) -> DataFrame:
     heads = member.join(central, "id").groupBy("band", "bucket").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("head"))
     met = stable(member.join(heads, ["band", "bucket"]).filter("id <> head").select("band", "bucket", "id", "head"))
     pairs = met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    sets = stable(shingle_sets(docs, member.select("id").distinct(), cfg))
+    sets = stable(shingle_sets(blocks, member.select("id").distinct(), cfg))
     linked = stable(_links(pairs, sets, cfg))
     roots = components(linked)
     rest = met.select("band", "bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))  # heads have met everyone in their bucket
     mixed = rest.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "bucket")
     more = stable(_links(_could_be_similar(stable(rest.join(mixed, ["band", "bucket"])), sets, reps.select("id", "bands"), cfg), sets, cfg))
     if more.limit(1).count():
-        linked = stable(linked.unionByName(more).distinct())
-        roots = components(linked)
-    degree = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    of = reps.select("content", "id").join(roots, "id", "left").join(degree, "id", "left")
-    of = of.select("content", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = signed.select("doc_id", "content").join(of, "content", "left")
-    own = F.col("doc_id").isNull() | F.col("class_id").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+        roots = components(stable(linked.unionByName(more).distinct()))
+    of = reps.select("content", "least", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = of.groupBy("root").agg(F.min("least").alias("head"))
+    of = of.join(least, "root").select("content", "head")
+    out = signed.select("row", "doc_id", "content").join(of, "content", "left")
+    return out.select("row", "doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("head.row", "row").alias("first"))
+
+
+def classes(docs: DataFrame, cfg: Darts = Darts()) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its class) of each row."""
+    return classes_of_rows(text_blocks(docs), cfg).select("doc_id", "class_id")
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -224,7 +250,17 @@ def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least id stays (one row of repeated ones)."""
-    gone = classes(docs).filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    return known.unionByName(docs.filter("doc_id is null"))
+    """Pipeline stage: of each class the row with the least id stays (null ids last, then by place); all its columns stay as they are.
+
+    Rows are told apart by their place, so of repeated rows one stays, and different texts that share an id, or have none,
+    are judged each on its own; null and empty texts all stay; an empty table gives an empty table.
+    """
+    blocks = text_blocks(docs, whole=True)
+    gone = classes_of_rows(blocks).filter(F.col("first") != F.col("row")).select(block_of(F.col("row")).alias("block"), "row")
+
+    def keep(block: Block, rows: pd.DataFrame) -> pa.Table:
+        stays = np.ones(len(block.rows), dtype=bool)
+        stays[rows["row"].to_numpy() - block.rows[0]] = False
+        return block.table(block.texts()).filter(pa.array(stays))
+
+    return unpacked(docs, blocks, gone, keep)

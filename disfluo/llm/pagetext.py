@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import ARROW_ROWS, read, short_batches, stable
+from disfluo.llm.common import ARROW_ROWS, id_text, read, short_batches, stable, whole_numbers
 from disfluo.llm.urls import host_of, path_of
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -199,7 +199,7 @@ EDGE = ["part", "side", "page_id", "url", "host", "path", "digest", "lines", "si
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[Run]:
     run = None
     for batch in batches:
-        for part, side, i, url, host, path, digest, lines, size in zip(*[batch[c].astype("Int64").tolist() if c == "page_id" else batch[c].tolist() for c in EDGE]):
+        for part, side, i, url, host, path, digest, lines, size in zip(*[whole_numbers(batch[c]).tolist() if c == "page_id" else batch[c].tolist() for c in EDGE]):
             if run is None or (run.part, run.host, run.digest) != (part, host, digest):
                 if run is not None:
                     yield run
@@ -261,14 +261,14 @@ def extract(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             packed = [_pack(page_lines(page if isinstance(page, str) else "")) for page in batch["html"]]
-            out = batch[["page_id", "url", "host", "path"]].astype({"page_id": "Int64"})
-            yield out.assign(digest=[p[0] for p in packed], lines=[p[1] for p in packed], size=[p[2] for p in packed])
+            yield batch[["page_id", "url", "host", "path"]].assign(page_id=whole_numbers(batch["page_id"]), digest=[p[0] for p in packed], lines=[p[1] for p in packed], size=[p[2] for p in packed])
 
     url = F.col("url").cast("string")
-    rows = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
+    rows = short_batches(pages).select(id_text("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
     order = ["host", "path", "page_id"]
     sorted_rows = stable(rows.mapInPandas(parse, PARSED).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    ordered = sorted_rows.withColumn("side", F.lit(0)).select(*EDGE)
+    as_text = [id_text(c) if c == "page_id" else F.col(c) for c in EDGE]
+    ordered = sorted_rows.withColumn("side", F.lit(0)).select(*as_text)
     wanted = _wanted(ordered)
     groups = {group for targets in wanted.values() for group, _ in targets}
 
@@ -279,7 +279,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 rows += [heads[0].row(2 * part, 0, page) for page in heads[0].pages] + [r.row(2 * part, 1, r.pages[0]) for r in heads[1:]]
             if 2 * part + 1 in groups:
                 rows += [tails[-1].row(2 * part + 1, 0, page) for page in tails[-1].pages] + [r.row(2 * part + 1, -1, r.pages[-1]) for r in tails[:-1]]
-            yield pd.DataFrame(rows, columns=EDGE).astype({"page_id": "Int64"})
+            yield pd.DataFrame(rows, columns=EDGE, dtype=object).astype({"page_id": "Int64"})
 
     def finish(run: Run, before: Run | None, after: Run | None) -> list[tuple]:
         own, texts = _unpack(run.lines, run.size), {}
@@ -311,12 +311,13 @@ def extract(pages: DataFrame) -> DataFrame:
         return judge
 
     schema = "page_id long, url string, text string, n_chars long"
-    beyond = ordered.mapInPandas(edges, ordered.schema).repartition("part").sortWithinPartitions("part", "side", *order)
+    edge_rows = "part int, side int, page_id long, url string, host string, path string, digest string, lines binary, size long"
+    beyond = ordered.mapInPandas(edges, edge_rows).repartition("part").sortWithinPartitions("part", "side", *order).select(*as_text)
     return ordered.mapInPandas(walk(groups), schema).unionByName(beyond.mapInPandas(walk(set()), schema))
 
 
 def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "n_chars": "int64"})
+    return pd.DataFrame(rows, columns=names, dtype=object).astype({"page_id": "Int64", "n_chars": "int64"})
 
 
 def op6_page_text(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import read, short_batches, stable
+from disfluo.llm.common import id_text, read, short_batches, stable, whole_numbers
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -116,7 +116,7 @@ def _words(text: str) -> list[bytes]:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return short_batches(docs).select(id_text("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
 def common_words(docs: DataFrame, cfg: Divergence = Divergence()) -> dict[str, list[bytes]]:
@@ -200,7 +200,7 @@ def divergences(docs: DataFrame, cfg: Divergence = Divergence()) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text, lang in zip(batch["doc_id"].tolist(), batch["text"], batch["lang"]):
+            for text, lang in zip(batch["text"], batch["lang"]):
                 text = text if isinstance(text, str) else ""
                 n_words, *rest = base_measures(text)
                 failed = n_words < 10 or 100 * rest[-1] > 20 * n_words
@@ -210,9 +210,9 @@ def divergences(docs: DataFrame, cfg: Divergence = Divergence()) -> DataFrame:
                     tried = [distance(k, own, chars) for k in ([lang] if lang in refs else refs)]
                     char, word = min(tried, key=sum)
                 kept = not failed and (char is None or char <= cfg.char_limit) and (word is None or word <= cfg.word_limit)
-                rows.append((None if pd.isna(i) else int(i), n_words, *rest, failed, char, word, kept))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+                rows.append((n_words, *rest, failed, char, word, kept))
+            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
+            out.insert(0, "doc_id", whole_numbers(batch["doc_id"]))
             yield out.astype({"char_distance": "float64", "word_distance": "float64"})
 
     return docs.mapInPandas(judge, f"{MEASURES}, char_distance double, word_distance double, kept boolean")

@@ -1,22 +1,28 @@
-"""Removal of long byte strings that repeat across documents.
+"""Removal of long byte strings that repeat across documents, by run-length indexes.
 
 Every byte covered by a string of ``length`` bytes that also starts in a document with a smaller id is removed; strings are
-judged on the input. The result is exact.
+judged on the input.
 
-One index of the whole corpus would have to pass through one task, so the corpus is divided first. Each window of
-``length`` bytes has an anchor: its substring of ``anchor`` bytes with the least hash (leftmost of equals). Equal windows
+One index of the whole corpus would have to pass through one task, so the corpus is dealt out to many small ones. Each window
+of ``length`` bytes has an anchor: its substring of ``anchor`` bytes with the least hash (leftmost of equals). Equal windows
 have equal anchors, so windows can be dealt out by their anchor's hash. Consecutive windows with one anchor make a segment,
-and segments are the unit that is counted:
+and segments are the unit that is sent:
 
 1. each text block sends its distinct segments as fingerprints of anchor and segment, with the least id that holds them;
    hash buckets answer whether a segment also stands in a document with a smaller id (all its windows are matched), or
    whether its anchor occurs in another segment (its windows may be matched in part);
-2. only the latter send their bytes; each bucket sorts all suffixes of its segments up to ``length`` bytes, cuts the order
-   into runs of suffixes that share so many bytes, and answers which windows stand in a run with a smaller id;
+2. only the latter send their bytes; each bucket builds the run-compressed Burrows-Wheeler transform of its segments, with
+   samples at the runs' ends and the least id of what each run's suffixes begin with, and streams the segments through it:
+   where the match is ``length`` bytes long, the run says whether a smaller id holds it;
 3. each block marks its documents with both answers.
 
 Runs of equal segments are merged before they are sent, so what is sent for a string that stands in a third of all
-documents is one entry for each block.
+documents is one entry for each block. An anchor that stands in very many different segments (a phrase shorter than a window,
+between other words each time) would fill one bucket: such anchors are looked for in a part of the blocks, and windows with
+them are sent one by one, as fingerprints dealt out by the whole window, with the least id of each. Which way a window goes
+makes no difference to the result.
+
+Fingerprints have 72 bits or more, beyond which results are exact.
 
 Defined results: a null or empty text has no bytes; documents with equal ids do not count against each other, so repeated
 rows are treated alike; null ids count as greater than any other. Extra columns are ignored.
@@ -25,7 +31,7 @@ rows are treated alike; null ids count as greater than any other. Extra columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import Block, blocks_of, buckets_for, mix64, read, stable, text_blocks
+from disfluo.llm.common import Block, blocks_of, buckets_for, mix64, read, stable, text_blocks, unpacked
 
 M = 0x9E3779B97F4A7C15
 M_INVERSE = pow(M, -1, 1 << 64)
@@ -43,8 +49,15 @@ LAST_ID = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Repeat:
+    """length: bytes of a string that counts; anchor: bytes by which windows are dealt out; probe, least_probe: share and
+    least number of blocks in which crowded anchors are looked for; crowd: different segments there that make one (more
+    if a millionth of all segments there is more)."""
+
     length: int = 50
     anchor: int = 20
+    probe: float = 1 / 32
+    least_probe: int = 64
+    crowd: int = 64
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -125,28 +138,74 @@ class Segments:
         return [first, last, anchor, key, content]
 
 
+SECOND = 0xD1B54A32D192ED03
+
+
+def window_hashes(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the windows that start at the places given."""
+    one, two = _power(M, length), _power(SECOND, length)
+    out = np.zeros((2, len(at)), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            x = body[at + k].astype(np.uint64) + np.uint64(1)
+            out[0] += x * one[k]
+            out[1] += x * two[k]
+    return mix64(out[0]), mix64(out[1])
+
+
+def crowded_anchors(blocks: DataFrame, cfg: Repeat) -> np.ndarray:
+    """Sorted keys of the anchors that stand in very many different segments, found in a part of the blocks; a million at most."""
+    every = max(1, int(min(1 / cfg.probe, blocks.count() / cfg.least_probe)))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in blocks_of(batch):
+                s = Segments(block, cfg)
+                pairs = np.unique(np.stack([s.key, s.content], axis=1), axis=0) if len(s.key) else np.zeros((0, 2), np.uint64)
+                yield pd.DataFrame({"key": pairs[:, 0].view(np.int64), "content": pairs[:, 1].view(np.int64)})
+
+    picked = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0) if every > 1 else blocks
+    seen = picked.mapInPandas(probe, "key long, content long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    seen = stable(seen.filter(F.col("n") >= cfg.crowd // 4))
+    limit = max(cfg.crowd, (seen.agg(F.sum("n")).first()[0] or 0) // 1_000_000)
+    return np.sort(np.array([r["key"] for r in seen.filter(F.col("n") >= limit).select("key").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered) or not len(keys):
+        return np.zeros(len(keys), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
+
+
 class Units:
-    """Distinct (anchor, segment) of a block in the order of their fingerprints, each with the least id that holds it."""
+    """What a block sends: distinct (anchor, segment) pairs, kind 0, and distinct windows of crowded anchors, kind 1.
+
+    Each kind is in the order of its fingerprints; a unit has the least id that holds it.
+    """
 
-    def __init__(self, block: Block, cfg: Repeat, bits: int):
+    def __init__(self, block: Block, cfg: Repeat, bits: int, crowded: np.ndarray):
         self.segments = s = Segments(block, cfg)
-        ids = np.where(block.null_id, LAST_ID, block.ids)[s.doc] if len(s.doc) else np.zeros(0, dtype=np.int64)
-        bucket = s.key >> np.uint64(64 - bits)
-        rest = (s.key << np.uint64(bits)) >> np.uint64(32)
-        content = s.content >> np.uint64(24)
-        order = np.lexsort((s.first, ids, content, rest, bucket))
+        self.ids = np.where(block.null_id, LAST_ID, block.ids)
+        apart = _among(s.key, crowded)
+        self.plain = np.flatnonzero(~apart)
+        some = np.flatnonzero(apart)
+        windows = s.last[some] - s.first[some] + 1
+        self.window = np.repeat(s.first[some] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        hashes = window_hashes(block.body, self.window, cfg.length)
+        doc = np.searchsorted(block.ends, self.window, side="right")
+        self.kinds = [self._distinct(s.key[self.plain], s.content[self.plain], s.first[self.plain], s.doc[self.plain], bits), self._distinct(*hashes, self.window, doc, bits)]
+
+    def _distinct(self, key: np.ndarray, content: np.ndarray, first: np.ndarray, doc: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+        ids = self.ids[doc]
+        bucket, rest, content = key >> np.uint64(64 - bits), (key << np.uint64(bits)) >> np.uint64(32), content >> np.uint64(24)
+        order = np.lexsort((first, ids, content, rest, bucket))
         b, r, c = bucket[order], rest[order], content[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-        self.lead = order[new]  # for each unit the first segment of its least document
-        self.bucket, self.rest, self.content, self.id = bucket[self.lead].astype(np.int64), rest[self.lead], content[self.lead], ids[self.lead]
-        self.of = np.empty(len(order), dtype=np.int64)  # unit of each segment
-        self.of[order] = np.cumsum(new) - 1
-        self.later = ids > self.id[self.of]
-
-
-def _packed(arrays: list[np.ndarray]) -> bytes:
-    return b"".join(a.tobytes() for a in arrays)
+        lead = order[new]  # for each unit the first member of its least document
+        of = np.empty(len(order), dtype=np.int64)  # unit of each member
+        of[order] = np.cumsum(new) - 1
+        return {"lead": lead, "bucket": bucket[lead].astype(np.int64), "rest": rest[lead], "content": content[lead], "id": ids[lead], "of": of, "later": ids > ids[lead][of]}
 
 
 def _ids_packed(ids: np.ndarray) -> tuple[int, int, bytes]:
@@ -163,23 +222,25 @@ def _ids_unpacked(base: int, width: int, data: bytes) -> np.ndarray:
 NONE, PARTLY, WHOLE = 0, 1, 2
 
 
-def segment_states(blocks: DataFrame, cfg: Repeat, buckets: int) -> DataFrame:
-    """For each block and bucket the states of the block's units: matched nowhere, perhaps in part, or as a whole."""
+def unit_states(blocks: DataFrame, cfg: Repeat, buckets: int, crowded: np.ndarray) -> DataFrame:
+    """For each block, kind and bucket the states of the block's units: matched nowhere, perhaps in part, or as a whole."""
     bits = buckets.bit_length() - 1
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block in blocks_of(batch):
-                u, rows = Units(block, cfg, bits), []
-                edges = np.searchsorted(u.bucket, np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    at = slice(edges[b], edges[b + 1])
-                    base, width, ids = _ids_packed(u.id[at])
-                    c = u.content[at]
-                    rows.append((b, block.block, u.rest[at].astype(np.uint32).tobytes(), (c >> np.uint64(8)).astype(np.uint32).tobytes(), c.astype(np.uint8).tobytes(), base, width, ids))
-                yield pd.DataFrame(rows, columns=["bucket", "block", "rest", "high", "low", "base", "width", "ids"])
+                rows = []
+                for kind, u in enumerate(Units(block, cfg, bits, crowded).kinds):
+                    edges = np.searchsorted(u["bucket"], np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(edges)).tolist():
+                        at = slice(edges[b], edges[b + 1])
+                        base, width, ids = _ids_packed(u["id"][at])
+                        c = u["content"][at]
+                        rows.append((b, kind, block.block, u["rest"][at].astype(np.uint32).tobytes(), (c >> np.uint64(8)).astype(np.uint32).tobytes(), c.astype(np.uint8).tobytes(), base, width, ids))
+                yield pd.DataFrame(rows, columns=["bucket", "kind", "block", "rest", "high", "low", "base", "width", "ids"])
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket, kind = key
         rest = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["rest"]])
         high = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["high"]]).astype(np.uint64)
         content = (high << np.uint64(8)) | np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in pdf["low"]]).astype(np.uint64)
@@ -192,61 +253,121 @@ def segment_states(blocks: DataFrame, cfg: Repeat, buckets: int) -> DataFrame:
         new[1:] |= c[1:] != c[:-1]
         group, anchor = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
         least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[group]
-        several = np.bincount(anchor, weights=new)[anchor] > 1
+        several = (np.bincount(anchor, weights=new)[anchor] > 1) & (kind == 0)
         state = np.empty(len(order), dtype=np.uint8)
         state[order] = np.where(ids[order] > least, WHOLE, np.where(several, PARTLY, NONE))
         parts = np.split(state, np.cumsum([len(x) // 4 for x in pdf["rest"]])[:-1])
-        return pd.DataFrame({"block": pdf["block"].to_numpy(), "bucket": key[0], "n": [len(p) for p in parts], "data": [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts]})
+        return pd.DataFrame({"block": pdf["block"].to_numpy(), "kind": kind, "bucket": bucket, "n": [len(p) for p in parts], "data": [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts]})
 
-    sent = blocks.mapInPandas(send, "bucket int, block long, rest binary, high binary, low binary, base long, width int, ids binary")
-    return stable(sent.groupBy("bucket").applyInPandas(answer, "block long, bucket int, n int, data binary"))
+    sent = blocks.mapInPandas(send, "bucket int, kind int, block long, rest binary, high binary, low binary, base long, width int, ids binary")
+    return stable(sent.groupBy("bucket", "kind").applyInPandas(answer, "block long, kind int, bucket int, n int, data binary"))
 
 
-def _states(replies: pd.DataFrame) -> np.ndarray:
-    own = replies.sort_values("bucket")
+def _states(replies: pd.DataFrame, kind: int) -> np.ndarray:
+    own = replies[replies["kind"] == kind].sort_values("bucket")
     return np.concatenate([np.frombuffer(pa.decompress(d, decompressed_size=int(n), codec="zstd", asbytes=True), dtype=np.uint8) for d, n in zip(own["data"], own["n"])] or [np.zeros(0, dtype=np.uint8)])
 
 
-def suffix_runs(text: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix of a byte array its run's number: suffixes are in one run if they share their first ``depth`` bytes.
+class RunIndex:
+    """A run-compressed Burrows-Wheeler transform of strings shorter than twice the depth (seven or more), one after another.
 
-    Ranks of substrings of 8 bytes are combined pair by pair, as in prefix doubling, until they cover the depth. Bytes past
-    the end count as zeros.
+    Rows are the suffixes in order, each up to its string's end; of equal ones the earlier comes first. A run is a stretch of
+    rows that follow the same symbol and share their first ``depth`` symbols. Kept are each run's symbol, first row, the
+    places of its first and last suffix (the sampled run ends) and, for each stretch of shared beginnings, the least id of
+    the strings that hold it; nothing is kept for a row within a run.
     """
-    padded = np.concatenate((text, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
-    rank = np.zeros(len(text), dtype=np.uint64)
-    for k in range(8):
-        rank = (rank << np.uint64(8)) | padded[k : len(text) + k]
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    have = 8
-    while have < depth:
-        step = min(have, depth - have)
-        other = np.concatenate((rank[step:], np.zeros(min(step, len(rank)), dtype=np.uint64)))[: len(rank)]
-        rank = np.unique((rank << np.uint64(32)) | other, return_inverse=True)[1].astype(np.uint64)
-        have += step
-    return rank.astype(np.int64)
-
-
-def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets: int, finer: int = 4) -> DataFrame:
-    """For each block the units matched in part, and for each the windows that are matched, as bits.
-
-    Buckets are ``finer`` times as many as the states', since sorting suffixes takes much more memory than their bytes.
+
+    def __init__(self, data: np.ndarray, lens: np.ndarray, ids: np.ndarray, depth: int):
+        ends = np.cumsum(lens + 1) - 1
+        self.symbols = np.zeros(len(data) + len(lens), dtype=np.uint16)  # 0 ends a string
+        inside = np.ones(len(self.symbols), dtype=bool)
+        inside[ends] = False
+        self.symbols[inside] = data.astype(np.uint16) + 1
+        self.starts, self.lens, self.depth, self.rows = ends - lens, lens, depth, len(self.symbols)
+        left = np.repeat(ends, lens + 1) - np.arange(self.rows)  # symbols before the end of the string
+        rank, have = self._firsts(left), 7
+        while have < depth:
+            step = min(have, depth - have)
+            rank, have = self._joined(rank, left, step), have + step
+        order = np.argsort(self._joined(rank, left, depth), kind="stable")
+        before, shared = self.symbols[order - 1], rank[order]
+        other = np.ones(self.rows, dtype=bool)
+        other[1:] = shared[1:] != shared[:-1]
+        new = other.copy()
+        new[1:] |= before[1:] != before[:-1]
+        self.start = np.flatnonzero(new)
+        length = np.diff(np.append(self.start, self.rows))
+        self.symbol = before[self.start]
+        self.first, self.last = order[self.start], order[self.start + length - 1]
+        self.shared = (np.cumsum(other) - 1)[self.start]
+        self.least = np.minimum.reduceat(np.repeat(ids, lens + 1)[order], np.flatnonzero(other)) if self.rows else ids
+        # for backward steps: runs by symbol and place, and how many of the symbol stand before each
+        by = np.argsort(self.symbol, kind="stable")
+        symbol = self.symbol[by].astype(np.int64)
+        self.key = symbol * (self.rows + 1) + self.start[by]
+        total = np.cumsum(length[by])
+        self.less = np.concatenate(([0], np.cumsum(np.bincount(self.symbols, minlength=257))))
+        self.row, self.size = total - length[by], length[by]  # rows before it, of this symbol and lesser ones: the row that its first one leads to
+
+    def _firsts(self, left: np.ndarray) -> np.ndarray:
+        """Ranks of the suffixes by their first seven symbols, up to the end of the string."""
+        padded = np.concatenate((self.symbols, np.zeros(7, dtype=np.uint16))).astype(np.uint64)
+        out = np.zeros(self.rows, dtype=np.uint64)
+        for k in range(7):
+            out = (out << np.uint64(9)) | np.where(left >= k, padded[k : self.rows + k], 0)
+        return np.unique(out, return_inverse=True)[1].astype(np.uint64)
+
+    def _joined(self, rank: np.ndarray, left: np.ndarray, step: int) -> np.ndarray:
+        """Ranks by as many symbols more as the ranks ``step`` places on tell."""
+        other = np.zeros(self.rows, dtype=np.uint64)
+        on = np.flatnonzero(left >= step)
+        other[on] = rank[on + step] + np.uint64(1)
+        return np.unique((rank << np.uint64(32)) | other, return_inverse=True)[1].astype(np.uint64)
+
+    def back(self, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The row to which a row leads if the symbol is put before it: those with this symbol that stand before it, counted by runs."""
+        at = np.searchsorted(self.key, symbol * (self.rows + 1) + row, side="right") - 1
+        known = (at >= 0) & (self.key[at] >= symbol * (self.rows + 1))
+        inside = np.minimum(symbol * (self.rows + 1) + row - self.key[at], self.size[at])
+        return np.where(known, self.row[at] + inside, self.less[symbol])
+
+    def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of the strings, read from their ends: as soon as matches are ``depth`` long, for each place that
+        the strings still reach, in steps: the strings, the place, and the least id that holds what starts there."""
+        by = np.argsort(-self.lens, kind="stable")
+        lens = self.lens[by]
+        low, high = np.zeros(len(by), dtype=np.int64), np.full(len(by), self.rows, dtype=np.int64)
+        for k in range(int(lens[0]) if len(lens) else 0):
+            n = int(np.searchsorted(-lens, -k, side="left"))  # strings longer than k
+            own = by[:n]
+            symbol = self.symbols[self.starts[own] + lens[:n] - 1 - k].astype(np.int64)
+            low, high = self.back(low[:n], symbol), self.back(high[:n], symbol)
+            if k + 1 >= self.depth:
+                run = np.searchsorted(self.start, low, side="right") - 1
+                yield own, lens[:n] - 1 - k, np.where(high > low, self.least[self.shared[run]], LAST_ID)
+
+
+def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets: int, crowded: np.ndarray, finer: int = 8) -> DataFrame:
+    """For each block the segments matched in part, and for each the windows that are matched, as bits.
+
+    Buckets are ``finer`` times as many as the states', since an index takes much more memory to build than its bytes.
     """
     bits, more = buckets.bit_length() - 1, finer.bit_length() - 1
 
     def send(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for block in blocks_of(own):
-            u, state = Units(block, cfg, bits), _states(replies)
-            units = np.flatnonzero(state == PARTLY)
-            s, lead = u.segments, u.lead[units]
-            fine = (u.bucket[units] << more) | (u.rest[units] >> np.uint64(32 - more)).astype(np.int64)
+            units, state = Units(block, cfg, bits, crowded), _states(replies, 0)
+            u, s = units.kinds[0], units.segments
+            some = np.flatnonzero(state == PARTLY)
+            lead = units.plain[u["lead"][some]]
+            fine = (u["bucket"][some] << more) | (u["rest"][some] >> np.uint64(32 - more)).astype(np.int64)
             edges = np.searchsorted(fine, np.arange(buckets * finer + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 at = slice(edges[b], edges[b + 1])
                 first, end = s.first[lead[at]], s.last[lead[at]] + cfg.length
                 data = b"".join(block.bytes[i:j] for i, j in zip(first.tolist(), end.tolist()))
-                rows.append((b, block.block, units[at].astype(np.int32).tobytes(), (end - first).astype(np.int32).tobytes(), u.id[units[at]].tobytes(), pa.compress(data, codec="zstd", asbytes=True)))
+                rows.append((b, block.block, some[at].astype(np.int32).tobytes(), (end - first).astype(np.int32).tobytes(), u["id"][some[at]].tobytes(), pa.compress(data, codec="zstd", asbytes=True)))
         return pd.DataFrame(rows, columns=["bucket", "block", "units", "lens", "ids", "data"])
 
     def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,58 +375,58 @@ def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets:
         lens = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in pdf["lens"]]
         ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["ids"]])
         text = np.frombuffer(b"".join(pa.decompress(d, decompressed_size=int(n.sum()), codec="zstd", asbytes=True) for d, n in zip(pdf["data"], lens)), dtype=np.uint8)
-        every = np.concatenate(lens)
-        windows = every - cfg.length + 1
-        segment = np.repeat(np.arange(len(every)), windows)
-        offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
-        run = suffix_runs(text, cfg.length)[(np.cumsum(every) - every)[segment] + offset]
-        least = np.full(int(run.max()) + 1, LAST_ID)
-        np.minimum.at(least, run, ids[segment])
-        matched = least[run] < ids[segment]
-        mask = np.bincount(segment, weights=np.where(matched, 2.0 ** offset, 0.0), minlength=len(every)).astype(np.int64)
+        mask = np.zeros(len(ids), dtype=np.int64)
+        for own, place, least in RunIndex(text, np.concatenate(lens), ids, cfg.length).stream():
+            mask[own] |= np.where(least < ids[own], np.int64(1) << place, 0)
         cuts = np.cumsum([len(u) for u in units])[:-1]
         rows = [(b, u[m > 0].tobytes() + m[m > 0].tobytes(), int((m > 0).sum())) for b, u, m in zip(pdf["block"], units, np.split(mask, cuts)) if (m > 0).any()]
-        return pd.DataFrame([(b, -1, n, d) for b, d, n in rows], columns=["block", "bucket", "n", "data"])
+        return pd.DataFrame([(b, 2, 0, n, d) for b, d, n in rows], columns=["block", "kind", "bucket", "n", "data"])
 
-    sent = blocks.groupBy("block").cogroup(states.groupBy("block")).applyInPandas(send, "bucket int, block long, units binary, lens binary, ids binary, data binary")
-    return sent.groupBy("bucket").applyInPandas(match, "block long, bucket int, n int, data binary")
+    sent = blocks.groupBy("block").cogroup(states.filter("kind = 0").groupBy("block")).applyInPandas(send, "bucket int, block long, units binary, lens binary, ids binary, data binary")
+    return sent.groupBy("bucket").applyInPandas(match, "block long, kind int, bucket int, n int, data binary")
 
 
-def _removed(block: Block, replies: pd.DataFrame, cfg: Repeat, bits: int) -> np.ndarray:
+def _removed(block: Block, replies: pd.DataFrame, cfg: Repeat, bits: int, crowded: np.ndarray) -> np.ndarray:
     """Which bytes of a block are removed."""
-    u, state = Units(block, cfg, bits), _states(replies[replies["bucket"] >= 0])
-    s, edge = u.segments, np.zeros(len(block.body) + 1, dtype=np.int32)
-    if len(s.first):
-        whole = u.later | (state[u.of] == WHOLE)
-        np.add.at(edge, s.first[whole], 1)
-        np.add.at(edge, s.last[whole] + cfg.length, -1)
+    units = Units(block, cfg, bits, crowded)
+    s, edge = units.segments, np.zeros(len(block.body) + 1, dtype=np.int32)
+
+    def mark(first: np.ndarray, end: np.ndarray) -> None:
+        np.add.at(edge, first, 1)
+        np.add.at(edge, end, -1)
+
+    if len(units.plain):
+        u, state = units.kinds[0], _states(replies, 0)
+        whole = u["later"] | (state[u["of"]] == WHOLE)
+        mark(s.first[units.plain[whole]], s.last[units.plain[whole]] + cfg.length)
         mask = np.zeros(len(state), dtype=np.int64)
-        for row in replies[replies["bucket"] < 0].itertuples():
-            units = np.frombuffer(row.data, dtype=np.int32, count=row.n)
-            mask[units] = np.frombuffer(row.data, dtype=np.int64, offset=4 * row.n)
-        some = np.flatnonzero((mask[u.of] > 0) & ~whole)
+        for row in replies[replies["kind"] == 2].itertuples():
+            at = np.frombuffer(row.data, dtype=np.int32, count=row.n)
+            mask[at] = np.frombuffer(row.data, dtype=np.int64, offset=4 * row.n)
+        some = np.flatnonzero((mask[u["of"]] > 0) & ~whole)
         for k in range(cfg.length - cfg.anchor + 1):
-            at = s.first[some[(mask[u.of[some]] >> k) & 1 > 0]] + k
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + cfg.length, -1)
+            at = s.first[units.plain[some[(mask[u["of"][some]] >> k) & 1 > 0]]] + k
+            mark(at, at + cfg.length)
+    if len(units.window):
+        u = units.kinds[1]
+        at = units.window[u["later"] | (_states(replies, 1)[u["of"]] == WHOLE)]
+        mark(at, at + cfg.length)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _marked(docs: DataFrame, cfg: Repeat, extra: list[str], finish, schema) -> DataFrame:
-    blocks = text_blocks(docs, extra=extra, block_bytes=1 << 20)
+def _judged(blocks: DataFrame, cfg: Repeat) -> tuple[DataFrame, Callable[[Block, pd.DataFrame], np.ndarray]]:
+    """Answers to the blocks, and the function that tells from a block and its answers which bytes go."""
     buckets = buckets_for(blocks, 4 << 20)
-    bits = buckets.bit_length() - 1
-    states = segment_states(blocks, cfg, buckets)
-    replies = states.unionByName(partial_matches(blocks, states, cfg, buckets))
-
-    def mark(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([finish(block, _removed(block, answers, cfg, bits)) for block in blocks_of(own)])
-
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(mark, schema)
+    bits, crowded = buckets.bit_length() - 1, crowded_anchors(blocks, cfg)
+    states = unit_states(blocks, cfg, buckets, crowded)
+    replies = states.unionByName(partial_matches(blocks, states, cfg, buckets, crowded))
+    return replies, lambda block, answers: _removed(block, answers, cfg, bits, crowded)
 
 
 def digests(docs: DataFrame, cfg: Repeat = Repeat()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
+    blocks = text_blocks(docs, 1 << 20)
+    replies, removed = _judged(blocks, cfg)
 
     def finish(block: Block, gone: np.ndarray) -> pd.DataFrame:
         before = np.concatenate(([0], np.cumsum(gone)))
@@ -314,7 +435,11 @@ def digests(docs: DataFrame, cfg: Repeat = Repeat()) -> DataFrame:
         digest = [hashlib.sha256(block.bytes[i:j] if before[i] == before[j] else block.body[i:j][~gone[i:j]].tobytes()).hexdigest() for i, j in zip(block.starts.tolist(), ends.tolist())]
         return block.frame(n_bytes=block.lens, n_removed=before[ends] - before[block.starts], n_spans=starts[ends] - starts[block.starts], kept_sha256=digest)
 
-    return _marked(docs, cfg, [], finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def mark(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([finish(block, removed(block, answers)) for block in blocks_of(own)])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(mark, schema)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -322,22 +447,31 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def remove_repeats(spark, docs: DataFrame, sf_dir: str, cfg: Repeat = Repeat()) -> DataFrame:
-    """Pipeline stage: texts without their repeated strings (n_chars follows), all other columns as they are.
+    """Pipeline stage: texts without their repeated strings (n_chars, where the table has it, follows), all other columns,
+    whatever their names and types, as they are.
 
-    A cut inside a character drops the rest of that character. A document of which no word is left goes.
+    A cut inside a character drops the rest of that character. A row of whose text no word is left goes. Null and empty texts
+    stay as they are; rows that share an id, repeated rows among them, don't count against each other; null ids count as
+    greater than any other; an empty table gives an empty table.
     """
-    columns = docs.columns
-    extra = [c for c in columns if c not in ("doc_id", "text")]
-
-    def finish(block: Block, gone: np.ndarray) -> pd.DataFrame:
-        texts = [block.body[i:j][~gone[i:j]].tobytes().decode("utf-8", "ignore") for i, j in zip(block.starts.tolist(), (block.ends - 1).tolist())]
-        touched = [bool(gone[i:j].any()) for i, j in zip(block.starts.tolist(), (block.ends - 1).tolist())]
-        out = block.frame(text=texts)
-        for k, name in enumerate(extra):
-            out[name] = pd.Series([row[k] for row in block.extra], dtype="object")
-        if "n_chars" in extra:
-            out["n_chars"] = [str(len(t)) if hit else n for t, hit, n in zip(texts, touched, out["n_chars"])]
-        return out[[not hit or bool(t.split()) for t, hit in zip(texts, touched)]][columns]
-
-    marked = _marked(docs, cfg, extra, finish, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in columns))
-    return marked.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in docs.dtypes])
+    blocks = text_blocks(docs, 1 << 20, whole=True)
+    replies, removed = _judged(blocks, cfg)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    n_chars = f"x{others.index('n_chars')}" if "n_chars" in others else None
+
+    def cut(block: Block, answers: pd.DataFrame) -> pa.Table:
+        gone, texts, hits = removed(block, answers), block.texts(), []
+        for d, (i, j) in enumerate(zip(block.starts.tolist(), (block.ends - 1).tolist())):
+            if gone[i:j].any():
+                texts[d] = block.body[i:j][~gone[i:j]].tobytes().decode("utf-8", "ignore").encode()
+                hits.append(d)
+        out = block.table(texts)
+        if n_chars and hits:
+            kind, sizes = out.schema.field(n_chars).type, out[n_chars].to_pylist()
+            for d in hits:
+                sizes[d] = len(texts[d].decode())
+            out = out.set_column(out.column_names.index(n_chars), n_chars, pa.array(sizes).cast(kind))
+        empty = {d for d in hits if not texts[d].split()}
+        return out.filter(pa.array([d not in empty for d in range(len(texts))], type=pa.bool_()))
+
+    return unpacked(docs, blocks, replies, cut)

@@ -5,7 +5,7 @@ its sentences' scores is the document's score, and the weights are trained on do
 scores then say where the offending sentences are.
 
 Defined results: a null or empty text has no sentence and scores 0; without a label of each kind the model is empty and
-every score is 0; conflicting repeated labels count as often as they stand; null labels are ignored; repeated rows are
+every score is 0; repeated labels count once, conflicting ones once each; null labels are ignored; repeated rows are
 scored alike; extra columns are ignored.
 """
 
@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import read, remainder, short_batches, uniform
+from disfluo.llm.common import fresh, id_text, read, remainder, short_batches, uniform, whole_numbers
 
 _PIECE = re.compile(r"[^\W\d_]+|[.!?\n]+")
 
@@ -40,12 +41,12 @@ def sentences(text: str | None) -> list[list[str]]:
 
 @dataclass(frozen=True)
 class Training:
-    """bound: labelled documents of each class that are trained on at most, drawn by a hash of the id (the documented sample);
-    bound_chars: no sampled text is cut, but a longer one is left out of the sample; min_docs, lift: a feature must stand in
-    so many sampled documents, and that many times as often in toxic ones."""
+    """bound, bound_chars: labelled documents of each class that are trained on at most, drawn by a hash of the id alone (the
+    documented sample), fewer of them where they would hold more than so many characters; min_docs, lift: a feature must
+    stand in so many sampled documents, and that many times as often in toxic ones."""
 
     bound: int = 1500
-    bound_chars: int = 40_000
+    bound_chars: int = 60_000_000
     min_docs: int = 6
     lift: float = 4.0
     epochs: int = 150
@@ -129,16 +130,17 @@ def fit_noisy_or(bags: list[list[list[str]]], labels: np.ndarray, importance: np
 def train(docs: DataFrame, labels: DataFrame, cfg: Training = Training()) -> NoisyOr:
     """Fit on at most ``bound`` labelled documents of each class; the classes' true shares are restored by weights."""
     tagged = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    tagged = docs.filter(F.col("text").isNotNull() & (F.length("text") <= cfg.bound_chars)).select(F.col("doc_id").cast("long").alias("doc_id")).join(tagged, "doc_id")
-    counts = {r["toxic"]: r["n"] for r in tagged.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    tagged = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("chars")).join(tagged, "doc_id")
+    stat = tagged.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
+    counts = {r["toxic"]: r["n"] for r in stat}
     if len(counts) < 2:
         return NoisyOr()
-    share = {k: min(1.0, cfg.bound / n) for k, n in counts.items()}
+    share = {r["toxic"]: min(1.0, cfg.bound / r["n"], cfg.bound_chars / max(1, r["chars"])) for r in stat}
     u = uniform("doc_id", cfg.seed)
     sample = [tagged.filter(F.col("toxic") == k).withColumn("u", u).filter(F.col("u") < share[k]).orderBy("u").limit(cfg.bound) for k in (0, 1)]
     chosen = sample[0].unionByName(sample[1])
-    # at most 2 * bound ids, so broadcasting them is bounded
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    chosen = chosen.select("doc_id", "toxic").distinct()  # at most 2 * bound ids, so broadcasting them is bounded
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     pdf = short_batches(rows).toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")
     got = pdf["toxic"].value_counts().to_dict()
     if len(got) < 2:
@@ -157,9 +159,9 @@ def score(docs: DataFrame, model: NoisyOr, limit: float = 0.7) -> DataFrame:
                 s = model.sentence_scores(text if isinstance(text, str) else "") if model.weights else np.zeros(0)
                 scores.append(float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum())))
                 where.append(np.flatnonzero(s >= limit / 2).tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores, "predicted": [int(s >= limit) for s in scores], "offending": where})
+            yield pd.DataFrame({"doc_id": whole_numbers(batch["doc_id"]), "score": scores, "predicted": [int(s >= limit) for s in scores], "offending": where})
 
-    narrow = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = short_batches(docs).select(id_text("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(judge, "doc_id long, score double, predicted int, offending array<int>")
 
 
@@ -170,13 +172,23 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
-def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without those that the model rejects; the columns stay as they are."""
-    model = train(docs, read(spark, sf_dir, "labels"))
-    schema = docs.schema
+def drop_toxic(spark, docs: DataFrame, sf_dir: str, limit: float = 0.7) -> DataFrame:
+    """Pipeline stage: documents without those that the model rejects; the columns, whatever their names and types, stay as they are.
 
-    def keep(batches):
+    A null or empty text scores 0 and stays, as does every row where there is nothing to learn from; null and repeated ids,
+    repeated rows and very long texts are judged row by row on the whole text; an empty table gives an empty table.
+    """
+    return drop_toxic_by(docs, train(docs, read(spark, sf_dir, "labels")), limit)
+
+
+def drop_toxic_by(docs: DataFrame, model: NoisyOr, limit: float = 0.7) -> DataFrame:
+    """docs without the rows whose text scores at least the limit."""
+    judged = fresh(docs, "judged")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[[model.score(t if isinstance(t, str) else "") < 0.7 for t in batch["text"]]]
+            scores = [model.score(t) for t in batch.column(judged).to_pylist()]
+            yield batch.filter(pa.array([s < limit for s in scores], type=pa.bool_()))
 
-    return short_batches(docs).mapInPandas(keep, schema)
+    out = short_batches(docs).withColumn(judged, F.col("text").cast("string"))
+    return out.mapInArrow(keep, out.schema).drop(judged)

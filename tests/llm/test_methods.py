@@ -75,15 +75,49 @@ def test_mix_meets_its_targets(spark, table):
     assert got["target"].groupby(got["source"]).first().sum() == pytest.approx(got["size"].sum()) and (got["taken"] <= 3 * got["size"]).all()
 
 
+def test_mix_against_sql_on_huge_and_tiny_documents(spark):
+    rng = random.Random(1)
+    tables = [[(1, "w " * 1000, "a"), *[(k, "w " * 100, "b") for k in (2, 3, 4)]], [(k, "w w", f"s{k}") for k in range(60)]]  # a's only document is over its target; all times alike
+    tables += [[(k, "w " * rng.choice([0, 1, 1, 3, 50, 2000]), rng.choice(["a", "b", "c", "d", None])) for k in range(rng.randint(1, 60))] for _ in range(4)]
+    for n, rows in enumerate(tables):
+        con = duckdb.connect()
+        con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), few=(10_000, 4, 1)[n % 3], bins=(4096, 2, 5)[n % 3], slice_rows=(20_000, 7, 1)[n % 3])
+        assert sorted(map(tuple, got.collect())) == sorted(con.sql(ORACLES["op3_mixing"]).fetchall())
+
+
+def test_languages_by_plain_loops(spark, sf, table):
+    """The vectors and cosines of the model's centroids, recomputed with dictionaries."""
+    docs = common.read(spark, sf, "documents")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for i, text in table("documents", sf)[["doc_id", "text"]].to_numpy().tolist()[:60]:
+        low = text.lower()
+        chars = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in low)).lstrip() + " "
+        grams = Counter(chars[k : k + n] for n in (1, 2, 3) for k in range(len(chars) - n + 1))
+        v = np.zeros(model.cfg.dims)
+        for g, n in grams.items():
+            key = np.uint64(0)
+            with np.errstate(over="ignore"):
+                for c in g:
+                    key = key * np.uint64(0x110001) + np.uint64(ord(c))
+                v[int(common.mix64(key + np.uint64(len(g) - 1)) % np.uint64(model.cfg.dims))] += n
+        v = np.log1p(v) * model.idf
+        cosines = [sum(v * c) / math.sqrt(sum(v * v)) for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert (got[i]["lang_pred"], got[i]["rejected"]) == (model.langs[model.owner[best]], cosines[best] < model.reach[model.owner[best]])
+        assert got[i]["score"] == pytest.approx(cosines[best])
+
+
 def test_languages_on_held_out_documents(spark, table):
     got = QUERIES["op4_language_id"](spark, MID).toPandas().merge(table("documents"), on="doc_id")
     held = got[got["held_out"]]
     assert len(got) == 1000 and (held["lang"] == held["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()
 
 
-def test_classes_against_all_pairs(spark, table):
-    docs = table("documents")
-    sets = {i: set(neardup.shingles(t).tolist()) for i, t in zip(docs["doc_id"], docs["text"])}
+def classes_by_all_pairs(docs):
+    sets = {i: {(h, k) for h, n in zip(*map(list, neardup.shingles(t.encode()))) for k in range(n)} for i, t in docs}
     where, root = {}, {i: i for i in sets}
     for i, s in sets.items():
         for h in s:
@@ -99,8 +133,16 @@ def test_classes_against_all_pairs(spark, table):
             if n / (len(s) + len(sets[j]) - n) >= 0.8:
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
-    got = dict(neardup.classes(common.read(spark, MID, "documents")).select("doc_id", "class_id").toPandas().to_numpy().tolist())
-    assert got == {i: top(i) for i in sets}
+    return {i: top(i) for i in sets}
+
+
+def test_classes_against_all_pairs(spark, table):
+    docs = table("documents")[["doc_id", "text"]].to_numpy().tolist()
+    rng = random.Random(13)
+    line = " ".join(f"l{k}" for k in range(12))
+    docs += [(1_000_000 + k, "\n".join([line] * rng.randint(20, 40) + [f"end {k % 3}"])) for k in range(40)]  # weights decide
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes_by_all_pairs(docs)
 
 
 def test_dart_signatures_estimate_weighted_similarity():
@@ -195,6 +237,40 @@ def test_repeats_byte_for_byte(spark, sf, table):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == removed_by_brute_force(docs)
 
 
+def test_run_index_against_plain_search():
+    rng = random.Random(11)
+    for n in range(30):
+        texts = [bytes(rng.choice(b"ab\x00\xff" if n % 2 else b"ab") for _ in range(rng.randint(8, 15))) for _ in range(rng.randint(1, 25))]
+        ids = np.array([rng.randrange(12) for _ in texts])
+        index = suffixdup.RunIndex(np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts]), ids, 8)
+        rows = sorted(((t[k:], j, k) for j, t in enumerate(texts) for k in range(len(t) + 1)), key=lambda r: r[:2])
+        before = [texts[j][k - 1] + 1 if k else 0 for _, j, k in rows]
+        runs = [k for k in range(len(rows)) if not k or before[k] != before[k - 1] or (rows[k][0] + b"$")[:8] != (rows[k - 1][0] + b"$")[:8]]
+        at = lambda r: int(index.starts[r[1]]) + r[2]
+        ends = [*runs[1:], len(rows)]
+        assert index.start.tolist() == runs and index.symbol.tolist() == [before[k] for k in runs]
+        assert index.first.tolist() == [at(rows[k]) for k in runs] and index.last.tolist() == [at(rows[k - 1]) for k in ends]
+        want = {(j, k): min(i for t, i in zip(texts, ids.tolist()) if texts[j][k : k + 8] in t) for j in range(len(texts)) for k in range(len(texts[j]) - 7)}
+        got = {(int(j), int(k)): int(i) for own, place, least in index.stream() for j, k, i in zip(own, place, least)}
+        assert got == want
+
+
+def test_crowded_anchors_are_found_and_change_nothing(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    phrase = "all rights reserved by the makers"  # shorter than a window, between other words each time
+    few = [word() for _ in range(3)]
+    docs = [(k, f"{word()} {rng.choice([*few, word()])} {phrase} {rng.choice(['here', 'there'])} {rng.choice(few)} {word()}") for k in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    blocks = common.text_blocks(df, 2000)
+    assert len(suffixdup.crowded_anchors(blocks, suffixdup.Repeat())) and not len(suffixdup.crowded_anchors(blocks, suffixdup.Repeat(crowd=10_000)))
+    want = removed_by_brute_force(docs)
+    for crowd in (64, 4, 10_000):
+        got = suffixdup.digests(df, suffixdup.Repeat(crowd=crowd)).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    assert sum(r[1] > 0 for r in want.values()) > 50
+
+
 def test_base_measures_against_plain_loops():
     rng = random.Random(8)
     for n in range(200):

@@ -103,3 +103,21 @@ def test_pages(spark, labels):
 def test_page_outcomes_ignore_rows_without_number_or_label(spark, labels):
     pages = spark.createDataFrame([(1, "http://h/en/1", ""), (2, "http://h/en/x", ""), (3, "http://h/5.html", ""), (4, None, ""), (5, "http://h/99", ""), (6, "http://h/6/", "")], PAGES)
     assert sorted(map(tuple, urls.page_outcomes(pages, labels).collect())) == [("h", 0), ("h", 1)]
+
+
+BIG = (1 << 53) + 1
+
+
+def test_large_ids_beside_a_null_stay_whole(spark, labels):
+    rows = [(BIG, "one two three four five six seven eight nine ten.", "en", "a", 1), (None, "one two three four five six seven eight nine eleven.", "en", "a", 1), (BIG + 2, "Other words in this text, as you can see.", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    for name, run in ONE_ROW_EACH.items():
+        assert ids(run(docs, labels)) == [(False, BIG), (False, BIG + 2), (True, 0)], name
+    assert ids(toxicity.drop_toxic_by(docs, toxicity.NoisyOr())) == [(False, BIG), (False, BIG + 2), (True, 0)]
+    pages = spark.createDataFrame([(r[0], f"http://h/{k}", f"<p>{r[1]}") for k, r in enumerate(rows)], PAGES).coalesce(1)
+    assert sorted((r["page_id"] or 0) for r in pagetext.extract(pages).collect()) == [0, BIG, BIG + 2]
+
+
+def test_ids_that_differ_only_past_float_precision(spark):
+    twice = spark.createDataFrame([(BIG, "a b c d e f g h", "en", "a", 1), (BIG - 1, "a b c d e f g h", "en", "a", 1), (None, "a b c d e f g h", "en", "a", 1)], DOCS).coalesce(1)
+    assert {r["class_id"] for r in neardup.classes(twice).collect()} == {BIG - 1}
