@@ -36,16 +36,18 @@ CONTEXT_BUCKETS = 48
 
 @dataclass(frozen=True)
 class Interpolation:
-    """rounds: of expectation-maximisation, over the deleted counts of all training tokens."""
+    """rounds: of expectation-maximisation, over the deleted counts of all training tokens; block_bytes: of text in a block,
+    within which equal n-grams are merged before they are sent."""
 
     rounds: int = 60
+    block_bytes: int = 8 << 20
 
 
 class Tokens:
     """Token and pair fingerprints of a block, with their documents."""
 
     def __init__(self, block: Block):
-        words, start, _ = word_hashes(np.frombuffer(block.bytes.lower(), dtype=np.uint8))
+        words, start = self._words(block)
         doc = np.searchsorted(block.ends, start, side="right")
         per = np.bincount(doc, minlength=len(block.ids))
         self.last = np.cumsum(per + 1) - 1  # places of the end tokens
@@ -61,6 +63,18 @@ class Tokens:
             pair = mix64(before * np.uint64(0xD6E8FEB86659FD93) + self.word)
         self.kinds = [np.unique(x, return_inverse=True) for x in (self.word, pair)]
 
+    @staticmethod
+    def _words(block: Block, span: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of the words, by a few hundred KB of documents at a time, which bounds the working memory."""
+        body, parts, d = np.frombuffer(block.bytes.lower(), dtype=np.uint8), [], 0
+        while d < len(block.lens):
+            e = max(d + 1, int(np.searchsorted(block.ends, block.starts[d] + span, side="right")))
+            low = int(block.starts[d])
+            words, start, _ = word_hashes(body[low : int(block.ends[e - 1])])
+            parts.append((words, start + low))
+            d = e
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
 
 def pack_counts(counts: np.ndarray) -> bytes:
     """Counts as bytes, 255 standing for a count that follows in full."""
@@ -175,7 +189,7 @@ def learn_weights(cells: np.ndarray, uniform: float, rounds: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, cfg: Interpolation = Interpolation(), modulus: int = 7, left_out: int = 2) -> DataFrame:
-    blocks = text_blocks(docs)
+    blocks = text_blocks(docs, cfg.block_bytes)
     counts = ngram_counts(blocks, buckets_for(blocks, 8 << 20), modulus, left_out)
     stat = counts.filter("block = -1").agg(F.sum("n").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = int(stat["n"] or 0), int(stat["v"] or 0)

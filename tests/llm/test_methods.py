@@ -361,8 +361,40 @@ def test_weights_by_expectation_maximisation():
     assert w.sum(axis=1) == pytest.approx(np.ones(len(w))) and w[3, 0] > 0.8 and w[0, 1] > 0.9 and (w > 0).all()
 
 
-def test_mixture_weights_are_fitted_on_every_block(spark, sf, monkeypatch):
+def test_scores_by_plain_loops(spark, sf, table):
+    """Bigram counts in a dictionary, weights by the same number of rounds over every training token, and the sum of logarithms."""
+    docs = table("documents", sf)[["doc_id", "text"]].to_numpy().tolist()
+    up = {c: c + 32 for c in range(65, 91)}
+    tokens = {i: ["<s>", *re.findall(r"[^ \t-\r]+", t.translate(up)), "</s>"] for i, t in docs}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    words, pairs = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:]))
+    words["<s>"] = len(train)
+    n, v = sum(words.values()) - len(train), len(words) - 1
+    bucket = lambda c: int(math.log2(c + 1))
+    seen = {}
+    for (h, w), c in pairs.items():  # each token of a pair is predicted without itself
+        x = words[h] - 1
+        k = (bucket(x), (c - 1) / x if x else 0.0, (words[w] - 1) / (n - 1))
+        seen[k] = seen.get(k, 0) + c
+    keys, count = np.array(list(seen)), np.array(list(seen.values()), dtype=float)
+    parts, at, weights = np.stack([keys[:, 1], keys[:, 2], np.full(len(keys), 1 / (v + 1))], axis=1), keys[:, 0].astype(int), np.full((48, 3), 1 / 3)
+    for _ in range(lm.Interpolation.rounds):
+        share = weights[at] * parts
+        share *= (count / share.sum(axis=1))[:, None]
+        new = np.stack([np.bincount(at, weights=share[:, k], minlength=48) for k in range(3)], axis=1) + 1e-3
+        weights = new / new.sum(axis=1, keepdims=True)
+    used = np.unique(at)
+    got = lm.score(common.read(spark, sf, "documents")).toPandas().set_index("doc_id")["score"]
+    for i, t in tokens.items():
+        want = 0.0
+        for h, w in zip(t, t[1:]):
+            c = words.get(h, 0)
+            k = weights[used[np.abs(used - bucket(c)).argmin()]]
+            want += math.log10(k[0] * (pairs.get((h, w), 0) / c if c else 0) + k[1] * words.get(w, 0) / n + k[2] / (v + 1))
+        assert got[i] == pytest.approx(want, rel=0.01)  # the operator learns the weights from rounded probabilities
+
+
+def test_mixture_weights_are_fitted_on_every_block(spark, sf):
     docs = common.read(spark, sf, "documents")
     whole = lm.score(docs).toPandas().set_index("doc_id")["score"]
-    monkeypatch.setattr(lm, "text_blocks", lambda d: common.text_blocks(d, block_bytes=2000))
-    assert lm.score(docs).toPandas().set_index("doc_id")["score"].to_dict() == pytest.approx(whole.to_dict(), rel=1e-9)
+    assert lm.score(docs, lm.Interpolation(block_bytes=2000)).toPandas().set_index("doc_id")["score"].to_dict() == pytest.approx(whole.to_dict(), rel=1e-9)
