@@ -1,12 +1,15 @@
 """Scripts from the documents table, and a spoken side with known annotations.
 
-The hash injector decides at each word, by numbers that depend only on the seed, the utterance and the position, whether a
+The hash injector decides at each word, by a digest that depends only on the seed, the utterance and the position, whether a
 filled pause, a repetition, a substitution or (at the start) a restart goes before it. It works within the row, so it needs
-no shuffle, and any engine with md5 gets the same corpus.
+no shuffle, and any engine with md5 gets the same corpus. A word costs one digest: its first eight hexadecimal digits decide
+on the event, the next eight on its words, the next eight on an editing phrase.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +29,15 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on as many partitions as there are cores, where a table of few row groups would leave cores idle; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """utt_id, doc_id, clean, clean_tokens, n_clean and asked_level of the English documents' sentences of 5 to 40 words."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' and text is not null").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' and text is not null").select("doc_id", "text"))
     sents = docs.select("doc_id", F.posexplode(sentence_split(F.col("text"))).alias("pos", "raw"))
     out = sents.select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), "doc_id", F.trim("raw").alias("clean"))
     out = out.filter(F.col("clean").rlike("^[A-Z][A-Za-z0-9 ,.;:!?'-]*[.!?]$")).withColumn("clean_tokens", tokens(F.col("clean")))
@@ -37,63 +46,84 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("asked_level", F.floor(uniform("level", F.col("utt_id")) * 4).cast("int"))
 
 
+def _below(p: float) -> str:
+    """Hexadecimal digits such that a digest sorts before them if the number in [0, 1) that its first eight make is less than p."""
+    return f"{math.ceil(p * (1 << 32)):08x}"
+
+
 def _pick(options: list, u: Column) -> Column:
     return F.get(F.array(*[F.array(*map(F.lit, o.split())) for o in options]), F.floor(u * len(options)).cast("int"))
 
 
-def _filler(u: Column) -> Column:
+def _filler(digits: Column) -> Column:
     out, left = F.array(*map(F.lit, L.FILLERS[-1][0].split())), sum(w for _, w in L.FILLERS)
     for phrase, weight in reversed(L.FILLERS):
         left -= weight
         words = F.array(*map(F.lit, phrase.split()))
-        out = words if phrase == L.FILLERS[-1][0] else F.when(u < round(left + weight, 3), words).otherwise(out)
+        out = words if phrase == L.FILLERS[-1][0] else F.when(digits < _below(round(left + weight, 3)), words).otherwise(out)
     return out
 
 
+KINDS = ("filler", "repetition", "repair", "false_start")
+
+
 def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
     """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations."""
-    level = F.col("asked_level")
+    keep = scripted.columns
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  one element, so what it holds is computed once
 
-    def rate(k: int) -> Column:
-        out = F.lit(0.0)
+    def limit(k: int) -> Column:
+        """By level: digits below which events of the first k + 1 kinds lie."""
+        out = F.lit(_below(0.0))
         for lv, row in DIAL.items():
-            out = F.when(level == lv, F.lit(sum(row[: k + 1]) if k < 3 else row[3])).otherwise(out)
+            out = F.when(F.col("asked_level") == lv, F.lit(_below(sum(row[: k + 1]) if k < 3 else row[3]))).otherwise(out)
         return out
 
-    filler, repetition, repair, restart = (rate(k) for k in range(4))
-
-    def event(word: Column, i: Column) -> Column:
-        u, v, w = (uniform(seed, x, F.col("utt_id"), i) for x in ("event", "words", "edit"))
-        begins = (i == 0) & (F.col("n_clean") >= 6) & (uniform(seed, "start", F.col("utt_id")) < restart)
-        kind = F.when(begins, "false_start").when(u < filler, "filler").when(u < repetition, "repetition").when(u < repair, "repair")
-        own = spoken_form(word)
-        edit = F.when(w < L.SHAPE["interregnum"], F.array(F.lit("i"), F.lit("mean"))).otherwise(F.array().cast("array<string>"))
-        head = (
-            F.when(kind == "filler", _filler(v)).when(kind == "repetition", F.array(own)).when(kind == "repair", F.concat(F.array(F.get(F.array(*map(F.lit, WRONG)), F.floor(v * len(WRONG)).cast("int"))), edit))
-            .when(kind == "false_start", _pick(list(L.FRAGMENTS), v)).otherwise(F.array().cast("array<string>"))
+    key = F.concat_ws(":", F.lit(seed), F.col("utt_id").cast("string"))
+    begins = (F.col("n_clean") >= 6) & (F.md5(F.concat_ws(":", F.lit(seed), F.lit("start"), F.col("utt_id").cast("string")).cast("binary")) < limit(3))
+    out = once(scripted, "dial", F.struct(key.alias("key"), begins.alias("begins"), *[limit(k).alias(KINDS[k]) for k in range(3)]))
+    digest = lambda w, i: F.md5(F.concat_ws(":", "dial.key", i.cast("string")).cast("binary"))
+    out = once(out, "digests", F.when(F.col("dial.repair") > _below(0.0), F.transform("clean_tokens", digest)).otherwise(F.array().cast("array<string>")))
+
+    def kind(w: Column, i: Column) -> Column:
+        h = F.get("digests", i)
+        return F.when((i == 0) & F.col("dial.begins"), 3).when(h < F.col("dial.filler"), 0).when(h < F.col("dial.repetition"), 1).when(h < F.col("dial.repair"), 2)
+
+    out = once(out, "kinds", F.transform("clean_tokens", kind))
+
+    def head(k: Column, i: Column) -> Column:
+        v, w = (F.substring(F.get("digests", i), at, 8) for at in (9, 17))
+        number = F.conv(v, 16, 10).cast("double") / F.lit(4294967296.0)
+        edit = F.when(w < _below(L.SHAPE["interregnum"]), F.array(F.lit("i"), F.lit("mean"))).otherwise(F.array().cast("array<string>"))
+        wrong = F.get(F.array(*map(F.lit, WRONG)), F.floor(number * len(WRONG)).cast("int"))
+        return (
+            F.when(k.isNull(), F.array().cast("array<string>")).when(k == 0, _filler(v)).when(k == 1, F.array(spoken_form(F.get("clean_tokens", i))))
+            .when(k == 2, F.concat(F.array(wrong), edit)).otherwise(_pick(list(L.FRAGMENTS), number))
         )
-        return F.struct(kind.alias("kind"), head.alias("head"), own.alias("own"), i.cast("int").alias("i"))
-
-    # each list is exploded as one element, so that what it holds is computed once
-    out = scripted.select("*", F.explode(F.array(F.transform("clean_tokens", event))).alias("events"))
-    begin = lambda e: F.struct(e.kind.alias("kind"), F.size(e.head).alias("k"), e.i.alias("i"))
-    offsets = F.aggregate(
-        F.transform("events", begin), F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + e.k + 1)))
-    out = out.select("*", F.explode(F.array(offsets)).alias("offsets"))
+
+    out = once(out, "heads", F.transform("kinds", head))
+    event = lambda k, i: F.struct(k.alias("kind"), i.cast("int").alias("i"), F.size(F.get("heads", i)).alias("k"))
+    out = once(out, "events", F.filter(F.transform("kinds", event), lambda e: e.kind.isNotNull()))
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     none = F.lit(None).cast(SPAN)
 
+    def place(e: Column, j: Column) -> Column:
+        """The event with the place on the spoken side where it starts."""
+        before = F.aggregate(F.slice("events", F.lit(1), j), e.i, lambda a, x: a + x.k)
+        return F.struct(e.kind.alias("kind"), before.alias("s"), e.k.alias("k"))
+
     def note(e: Column) -> Column:
-        s, k = F.get("offsets", e.i), F.size(e.head)
-        rep = F.when(e.kind == "false_start", span(s, s + k)).when(e.kind == "filler", none).otherwise(span(s, s + 1))
-        inter = F.when(e.kind == "filler", span(s, s + k)).when((e.kind == "repair") & (k > 1), span(s + 1, s + k))
-        fix = F.when(e.kind == "filler", none).when(e.kind == "false_start", span(s + k, s + k + F.least(F.lit(3), F.col("n_clean")))).otherwise(span(s + k, s + k + 1))
-        return F.struct(e.kind.alias("type"), rep.alias("reparandum"), inter.alias("interregnum"), fix.alias("repair")).cast(ANNOTATION)
+        s, k, fill, late = e.s, e.k, e.kind == 0, e.kind == 3
+        rep = F.when(late, span(s, s + k)).when(fill, none).otherwise(span(s, s + 1))
+        inter = F.when(fill, span(s, s + k)).when((e.kind == 2) & (k > 1), span(s + 1, s + k))
+        fix = F.when(fill, none).when(late, span(s + k, s + k + F.least(F.lit(3), F.col("n_clean")))).otherwise(span(s + k, s + k + 1))
+        return F.struct(F.get(F.array(*map(F.lit, KINDS)), e.kind).alias("type"), rep.alias("reparandum"), inter.alias("interregnum"), fix.alias("repair")).cast(ANNOTATION)
 
-    said = F.flatten(F.transform("events", lambda e: F.concat(e.head, F.array(e.own))))
-    align = F.flatten(F.transform("events", lambda e: F.concat(F.array_repeat(F.lit(None).cast("int"), F.size(e.head)), F.array(e.i))))
-    notes = F.transform(F.filter("events", lambda e: e.kind.isNotNull()), note)
-    return out.select("utt_id", "doc_id", "asked_level", "clean", "clean_tokens", "n_clean", said.alias("disfluent_tokens"), align.alias("alignment"), notes.alias("annotations"))
+    said = F.flatten(F.transform("clean_tokens", lambda w, i: F.concat(F.get("heads", i), F.array(spoken_form(w)))))
+    align = F.flatten(F.transform("heads", lambda h, i: F.concat(F.array_repeat(F.lit(None).cast("int"), F.size(h)), F.array(i.cast("int")))))
+    notes = F.transform(F.transform("events", place), note)
+    return out.select(*keep, said.alias("disfluent_tokens"), align.alias("alignment"), notes.alias("annotations")).select(
+        "utt_id", "doc_id", "asked_level", "clean", "clean_tokens", "n_clean", "disfluent_tokens", "alignment", "annotations")
 
 
 def markup(scripted: DataFrame, seed: str = "say") -> DataFrame:
@@ -140,6 +170,10 @@ def sql_uniform(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
+def sql_digits(at: int) -> str:
+    return f"(CAST(('0x' || substr(h, {at}, 8)) AS BIGINT) / 4294967296.0)"
+
+
 STRIP_SQL = L.STRIP.replace("'", "''")
 
 #: Common table expressions of the same corpus: scripts, ev (one row for each word), utt (one for each utterance), ann (one for each annotation).
@@ -151,8 +185,8 @@ st AS (SELECT *, list_filter(string_split_regex(clean, '\s+'), lambda w: w <> ''
 scripts AS (SELECT *, CAST(len(clean_tokens) AS INTEGER) AS n_clean, CAST(floor({sql_uniform("'level'", "utt_id")} * 4) AS INTEGER) AS asked_level FROM st
   WHERE len(clean_tokens) BETWEEN 5 AND 40 AND len(list_filter(clean_tokens, lambda w: NOT regexp_matches(w, '[0-9a-zA-Z]'))) = 0),
 wd AS (SELECT utt_id, asked_level, n_clean, unnest(clean_tokens) AS word, generate_subscripts(clean_tokens, 1) - 1 AS i FROM scripts),
-du AS (SELECT *, lower(trim(translate(word, '{L.QUOTES}', ''), '{STRIP_SQL}')) AS own, {sql_uniform("'say'", "'event'", "utt_id", "i")} AS u, {sql_uniform("'say'", "'words'", "utt_id", "i")} AS v,
-  {sql_uniform("'say'", "'edit'", "utt_id", "i")} AS w, {sql_uniform("'say'", "'start'", "utt_id")} AS b FROM wd),
+du AS (SELECT *, lower(trim(translate(word, '{L.QUOTES}', ''), '{STRIP_SQL}')) AS own, {sql_digits(1)} AS u, {sql_digits(9)} AS v, {sql_digits(17)} AS w, {sql_uniform("'say'", "'start'", "utt_id")} AS b
+  FROM (SELECT *, md5('say:' || utt_id || ':' || i) AS h FROM wd)),
 dk AS (SELECT *, CASE WHEN i = 0 AND n_clean >= 6 AND b < {_sql_rate(3)} THEN 'false_start' WHEN u < {_sql_rate(0)} THEN 'filler' WHEN u < {_sql_rate(1)} THEN 'repetition' WHEN u < {_sql_rate(2)} THEN 'repair' END AS kind FROM du),
 dh AS (SELECT *, CASE kind WHEN 'filler' THEN {_sql_filler()} WHEN 'repetition' THEN [own]
   WHEN 'repair' THEN [{_sql_list(" ".join(WRONG))}[CAST(floor(v * {len(WRONG)}) AS INTEGER) + 1]] || CASE WHEN w < {L.SHAPE["interregnum"]} THEN ['i', 'mean'] ELSE CAST([] AS VARCHAR[]) END

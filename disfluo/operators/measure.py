@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from disfluo.functions import lexicon as L
@@ -34,13 +34,22 @@ def eligible(measured: DataFrame) -> DataFrame:
     return measured.filter(F.col("n_clean") >= L.MIN_WORDS)
 
 
-def percentile_cuts(measured: DataFrame) -> DataFrame:
-    """One row: exact 50th and 90th percentile of the rate over eligible utterances with events (0 if there are none).
+def cells(measured: DataFrame, *keys: str) -> DataFrame:
+    """Eligible utterances counted by clean words and events, with their sums: rates are quotients of these small integers, so
+    cuts and levels come exactly from a table of few rows."""
+    sums = [F.sum(f"n_{t}").alias(f"n_{t}") for t in L.TYPES]
+    return eligible(measured).groupBy(*keys, "n_clean", "n_events", "rate").agg(F.count("*").alias("utterances"), F.sum("n_clean").cast("long").alias("clean_words"), F.sum("n_events").alias("events"), F.sum("inserted").alias("inserted"), *sums)
 
-    Rates are quotients of small integers, so the exact percentile holds few distinct values however many rows there are.
-    """
-    some = eligible(measured).filter("n_events > 0")
-    return some.agg(F.coalesce(F.percentile("rate", F.lit(0.5)), F.lit(0.0)).alias("light"), F.coalesce(F.percentile("rate", F.lit(0.9)), F.lit(0.0)).alias("heavy"))
+
+def cuts_of(counted: DataFrame) -> DataFrame:
+    """One row: exact 50th and 90th percentile of the rate over the counted utterances with events (0 if there are none)."""
+    at = lambda q: F.coalesce(F.percentile("rate", F.lit(q), F.col("utterances")), F.lit(0.0))
+    return counted.filter("n_events > 0").agg(at(0.5).alias("light"), at(0.9).alias("heavy"))
+
+
+def percentile_cuts(measured: DataFrame) -> DataFrame:
+    """The cuts between light, middling and heavy utterances."""
+    return cuts_of(cells(measured))
 
 
 def with_level(measured: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -68,14 +77,14 @@ def with_rates(out: DataFrame) -> DataFrame:
 
 
 def level_table(measured: DataFrame) -> DataFrame:
-    """The four levels, each present even if empty, with its share of the eligible utterances."""
-    pool = eligible(measured)
-    sums = [F.sum(f"n_{t}").alias(f"n_{t}") for t in L.TYPES]
-    by = with_level(pool, percentile_cuts(measured)).groupBy("level").agg(F.count("*").alias("utterances"), F.sum("n_clean").cast("long").alias("clean_words"), F.sum("n_events").alias("events"), F.sum("inserted").alias("inserted"), *sums)
+    """The four levels, each present even if empty, with its share of the eligible utterances. One pass over the utterances."""
+    counted = cells(measured)
+    names = ["utterances", "clean_words", "events", "inserted", *[f"n_{t}" for t in L.TYPES]]
+    by = with_level(counted, cuts_of(counted)).groupBy("level").agg(*[F.sum(c).cast("long").alias(c) for c in names])
     every = measured.sparkSession.range(4).select(F.col("id").cast("int").alias("level"))
     full = every.join(F.broadcast(by), "level", "left").fillna(0)  # at most four rows
-    total = full.agg(F.sum("utterances").alias("pool"))
-    full = full.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("pool") > 0, F.col("utterances") / F.col("pool")).otherwise(0.0))
+    total = F.sum("utterances").over(Window.partitionBy(F.lit(1)))
+    full = full.withColumn("pool", total).withColumn("share", F.when(F.col("pool") > 0, F.col("utterances") / F.col("pool")).otherwise(0.0))
     return with_rates(full).drop("pool")
 
 

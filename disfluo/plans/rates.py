@@ -75,9 +75,9 @@ def unigram_log_freq(spark, sf_dir):
 
 def split_summary(spark, sf_dir):
     """Pairs of each asked and measured level, and their events."""
-    m = measured(spark, sf_dir)
-    out = measure.with_level(measure.eligible(m), measure.percentile_cuts(m))
-    return out.groupBy("asked_level", "level").agg(F.count("*").alias("pairs"), F.sum("n_events").alias("events"))
+    counted = measure.cells(measured(spark, sf_dir), "asked_level")
+    out = measure.with_level(counted, measure.cuts_of(counted))
+    return out.groupBy("asked_level", "level").agg(F.sum("utterances").alias("pairs"), F.sum("events").alias("events"))
 
 
 W = "WITH " + corpus.CORPUS_SQL
