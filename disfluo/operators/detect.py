@@ -22,7 +22,7 @@ _NOTE = T.StructType([T.StructField("type", T.StringType()), *[T.StructField(n,
 DETECTED = T.StructType([T.StructField("alignment", T.ArrayType(T.IntegerType())), T.StructField("annotations", T.ArrayType(_NOTE)), T.StructField("dropped", T.ArrayType(T.StringType()))])
 
 _BY_LENGTH = sorted((tuple(p.split()) for p, _ in L.FILLERS), key=len, reverse=True)
-_EDITING = sorted((tuple(p.split()) for p in L.INTERREGNA), key=len, reverse=True)
+EDITING = sorted((tuple(p.split()) for p in L.INTERREGNA), key=len, reverse=True)
 
 
 def edge_phrase(run: tuple, at_end: bool) -> int:
@@ -49,7 +49,7 @@ def peel(run: tuple) -> tuple[list[tuple[int, int]], int, int]:
 
 
 def editing_phrase(run: tuple) -> tuple[int, int] | None:
-    return next(((i, i + len(p)) for p in _EDITING for i in range(len(run) - len(p) + 1) if run[i : i + len(p)] == p), None)
+    return next(((i, i + len(p)) for p in EDITING for i in range(len(run) - len(p) + 1) if run[i : i + len(p)] == p), None)
 
 
 def core_type(out: tuple, a: int, b: int, clean_index: int) -> str:

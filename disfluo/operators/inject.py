@@ -1,14 +1,18 @@
 """The rule injector: a script rendered as disfluent speech at given rates, with its annotations.
 
-Planning is a greedy choice of places that never overlap, so it runs as a vectorised function with a generator seeded from
-the row's own id: the same row gets the same speech under any partitioning.
+Every place of a script gets a row of numbers in [0, 1) from a generator seeded by the row's own id, so the same row gets the
+same speech under any partitioning. The numbers rank the places for each kind of event and settle what an event at a place
+would look like; a kind takes its best places, as many as its rate asks for, passing over those that an earlier kind holds.
+That choice is sequential within a row, so it runs as a vectorised function; nothing crosses rows.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,165 +35,170 @@ class Rates:
     false_start: float = 0.0
 
 
-def draw_count(rate: float, n: int, rng: random.Random) -> int:
-    """A count whose expectation is rate * n / 100: its whole part, and one more with the rest's probability."""
-    if rate <= 0 or n <= 0:
-        return 0
-    whole, rest = divmod(rate * n / 100.0, 1)
-    return int(whole) + (rng.random() < rest)
+class Event(NamedTuple):
+    """What is said at a place that it would not be without the event; it holds the words from there to past."""
 
-
-def alternative(word: str, rng: random.Random) -> str | None:
-    """A wrong word of the same kind: another of its group, or a nearby number."""
-    key = word.strip(L.STRIP).lower()
-    if key in L.SWAPS:
-        return rng.choice([w for w in L.SWAPS[key] if w != key])
-    if key.isascii() and key.isdigit():
-        return str(rng.choice([m for d in (1, 2, 3, 10) for m in (int(key) - d, int(key) + d) if m > 0]))
-    return None
+    kind: str
+    at: int
+    past: int
+    wrong: tuple[str, ...] = ()
+    edit: tuple[str, ...] = ()
+    late: int = 0  # words after which the correction follows
 
 
-class _Plan:
-    """What goes before each place of the script: (type, words before, editing words, places corrected), and which correction is late."""
+# Columns of a place's numbers.
+REPAIR, SPAN, LENGTH, DROP, WORD, LATE, EDIT, PHRASE, TWICE, AGAIN, FILL, RESTART = range(12)
 
-    def __init__(self, raw: list[str], said: list[str], rng: random.Random):
-        self.raw, self.said, self.rng, self.n = raw, said, rng, len(raw)
-        self.taken: set[int] = set()
-        self.restarts: dict[int, list[str]] = {}
-        self.edits: dict[int, tuple] = {}
-        self.fillers: dict[int, list[str]] = {}
 
-    def free(self, a: int, b: int) -> bool:
-        return self.taken.isdisjoint(range(a, b))
+def count_for(rate: float, n: int, u: float) -> int:
+    """A count whose expectation is rate * n / 100: the whole part, and one more with the rest's probability."""
+    expected = max(0.0, rate * n / 100.0)
+    return int(expected) + (u < expected % 1)
 
-    def content(self, p: int) -> bool:
-        w = self.raw[p].strip(L.STRIP).lower()
-        return len(w) > 3 and w not in L.STOPWORD_SET
 
-    def onset(self, p: int) -> bool:
-        return p == 0 or self.raw[p - 1].rstrip(L.AFTER_CLAUSE).endswith((",", ";", ":"))
+def pick(options: Iterable, u: float):
+    options = list(options)
+    return options[int(u * len(options))]
 
-    def swappable(self, p: int) -> bool:
-        w = self.raw[p].strip(L.STRIP).lower()
-        return w in L.SWAPS or (w.isascii() and w.isdigit())
 
-    def edit_words(self, always: bool = False) -> list[str]:
-        return self.rng.choice(L.INTERREGNA).split() if self.rng.random() < L.SHAPE["interregnum"] or always else []
-
-    def restart(self) -> bool:
-        places = [p for p in range(max(1, self.n - 3)) if self.onset(p) and self.free(p, min(p + 3, self.n))]
-        if not places:
-            return False
-        late = len(places) > 1 and self.rng.random() < L.SHAPE["midsentence"]
-        at = self.rng.choice(places[1:]) if late else places[0]
-        here = " ".join(w.strip(L.STRIP).lower() for w in self.raw[at : at + 2])
-        self.restarts[at] = self.rng.choice([f for f in L.FRAGMENTS if f != here]).split()
-        self.taken.update(range(at, min(at + 3, self.n)))
-        return True
-
-    def wrong_span(self, p: int, length: int, may_drop: bool) -> list[str] | None:
-        """A first attempt at a span: one of its later words missing, or one of its words wrong."""
-        span = self.said[p : p + length]
-        if may_drop:
-            k = self.rng.randrange(1, length)
-            return span[:k] + span[k + 1 :]
-        swaps = [k for k in range(length) if self.swappable(p + k)]
-        if not swaps:
+def alternatives(word: str) -> list[str]:
+    """Wrong words of the same kind: the others of its group, or nearby numbers."""
+    key = word.strip(L.STRIP).lower()
+    if key in L.SWAPS:
+        return [w for w in L.SWAPS[key] if w != key]
+    if key.isascii() and key.isdigit():
+        return [str(m) for d in (1, 2, 3, 10) for m in (int(key) - d, int(key) + d) if m > 0]
+    return []
+
+
+class Script:
+    """A script's words as written and as spoken, with what may happen at each place."""
+
+    def __init__(self, raw: list[str], said: list[str], numbers: list[list[float]]):
+        self.raw, self.said, self.u, self.n = raw, said, numbers, len(raw)
+        self.other = [alternatives(w) for w in raw]
+        bare = [w.strip(L.STRIP).lower() for w in raw]
+        self.content = [len(w) > 3 and w not in L.STOPWORD_SET for w in bare]
+        self.onset = [p == 0 or raw[p - 1].rstrip(L.AFTER_CLAUSE).endswith((",", ";", ":")) for p in range(self.n)]
+        self.bare = bare
+
+    def ranked(self, column: int, places: Iterable[int]) -> list[int]:
+        return sorted(places, key=lambda p: self.u[p][column])
+
+    def edit(self, p: int, always: bool = False) -> tuple[str, ...]:
+        return tuple(pick(L.INTERREGNA, self.u[p][PHRASE]).split()) if always or self.u[p][EDIT] < L.SHAPE["interregnum"] else ()
+
+    def restarts(self) -> list[int]:
+        """Clause starts with three words after them; the sentence's start first, or one place later where the speech breaks off midway."""
+        inner = self.ranked(RESTART, (p for p in range(1, self.n - 3) if self.onset[p]))
+        first = 1 if inner and self.u[0][RESTART] < L.SHAPE["midsentence"] else 0
+        return [*inner[:first], 0, *inner[first:]]
+
+    def restart(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
+        begun = self.bare[p : p + 2]
+        past = min(p + 3, self.n)
+        return Event("false_start", p, past, tuple(pick((f for f in L.FRAGMENTS if f.split() != begun), self.u[p][WORD]).split())) if free(p, past) else None
+
+    def repairs(self) -> list[int]:
+        near = lambda p: p < self.n - 1 and any(self.content[p : p + 3])
+        return self.ranked(REPAIR, (p for p in range(self.n) if self.other[p] or near(p)))
+
+    def repair(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
+        u = self.u[p]
+        spans = [k for k in range(2, L.MAX_SPAN + 1) if p + k <= self.n and free(p, p + k)] if u[SPAN] < L.SHAPE["span"] else []
+        for k in spans[:: 1 if u[LENGTH] < 0.5 else -1]:
+            wrong = self.without_one(p, k) if u[DROP] < L.SHAPE["span_drop"] else self.with_other(p, k)
+            if wrong:
+                return Event("repair", p, p + k, wrong, self.edit(p))
+        if not self.other[p]:
+            return Event("repair", p, p + 2, self.without_one(p, 2), self.edit(p)) if free(p, p + 2) else None
+        if not free(p, p + 1):
             return None
-        k = self.rng.choice(swaps)
-        return [*span[:k], alternative(self.raw[p + k], self.rng), *span[k + 1 :]]
+        late = [d for d in range(2, L.MAX_DELAY + 1) if p + d < self.n and free(p, p + d + 1)] if u[LATE] < L.SHAPE["delayed"] else []
+        d = pick(late, u[LENGTH]) if late else 0
+        return Event("repair", p, p + d + 1, (pick(self.other[p], u[WORD]),), self.edit(p, always=d > 0), d)
 
-    def put_span(self, p: int, length: int, wrong: list[str]) -> None:
-        self.edits[p] = ("repair", wrong, self.edit_words(), length, 0)
-        self.taken.update(range(p, p + length))
+    def without_one(self, p: int, k: int) -> tuple[str, ...]:
+        gone = pick(range(1, k), self.u[p][WORD])
+        return tuple(w for j, w in enumerate(self.said[p : p + k]) if j != gone)
 
-    def repair(self) -> bool:
-        places = [p for p in range(self.n) if p not in self.taken and (self.swappable(p) or (p < self.n - 1 and any(self.content(q) for q in range(p, min(p + 3, self.n)))))]
-        if not places:
-            return False
-        p = self.rng.choice(places)
-        if self.rng.random() < L.SHAPE["span"]:
-            lengths = list(range(2, min(L.MAX_SPAN, self.n - p) + 1))
-            self.rng.shuffle(lengths)
-            for length in lengths:
-                if self.free(p, p + length) and (wrong := self.wrong_span(p, length, self.rng.random() < L.SHAPE["span_drop"])):
-                    self.put_span(p, length, wrong)
-                    return True
-        if not self.swappable(p):
-            if p + 2 <= self.n and self.free(p, p + 2):
-                self.put_span(p, 2, self.wrong_span(p, 2, True))
-            return True
-        wrong, edit, delay = alternative(self.raw[p], self.rng), self.edit_words(), 0
-        if self.rng.random() < L.SHAPE["delayed"]:
-            delays = [d for d in range(2, min(L.MAX_DELAY, self.n - p - 1) + 1) if self.free(p, p + d + 1)]
-            delay = self.rng.choice(delays) if delays else 0
-        self.edits[p] = ("repair", [wrong], edit or (self.edit_words(True) if delay else []), 1, delay)
-        self.taken.update(range(p, p + delay + 1))
-        return True
-
-    def repetition(self) -> bool:
-        length = 2 if self.n >= 5 and self.rng.random() < L.SHAPE["bigram"] else 1
-        places = [p for p in range(self.n - length + 1) if self.free(p, p + length)]
+    def with_other(self, p: int, k: int) -> tuple[str, ...]:
+        places = [q for q in range(p, p + k) if self.other[q]]
         if not places:
-            return False
-        p = self.rng.choice(places)
-        self.edits[p] = ("repetition", self.said[p : p + length], [], length, 0)
-        self.taken.update(range(p, p + length))
-        return True
+            return ()
+        q = pick(places, self.u[p][WORD])
+        return (*self.said[p:q], pick(self.other[q], self.u[q][PHRASE]), *self.said[q + 1 : p + k])
+
+    def repetition(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
+        past = p + (2 if self.n >= 5 and self.u[p][TWICE] < L.SHAPE["bigram"] else 1)
+        return Event("repetition", p, past, tuple(self.said[p:past])) if past <= self.n and free(p, past) else None
+
+    def filler(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
+        """A filled pause, at an onset or before a content word; not beside a word that could be one. It holds no word."""
+        beside = L.FILLER_WORDS.intersection(self.said[max(0, p - 1) : p + 2])
+        if beside or not (self.onset[p] or self.content[p]) or not free(p, p + 1):
+            return None
+        left = self.u[p][WORD] * sum(w for _, w in L.FILLERS)
+        for phrase, weight in L.FILLERS:
+            left -= weight
+            if left < 0:
+                break
+        return Event("filler", p, p, edit=tuple(phrase.split()))
+
+    def plan(self, rates: Rates) -> list[Event]:
+        """The events of a rendering, by place; kinds that hold more words choose first."""
+        held, events = [False] * self.n, []
+        free = lambda a, b: not any(held[a:b])
+        steps = (
+            ("false_start", 6, self.restarts, self.restart), ("repair", 1, self.repairs, self.repair),
+            ("repetition", 3, lambda: self.ranked(AGAIN, range(self.n)), self.repetition), ("filler", 1, lambda: self.ranked(FILL, range(self.n)), self.filler),
+        )
+        for k, (kind, least, places, event) in enumerate(steps):
+            want = count_for(getattr(rates, kind), self.n, self.u[self.n][k]) if self.n >= least else 0
+            for p in places() if want else ():
+                if want and (e := event(p, free)):
+                    held[e.at : e.past] = [True] * (e.past - e.at)
+                    events.append(e)
+                    want -= 1
+        return sorted(events, key=lambda e: (e.at, e.kind != "false_start", e.kind != "filler"))
+
+
+def render(said: list[str], events: list[Event]) -> dict:
+    """Spoken words, alignment and annotations of a script with its events."""
+    out: list[tuple[str, int | None]] = []
+    notes: list[dict] = []
 
-    def fill(self, count: int) -> None:
-        clash = lambda p: any(w in L.FILLER_WORDS for w in self.said[max(0, p - 1) : p + 2])
-        places = [p for p in range(self.n) if p not in self.taken and not clash(p) and (self.onset(p) or self.content(p))]
-        self.rng.shuffle(places)
-        for p in places[:count]:
-            self.fillers[p] = self.rng.choices([f for f, _ in L.FILLERS], [w for _, w in L.FILLERS])[0].split()
+    def say(words: Iterable[str], source: int | None = None) -> dict | None:
+        start = len(out)
+        out.extend((w, source) for w in words)
+        return {"start": start, "end": len(out)} if len(out) > start else None
+
+    waiting: dict[int, tuple[Event, dict]] = {}
+    for i, word in enumerate(said):
+        held_back = False
+        for e in (e for e in events if e.at == i):
+            wrong = say(e.wrong)
+            if e.late:
+                waiting[i + e.late], held_back = (e, wrong), True
+                continue
+            edit = say(e.edit)
+            ahead = {"filler": 0, "false_start": min(3, len(said) - i)}.get(e.kind, e.past - e.at)
+            notes.append({"type": e.kind, "reparandum": wrong, "interregnum": edit, "repair": {"start": len(out), "end": len(out) + ahead} if ahead else None})
+        if not held_back:
+            say([word], i)
+        if i in waiting:  # the correction comes a few words later
+            e, wrong = waiting.pop(i)
+            edit = say(e.edit)
+            notes.append({"type": e.kind, "reparandum": wrong, "interregnum": edit, "repair": say([said[e.at]], e.at)})
+    return {"disfluent_tokens": [w for w, _ in out], "alignment": [i for _, i in out], "annotations": sorted(notes, key=first_place)}
 
 
 def inject(raw: list[str], said: list[str], rates: Rates, seed: int) -> dict:
     """Spoken words, alignment and annotations of one script."""
-    rng = random.Random(seed)
-    plan, n = _Plan(raw, said, rng), len(raw)
-    for kind, act, least in (("false_start", plan.restart, 6), ("repair", plan.repair, 1), ("repetition", plan.repetition, 3)):
-        if n >= least:
-            for _ in range(draw_count(getattr(rates, kind), n, rng)):
-                if not act():
-                    break
-    plan.fill(draw_count(rates.filler, n, rng))
-    out: list[str] = []
-    align: list[int | None] = []
-    notes: list[dict] = []
-    late: dict[int, tuple] = {}
-
-    def say(words: list[str], source: int | None = None) -> dict | None:
-        start = len(out)
-        out.extend(words)
-        align.extend([source] * len(words))
-        return {"start": start, "end": len(out)} if words else None
-
-    def ahead(k: int) -> dict:
-        return {"start": len(out), "end": len(out) + k}
-
-    for i in range(n):
-        if i in plan.restarts:
-            rep = say(plan.restarts[i])
-            notes.append({"type": "false_start", "reparandum": rep, "interregnum": None, "repair": ahead(min(3, n - i))})
-        if i in plan.fillers:
-            notes.append({"type": "filler", "reparandum": None, "interregnum": say(plan.fillers[i]), "repair": None})
-        kind, wrong, edit, length, delay = plan.edits.get(i, (None, [], [], 0, 0))
-        if kind:
-            rep = say(wrong)
-            if delay:
-                late[i + delay] = (i, rep, edit)
-            else:
-                inter = say(edit)
-                notes.append({"type": kind, "reparandum": rep, "interregnum": inter, "repair": ahead(length)})
-        if not delay:
-            say([said[i]], i)
-        if i in late:  # the correction comes a few words later
-            at, rep, edit = late.pop(i)
-            inter = say(edit)
-            notes.append({"type": "repair", "reparandum": rep, "interregnum": inter, "repair": say([said[at]], at)})
-    return {"disfluent_tokens": out, "alignment": align, "annotations": sorted(notes, key=first_place)}
+    if rates == Rates():
+        return render(said, [])
+    numbers = np.random.default_rng(seed % (1 << 63)).random((len(raw) + 1, 12)).tolist()
+    return render(said, Script(raw, said, numbers).plan(rates))
 
 
 def spoken_by_rules(scripts: DataFrame, dial: dict[int, Rates], seed: int = 13, level: str = "asked_level", key: str = "utt_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from disfluo.functions import lexicon as L
 from disfluo.functions.text import spoken_text
 from disfluo.operators import corpus, detect, evaluate, inject, measure
+from disfluo.plans.detect_sql import CONFUSION_SQL, DETECT_SQL, PAIRS_SQL, RECORDS_SQL
 from disfluo.plans.rates import SUMS_SQL, UNI_SQL, W, measured, rates_sql, said
 from disfluo.plans.texts import CLAUSE, CONTENT, NORM, WORDS_ONLY
 
@@ -199,6 +200,7 @@ _TARGET = "CASE asked_level " + " ".join(f"WHEN {k} THEN CAST({round(100.0 * (r[
 _RUN = f"run AS (SELECT asked_level, utterances, clean_words, events, total_rate, {_TARGET} AS target FROM (SELECT asked_level, count(*) AS utterances, CAST(sum(n_clean) AS BIGINT) AS clean_words, CAST(sum(n_events) AS BIGINT) AS events, sum(n_events) * (100.0 / CAST(sum(n_clean) AS DOUBLE)) AS total_rate FROM ms GROUP BY asked_level))"
 _GOLD = f"""rec AS (SELECT utt_id, asked_level, CAST(row_number() OVER (PARTITION BY utt_id ORDER BY i) - 1 AS INTEGER) AS k, type, CAST(coalesce(int_e, rep_e) - coalesce(rep_s, int_s) AS INTEGER) AS length, CAST(i AS INTEGER) AS clean_index, i / CAST(n_clean AS DOUBLE) AS relative,
 {NORM("clean_tokens[i + 1]")} AS next_word, {CONTENT("clean_tokens[i + 1]")} AS next_is_content, i = 0 OR coalesce({CLAUSE("clean_tokens[i]")}, false) AS at_onset FROM ann JOIN (SELECT utt_id, clean_tokens FROM scripts) USING (utt_id))"""
+_FOUND = f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS_SQL}, {DETECT_SQL}"
 _FLOOR = "(SELECT coalesce(min(log_freq), -6.0) FROM uni)"
 _PLACE = f"""pl AS (SELECT asked_level, count(*) AS n, round(avg(CAST(at_onset AS INTEGER)), 9) AS at_clause_onset, round(avg(CAST(next_is_content AS INTEGER)), 9) AS before_content_word,
 round(coalesce(avg(coalesce(log_freq, {_FLOOR})) FILTER (next_word <> ''), 0.0), 9) AS mean_next_log_freq, count(*) FILTER (NOT at_onset) AS n_mid_clause,
@@ -234,5 +236,17 @@ sum(len(string_split(y, ' ')) - len(string_split(x, ' '))) / CAST(sum(len(string
     "recovery_inverse": f"{W} SELECT count(*) AS n, CAST(1.0 AS DOUBLE) AS exact_match, CAST(1.0 AS DOUBLE) AS words_only_match, CAST(0.0 AS DOUBLE) AS wer_words_only FROM utt",
     "surprisal_windows": f"{W}, {UNI_SQL}, {_WINDOWS} SELECT utt_id, k, pos, round(data, 9) AS data, round(control, 9) AS control FROM sw",
     "surprisal_effect": f"{W}, {UNI_SQL}, {_WINDOWS} SELECT pos, count(*) AS n, round(avg(data), 8) AS data, round(avg(control), 8) AS control, round(avg(data - control), 8) AS effect FROM sw GROUP BY pos",
+    "detect_events": f"""{_FOUND}, c AS (SELECT utt_id, {", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in L.TYPES)} FROM found GROUP BY utt_id)
+SELECT utt_id, CAST(len(a) AS INTEGER) AS clean_words, CAST(len(b) AS INTEGER) AS spoken_words, CAST(dropped AS INTEGER) AS n_dropped, {", ".join(f"CAST(coalesce(n_{t}, 0) AS INTEGER) AS n_{t}" for t in L.TYPES)} FROM pairs JOIN lost USING (utt_id) LEFT JOIN c USING (utt_id)""",
+    "trace_rows": f"{_FOUND} SELECT utt_id, CAST(k AS INTEGER) AS k, type, first AS position, CAST(at_word AS INTEGER) AS before_clean_word, array_to_string(b[first + 1 : past], ' ') AS words FROM found",
+    "insertion_records": f"{_FOUND}, {RECORDS_SQL} SELECT * FROM frec",
+    "fidelity": f"""{_FOUND} SELECT asked_level, count(*) AS sentences, CAST(sum(len(a)) AS BIGINT) AS clean_words, CAST(sum(dropped) AS BIGINT) AS dropped, count(*) FILTER (dropped > 0) AS sentences_with_drop,
+1 - sum(dropped) / CAST(sum(len(a)) AS DOUBLE) AS kept FROM pairs JOIN lost USING (utt_id) GROUP BY asked_level""",
+    "detector_confusion": f"{_FOUND}, {CONFUSION_SQL} SELECT gold, found, n FROM cells",
+    "detector_check": f"""{_FOUND}, {CONFUSION_SQL}, t AS (SELECT coalesce(sum(n) FILTER (gold <> 'none'), 0) AS gold, coalesce(sum(n) FILTER (found <> 'none'), 0) AS detected, coalesce(sum(n) FILTER (gold <> 'none' AND found <> 'none'), 0) AS matched,
+coalesce(sum(n) FILTER (gold <> 'none' AND gold = found), 0) AS right_ FROM cells) SELECT CAST(gold AS BIGINT) AS gold, CAST(detected AS BIGINT) AS detected, CAST(matched AS BIGINT) AS matched, {", ".join(f"CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0.0 END AS {n}" for a, b, n in (("matched", "gold", "recall"), ("matched", "detected", "precision"), ("right_", "matched", "type_accuracy_of_matched"), ("right_", "gold", "type_accuracy_of_gold")))} FROM t""",
+    "detector_type_mix": f"""{_FOUND}, d AS (SELECT utt_id, {", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in L.TYPES)}, count(*) AS n_events, sum(past - first) AS inserted FROM found GROUP BY utt_id),
+v AS (SELECT asked_level, 'gold' AS view, n_clean, n_events, inserted, {", ".join(f"n_{t}" for t in L.TYPES)} FROM ms UNION ALL SELECT asked_level, 'detected', len(a), coalesce(n_events, 0), coalesce(inserted, 0), {", ".join(f"coalesce(n_{t}, 0)" for t in L.TYPES)} FROM pairs LEFT JOIN d USING (utt_id)),
+g AS (SELECT asked_level, view, {SUMS_SQL} FROM v GROUP BY ALL) {rates_sql("g", "asked_level, view,")}""",
     "level_zero_speech": f"{W} SELECT count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM scripts",
 }

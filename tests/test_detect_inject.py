@@ -1,30 +1,40 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from disfluo.operators import detect as D
 from disfluo.operators import evaluate, inject
 from disfluo.plans.evaluation import RULES
 
-BASE = "send the quarterly report to sarah before friday".split()
+SCRIPT = "please carry both green boxes upstairs after lunch".split()
+
+
+def said_with(at: int, words: str, *more: tuple[int, str]) -> list[str]:
+    """The script with words put in before the places given."""
+    out = list(SCRIPT)
+    for place, extra in sorted([(at, words), *more], reverse=True):
+        out[place:place] = extra.split()
+    return out
 
 
 @pytest.mark.parametrize("said, types, dropped", [
-    ("send the uh quarterly report to sarah before friday", ["filler"], []),
-    ("send the you know quarterly report to sarah before friday", ["filler"], []),
-    ("send the the quarterly report to sarah before friday", ["repetition"], []),
-    ("send the quarterly send the quarterly report to sarah before friday", ["repetition"], []),
-    ("send the quarterly report to john no wait sarah before friday", ["repair"], []),
-    ("send the quarterly report to john sarah before friday", ["repair"], []),
-    ("can you send the quarterly report to sarah before friday", ["false_start"], []),
-    ("send the quarterly report to uh john no wait sarah before friday", ["filler", "repair"], []),
-    ("send the report to sarah before friday", [], ["quarterly"]),
-    ("send the annual report to sarah before friday", ["repair"], ["quarterly"]),
-    ("send the uh you know quarterly report to sarah before friday", ["filler", "filler"], []),
+    (said_with(3, "um"), ["filler"], []),
+    (said_with(5, "i mean"), ["filler"], []),
+    (said_with(2, "oh like"), ["filler", "filler"], []),
+    (said_with(6, "after"), ["repetition"], []),
+    (said_with(1, "carry both"), ["repetition"], []),
+    (said_with(5, "downstairs or rather"), ["repair"], []),
+    (said_with(3, "grey"), ["repair"], []),
+    (said_with(0, "let me"), ["false_start"], []),
+    (said_with(4, "well bags sorry"), ["filler", "repair"], []),
+    (said_with(2, "um", (6, "after")), ["filler", "repetition"], []),
+    ([w for w in SCRIPT if w != "green"], [], ["green"]),
+    (["old" if w == "green" else w for w in SCRIPT], ["repair"], ["green"]),
 ])
 def test_types(said, types, dropped):
-    r = D.detect(BASE, said.split())
+    r = D.detect(SCRIPT, said)
     assert [a["type"] for a in r["annotations"]] == types and r["dropped"] == dropped
 
 
@@ -37,7 +47,7 @@ def test_alignment_is_the_longest_block_first_one():
         assert {(i, j) for j, i in enumerate(D.detect(clean, out)["alignment"]) if i is not None} == pairs
 
 
-SENTENCES = ["Send the quarterly report to Sarah before Friday, and call the office.", "The red draft has twelve pages; please read the first four tonight.", "We walked north along the river until the old bridge came into view again."]
+SENTENCES = ["Mail the monthly invoice to Omar before Tuesday, and then phone the studio.", "Her blue folder holds forty letters; please sort the second half tonight.", "They drove south past the harbour until a narrow lane came into sight."]
 
 
 def injected(seed, sentence, rates=RULES[3]):
@@ -49,7 +59,7 @@ def injected(seed, sentence, rates=RULES[3]):
 def test_injection_inverts_and_never_overlaps():
     for seed in range(300):
         said, r = injected(seed, SENTENCES[seed % 3])
-        assert [w for w, a in zip(r["disfluent_tokens"], r["alignment"]) if a is not None] != [] and sorted(a for a in r["alignment"] if a is not None) == list(range(len(said)))
+        assert sorted(a for a in r["alignment"] if a is not None) == list(range(len(said)))
         assert all(r["disfluent_tokens"][j] == said[a] for j, a in enumerate(r["alignment"]) if a is not None)
         gone = [i for a in r["annotations"] for k in ("reparandum", "interregnum") if a[k] for i in range(a[k]["start"], a[k]["end"])]
         assert len(gone) == len(set(gone)) and set(gone) == {j for j, a in enumerate(r["alignment"]) if a is None}
@@ -63,8 +73,33 @@ def test_same_seed_same_speech_and_level_zero_is_clean():
 
 def test_expected_counts():
     rng = random.Random(3)
-    assert abs(sum(inject.draw_count(3.0, 12, rng) for _ in range(20000)) / 20000 - 0.36) < 0.02
-    assert inject.draw_count(0, 10, rng) == inject.draw_count(5, 0, rng) == 0
+    assert abs(sum(inject.count_for(3.0, 12, rng.random()) for _ in range(20000)) / 20000 - 0.36) < 0.02
+    assert inject.count_for(0, 10, 0.0) == inject.count_for(5, 0, 0.0) == inject.count_for(-1, 10, 0.0) == 0
+
+
+def test_shares_of_each_shape():
+    """Over many renderings the shares that are published hold: editing phrases, two-word repetitions, spans, late corrections, filler words."""
+    notes = [(a, r) for seed in range(6000) for _, r in [injected(seed, SENTENCES[seed % 3], inject.Rates(repair=8.0, repetition=8.0, filler=8.0))] for a in r["annotations"]]
+    size = lambda s: s["end"] - s["start"] if s else 0
+    repairs = [a for a, _ in notes if a["type"] == "repair"]
+    late = [a for a in repairs if a["repair"]["start"] - (a["interregnum"] or a["reparandum"])["end"] == 0 and a["interregnum"] and a["interregnum"]["start"] > a["reparandum"]["end"]]
+    assert 0.15 < np.mean([a["interregnum"] is not None for a in repairs]) < 0.30 and late and len(late) < 0.15 * len(repairs)
+    assert 0.10 < np.mean([size(a["reparandum"]) == 2 for a, _ in notes if a["type"] == "repetition"]) < 0.22
+    assert {size(a["reparandum"]) for a in repairs} == {1, 2, 3}
+    words = [" ".join(r["disfluent_tokens"][a["interregnum"]["start"] : a["interregnum"]["end"]]) for a, r in notes if a["type"] == "filler"]
+    for phrase, weight in inject.L.FILLERS[:3]:
+        assert abs(np.mean([w == phrase for w in words]) - weight) < 0.02
+
+
+def test_restarts_break_off_where_they_may():
+    at = []
+    for seed in range(2000):
+        said, r = injected(seed, SENTENCES[0], inject.Rates(false_start=100 / 13))
+        (a,) = r["annotations"]
+        words = r["disfluent_tokens"][a["reparandum"]["start"] : a["reparandum"]["end"]]
+        assert " ".join(words) in inject.L.FRAGMENTS and a["repair"]["end"] - a["repair"]["start"] == 3
+        at.append(a["reparandum"]["start"])
+    assert set(at) == {0, 8} and 0.36 < np.mean([x > 0 for x in at]) < 0.44  # after the comma, or at the start
 
 
 def test_detector_finds_what_is_injected():
@@ -83,9 +118,9 @@ def test_assignment_is_one_to_one_and_in_order():
 
 
 def test_trace_and_confusion(spark):
-    pairs = spark.createDataFrame([(1, "Send the quarterly report.", "send the uh quarterly report"), (2, "Yes we can.", "yes we we can")], "utt_id long, clean string, spoken string")
+    pairs = spark.createDataFrame([(1, "Carry both boxes.", "carry um both boxes"), (2, "So it goes.", "so it it goes")], "utt_id long, clean string, spoken string")
     d = D.detected(pairs)
-    assert sorted(map(tuple, D.trace(d).select("utt_id", "type", "position", "before_clean_word", "words").collect())) == [(1, "filler", 2, 2, "uh"), (2, "repetition", 2, 2, "we")]
+    assert sorted(map(tuple, D.trace(d).select("utt_id", "type", "position", "before_clean_word", "words").collect())) == [(1, "filler", 1, 1, "um"), (2, "repetition", 2, 2, "it")]
     assert D.check(D.confusion(d, d)).first()["recall"] == 1.0
     assert evaluate.records(d.selectExpr("*", "0 as asked_level")).count() == 2
 
