@@ -91,6 +91,34 @@ def control_level(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "^<d([0-3])>", 1), F.lit("")).cast("int")
 
 
+def word_spans(text: Column) -> Column:
+    """Start and end, in characters, of the words between single spaces."""
+    pieces = F.split(text, " ")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def take(a: Column, w: Column) -> Column:
+        span = F.struct(a.at.alias("start"), (a.at + F.length(w)).alias("end"))
+        return F.struct((a.at + F.length(w) + 1).alias("at"), F.when(w == "", a.spans).otherwise(F.concat(a.spans, F.array(span))).alias("spans"))
+
+    return F.aggregate(pieces, begin, take, lambda a: a.spans)
+
+
+def fold_to_words(text: Column, spans: Column, scored: Column) -> Column:
+    """Sums, by word, of the bits of pieces (start, end, bits): a piece belongs to the last word that starts no later than the
+    piece's first character that is not white space; pieces of white space alone belong to none."""
+    inner = lambda p: F.substr(text, p.start + 1, p.end - p.start)
+    first = lambda p: p.start + F.length(inner(p)) - F.length(F.regexp_replace(inner(p), r"^\s+", ""))
+    placed = F.transform(F.filter(scored, lambda p: ~inner(p).rlike(r"^\s*$")), lambda p: F.struct((F.size(F.filter(spans, lambda s: s.start <= first(p))) - 1).alias("word"), p.bits.alias("bits")))
+    return F.transform(spans, lambda s, k: F.aggregate(F.filter(placed, lambda p: p.word == k), F.lit(0.0), lambda a, p: a + p.bits))
+
+
+def surprisal_bits(scores: Column, chosen: Column) -> Column:
+    """Bits of surprise at the chosen place of an array of unnormalised log scores."""
+    top = F.array_max(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return (F.ln(total) + top - F.get(scores, chosen)) / F.ln(F.lit(2.0))
+
+
 def has_ambiguous(words: Column) -> Column:
     return F.exists(words, lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()"))).isin(*L.AMBIGUOUS.split()))
 

@@ -9,6 +9,7 @@ on the event, the next eight on its words, the next eight on an editing phrase.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,14 +177,16 @@ def sql_digits(at: int) -> str:
 
 STRIP_SQL = L.STRIP.replace("'", "''")
 
-#: Common table expressions of the same corpus: scripts, ev (one row for each word), utt (one for each utterance), ann (one for each annotation).
-CORPUS_SQL = rf"""
+#: Common table expressions of the scripts.
+SCRIPTS_SQL = rf"""
 sl AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z"“])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS s FROM documents WHERE lang = 'en' AND text IS NOT NULL),
 sn AS (SELECT doc_id, unnest(s) AS raw, generate_subscripts(s, 1) - 1 AS pos FROM sl),
 sc AS (SELECT doc_id * 1000000 + pos AS utt_id, doc_id, trim(raw) AS clean FROM sn WHERE regexp_matches(trim(raw), '^[A-Z][A-Za-z0-9 ,.;:!?''-]*[.!?]$')),
 st AS (SELECT *, list_filter(string_split_regex(clean, '\s+'), lambda w: w <> '') AS clean_tokens FROM sc),
 scripts AS (SELECT *, CAST(len(clean_tokens) AS INTEGER) AS n_clean, CAST(floor({sql_uniform("'level'", "utt_id")} * 4) AS INTEGER) AS asked_level FROM st
-  WHERE len(clean_tokens) BETWEEN 5 AND 40 AND len(list_filter(clean_tokens, lambda w: NOT regexp_matches(w, '[0-9a-zA-Z]'))) = 0),
+  WHERE len(clean_tokens) BETWEEN 5 AND 40 AND len(list_filter(clean_tokens, lambda w: NOT regexp_matches(w, '[0-9a-zA-Z]'))) = 0)"""
+
+_SPOKEN_SQL = rf"""
 wd AS (SELECT utt_id, asked_level, n_clean, unnest(clean_tokens) AS word, generate_subscripts(clean_tokens, 1) - 1 AS i FROM scripts),
 du AS (SELECT *, lower(trim(translate(word, '{L.QUOTES}', ''), '{STRIP_SQL}')) AS own, {sql_digits(1)} AS u, {sql_digits(9)} AS v, {sql_digits(17)} AS w, {sql_uniform("'say'", "'start'", "utt_id")} AS b
   FROM (SELECT *, md5('say:' || utt_id || ':' || i) AS h FROM wd)),
@@ -204,3 +207,14 @@ ms AS (SELECT utt_id, asked_level, doc_id, n_clean, coalesce(f, 0) AS n_filler,
   coalesce(t, 0) * (100.0 / CAST(n_clean AS DOUBLE)) AS rate
   FROM scripts LEFT JOIN (SELECT utt_id, count(*) FILTER (type = 'filler') AS f, count(*) FILTER (type = 'repetition') AS r, count(*) FILTER (type = 'repair') AS p,
     count(*) FILTER (type = 'false_start') AS e, count(*) AS t, CAST(sum(coalesce(rep_e - rep_s, 0) + coalesce(int_e - int_s, 0)) AS BIGINT) AS ins FROM ann GROUP BY utt_id) USING (utt_id))"""
+
+
+def spoken_sql(tag: str = "", source: str = "scripts", seed: str = "say") -> str:
+    """Common table expressions of a spoken side of scripts: ev (one row for each word), utt (one for each utterance), ann (one
+    for each annotation) and ms (measures); with a tag after their names."""
+    named = re.sub(r"\b(wd|du|dk|dh|ev|ann|said|utt|ms)\b", rf"\1{tag}", _SPOKEN_SQL.replace("'say", f"'{seed}"))
+    return re.sub(r"\bscripts\b", source, named)
+
+
+#: The corpus: scripts with their spoken side.
+CORPUS_SQL = SCRIPTS_SQL + "," + spoken_sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from disfluo.functions import lexicon as L
-from disfluo.functions.text import ends_clause, is_content, normalise, tokens, words_only
+from disfluo.functions.text import ends_clause, is_content, normalise, spoken_form, tokens, words_only
 
 
 def deleted(a: Column) -> tuple[Column, Column]:
@@ -23,16 +23,16 @@ def boundary(a: Column) -> Column:
     return F.coalesce(a.interregnum.start, a.repair.start, a.reparandum.start)
 
 
-def records(utts: DataFrame) -> DataFrame:
+def records(utts: DataFrame, *keep: str) -> DataFrame:
     """One row for each annotation of a known type: where it stands in the script, and what follows it."""
-    e = utts.select("utt_id", "asked_level", "clean_tokens", "alignment", F.posexplode("annotations").alias("k", "a")).filter(F.col("a.type").isin(*L.TYPES))
+    e = utts.select(*keep, "utt_id", "asked_level", "clean_tokens", "alignment", F.posexplode("annotations").alias("k", "a")).filter(F.col("a.type").isin(*L.TYPES))
     start, end = deleted(F.col("a"))
     e = e.withColumn("start", start).withColumn("end", end).filter("start is not null")
     rest = F.filter(F.slice("alignment", F.col("end") + 1, F.greatest(F.size("alignment") - F.col("end"), F.lit(0))), lambda x: x.isNotNull())
     e = e.withColumn("clean_index", F.coalesce(F.get(rest, F.lit(0)), F.size("clean_tokens")))
     word, before = F.get("clean_tokens", F.col("clean_index")), F.get("clean_tokens", F.col("clean_index") - 1)
     return e.select(
-        "utt_id", "asked_level", "k", F.col("a.type").alias("type"), (F.col("end") - F.col("start")).alias("length"), "clean_index",
+        *keep, "utt_id", "asked_level", "k", F.col("a.type").alias("type"), (F.col("end") - F.col("start")).alias("length"), "clean_index",
         F.when(F.size("clean_tokens") > 0, F.col("clean_index") / F.size("clean_tokens")).otherwise(0.0).alias("relative"),
         F.coalesce(normalise(word), F.lit("")).alias("next_word"), F.coalesce(is_content(word), F.lit(False)).alias("next_is_content"),
         ((F.col("clean_index") == 0) | F.coalesce(ends_clause(before), F.lit(False))).alias("at_onset"),
@@ -58,32 +58,37 @@ def placement(recs: DataFrame, words: DataFrame, by: str = "asked_level", only:
     )
 
 
-def script_words(utts: DataFrame) -> DataFrame:
+def script_words(utts: DataFrame, *keep: str) -> DataFrame:
     """Every word of the scripts with its clause onset; the word before is read in the row, so no window is needed."""
-    w = utts.select("utt_id", "asked_level", F.explode(F.array(tokens(F.col("clean")))).alias("ws")).select("utt_id", "asked_level", "ws", F.posexplode("ws").alias("i", "token"))
+    w = utts.select(*keep, "utt_id", "asked_level", F.explode(F.array(tokens(F.col("clean")))).alias("ws")).select(*keep, "utt_id", "asked_level", "ws", F.posexplode("ws").alias("i", "token"))
     onset = (F.col("i") == 0) | F.coalesce(ends_clause(F.get("ws", F.col("i") - 1)), F.lit(False))
-    return w.select("utt_id", "asked_level", "i", "token", onset.alias("at_onset"), is_content(F.col("token")).alias("content"), normalise(F.col("token")).alias("word"))
+    return w.select(*keep, "utt_id", "asked_level", "i", "token", onset.alias("at_onset"), is_content(F.col("token")).alias("content"), normalise(F.col("token")).alias("word"))
 
 
 def placement_baseline(utts: DataFrame, words: DataFrame, by: str = "asked_level") -> DataFrame:
     """The same numbers for a random word of the same scripts."""
-    rows = with_frequency(script_words(utts), words, "word")
+    rows = with_frequency(script_words(utts, *({by} - {"asked_level"})), words, "word")
     return rows.groupBy(by).agg(
         F.count("*").alias("n"), F.avg(F.col("at_onset").cast("int")).alias("at_clause_onset"), F.avg(F.col("content").cast("int")).alias("before_content_word"), F.avg("log_freq").alias("mean_next_log_freq"),
         F.count_if(~F.col("at_onset")).alias("n_mid_clause"), F.coalesce(F.avg(F.when(~F.col("at_onset"), F.col("log_freq"))), F.lit(0.0)).alias("mid_clause_next_log_freq"),
     )
 
 
-def mix_divergence(run: DataFrame, reference: DataFrame, eps: float = 1e-3) -> DataFrame:
-    """Bits of divergence of each row's type mix from the reference row's, of which alone the cells are smoothed."""
-    ref = F.broadcast(reference.select(*[F.col(f"mix_{t}").alias(f"ref_{t}") for t in L.TYPES]))
+def divergence_bits(eps: float = 1e-3) -> Column:
+    """Bits of divergence of mix_* from ref_*, of which alone the cells are smoothed."""
     p = sum((F.col(f"mix_{t}") for t in L.TYPES[1:]), F.col(f"mix_{L.TYPES[0]}"))
     q = sum((F.col(f"ref_{t}") + eps for t in L.TYPES[1:]), F.col(f"ref_{L.TYPES[0]}") + eps)
     out = F.lit(0.0)
     for t in L.TYPES:
         pi = F.col(f"mix_{t}") / F.when(p > 0, p).otherwise(1.0)
         out = out + F.when(pi > 0, pi * F.log2(pi / ((F.col(f"ref_{t}") + eps) / q))).otherwise(0.0)
-    return run.crossJoin(ref).withColumn("kl_bits", out).drop(*[f"ref_{t}" for t in L.TYPES])
+    return out
+
+
+def mix_divergence(run: DataFrame, reference: DataFrame, eps: float = 1e-3) -> DataFrame:
+    """Bits of divergence of each row's type mix from the reference row's."""
+    ref = F.broadcast(reference.select(*[F.col(f"mix_{t}").alias(f"ref_{t}") for t in L.TYPES]))
+    return run.crossJoin(ref).withColumn("kl_bits", divergence_bits(eps)).drop(*[f"ref_{t}" for t in L.TYPES])
 
 
 def unseen(utts: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -109,13 +114,16 @@ def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([distance(list(x), list(y)) for x, y in zip(a, b)])
 
 
-def recovery(pairs: DataFrame) -> DataFrame:
-    """One row from (original, recovered): exact matches, matches of words alone, and the corpus word error rate."""
+def recovery(pairs: DataFrame, *keys: str) -> DataFrame:
+    """From (original, recovered), for each group of the keys: exact matches, matches of words alone, and the corpus word error
+    rate. Only pairs whose words differ are measured word by word."""
     plain = lambda c: F.rtrim(F.array_join(tokens(F.col(c)), " "), F.lit(".!?"))
     words = lambda c: tokens(F.when(words_only(F.col(c)) == "", "@").otherwise(words_only(F.col(c))))
-    p = pairs.select((plain("original") == plain("recovered")).alias("exact"), words("original").alias("a"), words("recovered").alias("b"))
-    p = p.select("exact", (F.col("a") == F.col("b")).alias("same"), F.size("a").alias("n"), word_edits("a", "b").alias("edits"))
-    return p.agg(F.count("*").alias("n"), F.avg(F.col("exact").cast("int")).alias("exact_match"), F.avg(F.col("same").cast("int")).alias("words_only_match"), (F.sum("edits") / F.sum("n")).alias("wer_words_only"))
+    p = pairs.select(*keys, (plain("original") == plain("recovered")).alias("exact"), words("original").alias("a"), words("recovered").alias("b"))
+    p = p.withColumn("same", F.col("a") == F.col("b"))
+    differ = lambda c: F.when(F.col("same"), F.array().cast("array<string>")).otherwise(F.col(c))
+    p = p.select(*keys, "exact", "same", F.size("a").alias("n"), word_edits(differ("a"), differ("b")).alias("edits"))
+    return p.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("exact").cast("int")).alias("exact_match"), F.avg(F.col("same").cast("int")).alias("words_only_match"), (F.sum("edits") / F.sum("n")).alias("wer_words_only"))
 
 
 def without_disfluencies() -> Column:
@@ -124,42 +132,63 @@ def without_disfluencies() -> Column:
     return F.array_join(F.transform(places, lambda i: F.get("clean_tokens", i)), " ")
 
 
-def surprisal_windows(utts: DataFrame, words: DataFrame, reach: int = 5) -> DataFrame:
-    """(utt_id, k, pos, data, control): bits of each word around a repair's boundary on the spoken side, and around the
-    place it belongs to on the clean side, for repairs with a full window on both. Scored by a unigram model."""
+def repair_windows(utts: DataFrame, reach: int = 5) -> DataFrame:
+    """utt_id, k, clean_tokens, disfluent_tokens, and the boundary's place b on the spoken side and c on the clean side, of
+    repairs with a full window on both; the words before it must be the script's first ones."""
     e = utts.select("utt_id", "clean_tokens", "disfluent_tokens", "alignment", F.posexplode("annotations").alias("k", "a")).filter("a.type = 'repair'")
     e = e.withColumn("b", boundary(F.col("a")))
     before = F.array_distinct(F.filter(F.slice("alignment", F.lit(1), F.col("b")), lambda x: x.isNotNull()))
     size = F.size(before)
-    e = e.withColumn("c", F.when(size == 0, 0).when(F.array_max(before) == size - 1, size))  # the words before must be the script's first ones
-    e = e.filter(F.col("c").isNotNull() & (F.col("b") >= reach) & (F.col("b") + reach < F.size("disfluent_tokens")) & (F.col("c") >= reach) & (F.col("c") + reach < F.size("clean_tokens")))
-    e = e.select("utt_id", "k", "clean_tokens", "disfluent_tokens", "b", "c", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("pos"))
-    e = e.select("utt_id", "k", "pos", normalise(F.get("disfluent_tokens", F.col("b") + F.col("pos"))).alias("said"), normalise(F.get("clean_tokens", F.col("c") + F.col("pos"))).alias("meant"))
+    e = e.withColumn("c", F.when(size == 0, 0).when(F.array_max(before) == size - 1, size))
+    inside = lambda at, words: (F.col(at) >= reach) & (F.col(at) + reach < F.size(words))
+    return e.filter(F.col("c").isNotNull() & inside("b", "disfluent_tokens") & inside("c", "clean_tokens")).select("utt_id", "k", "clean_tokens", "disfluent_tokens", "b", "c")
+
+
+def surprisal_windows(utts: DataFrame, words: DataFrame, reach: int = 5) -> DataFrame:
+    """(utt_id, k, pos, data, control): bits of each word around a repair's boundary on the spoken side, and around the
+    place it belongs to on the clean side, scored by a unigram model; each word is looked up once for both."""
+    e = repair_windows(utts, reach).select("utt_id", "k", "clean_tokens", "disfluent_tokens", "b", "c", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("pos"))
+    said, meant = normalise(F.get("disfluent_tokens", F.col("b") + F.col("pos"))), normalise(F.get("clean_tokens", F.col("c") + F.col("pos")))
+    sides = F.array(F.struct(F.lit("data").alias("side"), said.alias("w")), F.struct(F.lit("control").alias("side"), meant.alias("w")))
+    rows = with_frequency(e.select("utt_id", "k", "pos", F.explode(sides).alias("x")).select("utt_id", "k", "pos", "x.side", "x.w"), words, "w")
     bits = -F.col("log_freq") * F.log2(F.lit(10.0))
-    e = with_frequency(e, words, "said").withColumn("data", bits).drop("log_freq")
-    return with_frequency(e, words, "meant").withColumn("control", bits).select("utt_id", "k", "pos", "data", "control")
+    of = lambda side: F.max(F.when(F.col("side") == side, bits)).alias(side)
+    return rows.groupBy("utt_id", "k", "pos").agg(of("data"), of("control"))
+
+
+def scored_windows(utts: DataFrame, score: Callable[[DataFrame], DataFrame], reach: int = 5) -> DataFrame:
+    """The same windows by any scorer of sentences: score adds ``bits``, one number for each word, to rows with a column text.
+
+    Each distinct sentence is scored once and joined back; windows beyond the words that the scorer reached are left out.
+    """
+    e = repair_windows(utts, reach).select("utt_id", "k", F.array_join("disfluent_tokens", " ").alias("said"), F.array_join(F.transform("clean_tokens", spoken_form), " ").alias("meant"), "b", "c")
+    scored = score(e.select(F.explode(F.array("said", "meant")).alias("text")).distinct()).select("text", "bits")
+    for side, at in (("said", "b"), ("meant", "c")):
+        e = e.join(scored.select(F.col("text").alias(side), F.col("bits").alias(side + "_bits")), side).filter(F.col(at) + reach < F.size(side + "_bits"))
+    e = e.select("utt_id", "k", "b", "c", "said_bits", "meant_bits", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("pos"))
+    return e.select("utt_id", "k", "pos", F.get("said_bits", F.col("b") + F.col("pos")).alias("data"), F.get("meant_bits", F.col("c") + F.col("pos")).alias("control"))
 
 
 def bootstrap(windows: DataFrame, draws: int = 500, seed: int = 13) -> DataFrame:
-    """Mean effect (data minus control) by position with a percentile interval; positions are few, their effects are drawn as counts.
+    """Mean effect (data minus control) by position with a percentile interval.
 
-    Each draw weighs every window by a Poisson(1) number made from a hash, so draws are sums that combine map-side and no
-    position's rows have to meet in one task.
+    Each draw weighs every window by a Poisson(1) number from a generator seeded by the window, the same at all its positions,
+    so draws are sums that combine map-side and no position's rows have to meet in one task.
     """
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                w = np.random.default_rng([seed, row.utt_id, row.k]).poisson(1.0, draws)
-                s = sums.setdefault(row.pos, np.zeros((2, draws + 1)))
-                s[0, :draws] += w * row.effect
-                s[1, :draws] += w
-                s[:, draws] += row.effect, 1
+            for utt, k, at, effects in zip(batch["utt_id"], batch["k"], batch["at"], batch["effects"]):
+                w = np.append(np.random.default_rng([seed, utt, k]).poisson(1.0, draws), 1)  # the last one is the mean itself
+                for pos, effect in zip(at, effects):
+                    s = sums.setdefault(int(pos), np.zeros((2, draws + 1)))
+                    s[0] += w * effect
+                    s[1] += w
         for pos, s in sums.items():
             yield pd.DataFrame({"pos": pos, "draw": np.arange(draws + 1), "x": s[0], "n": s[1]})
 
-    effect = windows.select("utt_id", "k", "pos", (F.col("data") - F.col("control")).alias("effect"))
+    effect = windows.groupBy("utt_id", "k").agg(F.collect_list("pos").alias("at"), F.collect_list(F.col("data") - F.col("control")).alias("effects"))  # a window's few positions
     total = effect.mapInPandas(weigh, "pos int, draw int, x double, n double").groupBy("pos", "draw").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     mean = F.col("x") / F.col("n")
     drawn = F.when((F.col("draw") < draws) & (F.col("n") > 0), mean)
@@ -167,3 +196,13 @@ def bootstrap(windows: DataFrame, draws: int = 500, seed: int = 13) -> DataFrame
         F.max(F.when(F.col("draw") == draws, F.col("n"))).cast("long").alias("n"), F.max(F.when(F.col("draw") == draws, mean)).alias("mean_effect"),
         F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"),
     )
+
+
+def effect_summary(by_position: DataFrame) -> DataFrame:
+    """One row from (pos, n, mean_effect[, low, high]): the position of the greatest absolute effect, the first of equal ones, its
+    effect, and the effect at the boundary, with their intervals if there are any; n is 0 and the rest null without windows."""
+    ends = [c for c in ("low", "high") if c in by_position.columns]
+    peak = F.max_by(F.struct("pos", "mean_effect", *ends), F.struct(F.abs("mean_effect"), -F.col("pos")))
+    at = lambda c: F.max(F.when(F.col("pos") == 0, F.col(c)))
+    out = by_position.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"), peak.alias("peak"), at("mean_effect").alias("effect_at_boundary"), *[at(c).alias(f"boundary_{c}") for c in ends])
+    return out.select("n", F.col("peak.pos").alias("peak_position"), F.col("peak.mean_effect").alias("peak_effect"), *[F.col(f"peak.{c}").alias(f"peak_{c}") for c in ends], "effect_at_boundary", *[f"boundary_{c}" for c in ends])

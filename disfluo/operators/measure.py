@@ -17,7 +17,7 @@ def span_length(s: Column) -> Column:
     return F.coalesce(s.end - s.start, F.lit(0))
 
 
-def measure(utts: DataFrame) -> DataFrame:
+def measure(utts: DataFrame, *keep: str) -> DataFrame:
     """Events of each type, inserted words and the rate for 100 clean words, all within the row.
 
     Spans of unknown types count as inserted words, though their events count nowhere. The rate multiplies by 100 / n, which
@@ -25,7 +25,7 @@ def measure(utts: DataFrame) -> DataFrame:
     """
     counts = [_of(t) for t in L.TYPES]
     inserted = F.aggregate("annotations", F.lit(0).cast("long"), lambda acc, a: acc + span_length(a.reparandum) + span_length(a.interregnum))
-    out = utts.select("utt_id", "doc_id", "asked_level", "n_clean", *counts, inserted.alias("inserted"))
+    out = utts.select("utt_id", "doc_id", "asked_level", "n_clean", *counts, inserted.alias("inserted"), *keep)
     out = out.withColumn("n_events", sum((F.col(f"n_{t}") for t in L.TYPES[1:]), F.col(f"n_{L.TYPES[0]}")))
     return out.withColumn("rate", F.col("n_events") * (F.lit(100.0) / F.col("n_clean")))
 
@@ -58,8 +58,23 @@ def with_level(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     return measured.crossJoin(F.broadcast(cuts)).withColumn("level", level)
 
 
+def type_counts(keys: list[str], measured: DataFrame) -> DataFrame:
+    return measured.groupBy(*keys).agg(F.sum("n_events").alias("events"), *[F.sum(f"n_{t}").alias(f"n_{t}") for t in L.TYPES])
+
+
+def added(counted: DataFrame) -> DataFrame:
+    """One row: the sums over a few rows of counts."""
+    return counted.agg(*[F.sum(c).alias(c) for c in ("events", *[f"n_{t}" for t in L.TYPES])])
+
+
+def mixes(counted: DataFrame) -> DataFrame:
+    """Rows of counts with the share of each type instead (0 without events)."""
+    share = [F.when(F.col("events") > 0, F.col(f"n_{t}") / F.col("events")).otherwise(0.0).alias(f"mix_{t}") for t in L.TYPES]
+    return counted.select(*[c for c in counted.columns if not c.startswith("n_")], *share)
+
+
 def summary(grouped_cols: list[str], measured: DataFrame) -> DataFrame:
-    """Utterances, words, events, rates, mix and inserted words of each group."""
+    """Utterances, words, events, rates, mix and inserted words of each group; structural are the events that are no fillers."""
     sums = [F.sum(f"n_{t}").alias(f"n_{t}") for t in L.TYPES]
     g = measured.groupBy(*grouped_cols) if grouped_cols else measured.groupBy()
     out = g.agg(F.count("*").alias("utterances"), F.sum("n_clean").cast("long").alias("clean_words"), F.sum("n_events").alias("events"), F.sum("inserted").alias("inserted"), *sums)

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from disfluo.functions.templates import TEMPLATES, VALUES
+from disfluo.operators.corpus import uniform
 from disfluo.operators.ordering import seeded, three_way
 
 
-def template_sentences(spark: SparkSession, templates: list[str], slots: dict[str, list[str]], each: int = 100, seed: str = "13") -> DataFrame:
+def template_sentences(spark: SparkSession, templates: tuple | list = TEMPLATES, slots: dict = VALUES, each: int = 100, seed: str = "13") -> DataFrame:
     """template_id and text: up to ``each`` distinct fillings of each template.
 
     A slot is written ``{name}``; ``{name2}`` takes a value other than ``{name}``'s; a repeated slot repeats its value. Values
-    are picked by a hash of template, draw and slot, so every draw is a row of its own and nothing is sequential.
+    are picked by a hash of seed, template, draw and slot, so every draw is a row of its own and nothing is sequential.
     """
     rows = spark.createDataFrame(list(enumerate(templates)), "template_id int, text string")
     draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3 * each - 1))))
-    text = F.col("text")
-    for name, values in sorted(slots.items()):
+    at = lambda name, n: F.floor(uniform(seed, "slot", F.col("template_id"), F.col("draw"), name) * n).cast("int")
+    text: Column = F.col("text")
+    for name, values in slots.items():
         n = len(values)
-        u = F.pmod(F.xxhash64(F.lit(seed), "template_id", "draw", F.lit(name)), F.lit(n)).cast("int")
-        other = F.pmod(u + 1 + F.pmod(F.xxhash64(F.lit(seed), "template_id", "draw", F.lit(name + "2")), F.lit(max(1, n - 1))), F.lit(n)).cast("int")
+        other = F.pmod(at(name, n) + 1 + at(name + "2", max(1, n - 1)), F.lit(n))
         pick = F.array(*map(F.lit, values))
-        text = F.replace(F.replace(text, F.lit("{" + name + "2}"), F.get(pick, other)), F.lit("{" + name + "}"), F.get(pick, u))
+        text = F.replace(F.replace(text, F.lit("{" + name + "2}"), F.get(pick, other)), F.lit("{" + name + "}"), F.get(pick, at(name, n)))
     filled = draws.select("template_id", "draw", text.alias("text")).groupBy("template_id", "text").agg(F.min("draw").alias("draw"))
     rank = F.row_number().over(Window.partitionBy("template_id").orderBy("draw"))
     return filled.withColumn("rank", rank).filter(F.col("rank") <= each).select("template_id", "text")
@@ -32,8 +34,24 @@ def build_pools(corpus_sentences: DataFrame, from_templates: DataFrame, seed: st
     """text, source, template_id and split: corpus sentences cut three ways, templates the same except a share held out for test."""
     ids = from_templates.select("template_id").distinct()
     total = ids.count()
-    held = ids.orderBy(seeded(seed, "template_id")).limit(round(held_out * total)).withColumn("held", F.lit(True))
+    held = ids.orderBy(seeded(seed, "template_id"), "template_id").limit(round(held_out * total)).withColumn("held", F.lit(True))
     parts = three_way(corpus_sentences.select("text").distinct(), "text", seed, train, val).select("text", F.lit("corpus").alias("source"), F.lit(None).cast("int").alias("template_id"), "split")
     t = from_templates.join(F.broadcast(held), "template_id", "left")  # one row for each template
     seen = three_way(t.filter("held is null").select("template_id", "text"), "text", seed, train, val).select("text", F.lit("template").alias("source"), "template_id", "split")
     return parts.unionByName(seen).unionByName(t.filter("held").select("text", F.lit("template").alias("source"), "template_id", F.lit("test").alias("split")))
+
+
+def balanced(measured: DataFrame, sentence: str, seed: str, each: int) -> DataFrame:
+    """At most ``each`` rows of each level, no sentence twice, from sentences said at several levels and labelled by what was
+    measured: the level with the fewest rows chooses first, ties going to the lower level; rows come in a seeded order."""
+    rows = measured.withColumn("h", seeded(seed, "utt_id")).persist()  # read once for each level
+    sizes = {r["level"]: r["n"] for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect()}  # at most four rows
+    out = None
+    for level in sorted(sizes, key=lambda k: (sizes[k], k)):
+        own = rows.filter(F.col("level") == level)
+        if out is not None:
+            own = own.join(F.broadcast(out.select(sentence)), sentence, "left_anti")  # at most 3 * each rows
+        first = own.groupBy(sentence).agg(F.min(F.struct("h", "utt_id")).alias("least")).orderBy("least").limit(each)  # a sentence once
+        chosen = own.join(F.broadcast(first.select(F.col("least.utt_id").alias("utt_id"))), "utt_id", "left_semi").drop("h")
+        out = chosen if out is None else out.unionByName(chosen)
+    return rows.drop("h") if out is None else out

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from disfluo.functions import lexicon as L
 from disfluo.functions.text import spoken_text
-from disfluo.operators import corpus, detect, evaluate, inject, measure
+from disfluo.operators import corpus, detect, evaluate, inject, measure, pools
 from disfluo.plans.detect_sql import CONFUSION_SQL, DETECT_SQL, PAIRS_SQL, RECORDS_SQL
-from disfluo.plans.rates import SUMS_SQL, UNI_SQL, W, measured, rates_sql, said
-from disfluo.plans.texts import CLAUSE, CONTENT, NORM, WORDS_ONLY
+from disfluo.plans.rates import CUTS_SQL, LEVEL_SQL, SUMS_SQL, UNI_SQL, W, measured, rates_sql, said
+from disfluo.plans.texts import CLAUSE, CONTENT, NORM, SPOKEN, WORDS_ONLY
 
 #: Rates of the rule injector's levels, for 100 clean words.
 RULES = {1: inject.Rates(4.5, 0.8, 1.0, 0.3), 2: inject.Rates(9.0, 2.0, 3.0, 0.6), 3: inject.Rates(18.0, 5.0, 6.0, 1.2)}
@@ -32,19 +32,18 @@ def inject_rules(spark, sf_dir):
 
 def synthetic_pairs(spark, sf_dir):
     """Pairs by the rule injector, relabelled by their measured rate; scripts under ten words are left out."""
-    pairs = inject.spoken_by_rules(corpus.scripts(spark, sf_dir).filter(F.col("n_clean") >= L.MIN_WORDS), RULES)
+    pairs = inject.spoken_by_rules(corpus.scripts(spark, sf_dir).filter(F.col("n_clean") >= L.MIN_WORDS), RULES).filter(F.size("disfluent_tokens") > 0)
     m = measure.measure(pairs)
     return measure.with_level(m, measure.percentile_cuts(m)).select("utt_id", "asked_level", "level", "rate")
 
 
 def balanced_pairs(spark, sf_dir, each: int = 50):
-    """As many pairs at each measured level: scripts are spoken, relabelled, and drawn level by level in a seeded order."""
-    m = synthetic_pairs(spark, sf_dir).withColumn("h", F.md5(F.concat(F.lit("13:"), F.col("utt_id").cast("string")).cast("binary")))
-    parts = [m.filter(F.col("level") == k).orderBy("h").limit(each) for k in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("utt_id", "asked_level", "level")
+    """As many pairs at each measured level: every script is said at every level, relabelled, and drawn level by level."""
+    asked = corpus.scripts(spark, sf_dir).filter(F.col("n_clean") >= L.MIN_WORDS).withColumn("sentence", F.col("utt_id")).withColumn("asked_level", F.explode(F.array(*map(F.lit, range(4)))))
+    pairs = inject.spoken_by_rules(asked.withColumn("utt_id", F.col("utt_id") * 4 + F.col("asked_level")), RULES)
+    cuts = measure.percentile_cuts(measured(spark, sf_dir))
+    m = measure.with_level(measure.measure(pairs, "sentence"), cuts)
+    return pools.balanced(m.select("utt_id", "sentence", "asked_level", "level"), "sentence", "13", each)
 
 
 def _pairs(spark, sf_dir):
@@ -94,13 +93,13 @@ def detector_type_mix(spark, sf_dir):
     return measure.summary(["asked_level", "view"], gold.unionByName(measure.measure(found).withColumn("view", F.lit("detected"))))
 
 
-def _targets(spark):
-    rows = [(k, round(100.0 * (r[0] + r[1] + r[2]), 6)) for k, r in corpus.DIAL.items()]
-    return spark.createDataFrame(rows, "asked_level int, target double")
+def targets(spark, sf_dir):
+    """The rate that each level asks for: what the corpus's own utterances of that level were measured at (four rows)."""
+    return F.broadcast(measure.level_table(measured(spark, sf_dir)).select(F.col("level").alias("asked_level"), F.col("total_rate").alias("target")))
 
 
 def rate_control(spark, sf_dir):
-    run = measure.summary(["asked_level"], measured(spark, sf_dir)).join(F.broadcast(_targets(spark)), "asked_level")
+    run = measure.summary(["asked_level"], measured(spark, sf_dir)).join(targets(spark, sf_dir), "asked_level")
     return run.select("asked_level", "utterances", "clean_words", "events", "total_rate", "target", F.when(F.col("target") > 0, F.col("total_rate") / F.col("target")).otherwise(0.0).alias("ratio"))
 
 
@@ -119,7 +118,9 @@ def type_mix(spark, sf_dir):
 
 
 def type_mix_kl(spark, sf_dir):
-    out = evaluate.mix_divergence(_mix(spark, sf_dir, ["asked_level"]), _mix(spark, sf_dir, []))
+    """Each level's type mix against that of all levels, which is the sum of the levels' few rows."""
+    run = measure.type_counts(["asked_level"], measured(spark, sf_dir))
+    out = evaluate.mix_divergence(measure.mixes(run), measure.mixes(measure.added(run)))
     return out.select("asked_level", F.round("kl_bits", 9).alias("kl_bits"))
 
 
@@ -158,11 +159,7 @@ def unseen_split(spark, sf_dir):
 def recovery(spark, sf_dir):
     """The script against the spoken side as it is, level by level: what a cleaner that does nothing would recover."""
     s = said(spark, sf_dir).select("asked_level", F.array_join("clean_tokens", " ").alias("original"), F.array_join("disfluent_tokens", " ").alias("recovered"))
-    parts = [evaluate.recovery(s.filter(F.col("asked_level") == k)).withColumn("asked_level", F.lit(k)) for k in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return evaluate.recovery(s, "asked_level")
 
 
 def recovery_inverse(spark, sf_dir):
@@ -181,6 +178,27 @@ def surprisal_effect(spark, sf_dir):
     return w.groupBy("pos").agg(F.count("*").alias("n"), F.round(F.avg("data"), 8).alias("data"), F.round(F.avg("control"), 8).alias("control"), F.round(F.avg(F.col("data") - F.col("control")), 8).alias("effect"))
 
 
+def effect_summary(spark, sf_dir):
+    """Where the effect peaks and how large it is there and at the boundary."""
+    w = evaluate.surprisal_windows(said(spark, sf_dir), measure.unigrams(corpus.scripts(spark, sf_dir)))
+    by = w.groupBy("pos").agg(F.count("*").alias("n"), F.round(F.avg(F.col("data") - F.col("control")), 8).alias("mean_effect"))
+    return evaluate.effect_summary(by)
+
+
+def effect_summary_ci(spark, sf_dir):
+    return evaluate.effect_summary(surprisal_bootstrap(spark, sf_dir))
+
+
+def word_lengths(sentences):
+    """A scorer that any engine can repeat: a word's bits are its length."""
+    return sentences.withColumn("bits", F.transform(F.split("text", " "), lambda w: F.length(w).cast("double")))
+
+
+def scored_windows(spark, sf_dir):
+    """Windows by a scorer of whole sentences, each distinct sentence scored once."""
+    return evaluate.scored_windows(said(spark, sf_dir), word_lengths)
+
+
 def surprisal_bootstrap(spark, sf_dir):
     return evaluate.bootstrap(evaluate.surprisal_windows(said(spark, sf_dir), measure.unigrams(corpus.scripts(spark, sf_dir))))
 
@@ -194,10 +212,11 @@ def level_zero_speech(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     inject_hash, invert_annotations, inject_rules, synthetic_pairs, balanced_pairs, detect_events, trace_rows, insertion_records, gold_records, fidelity, detector_confusion, detector_check,
     detector_type_mix, rate_control, rate_error, type_mix, type_mix_kl, placement, placement_baseline, onset_lift, relative_position_hist, unseen_split, recovery, recovery_inverse,
-    surprisal_windows, surprisal_effect, surprisal_bootstrap, level_zero_speech)}
+    surprisal_windows, surprisal_effect, surprisal_bootstrap, effect_summary, effect_summary_ci, scored_windows, level_zero_speech)}
 
-_TARGET = "CASE asked_level " + " ".join(f"WHEN {k} THEN CAST({round(100.0 * (r[0] + r[1] + r[2]), 6)} AS DOUBLE)" for k, r in corpus.DIAL.items()) + " END"
-_RUN = f"run AS (SELECT asked_level, utterances, clean_words, events, total_rate, {_TARGET} AS target FROM (SELECT asked_level, count(*) AS utterances, CAST(sum(n_clean) AS BIGINT) AS clean_words, CAST(sum(n_events) AS BIGINT) AS events, sum(n_events) * (100.0 / CAST(sum(n_clean) AS DOUBLE)) AS total_rate FROM ms GROUP BY asked_level))"
+TARGETS_SQL = f"""{CUTS_SQL}, lv AS (SELECT *, {LEVEL_SQL} AS level FROM ms, cuts WHERE n_clean >= {L.MIN_WORDS}),
+targets AS (SELECT CAST(r.level AS INTEGER) AS asked_level, coalesce(events * (100.0 / CAST(words AS DOUBLE)), 0.0) AS target FROM range(4) r(level) LEFT JOIN (SELECT level, sum(n_events) AS events, sum(n_clean) AS words FROM lv GROUP BY level) USING (level))"""
+_RUN = f"{TARGETS_SQL}, run AS (SELECT asked_level, utterances, clean_words, events, total_rate, target FROM targets JOIN (SELECT asked_level, count(*) AS utterances, CAST(sum(n_clean) AS BIGINT) AS clean_words, CAST(sum(n_events) AS BIGINT) AS events, sum(n_events) * (100.0 / CAST(sum(n_clean) AS DOUBLE)) AS total_rate FROM ms GROUP BY asked_level) USING (asked_level))"
 _GOLD = f"""rec AS (SELECT utt_id, asked_level, CAST(row_number() OVER (PARTITION BY utt_id ORDER BY i) - 1 AS INTEGER) AS k, type, CAST(coalesce(int_e, rep_e) - coalesce(rep_s, int_s) AS INTEGER) AS length, CAST(i AS INTEGER) AS clean_index, i / CAST(n_clean AS DOUBLE) AS relative,
 {NORM("clean_tokens[i + 1]")} AS next_word, {CONTENT("clean_tokens[i + 1]")} AS next_is_content, i = 0 OR coalesce({CLAUSE("clean_tokens[i]")}, false) AS at_onset FROM ann JOIN (SELECT utt_id, clean_tokens FROM scripts) USING (utt_id))"""
 _FOUND = f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS_SQL}, {DETECT_SQL}"
@@ -236,6 +255,11 @@ sum(len(string_split(y, ' ')) - len(string_split(x, ' '))) / CAST(sum(len(string
     "recovery_inverse": f"{W} SELECT count(*) AS n, CAST(1.0 AS DOUBLE) AS exact_match, CAST(1.0 AS DOUBLE) AS words_only_match, CAST(0.0 AS DOUBLE) AS wer_words_only FROM utt",
     "surprisal_windows": f"{W}, {UNI_SQL}, {_WINDOWS} SELECT utt_id, k, pos, round(data, 9) AS data, round(control, 9) AS control FROM sw",
     "surprisal_effect": f"{W}, {UNI_SQL}, {_WINDOWS} SELECT pos, count(*) AS n, round(avg(data), 8) AS data, round(avg(control), 8) AS control, round(avg(data - control), 8) AS effect FROM sw GROUP BY pos",
+    "effect_summary": f"""{W}, {UNI_SQL}, {_WINDOWS}, e AS (SELECT pos, count(*) AS n, round(avg(data - control), 8) AS m FROM sw GROUP BY pos)
+SELECT coalesce(max(n), 0) AS n, arg_max(pos, {{'a': abs(m), 'b': -pos}}) AS peak_position, arg_max(m, {{'a': abs(m), 'b': -pos}}) AS peak_effect, max(m) FILTER (pos = 0) AS effect_at_boundary FROM e""",
+    "scored_windows": f"""{W}, {UNI_SQL}, {_WINDOWS}, sp AS (SELECT utt_id, list_transform(clean_tokens, lambda w: {SPOKEN("w")}) AS meant FROM utt)
+SELECT utt_id, k, CAST(r.pos AS INTEGER) AS pos, CAST(length(disfluent_tokens[b + r.pos + 1]) AS DOUBLE) AS data, CAST(length(meant[c + r.pos + 1]) AS DOUBLE) AS control FROM rp JOIN utt USING (utt_id) JOIN sp USING (utt_id), range(-5, 6) r(pos)
+WHERE b >= 5 AND b + 5 < len(disfluent_tokens) AND c >= 5 AND c + 5 < len(clean_tokens)""",
     "detect_events": f"""{_FOUND}, c AS (SELECT utt_id, {", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in L.TYPES)} FROM found GROUP BY utt_id)
 SELECT utt_id, CAST(len(a) AS INTEGER) AS clean_words, CAST(len(b) AS INTEGER) AS spoken_words, CAST(dropped AS INTEGER) AS n_dropped, {", ".join(f"CAST(coalesce(n_{t}, 0) AS INTEGER) AS n_{t}" for t in L.TYPES)} FROM pairs JOIN lost USING (utt_id) LEFT JOIN c USING (utt_id)""",
     "trace_rows": f"{_FOUND} SELECT utt_id, CAST(k AS INTEGER) AS k, type, first AS position, CAST(at_word AS INTEGER) AS before_clean_word, array_to_string(b[first + 1 : past], ' ') AS words FROM found",

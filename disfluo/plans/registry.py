@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from disfluo.plans import evaluation, rates, texts
+from disfluo.plans import evaluation, rates, systems, texts
 
-QUERIES: dict = {**rates.QUERIES, **texts.QUERIES, **evaluation.QUERIES}
-ORACLES: dict = {**rates.ORACLES, **texts.ORACLES, **evaluation.ORACLES}
+QUERIES: dict = {**rates.QUERIES, **texts.QUERIES, **evaluation.QUERIES, **systems.QUERIES}
+ORACLES: dict = {**rates.ORACLES, **texts.ORACLES, **evaluation.ORACLES, **systems.ORACLES}

@@ -64,7 +64,7 @@ def test_recovery_counts_edits_over_all_words(spark):
 
 def test_running_totals_and_splits(spark):
     df = spark.range(3000).withColumn("h", ordering.seeded("s", "id")).withColumn("n", (F.col("id") % 7).cast("long"))
-    got = {r["h"]: r["t"] for r in ordering.running_total(df, "h", F.col("n"), "t").collect()}
+    got = {r["h"]: r["t"] for r in ordering.running_total(df, "h", F.col("n"), "t", 3_000_000).collect()}
     total = 0
     for r in sorted(df.collect(), key=lambda r: r["h"]):
         assert got[r["h"]] == total
