@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disfluo.functions import lexicon as L
@@ -103,13 +103,19 @@ def word_spans(text: Column) -> Column:
     return F.aggregate(pieces, begin, take, lambda a: a.spans)
 
 
-def fold_to_words(text: Column, spans: Column, scored: Column) -> Column:
-    """Sums, by word, of the bits of pieces (start, end, bits): a piece belongs to the last word that starts no later than the
-    piece's first character that is not white space; pieces of white space alone belong to none."""
+def fold_to_words(rows: DataFrame, text: str, pieces: str, name: str = "bits") -> DataFrame:
+    """rows with an array of sums, by word of the text, of the bits of pieces (start, end, bits): a piece belongs to the last
+    word that starts no later than the piece's first character that is not white space; pieces of white space alone to none.
+
+    Exploding arrays of one element keeps places from being computed anew for each word.
+    """
     inner = lambda p: F.substr(text, p.start + 1, p.end - p.start)
-    first = lambda p: p.start + F.length(inner(p)) - F.length(F.regexp_replace(inner(p), r"^\s+", ""))
-    placed = F.transform(F.filter(scored, lambda p: ~inner(p).rlike(r"^\s*$")), lambda p: F.struct((F.size(F.filter(spans, lambda s: s.start <= first(p))) - 1).alias("word"), p.bits.alias("bits")))
-    return F.transform(spans, lambda s, k: F.aggregate(F.filter(placed, lambda p: p.word == k), F.lit(0.0), lambda a, p: a + p.bits))
+    first = F.transform(pieces, lambda p: F.struct((p.end - F.length(F.ltrim(F.translate(inner(p), "\t\n\r\x0b\x0c", "     ")))).alias("at"), p.end.alias("end"), p.bits.alias("bits")))
+    out = rows.select("*", F.explode(F.array(word_spans(F.col(text)))).alias("_spans")).select("*", F.explode(F.array(F.filter(first, lambda p: p.at < p.end))).alias("_first"))
+    placed = F.transform("_first", lambda p: F.struct((F.size(F.filter("_spans", lambda s: s.start <= p.at)) - 1).alias("word"), p.bits.alias("bits")))
+    out = out.select("*", F.explode(F.array(placed)).alias("_placed"))
+    folded = F.transform("_spans", lambda s, k: F.aggregate("_placed", F.lit(0.0), lambda a, p: a + F.when(p.word == k, p.bits).otherwise(0.0)))
+    return out.withColumn(name, folded).drop("_spans", "_first", "_placed")
 
 
 def surprisal_bits(scores: Column, chosen: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +58,19 @@ class Unigrams:
         return out.withColumn("bits", -F.col("log_freq") * F.log2(F.lit(10.0))).drop("_key", "log_freq")
 
 
-def resolve(which: str, dial: dict[int, inject.Rates], seed: int = 13) -> Generator:
-    """The generator of a name. A trained model can be plugged in as any object with ``speak``; none is shipped."""
+def looks_local(path: str) -> bool:
+    """Whether a path means a folder here rather than a name to be fetched."""
+    return path.startswith((".", "/", "~")) or path.split("/")[0] in ("outputs", "data", "checkpoints")
+
+
+def resolve(which: str, dial: dict[int, inject.Rates], seed: int = 13, path: str = "outputs/model", load: Callable[[str], Generator] | None = None) -> Generator:
+    """The generator of a name: "rules", or "model", which ``load`` makes from a path. No model is shipped."""
     if which == "rules":
         return Rules(dial, seed)
-    raise ValueError(f"no generator named {which!r}: pass 'rules', or use an object with a speak() method of your own")
+    if which != "model":
+        raise ValueError(f"no generator named {which!r}: it is 'rules' or 'model'")
+    if looks_local(path) and not os.path.exists(os.path.expanduser(path)):
+        raise FileNotFoundError(f"no model at {path}: train one there, give another path, or speak by the rules")
+    if load is None:
+        raise ValueError("pass load, a function from a path to an object with a speak() method")
+    return load(path)

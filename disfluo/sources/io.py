@@ -7,21 +7,28 @@ caller may run without it.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from disfluo import schemas
 from disfluo.functions import lexicon as L
+from disfluo.functions.report import markdown
+from disfluo.functions.text import control_source, detokenise, has_ambiguous, is_usable_sentence, sentence_split
 from disfluo.operators import measure, parse
+from disfluo.operators.levels import TOKENS
+from disfluo.operators.ordering import seeded
 
 
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """text, conversation_no, file and ord (order within all files) of every CSV file under root.
+    """text, conversation_no, file and ord (order within a file) of every CSV file under root.
 
     Columns are taken by header name from files of one layout; without a ``text`` column there are no rows. Undecodable
-    bytes become replacement characters.
+    bytes become replacement characters. A file whose cells may hold line ends is read by one task, so its rows are numbered
+    in their order; (file, ord) is the order of all.
     """
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("multiLine", True).option("escape", '"').csv(root)
     have = set(rows.columns)
@@ -130,6 +137,93 @@ def write_jsonl(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def usable_sentences(rows: DataFrame, order: str) -> DataFrame:
+    """text, ambiguous and the first place (order, pos) of each distinct usable sentence of rows (text, order); headings are passed over."""
+    lines = rows.select(order, F.posexplode(F.split("text", "\n")).alias("line", "raw")).filter(~F.ltrim("raw").startswith("="))
+    sents = lines.select(order, "line", F.posexplode(sentence_split(F.col("raw"))).alias("pos", "raw")).select(F.struct(order, "line", "pos").alias("at"), F.trim("raw").alias("raw"))
+    good = sents.filter((F.col("raw") != "") & is_usable_sentence(F.col("raw"))).select("at", detokenise(F.col("raw")).alias("text"))
+    return good.groupBy("text").agg(F.min("at").alias("at")).withColumn("ambiguous", has_ambiguous(F.split("text", " ")))
+
+
+def with_quota(sentences: DataFrame, limit: int, ambiguous_share: float = 0.30) -> DataFrame:
+    """text and place of at most ``limit`` sentences: the first plain ones, then the first ambiguous ones, of which a share is kept free."""
+    want = int(max(0, limit) * ambiguous_share)
+    take = lambda flag, n: sentences.filter(F.col("ambiguous") == flag).orderBy("at").limit(n)
+    both = take(False, max(0, limit) - want).unionByName(take(True, want))
+    return both.withColumn("place", F.row_number().over(Window.orderBy("ambiguous", "at"))).select("text", "ambiguous", "place")  # at most limit rows
+
+
+def sentence_source(spark: SparkSession, paths: list[str], limit: int, ambiguous_share: float = 0.30, order: str = "doc_id") -> DataFrame:
+    """Sentences of the first of several tables, the largest first, that can be read and has any; none if there is no such table."""
+    empty = spark.createDataFrame([], "text string, ambiguous boolean, place int")
+    if limit <= 0:
+        return empty
+    for path in paths:
+        rows = _or_empty(spark, lambda p=path: spark.read.parquet(p), f"{order} long, text string")
+        found = with_quota(usable_sentences(rows.filter("text is not null").select(order, "text"), order), limit, ambiguous_share)
+        if not found.isEmpty():
+            return found
+    return empty
+
+
+def mix_real(synthetic: DataFrame, real: DataFrame, limit: int, seed: str = "13", key: str = "utt_id") -> DataFrame:
+    """Synthetic pairs with real ones folded in, tagged by source: none of them at 0, all below 0, else so many in a seeded order.
+    ``h`` is the order that shuffles the mix; a mix without real pairs stays as it was."""
+    own = synthetic.withColumn("source", F.lit("synthetic"))
+    if limit == 0:
+        return own.withColumn("h", F.lit(None).cast("string"))
+    taken = real if limit < 0 else real.orderBy(seeded(seed, key), key).limit(limit)
+    return own.unionByName(taken.withColumn("source", F.lit("real")), allowMissingColumns=True).withColumn("h", seeded(seed + ":mix", key))
+
+
+def training_rows(pairs: DataFrame) -> DataFrame:
+    """What a sequence model is trained on: the script behind its level's control token, the spoken side, and the level."""
+    return pairs.filter("clean is not null and disfluent is not null and level is not null").select(control_source(F.col("level"), F.col("clean")).alias("source"), F.col("disfluent").alias("target"), "level")
+
+
+def tokenised(rows: DataFrame, tokenizer: str, max_source: int = 128, max_target: int = 160) -> DataFrame:
+    """Token ids of source and target, cut to their lengths, by a tokenizer file; the control tokens are single tokens of their own."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(tokenizer)
+        own.add_special_tokens(list(TOKENS))
+        for batch in batches:
+            ids = lambda texts, most: [x.ids[:most] for x in own.encode_batch(texts.tolist(), add_special_tokens=False)]
+            yield pd.DataFrame({"input_ids": ids(batch["source"], max_source), "labels": ids(batch["target"], max_target), "level": batch["level"]})
+
+    return rows.select("source", "target", "level").mapInPandas(encode, "input_ids array<int>, labels array<int>, level int")
+
+
+def _text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _rows(table: DataFrame, most: int) -> list[dict]:
+    rows = [json.loads(x) for x in table.limit(most + 1).toJSON().collect()]
+    if len(rows) > most:
+        raise ValueError(f"a report holds tables of at most {most} rows")
+    return rows
+
+
+def write_report(tables: dict[str, DataFrame], path: str, most: int = 10_000) -> None:
+    """Small tables as one JSON document, and as Markdown beside it (path + ".md"). Write it before a step that may fail, and patch it after."""
+    spark = next(iter(tables.values())).sparkSession
+    _text(spark, json.dumps({name: _rows(t, most) for name, t in tables.items()}), path)
+    _text(spark, "\n\n".join(f"## {name}\n\n{markdown(t, t.columns[:1] if 'place' not in t.columns else ['place'])}" for name, t in tables.items()), path + ".md")
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, list[dict]]:
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def patch_report(table: DataFrame, name: str, path: str, most: int = 10_000) -> None:
+    """Put one more table into a report that has been written."""
+    spark = table.sparkSession
+    _text(spark, json.dumps(read_report(spark, path) | {name: _rows(table, most)}), path)
+
+
 def labelled(utterances: DataFrame) -> DataFrame:
     """Utterances with their measured level at their own corpus's cuts."""
     m = measure.measure(utterances.withColumn("n_clean", F.size("clean_tokens")).withColumn("doc_id", F.col("utt_id")))
