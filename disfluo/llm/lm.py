@@ -94,16 +94,22 @@ def _size(counts: np.ndarray) -> int:
 
 
 def _keys(values: np.ndarray, bits: int, depth: int) -> bytes:
+    """Sorted fingerprints cut to ``depth`` bits: the lowest bytes as they are, the rest as differences, which are small."""
     cut = (values << np.uint64(bits)) >> np.uint64(64 - depth)
-    low = (cut & np.uint64((1 << (depth - 32)) - 1)).astype(np.uint16 if depth == 48 else np.uint8)
-    return (cut >> np.uint64(depth - 32)).astype(np.uint32).tobytes() + low.tobytes()
+    width = min(depth // 8, max(1, round((depth - np.log2(len(cut))) / 8)))
+    low = cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    high = np.diff((cut >> np.uint64(8 * width)).astype(np.int64), prepend=0)
+    packed = pack_counts(high)
+    return bytes([width]) + _size(high).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed + low.tobytes()
 
 
-def _unkeyed(data: bytes, depth: int) -> np.ndarray:
-    width = 6 if depth == 48 else 5
-    n = len(data) // width
-    high = np.frombuffer(data, dtype=np.uint32, count=n).astype(np.uint64)
-    return (high << np.uint64(depth - 32)) | np.frombuffer(data, dtype=np.uint16 if depth == 48 else np.uint8, offset=4 * n).astype(np.uint64)
+def _unkeyed(data: bytes) -> np.ndarray:
+    width, size, packed = data[0], int.from_bytes(data[1:9], "little"), int.from_bytes(data[9:17], "little")
+    low = np.frombuffer(data, dtype=np.uint8, offset=17 + packed).reshape(-1, width)
+    out = np.zeros((len(low), 8), dtype=np.uint8)
+    out[:, :width] = low
+    high = np.cumsum(unpack_counts(data[17 : 17 + packed], len(low), size)).astype(np.uint64)
+    return out.view("<u8").ravel() | (high << np.uint64(8 * width))
 
 
 def training_rows(block: Block, modulus: int, left_out: int) -> np.ndarray:
@@ -132,7 +138,7 @@ def ngram_counts(blocks: DataFrame, buckets: int, modulus: int = 7, left_out: in
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, kind = key
-        parts = [_unkeyed(k, DEPTHS[kind]) for k in pdf["keys"]]
+        parts = [_unkeyed(k) for k in pdf["keys"]]
         lens = [len(p) for p in parts]
         counts = np.concatenate([unpack_counts(c, n, s) for c, n, s in zip(pdf["counts"], lens, pdf["size"])])
         values, back = np.unique(np.concatenate(parts), return_inverse=True)
