@@ -336,18 +336,17 @@ class RunIndex:
         the strings still reach, in steps: the strings, the place, and the least id that holds what starts there."""
         by = np.argsort(-self.lens, kind="stable")
         lens = self.lens[by]
-        low, high = np.zeros(len(by), dtype=np.int64), np.full(len(by), self.rows, dtype=np.int64)
+        row = np.zeros(len(by), dtype=np.int64)  # the first of the match; as the strings are in the index, there always is one
         for k in range(int(lens[0]) if len(lens) else 0):
             n = int(np.searchsorted(-lens, -k, side="left"))  # strings longer than k
             own = by[:n]
             symbol = self.symbols[self.starts[own] + lens[:n] - 1 - k].astype(np.int64)
-            low, high = self.back(low[:n], symbol), self.back(high[:n], symbol)
+            row = self.back(row[:n], symbol)
             if k + 1 >= self.depth:
-                run = np.searchsorted(self.start, low, side="right") - 1
-                yield own, lens[:n] - 1 - k, np.where(high > low, self.least[self.shared[run]], LAST_ID)
+                yield own, lens[:n] - 1 - k, self.least[self.shared[np.searchsorted(self.start, row, side="right") - 1]]
 
 
-def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets: int, crowded: np.ndarray, finer: int = 8) -> DataFrame:
+def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets: int, crowded: np.ndarray, finer: int = 4) -> DataFrame:
     """For each block the segments matched in part, and for each the windows that are matched, as bits.
 
     Buckets are ``finer`` times as many as the states', since an index takes much more memory to build than its bytes.

@@ -394,6 +394,14 @@ def test_scores_by_plain_loops(spark, sf, table):
         assert got[i] == pytest.approx(want, rel=0.01)  # the operator learns the weights from rounded probabilities
 
 
+def test_sent_keys_come_back():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 30, 3000):
+        for depth in lm.DEPTHS:
+            values = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) >> np.uint64(4))  # of one bucket of sixteen
+            assert lm._unkeyed(lm._keys(values, 4, depth)).tolist() == (values >> np.uint64(60 - depth)).tolist()
+
+
 def test_mixture_weights_are_fitted_on_every_block(spark, sf):
     docs = common.read(spark, sf, "documents")
     whole = lm.score(docs).toPandas().set_index("doc_id")["score"]
