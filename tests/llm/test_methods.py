@@ -306,6 +306,34 @@ def test_common_words_are_counted_over_all_documents(spark, table):
         assert found == sorted(counts, key=lambda w: (-counts[w], w))[:40]
 
 
+def test_verdicts_by_plain_loops_at_any_partitioning(spark, sf, table):
+    """References, distances and verdicts recomputed with dictionaries, for three layouts of the table."""
+    docs = table("documents", sf)
+    kind = lambda c: "space" if c.isspace() else "symbol" if c in "#*$%&|<>" else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "punct" if ord(c) < 128 or 0x2010 <= ord(c) < 0x2060 else "other"
+    chars, words = {}, {}
+    for lang, text in zip(docs["lang"], docs["text"]):
+        chars.setdefault(lang, Counter()).update(map(kind, text))
+        words.setdefault(lang, Counter()).update(text.lower().encode().split())
+    top = {lang: set(sorted(c, key=lambda w: (-c[w], w))[:40]) for lang, c in words.items()}
+    fold = lambda c, lang: Counter({w: n for w, n in c.items() if w in top[lang]}) + Counter({"other": sum(n for w, n in c.items() if w not in top[lang])})
+
+    def distance(p, q):
+        a, b = sum(p.values()), sum(q.values())
+        part = lambda x, m: x * math.log2(x / m) if x else 0.0
+        return math.sqrt(max(0.0, sum(part(p[k] / a, (p[k] / a + q[k] / b) / 2) + part(q[k] / b, (p[k] / a + q[k] / b) / 2) for k in set(p) | set(q)) / 2))
+
+    want = {}
+    for i, lang, text in zip(docs["doc_id"], docs["lang"], docs["text"]):
+        n, *_, repeated = quality.base_measures(text)
+        c = distance(Counter(map(kind, text)), chars[lang]) if n >= 50 else None
+        w = distance(fold(Counter(text.lower().encode().split()), lang), fold(words[lang], lang)) if n >= 50 else None
+        want[i] = (c, w, not (n < 10 or 100 * repeated > 20 * n) and (c is None or c <= 0.25) and (w is None or w <= 0.5))
+    for parts in (1, 4, 16):
+        for r in quality.divergences(common.read(spark, sf, "documents").repartition(parts)).collect():
+            c, w, kept = want[r["doc_id"]]
+            assert r["kept"] == kept and (r["char_distance"], r["word_distance"]) == ((None, None) if c is None else (pytest.approx(c, abs=1e-9), pytest.approx(w, abs=1e-9)))
+
+
 def test_salad_of_plain_letters_is_judged_on_its_words(spark, table):
     rng = random.Random(7)
     salad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(6, 9))) for _ in range(n)) for n in (60, 200, 900)]
@@ -318,6 +346,41 @@ def test_salad_of_plain_letters_is_judged_on_its_words(spark, table):
     assert len(got) == 3 and all(not r["base_failed"] and r["word_distance"] == pytest.approx(want) for r in got)
 
 
+def test_noisy_or_by_plain_loops():
+    """The same steps of gradient descent with dictionaries, and the score of a text from its sentences."""
+    rng = random.Random(14)
+    texts = [". ".join(" ".join(rng.choice(["ok", "fine", "good", "calm", "vile" if k % 3 == 0 else "mild"]) for _ in range(4)) for _ in range(rng.randint(1, 4))) for k in range(90)]
+    labels = np.array([int("vile" in t) for t in texts])
+    weight = np.where(labels == 1, 2.0, 1.0)
+    cfg = toxicity.Training(min_docs=2, lift=1.0, epochs=25)
+    bags = [toxicity.sentences(t) for t in texts]
+    model = toxicity.fit_noisy_or(bags, labels, weight, cfg)
+    vocab = sorted(f for f in {f for b in bags for s in b for w in s for f in toxicity.features(w)}
+                   if (n := sum(y and any(f in toxicity.features(w) for s in b for w in s) for b, y in zip(bags, labels))) >= 2
+                   and n / labels.sum() >= (sum(not y and any(f in toxicity.features(w) for s in b for w in s) for b, y in zip(bags, labels)) + 0.5) / (labels == 0).sum())
+    w, b, gw, gb = dict.fromkeys(vocab, 0.0), -6.0, dict.fromkeys(vocab, 1e-8), 1e-8
+    for _ in range(cfg.epochs):
+        slope, slope0 = {f: cfg.l2 * w[f] for f in vocab}, 0.0
+        for bag, y, m in zip(bags, labels, weight):
+            feats = [[f for x in set(s) for f in toxicity.features(x) if f in w] for s in bag]
+            p = [1 / (1 + math.exp(-(b + sum(w[f] for f in fs)))) for fs in feats]
+            clean = math.prod(1 - x for x in p)
+            for x, fs in zip(p, feats):
+                d = x * (-clean / (1 - clean) if y else 1.0) * m / weight.sum()
+                slope0 += d
+                for f in fs:
+                    slope[f] += d
+        for f in vocab:
+            gw[f] += slope[f] ** 2
+            w[f] -= cfg.rate * slope[f] / math.sqrt(gw[f])
+        gb += slope0**2
+        b -= cfg.rate * slope0 / math.sqrt(gb)
+    assert model.bias == pytest.approx(b) and model.weights == pytest.approx({f: x for f, x in w.items() if abs(x) > 1e-3})
+    for t, bag in zip(texts, bags):
+        clean = math.prod(1 - 1 / (1 + math.exp(-(b + sum(w.get(f, 0.0) for x in set(s) for f in toxicity.features(x))))) for s in bag)
+        assert model.score(t) == pytest.approx(1 - clean)
+
+
 def test_toxicity_learns_from_document_labels(spark):
     rng = random.Random(6)
     clean = [f"word{i}" for i in range(300)]
