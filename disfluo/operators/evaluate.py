@@ -180,7 +180,7 @@ def bootstrap(windows: DataFrame, draws: int = 500, seed: int = 13) -> DataFrame
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for utt, k, at, effects in zip(batch["utt_id"], batch["k"], batch["at"], batch["effects"]):
-                w = np.append(np.random.default_rng([seed, utt, k]).poisson(1.0, draws), 1)  # the last one is the mean itself
+                w = np.append(np.random.default_rng([seed, int(utt) % (1 << 64), k]).poisson(1.0, draws), 1)  # the last one is the mean itself
                 for pos, effect in zip(at, effects):
                     s = sums.setdefault(int(pos), np.zeros((2, draws + 1)))
                     s[0] += w * effect
