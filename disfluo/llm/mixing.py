@@ -119,12 +119,12 @@ def _goes(v: Column, turn: float, cut: tuple[Row, bool] | None) -> Column:
     return mine <= end if taken else mine < end
 
 
-def mix(docs: DataFrame, repeats: int = 3, few: int = 10_000, bins: int = 4096, slice_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, repeats: int = 3, few: int = 10_000, bins: int = 4096, slice_rows: int = 2000) -> DataFrame:
     """doc_id, size, source_size, target and taken (size times the copies that the mix takes)."""
     return mix_sizes(sizes(docs), repeats, few, bins, slice_rows).drop("row")
 
 
-def mix_sizes(sized: DataFrame, repeats: int = 3, few: int = 10_000, bins: int = 4096, slice_rows: int = 20_000) -> DataFrame:
+def mix_sizes(sized: DataFrame, repeats: int = 3, few: int = 10_000, bins: int = 4096, slice_rows: int = 2000) -> DataFrame:
     """The mix of rows as ``sizes`` gives them.
 
     Running sums are taken in two steps, so that no source and no range of times lands in one task: within (source, slice of
