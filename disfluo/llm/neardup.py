@@ -177,7 +177,7 @@ def _links(pairs: DataFrame, sets: DataFrame, cfg: Darts) -> DataFrame:
     return met.filter(F.col("common") + ROUNDING >= cfg.similarity * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
-def _could_be_similar(open_: DataFrame, sets: DataFrame, bands: DataFrame, cfg: Darts, groups: int = 16, full: int = 128) -> DataFrame:
+def _could_be_similar(open_: DataFrame, sets: DataFrame, bands: DataFrame, cfg: Darts, groups: int = 16, full: int = 512) -> DataFrame:
     """Pairs (a, b) of members (band, bucket, id, root) of one bucket and different classes that the bound allows.
 
     Only shingles that also stand in another class can be shared. With u of them in x, similarity s to y needs overlap >=
@@ -199,6 +199,8 @@ def _could_be_similar(open_: DataFrame, sets: DataFrame, bands: DataFrame, cfg:
     place = ["band", "bucket", "bin"]
     # a full bin's members on one side are dealt out by a salt, and each of the other side's meets every part
     parts = y.groupBy(*place).agg(F.count("*").alias("m")).filter(F.col("m") > full).select(*place, F.ceil(F.col("m") / full).cast("int").alias("parts"))
+    parts = stable(parts)
+    parts = F.broadcast(parts) if parts.count() <= 100_000 else parts
     dealt = F.coalesce("parts", F.lit(1))
     x = x.join(parts, place, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("parts")
     y = y.join(parts, place, "left").withColumn("salt", F.pmod(F.xxhash64("y_id"), dealt).cast("int")).drop("parts")
