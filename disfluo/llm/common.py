@@ -153,6 +153,11 @@ class Block:
         return pa.table(own | {c: self.extra[c] for c in self.extra.column_names if c != "null_text"})
 
 
+def squeezed(data: bytes) -> bytes:
+    """Text compressed harder than by default: it is written once, and shuffled more often."""
+    return pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
 def _packed(block: int, rows: pa.Table, names: list[str]) -> tuple:
     ids = rows["id"].combine_chunks()
     null = ids.is_null().to_numpy(zero_copy_only=False)
@@ -164,7 +169,7 @@ def _packed(block: int, rows: pa.Table, names: list[str]) -> tuple:
         with pa.ipc.new_stream(sink, rows.select(names).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(rows.select(names))
         others = sink.getvalue().to_pybytes()
-    return block, ids.fill_null(0).to_numpy().tobytes(), null.tobytes(), lens.tobytes(), pa.compress(b"\n".join([*texts, b""]), codec="zstd", asbytes=True), others
+    return block, ids.fill_null(0).to_numpy().tobytes(), null.tobytes(), lens.tobytes(), squeezed(b"\n".join([*texts, b""])), others
 
 
 def text_blocks(docs: DataFrame, block_bytes: int = 2 << 20, whole: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import ARROW_ROWS, id_text, read, short_batches, stable, whole_numbers
+from disfluo.llm.common import ARROW_ROWS, id_text, read, short_batches, squeezed, stable, whole_numbers
 from disfluo.llm.urls import host_of, path_of
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -172,7 +172,7 @@ def _pack(lines: list[tuple[str, bool]]) -> tuple[str, bytes, int]:
     """Digest of the lines' text, the lines compressed, and their size before."""
     body = "\n".join("01"[inside] + text for text, inside in lines).encode("utf-8", "surrogatepass")
     digest = hashlib.md5("\n".join(text for text, _ in lines).encode("utf-8", "surrogatepass")).hexdigest()
-    return digest, pa.compress(body, codec="zstd", asbytes=True), len(body)
+    return digest, squeezed(body), len(body)
 
 
 def _unpack(data: bytes, size: int) -> list[tuple[str, bool]]:
