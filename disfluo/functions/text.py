@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from disfluo.functions import lexicon as L
 
 
+# Patterns, parts and titles that decide which sentences there are and how they read.
+CLITICS = r"(?i)\s+(n't|'s|'re|'ve|'ll|'d|'m)\b"
+SPACE_BEFORE = r"\s+([,.;:!?%)\]])"
+SPACE_AFTER = r"([(\[$£€])\s+"
+SENTENCE_END = r'([.!?])\s+([A-Z"“])'
+ALLOWED = r"^[A-Za-z0-9 ,.;:!?'()%&$£€-]+$"
+LOOSE_APOSTROPHE = r"(?<![A-Za-z])'|'(?![A-Za-z])"
+BAD_PARTS = ("<unk>", "@-@", "@.@", "@,@", "=", "|", "http", "–", "—")
+ABBREVIATIONS = ("St.", "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Jr.", "Sr.", "No.", "vs.")
+# End of the fixed values.
+
+
 def tokens(text: Column) -> Column:
     """Words between white space; none for an empty text."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -51,9 +63,9 @@ def unigram_key(token: Column) -> Column:
 def detokenise(text: Column) -> Column:
     """Undo white-space tokenisation: quotes go, clitics and punctuation rejoin their words."""
     out = F.array_join(tokens(F.translate(text, '"“”', "")), " ")
-    out = F.regexp_replace(out, r"(?i)\s+(n't|'s|'re|'ve|'ll|'d|'m)\b", "$1")
-    out = F.regexp_replace(out, r"\s+([,.;:!?%)\]])", "$1")
-    return F.trim(F.regexp_replace(out, r"([(\[$£€])\s+", "$1"))
+    for pattern in (CLITICS, SPACE_BEFORE, SPACE_AFTER):
+        out = F.regexp_replace(out, pattern, "$1")
+    return F.trim(out)
 
 
 def pre_clean(text: Column) -> Column:
@@ -131,12 +143,7 @@ def has_ambiguous(words: Column) -> Column:
 
 def sentence_split(text: Column) -> Column:
     """Sentences: lines, cut after a stop where white space and a capital or an opening quote follow."""
-    return F.split(F.regexp_replace(text, r'([.!?])\s+([A-Z"“])', "$1\n$2"), "\n")
-
-
-# Parts that rule a sentence out, and titles that look like a sentence end.
-BAD_PARTS = ("<unk>", "@-@", "@.@", "@,@", "=", "|", "http", "–", "—")
-ABBREVIATIONS = ("St.", "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Jr.", "Sr.", "No.", "vs.")
+    return F.split(F.regexp_replace(text, SENTENCE_END, "$1\n$2"), "\n")
 
 
 def is_usable_sentence(raw: Column) -> Column:
@@ -152,6 +159,6 @@ def is_usable_sentence(raw: Column) -> Column:
         short = short | sent.endswith(a)
     digits = F.size(F.filter(words, lambda w: w.rlike("^[0-9]")))
     return (
-        ~bad & sent.rlike("^[A-Z]") & sent.rlike("[.!?]$") & n.between(5, 40) & sent.rlike(r"^[A-Za-z0-9 ,.;:!?'()%&$£€-]+$")
-        & ~sent.rlike(r"(?<![A-Za-z])'|'(?![A-Za-z])") & ~short & (digits <= F.floor(n / 3)) & (F.size(F.filter(words, lambda w: ~w.rlike("[0-9a-zA-Z]"))) == 0)
+        ~bad & sent.rlike("^[A-Z]") & sent.rlike("[.!?]$") & n.between(5, 40) & sent.rlike(ALLOWED)
+        & ~sent.rlike(LOOSE_APOSTROPHE) & ~short & (digits <= F.floor(n / 3)) & (F.size(F.filter(words, lambda w: ~w.rlike("[0-9a-zA-Z]"))) == 0)
     )

@@ -60,6 +60,13 @@ def detect_events(spark, sf_dir):
     return d.select("utt_id", F.size("clean_tokens").alias("clean_words"), F.size("disfluent_tokens").alias("spoken_words"), F.size("dropped").alias("n_dropped"), *map(of, L.TYPES))
 
 
+def detection_report(spark, sf_dir):
+    """What the detector says of each pair: words on both sides, the script's words that the spoken side lacks, and the share kept."""
+    d = _detected(spark, sf_dir)
+    n, lost = F.size("clean_tokens"), F.size("dropped")
+    return d.select("utt_id", n.alias("clean_words"), F.size("disfluent_tokens").alias("spoken_words"), F.array_join("dropped", " ").alias("dropped"), lost.alias("n_dropped"), F.when(n > 0, 1 - lost / n).otherwise(0.0).alias("kept"))
+
+
 def trace_rows(spark, sf_dir):
     return detect.trace(_detected(spark, sf_dir))
 
@@ -210,7 +217,7 @@ def level_zero_speech(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    inject_hash, invert_annotations, inject_rules, synthetic_pairs, balanced_pairs, detect_events, trace_rows, insertion_records, gold_records, fidelity, detector_confusion, detector_check,
+    inject_hash, invert_annotations, inject_rules, synthetic_pairs, balanced_pairs, detect_events, detection_report, trace_rows, insertion_records, gold_records, fidelity, detector_confusion, detector_check,
     detector_type_mix, rate_control, rate_error, type_mix, type_mix_kl, placement, placement_baseline, onset_lift, relative_position_hist, unseen_split, recovery, recovery_inverse,
     surprisal_windows, surprisal_effect, surprisal_bootstrap, effect_summary, effect_summary_ci, scored_windows, level_zero_speech)}
 
@@ -262,6 +269,8 @@ SELECT utt_id, k, CAST(r.pos AS INTEGER) AS pos, CAST(length(disfluent_tokens[b
 WHERE b >= 5 AND b + 5 < len(disfluent_tokens) AND c >= 5 AND c + 5 < len(clean_tokens)""",
     "detect_events": f"""{_FOUND}, c AS (SELECT utt_id, {", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in L.TYPES)} FROM found GROUP BY utt_id)
 SELECT utt_id, CAST(len(a) AS INTEGER) AS clean_words, CAST(len(b) AS INTEGER) AS spoken_words, CAST(dropped AS INTEGER) AS n_dropped, {", ".join(f"CAST(coalesce(n_{t}, 0) AS INTEGER) AS n_{t}" for t in L.TYPES)} FROM pairs JOIN lost USING (utt_id) LEFT JOIN c USING (utt_id)""",
+    "detection_report": f"""{_FOUND}, dl AS (SELECT utt_id, array_to_string(flatten(list(a[i + 1 : i2] ORDER BY j, i)), ' ') AS dropped FROM gaps JOIN pairs USING (utt_id) GROUP BY utt_id)
+SELECT utt_id, CAST(len(a) AS INTEGER) AS clean_words, CAST(len(b) AS INTEGER) AS spoken_words, dl.dropped, CAST(lost.dropped AS INTEGER) AS n_dropped, 1 - lost.dropped / CAST(len(a) AS DOUBLE) AS kept FROM pairs JOIN lost USING (utt_id) JOIN dl USING (utt_id)""",
     "trace_rows": f"{_FOUND} SELECT utt_id, CAST(k AS INTEGER) AS k, type, first AS position, CAST(at_word AS INTEGER) AS before_clean_word, array_to_string(b[first + 1 : past], ' ') AS words FROM found",
     "insertion_records": f"{_FOUND}, {RECORDS_SQL} SELECT * FROM frec",
     "fidelity": f"""{_FOUND} SELECT asked_level, count(*) AS sentences, CAST(sum(len(a)) AS BIGINT) AS clean_words, CAST(sum(dropped) AS BIGINT) AS dropped, count(*) FILTER (dropped > 0) AS sentences_with_drop,

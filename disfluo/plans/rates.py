@@ -74,10 +74,11 @@ def unigram_log_freq(spark, sf_dir):
 
 
 def split_summary(spark, sf_dir):
-    """Pairs of each asked and measured level, and their events."""
+    """Pairs of each asked and measured level, their words, their events in all, by type and for each 100 words."""
     counted = measure.cells(measured(spark, sf_dir), "asked_level")
     out = measure.with_level(counted, measure.cuts_of(counted))
-    return out.groupBy("asked_level", "level").agg(F.sum("utterances").alias("pairs"), F.sum("events").alias("events"))
+    sums = out.groupBy("asked_level", "level").agg(F.sum("utterances").alias("pairs"), *[F.sum(c).cast("long").alias(c) for c in ("clean_words", "events", *[f"n_{t}" for t in L.TYPES])])
+    return sums.withColumn("events_per_100w", F.when(F.col("clean_words") > 0, F.col("events") * (F.lit(100.0) / F.col("clean_words"))).otherwise(0.0))
 
 
 W = "WITH " + corpus.CORPUS_SQL
@@ -96,5 +97,5 @@ count(*) FILTER (type = 'repair' AND n IS NOT NULL) AS sp, count(*) FILTER (type
 SELECT repairs, CAST(ed AS DOUBLE) / repairs AS interregnum_rate, CAST(lo AS DOUBLE) / sp AS span_repair_rate, CAST(wo AS DOUBLE) / sp AS mean_repair_span, CAST(bi AS DOUBLE) / re AS repetition_bigram_rate FROM c""",
     "filler_phrases_top25": f"{W}, c AS (SELECT array_to_string(head, ' ') AS phrase, count(*) AS n FROM ann WHERE type = 'filler' GROUP BY 1) SELECT phrase, n, n / CAST((SELECT sum(n) FROM c) AS DOUBLE) AS share FROM c ORDER BY n DESC, phrase LIMIT 25",
     "unigram_log_freq": f"{W}, {UNI_SQL} SELECT word, n, log_freq FROM uni",
-    "split_summary": f"{W}, {CUTS_SQL}, lv AS (SELECT *, {LEVEL_SQL} AS level FROM ms, cuts WHERE n_clean >= {L.MIN_WORDS}) SELECT asked_level, level, count(*) AS pairs, CAST(sum(n_events) AS BIGINT) AS events FROM lv GROUP BY ALL",
+    "split_summary": f"{W}, {CUTS_SQL}, lv AS (SELECT *, {LEVEL_SQL} AS level FROM ms, cuts WHERE n_clean >= {L.MIN_WORDS}) SELECT asked_level, level, count(*) AS pairs, CAST(sum(n_clean) AS BIGINT) AS clean_words, CAST(sum(n_events) AS BIGINT) AS events, {', '.join(f'CAST(sum(n_{t}) AS BIGINT) AS n_{t}' for t in L.TYPES)}, sum(n_events) * (100.0 / CAST(sum(n_clean) AS DOUBLE)) AS events_per_100w FROM lv GROUP BY ALL",
 }
