@@ -88,6 +88,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def stretches(ordered: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array of integers, and where it stands; the work is in proportion to the array, however large its values are."""
+    if len(ordered):
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        for value, a, b in zip(ordered[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(ordered)]):
+            yield value, slice(a, b)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS = np.ones(1, dtype=np.uint64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import Block, blocks_of, buckets_for, mix64, read, stable, text_blocks, word_hashes
+from disfluo.llm.common import Block, blocks_of, buckets_for, mix64, read, stable, stretches, text_blocks, word_hashes
 
 END, BEGIN = np.uint64(0x9A3F1C5D77E1B24D), np.uint64(0x51B8A06E2F94C3D7)
 DEPTHS = (48, 40)  # bits kept below the bucket's: of words, of pairs
@@ -130,9 +130,7 @@ def ngram_counts(blocks: DataFrame, buckets: int, modulus: int = 7, left_out: in
                 rows = []
                 for kind, (values, back) in enumerate(tokens.kinds):
                     counts = np.bincount(back, weights=weight, minlength=len(values)).astype(np.int64)
-                    edges = np.searchsorted(values >> np.uint64(64 - bits), np.arange(buckets + 1, dtype=np.uint64))
-                    for b in np.flatnonzero(np.diff(edges)).tolist():
-                        at = slice(edges[b], edges[b + 1])
+                    for b, at in stretches((values >> np.uint64(64 - bits)).astype(np.int64)):
                         rows.append((b, kind, block.block, _keys(values[at], bits, DEPTHS[kind]), pack_counts(counts[at]), _size(counts[at])))
                 yield pd.DataFrame(rows, columns=["bucket", "kind", "block", "keys", "counts", "size"])
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import Block, blocks_of, buckets_for, mix64, read, stable, text_blocks, unpacked
+from disfluo.llm.common import Block, blocks_of, buckets_for, mix64, read, stable, stretches, text_blocks, unpacked
 
 M = 0x9E3779B97F4A7C15
 M_INVERSE = pow(M, -1, 1 << 64)
@@ -231,9 +231,7 @@ def unit_states(blocks: DataFrame, cfg: Repeat, buckets: int, crowded: np.ndarra
             for block in blocks_of(batch):
                 rows = []
                 for kind, u in enumerate(Units(block, cfg, bits, crowded).kinds):
-                    edges = np.searchsorted(u["bucket"], np.arange(buckets + 1))
-                    for b in np.flatnonzero(np.diff(edges)).tolist():
-                        at = slice(edges[b], edges[b + 1])
+                    for b, at in stretches(u["bucket"]):
                         base, width, ids = _ids_packed(u["id"][at])
                         c = u["content"][at]
                         rows.append((b, kind, block.block, u["rest"][at].astype(np.uint32).tobytes(), (c >> np.uint64(8)).astype(np.uint32).tobytes(), c.astype(np.uint8).tobytes(), base, width, ids))
@@ -361,9 +359,7 @@ def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets:
             some = np.flatnonzero(state == PARTLY)
             lead = units.plain[u["lead"][some]]
             fine = (u["bucket"][some] << more) | (u["rest"][some] >> np.uint64(32 - more)).astype(np.int64)
-            edges = np.searchsorted(fine, np.arange(buckets * finer + 1))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                at = slice(edges[b], edges[b + 1])
+            for b, at in stretches(fine):
                 first, end = s.first[lead[at]], s.last[lead[at]] + cfg.length
                 data = b"".join(block.bytes[i:j] for i, j in zip(first.tolist(), end.tolist()))
                 rows.append((b, block.block, some[at].astype(np.int32).tobytes(), (end - first).astype(np.int32).tobytes(), u["id"][some[at]].tobytes(), pa.compress(data, codec="zstd", asbytes=True)))
