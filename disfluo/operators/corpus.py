@@ -68,9 +68,8 @@ def _filler(digits: Column) -> Column:
 KINDS = ("filler", "repetition", "repair", "false_start")
 
 
-def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
-    """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations."""
-    keep = scripted.columns
+def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
+    """The scripts with, for each word, the kind of event that goes before it (its place in KINDS, or null) and the event's words."""
     once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  one element, so what it holds is computed once
 
     def limit(k: int) -> Column:
@@ -102,7 +101,13 @@ def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
             .when(k == 2, F.concat(F.array(wrong), edit)).otherwise(_pick(list(L.FRAGMENTS), number))
         )
 
-    out = once(out, "heads", F.transform("kinds", head))
+    return once(out, "heads", F.transform("kinds", head)).drop("dial", "digests")
+
+
+def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
+    """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations."""
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    out = planned(scripted, seed)
     event = lambda k, i: F.struct(k.alias("kind"), i.cast("int").alias("i"), F.size(F.get("heads", i)).alias("k"))
     out = once(out, "events", F.filter(F.transform("kinds", event), lambda e: e.kind.isNotNull()))
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
@@ -123,31 +128,23 @@ def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
     said = F.flatten(F.transform("clean_tokens", lambda w, i: F.concat(F.get("heads", i), F.array(spoken_form(w)))))
     align = F.flatten(F.transform("heads", lambda h, i: F.concat(F.array_repeat(F.lit(None).cast("int"), F.size(h)), F.array(i.cast("int")))))
     notes = F.transform(F.transform("events", place), note)
-    return out.select(*keep, said.alias("disfluent_tokens"), align.alias("alignment"), notes.alias("annotations")).select(
-        "utt_id", "doc_id", "asked_level", "clean", "clean_tokens", "n_clean", "disfluent_tokens", "alignment", "annotations")
+    return out.select("utt_id", "doc_id", "asked_level", "clean", "clean_tokens", "n_clean", said.alias("disfluent_tokens"), align.alias("alignment"), notes.alias("annotations"))
 
 
 def markup(scripted: DataFrame, seed: str = "say") -> DataFrame:
     """utt_id and the spoken side as annotated transcript text, ending in a slash."""
-    said = spoken(scripted, seed)
     comma = lambda words: F.concat(F.array_join(words, " "), F.lit(","))
-    part = lambda s: F.slice("disfluent_tokens", s.start + 1, s.end - s.start)
-
-    def before(a: Column, word: Column) -> Column:
-        edit = F.when(a.interregnum.isNotNull(), F.concat(F.lit("{E "), comma(part(a.interregnum)), F.lit(" } "))).otherwise(F.lit(""))
-        return (
-            F.when(a.type == "filler", F.concat(F.lit("{F "), comma(part(a.interregnum)), F.lit(" } "), word))
-            .when(a.type == "false_start", F.concat(F.lit("[ "), comma(part(a.reparandum)), F.lit(" + ] "), word))
-            .otherwise(F.concat(F.lit("[ "), comma(part(a.reparandum)), F.lit(" + "), edit, word, F.lit(" ]")))
-        )
 
     def at(word: Column, i: Column) -> Column:
-        place = F.array_position("alignment", i) - 1  # of the word on the spoken side
-        end = lambda a: F.greatest(a.reparandum.end, a.interregnum.end)
-        mine = F.get(F.filter("annotations", lambda a: end(a) == place), F.lit(0))
-        return F.when(mine.isNotNull(), before(mine, word)).otherwise(word)
+        kind, head = F.get("kinds", i), F.get("heads", i)
+        edit = F.when(F.size(head) > 1, F.concat(F.lit("{E "), comma(F.slice(head, F.lit(2), F.size(head))), F.lit(" } "))).otherwise(F.lit(""))
+        return (
+            F.when(kind.isNull(), word).when(kind == 0, F.concat(F.lit("{F "), comma(head), F.lit(" } "), word)).when(kind == 3, F.concat(F.lit("[ "), comma(head), F.lit(" + ] "), word))
+            .when(kind == 1, F.concat(F.lit("[ "), comma(head), F.lit(" + "), word, F.lit(" ]")))
+            .otherwise(F.concat(F.lit("[ "), comma(F.slice(head, F.lit(1), F.lit(1))), F.lit(" + "), edit, word, F.lit(" ]")))
+        )
 
-    return said.select("utt_id", F.concat(F.array_join(F.transform("clean_tokens", at), " "), F.lit(" /")).alias("text"))
+    return planned(scripted, seed).select("utt_id", F.concat(F.array_join(F.transform("clean_tokens", at), " "), F.lit(" /")).alias("text"))
 
 
 def _sql_list(words: str) -> str:
