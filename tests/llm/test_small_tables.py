@@ -121,3 +121,25 @@ def test_large_ids_beside_a_null_stay_whole(spark, labels):
 def test_ids_that_differ_only_past_float_precision(spark):
     twice = spark.createDataFrame([(BIG, "a b c d e f g h", "en", "a", 1), (BIG - 1, "a b c d e f g h", "en", "a", 1), (None, "a b c d e f g h", "en", "a", 1)], DOCS).coalesce(1)
     assert {r["class_id"] for r in neardup.classes(twice).collect()} == {BIG - 1}
+
+
+def test_very_long_pages_and_urls(spark, labels):
+    story = "\n".join(f"<p>Paragraph {k} tells what happened on day {k}.</p>" for k in range(20_000))
+    path = "/" + "part/" * 40_000 + "1"
+    pages = spark.createDataFrame([(1, "http://h.net" + path, f"<nav>menu</nav><article>{story}</article>"), (2, "http://h.net/en/2", "<p>short"), (3, "http://h.net/en/3", "<" * 300_000 + "&" * 300_000)], PAGES)
+    got = {r["page_id"]: r["text"] for r in pagetext.extract(pages).collect()}
+    assert got[1].count("\n") == 19_999 and got[1].startswith("Paragraph 0 tells") and "menu" not in got[1] and len(got) == 3
+    judged = {r["page_id"]: r for r in urls.judge(pages, urls.page_outcomes(pages, labels)).collect()}
+    assert judged[1]["path"] == path and judged[1]["rule"] == "net/" and judged[1]["verdict"] == "block"
+
+
+def test_clashing_helper_names(spark, labels):
+    """Operators take tables that already have the columns that they add or use on the way."""
+    names = {"n": 1, "order": "x", "row": 2, "slice": 3, "cum": 4, "offset": 5, "target": 6.0, "source_size": 7, "copies": 8, "k": "y", "words": "z", "item": 9, "seed": 10, "mask": 11, "content": "c", "bands": 12, "chars": 13, "u": 0.1, "toxic": 1, "lens": 14, "kind": 15}
+    docs = spark.createDataFrame(ROWS, DOCS)
+    for name, value in names.items():
+        docs = docs.withColumn(name, F.lit(value))
+    for name, run in ONE_ROW_EACH.items():
+        assert ids(run(docs, labels)) == ALL, name
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog", "q")], "item_id long, text string, words string")
+    assert sorted(r["doc_id"] for r in decontam.overlaps(docs, items).collect()) == [1, 6]
