@@ -51,13 +51,14 @@ LAST_ID = np.iinfo(np.int64).max
 class Repeat:
     """length: bytes of a string that counts; anchor: bytes by which windows are dealt out; probe, least_probe: share and
     least number of blocks in which crowded anchors are looked for; crowd: different segments there that make one (more
-    if a millionth of all segments there is more)."""
+    if a millionth of all segments there is more); span: bytes that are cut into segments at once."""
 
     length: int = 50
     anchor: int = 20
     probe: float = 1 / 32
     least_probe: int = 64
     crowd: int = 64
+    span: int = 1 << 18
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -96,22 +97,33 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 class Segments:
     """The segments of a block: first and last window, anchor, document, and both fingerprints."""
 
-    def __init__(self, block: Block, cfg: Repeat, span: int = 1 << 18):
-        parts, d = [], 0
-        while d < len(block.lens):  # a few hundred KB of documents at a time, which bounds the working memory
-            e = max(d + 1, int(np.searchsorted(block.ends, block.starts[d] + span, side="right")))
-            lo, hi = int(block.starts[d]), int(block.ends[e - 1])
-            long = np.flatnonzero(block.lens[d:e] >= cfg.length) + d
-            if len(long):
-                found = self._within(block.body[lo:hi], block.starts[long] - lo, block.ends[long] - lo, cfg)
-                parts.append([x + lo if k < 3 else x for k, x in enumerate(found)])
-            d = e
+    def __init__(self, block: Block, cfg: Repeat):
+        parts = []
+        for lo, hi, starts, ends in self._portions(block, cfg):
+            found = self._within(block.body[lo:hi], starts - lo, ends - lo, cfg)
+            parts.append([x + lo if k < 3 else x for k, x in enumerate(found)])
         names = ("first", "last", "anchor", "key", "content")
         for k, name in enumerate(names):
             kind = np.int64 if k < 3 else np.uint64
             setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=kind))
         self.doc = np.searchsorted(block.ends, self.first, side="right")
 
+    @staticmethod
+    def _portions(block: Block, cfg: Repeat) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """A few hundred KB of documents at a time, or of one long document, which bounds the working memory: first byte, past
+        the last, and where the documents in it start and end. Portions of a document overlap, so that each window is in one."""
+        d = 0
+        while d < len(block.lens):
+            e = max(d + 1, int(np.searchsorted(block.ends, block.starts[d] + cfg.span, side="right")))
+            long = np.flatnonzero(block.lens[d:e] >= cfg.length) + d
+            if len(long) and block.lens[d] <= cfg.span:
+                yield int(block.starts[d]), int(block.ends[e - 1]), block.starts[long], block.ends[long]
+            elif len(long):
+                for lo in range(int(block.starts[d]), int(block.ends[d]) - cfg.length, cfg.span):
+                    hi = min(lo + cfg.span + cfg.length, int(block.ends[d]))
+                    yield lo, hi, np.array([lo]), np.array([hi])
+            d = e
+
     @staticmethod
     def _within(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, cfg: Repeat) -> list[np.ndarray]:
         """First window, last window, anchor and both fingerprints of each segment of the documents that lie at the places given."""

@@ -233,8 +233,10 @@ def test_repeats_byte_for_byte(spark, sf, table):
     base = "".join(rng.choice("ab c") for _ in range(400))
     docs += [(10_000 + k, base[a : a + rng.randint(45, 130)] + rng.choice("xyé") + base[b : b + 60]) for k in range(120) for a, b in [(rng.randrange(300), rng.randrange(300))]]
     docs += [(20_000, "z" * 49), (20_001, "z" * 50), (20_002, "z" * 300), (20_003, "y" + "z" * 51), (20_004, None)]
-    got = suffixdup.digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == removed_by_brute_force(docs)
+    want = removed_by_brute_force(docs)
+    for cfg in (suffixdup.Repeat(), suffixdup.Repeat(span=331)):  # with long documents cut into segments by portions
+        got = suffixdup.digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), cfg).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
 def test_run_index_against_plain_search():
