@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from disfluo.llm import common, decontam, langid, lm, mixing, neardup, pagetext, quality, suffixdup, toxicity, urls
 from disfluo.llm.queries import ORACLES, QUERIES
@@ -87,6 +88,13 @@ def test_mix_against_sql_on_huge_and_tiny_documents(spark):
         assert sorted(map(tuple, got.collect())) == sorted(con.sql(ORACLES["op3_mixing"]).fetchall())
 
 
+def test_sources_meet_their_targets_with_and_without_a_broadcast(spark):
+    rows = mixing.sizes(spark.createDataFrame([(k, "w " * (k % 5), [None, "a", "b", "c"][k % 4]) for k in range(200)], "doc_id long, text string, source string"))
+    table = mixing.targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    a, b = (sorted(mixing._with_source(rows, table, 4, few=few, salts=3).collect(), key=str) for few in (10, 0))
+    assert a == b and len(a) == 200 and all(r["target"] is not None for r in a)
+
+
 def test_languages_by_plain_loops(spark, sf, table):
     """The vectors and cosines of the model's centroids, recomputed with dictionaries."""
     docs = common.read(spark, sf, "documents")
