@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words in every operator here (the bytes that bytes.split() splits on).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -227,20 +228,19 @@ def block_of(row: Column) -> Column:
     return F.shiftright(row, ROW_BITS)
 
 
-def unpacked(docs: DataFrame, blocks: DataFrame, answers: DataFrame, edit: Callable[[Block, pd.DataFrame], pa.Table], added: str = "") -> DataFrame:
+def unpacked(docs: DataFrame, blocks: DataFrame, answers: DataFrame, edit: Callable[[Block, pd.DataFrame], pa.Table], added: T.StructField | None = None) -> DataFrame:
     """docs' rows from their blocks (packed whole), with exact types: edit makes a block's table from it and its answers (rows
-    with a column ``block``); added names columns that it puts at the end."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in docs.columns}
-    schema = ", ".join(["id long, text binary", *[f"x{k} {kinds[c]}" for k, c in enumerate(others)], *([added] if added else [])])
+    with a column ``block``); added is a column that it puts at the end."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    place = {"doc_id": "id", "text": "text"} | {c: f"x{k}" for k, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
+    fields = [T.StructField("id", T.LongType()), T.StructField("text", T.BinaryType()), *[T.StructField(x, kinds[c]) for c, x in place.items() if c not in ("doc_id", "text")]]
 
     def emit(own: pa.Table, got: pa.Table) -> pa.Table:
         replies = got.to_pandas()
         return pa.concat_tables([edit(Block(*row.values()), replies) for row in own.select(BLOCK_COLUMNS).to_pylist()])
 
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(emit, schema)
-    place = {"doc_id": "id", "text": "text"} | {c: f"x{k}" for k, c in enumerate(others)}
-    return out.select(*[F.col(place[c]).cast(kinds[c]).alias(c) for c in docs.columns], *[c for c in out.columns if c not in place.values()])
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(emit, T.StructType([*fields, *([added] if added else [])]))
+    return out.select(*[F.col(place[c]).cast(kinds[c]).alias(c) for c in docs.columns], *([F.col(f"`{added.name}`")] if added else []))
 
 
 def buckets_for(blocks: DataFrame, bytes_each: int, least: int = 16) -> int:

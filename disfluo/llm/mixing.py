@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from disfluo.llm.common import WORD, Block, block_of, blocks_of, fresh, read, stable, text_blocks, unpacked
 
@@ -182,7 +183,7 @@ def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     mixed = mix_sizes(_ordered(blocks.mapInPandas(words, "doc_id long, source string, size long, row long"))).filter("taken > 0")
     mixed = mixed.select(block_of(F.col("row")).alias("block"), "row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return unpacked(docs, blocks, mixed, take, f"`{name}` int")
+    return unpacked(docs, blocks, mixed, take, T.StructField(name, T.IntegerType()))
 
 
 ORACLE_OP3 = r"""

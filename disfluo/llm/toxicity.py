@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import fresh, id_text, read, remainder, short_batches, uniform, whole_numbers
+from disfluo.llm.common import id_text, read, remainder, short_batches, uniform, whole_numbers
 
 _PIECE = re.compile(r"[^\W\d_]+|[.!?\n]+")
 
@@ -183,12 +183,12 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str, limit: float = 0.7) -> DataF
 
 def drop_toxic_by(docs: DataFrame, model: NoisyOr, limit: float = 0.7) -> DataFrame:
     """docs without the rows whose text scores at least the limit."""
-    judged = fresh(docs, "judged")
+    plain = docs.toDF(*[f"x{k}" for k in range(len(docs.columns))])  # whatever the names are
+    plain = short_batches(plain).withColumn("judged", F.col(f"x{docs.columns.index('text')}").cast("string"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(judged).to_pylist()]
+            scores = [model.score(t) for t in batch.column("judged").to_pylist()]
             yield batch.filter(pa.array([s < limit for s in scores], type=pa.bool_()))
 
-    out = short_batches(docs).withColumn(judged, F.col("text").cast("string"))
-    return out.mapInArrow(keep, out.schema).drop(judged)
+    return plain.mapInArrow(keep, plain.schema).drop("judged").toDF(*docs.columns)

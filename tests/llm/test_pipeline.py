@@ -56,8 +56,8 @@ def test_run_and_odd_rows(spark, tmp_path, sf):
 
 TEXTS = ["one two three four five six seven eight nine ten eleven", None, "", " \n ", "it stands alone, and nothing else is like it at all", "long " * 70_000 + "tail", "tie tie tie"]
 ODD = [(1, 0, "a"), (4, 0, "b"), (1, 4, "a"), (None, 0, "a"), (None, 4, None), (2, 1, None), (3, 2, "a"), (7, 3, "b"), (5, 5, "a"), (6, 5, "b"), (8, 6, "c"), (8, 6, "c")]
-CLASHING = "_id int, row int, copies string, judged int, leak int, block int, bucket int, id int, null_text boolean, x0 array<int>, x1 struct<a: int, b: array<string>>, x2 map<string, int>, x3 timestamp, x4 decimal(20, 3), x5 binary"
-OTHER = (1, 2, "three", 4, 5, 6, 7, 8, True, [1, None], (1, ["p", None]), {"k": 1}, datetime.datetime(2020, 1, 2, 3, 4, 5), Decimal("1.500"), bytearray(b"\x00\xff"))
+CLASHING = "_id int, row int, copies string, judged int, leak int, block int, bucket int, id int, null_text boolean, x0 array<int>, x1 struct<`a b`: int, b: array<string>>, `dotted.name` int, x2 map<string, int>, x3 timestamp, x4 decimal(20, 3), x5 binary"
+OTHER = (1, 2, "three", 4, 5, 6, 7, 8, True, [1, None], (1, ["p", None]), 9, {"k": 1}, datetime.datetime(2020, 1, 2, 3, 4, 5), Decimal("1.500"), bytearray(b"\x00\xff"))
 
 
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
