@@ -11,9 +11,10 @@ and segments are the unit that is sent:
 1. each text block sends its distinct segments as fingerprints of anchor and segment, with the least id that holds them;
    hash buckets answer whether a segment also stands in a document with a smaller id (all its windows are matched), or
    whether its anchor occurs in another segment (its windows may be matched in part);
-2. only the latter send their bytes; each bucket builds the run-compressed Burrows-Wheeler transform of its segments, with
-   samples at the runs' ends and the least id of what each run's suffixes begin with, and streams the segments through it:
-   where the match is ``length`` bytes long, the run says whether a smaller id holds it;
+2. only the latter send their bytes; each bucket builds the run-compressed Burrows-Wheeler transform of its segments (of
+   those that share a window's hash with another id at all), with samples at the runs' ends and the least id of what each
+   run's suffixes begin with, and streams the segments through it: where the match is ``length`` bytes long, the run says
+   whether a smaller id holds it;
 3. each block marks its documents with both answers.
 
 Runs of equal segments are merged before they are sent, so what is sent for a string that stands in a third of all
@@ -205,19 +206,19 @@ class Units:
         self.window = np.repeat(s.first[some] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
         hashes = window_hashes(block.body, self.window, cfg.length)
         doc = np.searchsorted(block.ends, self.window, side="right")
-        self.kinds = [self._distinct(s.key[self.plain], s.content[self.plain], s.first[self.plain], s.doc[self.plain], bits), self._distinct(*hashes, self.window, doc, bits)]
+        self.kinds = [self._distinct(s.key[self.plain], s.content[self.plain], s.doc[self.plain], bits), self._distinct(*hashes, doc, bits)]
 
-    def _distinct(self, key: np.ndarray, content: np.ndarray, first: np.ndarray, doc: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+    def _distinct(self, key: np.ndarray, content: np.ndarray, doc: np.ndarray, bits: int) -> dict[str, np.ndarray]:
         ids = self.ids[doc]
-        bucket, rest, content = key >> np.uint64(64 - bits), (key << np.uint64(bits)) >> np.uint64(32), content >> np.uint64(24)
-        order = np.lexsort((first, ids, content, rest, bucket))
-        b, r, c = bucket[order], rest[order], content[order]
+        key, content = key >> np.uint64(32 - bits), content >> np.uint64(24)  # bucket, and 32 bits below it
+        order = np.lexsort((ids, content, key))  # equal ones stay in the order of their places
+        k, c = key[order], content[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         lead = order[new]  # for each unit the first member of its least document
         of = np.empty(len(order), dtype=np.int64)  # unit of each member
         of[order] = np.cumsum(new) - 1
-        return {"lead": lead, "bucket": bucket[lead].astype(np.int64), "rest": rest[lead], "content": content[lead], "id": ids[lead], "of": of, "later": ids > ids[lead][of]}
+        return {"lead": lead, "bucket": (key[lead] >> np.uint64(32)).astype(np.int64), "rest": key[lead] & np.uint64(0xFFFFFFFF), "content": content[lead], "id": ids[lead], "of": of, "later": ids > ids[lead][of]}
 
 
 def _ids_packed(ids: np.ndarray) -> tuple[int, int, bytes]:
@@ -356,6 +357,19 @@ class RunIndex:
                 yield own, lens[:n] - 1 - k, self.least[self.shared[np.searchsorted(self.start, row, side="right") - 1]]
 
 
+def sharing(text: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings, one after another in text, have a window whose hash a string of another id has too."""
+    windows = lens - length + 1
+    owner = np.repeat(np.arange(len(lens)), windows)
+    at = np.repeat((np.cumsum(lens) - lens) - (np.cumsum(windows) - windows), windows) + np.arange(len(owner))
+    hashes = rolling(text, length)[at]
+    order = np.argsort(hashes)
+    first = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+    held = ids[owner[order]]
+    several = np.minimum.reduceat(held, first) < np.maximum.reduceat(held, first)
+    return np.unique(owner[order][np.repeat(several, np.diff(np.append(first, len(order))))])
+
+
 def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets: int, crowded: np.ndarray, finer: int = 4) -> DataFrame:
     """For each block the segments matched in part, and for each the windows that are matched, as bits.
 
@@ -382,9 +396,12 @@ def partial_matches(blocks: DataFrame, states: DataFrame, cfg: Repeat, buckets:
         lens = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in pdf["lens"]]
         ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["ids"]])
         text = np.frombuffer(b"".join(pa.decompress(d, decompressed_size=int(n.sum()), codec="zstd", asbytes=True) for d, n in zip(pdf["data"], lens)), dtype=np.uint8)
-        mask = np.zeros(len(ids), dtype=np.int64)
-        for own, place, least in RunIndex(text, np.concatenate(lens), ids, cfg.length).stream():
-            mask[own] |= np.where(least < ids[own], np.int64(1) << place, 0)
+        every, mask = np.concatenate(lens), np.zeros(len(ids), dtype=np.int64)
+        some = sharing(text, every, ids, cfg.length)  # the others match nothing, and nothing matches them
+        chosen = np.zeros(len(ids), dtype=bool)
+        chosen[some] = True
+        for own, place, least in RunIndex(text[np.repeat(chosen, every)], every[some], ids[some], cfg.length).stream():
+            mask[some[own]] |= np.where(least < ids[some[own]], np.int64(1) << place, 0)
         cuts = np.cumsum([len(u) for u in units])[:-1]
         rows = [(b, u[m > 0].tobytes() + m[m > 0].tobytes(), int((m > 0).sum())) for b, u, m in zip(pdf["block"], units, np.split(mask, cuts)) if (m > 0).any()]
         return pd.DataFrame([(b, 2, 0, n, d) for b, d, n in rows], columns=["block", "kind", "bucket", "n", "data"])
