@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 #: Characters that separate words in every operator here (the bytes that bytes.split() splits on).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch that goes to a Python worker; texts may be long, so batches are short.
-ARROW_ROWS = 1000
+#: Rows, and bytes, in an Arrow batch that goes to a Python worker; texts may be long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
 BLOCK_COLUMNS = ["block", "ids", "nulls", "lens", "body", "extra"]
 BLOCK_SCHEMA = "block long, ids binary, nulls binary, lens binary, body binary, extra binary"
@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def short_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of its session at ARROW_ROWS rows at most, so that a worker never holds more texts at once.
+    """df, with Arrow batches of its session at ARROW_ROWS rows and about ARROW_BYTES at most, so that a worker never holds more texts at once.
 
     The setting is read when a plan runs, so it stays; it bounds batches and changes no result of any query.
     """
@@ -35,6 +35,10 @@ def short_batches(df: DataFrame) -> DataFrame:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= ARROW_ROWS:
         conf.set(name, str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
     return df
 
 
@@ -113,9 +117,9 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def word_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a byte array, and their first and past-the-end positions."""
-    inside = np.concatenate(([False], ~_SPACE[body], [False]))
+def word_hashes(body: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a byte array, and their first and past-the-end positions; outside: the bytes between words."""
+    inside = np.concatenate(([False], ~outside[body], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[0::2], edge[1::2]
     if not len(start):
@@ -128,6 +132,18 @@ def word_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mix64(np.add.reduceat(chars * power, first) + lengths.astype(np.uint64)), start, end
 
 
+def pieces_of(body: np.ndarray, size: int = 1 << 20, outside: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray]]:
+    """A byte array in pieces of about size that cut no word, each with its start, so that hashing needs memory for one at a time."""
+    a = 0
+    while a < len(body):
+        b = min(a + size, len(body))
+        while b < len(body) and not outside[body[b - 1]]:
+            gap = np.flatnonzero(outside[body[b : b + 4096]])
+            b = b + int(gap[0]) + 1 if len(gap) else min(b + 4096, len(body))
+        yield a, body[a:b]
+        a = b
+
+
 ROW_BITS = 21  # a row's number is its block's, and its place there in so many bits
 
 
