@@ -230,4 +230,4 @@ def test_samples_are_bounded_and_whole(spark):
     drawn, counts = sampling.chosen(keys, 500, 10**9)
     assert counts == {"a": 6000, "b": 1001} and Counter(r["kind"] for r in drawn.collect()) == {"a": 500, "b": 500}
     few, _ = sampling.chosen(keys, 500, 100)
-    assert all(n <= 10 for n in Counter(r["kind"] for r in few.collect()).values())
+    assert all(1 <= n <= 16 for n in Counter(r["kind"] for r in few.collect()).values())
