@@ -77,7 +77,7 @@ def shown(rows):
     return sorted(map(str, (tuple(r) for r in rows)))
 
 
-@pytest.mark.parametrize("sizes, piece_rows", [([1], 5), ([3, 1, 0, 9], 4), ([100, 27, 2, 81], 7), ([40, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], 1000)])
+@pytest.mark.parametrize("sizes, piece_rows", [([1], 5), ([3, 1, 0, 9], 2), ([100, 27, 2, 81], 7), ([40, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], 1000)])
 def test_proofs_against_plain_lists(spark, sizes, piece_rows):
     rng, rows = random.Random(sum(sizes)), []
     for k, n in enumerate(sizes):
