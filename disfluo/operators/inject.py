@@ -1,28 +1,27 @@
 """The rule injector: a script rendered as disfluent speech at given rates, with its annotations.
 
-Every place of a script gets a row of numbers in [0, 1) from a generator seeded by the row's own id, so the same row gets the
-same speech under any partitioning. The numbers rank the places for each kind of event and settle what an event at a place
-would look like; a kind takes its best places, as many as its rate asks for, passing over those that an earlier kind holds.
-That choice is sequential within a row, so it runs as a vectorised function; nothing crosses rows.
+What may happen at a place, and in which order places are tried, comes from md5 digits of seed, utterance and place alone,
+so the same row gets the same speech under any partitioning and in any engine that has md5. All of it is Column expressions:
+the candidates of each kind are an array, ordered by their digits; a fold walks over it and takes what is still free, as many
+events as the kind's rate asks for; the words of the events chosen are then put between the script's. Nothing crosses rows.
+
+Kinds that hold more words choose first: restarts, repairs, repetitions, fillers. A candidate is a struct of its kind's place
+(at), the first word past those that it holds (past), how it comes about, and the words after which a late correction follows.
+No two events hold one word, so a place has one event at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass
-from typing import NamedTuple
+from collections.abc import Callable
+from dataclasses import dataclass
+from math import ceil
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from disfluo.functions import lexicon as L
-from disfluo.functions.text import canonical_tokens, spoken_form
-from disfluo.operators.detect import _NOTE, first_place
-
-INJECTED = T.StructType([T.StructField("disfluent_tokens", T.ArrayType(T.StringType())), T.StructField("alignment", T.ArrayType(T.IntegerType())), T.StructField("annotations", T.ArrayType(_NOTE))])
+from disfluo.functions.text import canonical_tokens, ends_clause, is_content, normalise, spoken_form
+from disfluo.operators.corpus import ANNOTATION, SPAN
 
 
 @dataclass(frozen=True)
@@ -35,181 +34,214 @@ class Rates:
     false_start: float = 0.0
 
 
-class Event(NamedTuple):
-    """What is said at a place that it would not be without the event; it holds the words from there to past."""
-
-    kind: str
-    at: int
-    past: int
-    wrong: tuple[str, ...] = ()
-    edit: tuple[str, ...] = ()
-    late: int = 0  # words after which the correction follows
-
-
-# Columns of a place's numbers.
-REPAIR, SPAN, LENGTH, DROP, WORD, LATE, EDIT, PHRASE, TWICE, AGAIN, FILL, RESTART = range(12)
-
-
-def count_for(rate: float, n: int, u: float) -> int:
-    """A count whose expectation is rate * n / 100: the whole part, and one more with the rest's probability."""
-    expected = max(0.0, rate * n / 100.0)
-    return int(expected) + (u < expected % 1)
-
-
-def pick(options: Iterable, u: float):
-    options = list(options)
-    return options[int(u * len(options))]
-
-
-def alternatives(word: str) -> list[str]:
-    """Wrong words of the same kind: the others of its group, or nearby numbers."""
-    key = word.strip(L.STRIP).lower()
-    if key in L.SWAPS:
-        return [w for w in L.SWAPS[key] if w != key]
-    if key.isascii() and key.isdigit():
-        return [str(m) for d in (1, 2, 3, 10) for m in (int(key) - d, int(key) + d) if m > 0]
-    return []
-
-
-class Script:
-    """A script's words as written and as spoken, with what may happen at each place."""
-
-    def __init__(self, raw: list[str], said: list[str], numbers: list[list[float]]):
-        self.raw, self.said, self.u, self.n = raw, said, numbers, len(raw)
-        self.other = [alternatives(w) for w in raw]
-        bare = [w.strip(L.STRIP).lower() for w in raw]
-        self.content = [len(w) > 3 and w not in L.STOPWORD_SET for w in bare]
-        self.onset = [p == 0 or raw[p - 1].rstrip(L.AFTER_CLAUSE).endswith((",", ";", ":")) for p in range(self.n)]
-        self.bare = bare
-
-    def ranked(self, column: int, places: Iterable[int]) -> list[int]:
-        return sorted(places, key=lambda p: self.u[p][column])
-
-    def edit(self, p: int, always: bool = False) -> tuple[str, ...]:
-        return tuple(pick(L.INTERREGNA, self.u[p][PHRASE]).split()) if always or self.u[p][EDIT] < L.SHAPE["interregnum"] else ()
-
-    def restarts(self) -> list[int]:
-        """Clause starts with three words after them; the sentence's start first, or one place later where the speech breaks off midway."""
-        inner = self.ranked(RESTART, (p for p in range(1, self.n - 3) if self.onset[p]))
-        first = 1 if inner and self.u[0][RESTART] < L.SHAPE["midsentence"] else 0
-        return [*inner[:first], 0, *inner[first:]]
-
-    def restart(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
-        begun = self.bare[p : p + 2]
-        past = min(p + 3, self.n)
-        return Event("false_start", p, past, tuple(pick((f for f in L.FRAGMENTS if f.split() != begun), self.u[p][WORD]).split())) if free(p, past) else None
-
-    def repairs(self) -> list[int]:
-        near = lambda p: p < self.n - 1 and any(self.content[p : p + 3])
-        return self.ranked(REPAIR, (p for p in range(self.n) if self.other[p] or near(p)))
-
-    def repair(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
-        u = self.u[p]
-        spans = [k for k in range(2, L.MAX_SPAN + 1) if p + k <= self.n and free(p, p + k)] if u[SPAN] < L.SHAPE["span"] else []
-        for k in spans[:: 1 if u[LENGTH] < 0.5 else -1]:
-            wrong = self.without_one(p, k) if u[DROP] < L.SHAPE["span_drop"] else self.with_other(p, k)
-            if wrong:
-                return Event("repair", p, p + k, wrong, self.edit(p))
-        if not self.other[p]:
-            return Event("repair", p, p + 2, self.without_one(p, 2), self.edit(p)) if free(p, p + 2) else None
-        if not free(p, p + 1):
-            return None
-        late = [d for d in range(2, L.MAX_DELAY + 1) if p + d < self.n and free(p, p + d + 1)] if u[LATE] < L.SHAPE["delayed"] else []
-        d = pick(late, u[LENGTH]) if late else 0
-        return Event("repair", p, p + d + 1, (pick(self.other[p], u[WORD]),), self.edit(p, always=d > 0), d)
-
-    def without_one(self, p: int, k: int) -> tuple[str, ...]:
-        gone = pick(range(1, k), self.u[p][WORD])
-        return tuple(w for j, w in enumerate(self.said[p : p + k]) if j != gone)
-
-    def with_other(self, p: int, k: int) -> tuple[str, ...]:
-        places = [q for q in range(p, p + k) if self.other[q]]
-        if not places:
-            return ()
-        q = pick(places, self.u[p][WORD])
-        return (*self.said[p:q], pick(self.other[q], self.u[q][PHRASE]), *self.said[q + 1 : p + k])
-
-    def repetition(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
-        past = p + (2 if self.n >= 5 and self.u[p][TWICE] < L.SHAPE["bigram"] else 1)
-        return Event("repetition", p, past, tuple(self.said[p:past])) if past <= self.n and free(p, past) else None
-
-    def filler(self, p: int, free: Callable[[int, int], bool]) -> Event | None:
-        """A filled pause, at an onset or before a content word; not beside a word that could be one. It holds no word."""
-        beside = L.FILLER_WORDS.intersection(self.said[max(0, p - 1) : p + 2])
-        if beside or not (self.onset[p] or self.content[p]) or not free(p, p + 1):
-            return None
-        left = self.u[p][WORD] * sum(w for _, w in L.FILLERS)
-        for phrase, weight in L.FILLERS:
-            left -= weight
-            if left < 0:
-                break
-        return Event("filler", p, p, edit=tuple(phrase.split()))
-
-    def plan(self, rates: Rates) -> list[Event]:
-        """The events of a rendering, by place; kinds that hold more words choose first."""
-        held, events = [False] * self.n, []
-        free = lambda a, b: not any(held[a:b])
-        steps = (
-            ("false_start", 6, self.restarts, self.restart), ("repair", 1, self.repairs, self.repair),
-            ("repetition", 3, lambda: self.ranked(AGAIN, range(self.n)), self.repetition), ("filler", 1, lambda: self.ranked(FILL, range(self.n)), self.filler),
-        )
-        for k, (kind, least, places, event) in enumerate(steps):
-            want = count_for(getattr(rates, kind), self.n, self.u[self.n][k]) if self.n >= least else 0
-            for p in places() if want else ():
-                if want and (e := event(p, free)):
-                    held[e.at : e.past] = [True] * (e.past - e.at)
-                    events.append(e)
-                    want -= 1
-        return sorted(events, key=lambda e: (e.at, e.kind != "false_start", e.kind != "filler"))
-
-
-def render(said: list[str], events: list[Event]) -> dict:
-    """Spoken words, alignment and annotations of a script with its events."""
-    out: list[tuple[str, int | None]] = []
-    notes: list[dict] = []
-
-    def say(words: Iterable[str], source: int | None = None) -> dict | None:
-        start = len(out)
-        out.extend((w, source) for w in words)
-        return {"start": start, "end": len(out)} if len(out) > start else None
-
-    waiting: dict[int, tuple[Event, dict]] = {}
-    for i, word in enumerate(said):
-        held_back = False
-        for e in (e for e in events if e.at == i):
-            wrong = say(e.wrong)
-            if e.late:
-                waiting[i + e.late], held_back = (e, wrong), True
-                continue
-            edit = say(e.edit)
-            ahead = {"filler": 0, "false_start": min(3, len(said) - i)}.get(e.kind, e.past - e.at)
-            notes.append({"type": e.kind, "reparandum": wrong, "interregnum": edit, "repair": {"start": len(out), "end": len(out) + ahead} if ahead else None})
-        if not held_back:
-            say([word], i)
-        if i in waiting:  # the correction comes a few words later
-            e, wrong = waiting.pop(i)
-            edit = say(e.edit)
-            notes.append({"type": e.kind, "reparandum": wrong, "interregnum": edit, "repair": say([said[e.at]], e.at)})
-    return {"disfluent_tokens": [w for w, _ in out], "alignment": [i for _, i in out], "annotations": sorted(notes, key=first_place)}
-
-
-def inject(raw: list[str], said: list[str], rates: Rates, seed: int) -> dict:
-    """Spoken words, alignment and annotations of one script."""
-    if rates == Rates():
-        return render(said, [])
-    numbers = np.random.default_rng(seed % (1 << 63)).random((len(raw) + 1, 12)).tolist()
-    return render(said, Script(raw, said, numbers).plan(rates))
+#: How an event comes about.
+RESTART, SHORTER, SWAPPED, WRONG_WORD, LATE, TWICE, PAUSE = range(7)
+KIND_OF = ("false_start", "repair", "repair", "repair", "repair", "repetition", "filler")
 
+#: Least words of a script in which a kind occurs.
+LEAST = {"false_start": 6, "repair": 1, "repetition": 3, "filler": 1}
+
+#: (first digit, digits) of a place's digests: which part says what. ``repair`` has a second digest, ``more``.
+DIGITS = {"rank": (1, 8), "phrase": (9, 8), "span": (9, 4), "longer": (13, 1), "drop": (14, 4), "word": (18, 4), "late": (22, 4), "edit": (26, 4)}
+MORE = {"place": (21, 4), "gone": (25, 4), "said": (29, 4)}
+DELAYS = tuple(range(2, L.MAX_DELAY + 1))
+
+_CANDIDATE = "struct<at:int,past:int,how:int,late:int>"
+_NONE = "array<string>"
+
+
+def below(x: float, digits: int) -> str:
+    """Hexadecimal digits that just those of numbers under x come before."""
+    return format(ceil(x * 16**digits), f"0{digits}x")
+
+
+def _under(digest: Column, part: tuple[int, int], x: float) -> Column:
+    return F.substring(digest, *part) < F.lit(below(x, part[1]))
+
+
+def _index(digest: Column, part: tuple[int, int], n: Column) -> Column:
+    """A place in a list of n, by the digits of a part."""
+    return F.floor(F.conv(F.substring(digest, *part), 16, 10).cast("long") * n / F.lit(float(16 ** part[1]))).cast("int")
+
+
+def _words(phrases) -> Column:
+    return F.array(*[F.array(*map(F.lit, p.split())) for p in phrases])
+
+
+def alternatives(token: Column) -> Column:
+    """Wrong words of the same kind: the others of its group, or nearby numbers; none for most words."""
+    key = normalise(token)
+    groups = F.create_map(*[x for word, group in L.SWAPS.items() for x in (F.lit(word), F.array(*[F.lit(w) for w in group if w != word]))])
+    number = key.cast("long")
+    near = F.filter(F.transform(F.array(*[F.lit(d) for d in (-1, 1, -2, 2, -3, 3, -10, 10)]), lambda d: number + d), lambda m: m > 0)
+    return F.when(key.rlike("^[0-9]{1,15}$"), F.transform(near, lambda m: m.cast("string"))).otherwise(F.coalesce(F.try_element_at(groups, key), F.array().cast(_NONE)))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row: exploding an array of one element keeps it from being computed again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _candidate(at: Column, past: Column, how: int, late: Column | int = 0) -> Column:
+    return F.struct(at.cast("int").alias("at"), past.cast("int").alias("past"), F.lit(how).alias("how"), (F.lit(late) if isinstance(late, int) else late).cast("int").alias("late")).cast(_CANDIDATE)
 
-def spoken_by_rules(scripts: DataFrame, dial: dict[int, Rates], seed: int = 13, level: str = "asked_level", key: str = "utt_id") -> DataFrame:
-    """Scripts in the corpus schema with speech at each row's level; rows at level 0 (no rates) are the spoken text itself."""
-    rates = {k: asdict(v) for k, v in dial.items()}
 
-    def rows(raw: pd.Series, said: pd.Series, lv: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        got = [inject(list(r), list(s), Rates(**rates.get(int(k), {})), seed + int(i)) for r, s, k, i in zip(raw, said, lv, ids)]
-        return pd.DataFrame(got, columns=["disfluent_tokens", "alignment", "annotations"])
+def _places(n: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda p: p < n)
 
-    udf = F.pandas_udf(rows, INJECTED).asNondeterministic()
-    out = scripts.withColumn("clean_tokens", canonical_tokens(F.col("clean"))).withColumn("n_clean", F.size("clean_tokens"))
-    out = out.withColumn("_s", udf("clean_tokens", F.transform("clean_tokens", spoken_form), level, key))
-    return out.select(*[c for c in out.columns if c != "_s"], "_s.disfluent_tokens", "_s.alignment", "_s.annotations")
+
+def _ranked(places: Column, digest: Callable[[Column], Column]) -> Column:
+    """Places by their digits: structs (rank, p, h)."""
+    hashed = F.transform(places, lambda p: F.struct(p.alias("p"), digest(p).alias("h")))
+    return F.array_sort(F.transform(hashed, lambda x: F.struct(F.substring(x.h, *DIGITS["rank"]).alias("rank"), x.p.alias("p"), x.h.alias("h"))))
+
+
+def _restarts(n: Column, onset: Column, digest: Callable) -> Column:
+    """Clause starts with three words after them; the sentence's start first, or one place later where the speech breaks off midway."""
+    inner = _ranked(F.filter(_places(n), lambda p: (p >= 1) & (p < n - 3) & F.get(onset, p)), digest)
+    first = F.when((F.size(inner) > 0) & _under(digest(F.lit(0)), DIGITS["phrase"], L.SHAPE["midsentence"]), 1).otherwise(0)
+    at = F.transform(inner, lambda r: r.p)
+    order = F.concat(F.slice(at, F.lit(1), first), F.array(F.lit(0)), F.slice(at, first + 1, F.size(at)))
+    return F.transform(order, lambda p: _candidate(p, F.least(p + 3, n), RESTART))
+
+
+def _repairs(n: Column, others: Column, content: Column, digest: Callable, more: Callable) -> Column:
+    """At each place a few words said with one left out or swapped, or else one word said wrong, with its correction at once or late."""
+    other, any_in = (lambda p: F.get(others, p) > 0), lambda flags, p, k: F.exists(F.slice(flags, p + 1, k), lambda x: x > 0)
+    usable = lambda p: other(p) | ((p < n - 1) & F.exists(F.slice(content, p + 1, F.lit(3)), lambda c: c))
+
+    def options(r: Column) -> Column:
+        p, h = r.p, r.h
+
+        def span(k: int) -> Column:
+            fits = p + k <= n
+            return F.when(fits & _under(h, DIGITS["drop"], L.SHAPE["span_drop"]), _candidate(p, p + k, SHORTER)).when(fits & any_in(others, p, F.lit(k)), _candidate(p, p + k, SWAPPED))
+
+        lengths = [span(k) for k in range(2, L.MAX_SPAN + 1)]
+        spans = F.when(_under(h, DIGITS["longer"], 0.5), F.array(*lengths)).otherwise(F.array(*lengths[::-1]))
+        spans = F.when(_under(h, DIGITS["span"], L.SHAPE["span"]), spans).otherwise(F.array().cast(f"array<{_CANDIDATE}>"))
+        delay = lambda d: F.struct(F.substring(more(p), 4 * (d - DELAYS[0]) + 1, 4).alias("rank"), F.lit(d).alias("d"))
+        delays = F.transform(F.filter(F.array_sort(F.array(*map(delay, DELAYS))), lambda d: p + d.d < n), lambda d: _candidate(p, p + d.d + 1, LATE, d.d))
+        delays = F.when(_under(h, DIGITS["late"], L.SHAPE["delayed"]), delays).otherwise(F.array().cast(f"array<{_CANDIDATE}>"))
+        word = F.when(other(p), F.concat(delays, F.array(_candidate(p, p + 1, WRONG_WORD)))).otherwise(F.array(_candidate(p, p + 2, SHORTER)))
+        return F.concat(F.filter(spans, lambda c: c.isNotNull()), F.filter(word, lambda c: c.past <= n))
+
+    return F.flatten(F.transform(_ranked(F.filter(_places(n), usable), digest), options))
+
+
+def _repetitions(n: Column, digest: Callable) -> Column:
+    def option(r: Column) -> Column:
+        two = (n >= 5) & _under(r.h, DIGITS["phrase"], L.SHAPE["bigram"])
+        return _candidate(r.p, r.p + F.when(two, 2).otherwise(1), TWICE)
+
+    return F.filter(F.transform(_ranked(_places(n), digest), option), lambda c: c.past <= n)
+
+
+def _pauses(n: Column, said: Column, onset: Column, content: Column, digest: Callable) -> Column:
+    """A filled pause, at an onset or before a content word; not beside a word that could be one. It holds no word."""
+    beside = lambda p: F.exists(F.slice(said, F.greatest(p, F.lit(1)), F.when(p == 0, 2).otherwise(3)), lambda w: w.isin(*sorted(L.FILLER_WORDS)))
+    fit = F.filter(_places(n), lambda p: (F.get(onset, p) | F.get(content, p)) & ~beside(p))
+    return F.transform(_ranked(fit, digest), lambda r: _candidate(r.p, r.p, PAUSE))
+
+
+def _taken(candidates: Column, want: Column, held: Column) -> Column:
+    """held with the first candidates that are free, as many as wanted; a pause, which holds no word, needs the word after it."""
+
+    def step(state: Column, c: Column) -> Column:
+        past = F.greatest(c.past, c.at + 1)
+        free = ~F.exists(state.events, lambda e: (e.at < past) & (e.past > c.at))
+        goes = (state.left > 0) & free
+        return F.struct((state.left - F.when(goes, 1).otherwise(0)).alias("left"), F.when(goes, F.concat(state.events, F.array(c))).otherwise(state.events).alias("events"))
+
+    return F.aggregate(candidates, F.struct(want.alias("left"), held.alias("events")), step, lambda s: s.events)
+
+
+def planned(scripts: DataFrame, dial: dict[int, Rates], seed: int, level: str, key: str) -> DataFrame:
+    """Scripts (clean_tokens, n_clean) with said, others (counts of alternatives) and events (candidates taken, by place)."""
+    n, uid = F.col("n_clean"), F.coalesce(F.col(key).cast("string"), F.lit(""))
+    digest = lambda kind: lambda p: F.md5(F.concat_ws(":", F.lit(str(seed)), uid, F.lit(kind), p.cast("string")).cast("binary"))
+    out = _once(scripts, "said", F.transform("clean_tokens", spoken_form))
+    out = _once(out, "wrongs", F.transform("clean_tokens", alternatives))
+    out = _once(out, "others", F.transform("wrongs", lambda w: F.size(w)))
+    out = _once(out, "content", F.transform("clean_tokens", is_content))
+    out = _once(out, "onset", F.transform("clean_tokens", lambda w, p: (p == 0) | ends_clause(F.get("clean_tokens", p - 1))))
+    candidates = {
+        "false_start": _restarts(n, F.col("onset"), digest("false_start")), "repair": _repairs(n, F.col("others"), F.col("content"), digest("repair"), digest("more")),
+        "repetition": _repetitions(n, digest("repetition")), "filler": _pauses(n, F.col("said"), F.col("onset"), F.col("content"), digest("filler")),
+    }
+    out, none = out.withColumn("events", F.array().cast(f"array<{_CANDIDATE}>")), F.array().cast(f"array<{_CANDIDATE}>")
+    for kind, found in candidates.items():
+        rate = F.lit(0.0)
+        for lv, rates in dial.items():
+            rate = F.when(F.col(level) == lv, F.lit(float(getattr(rates, kind)))).otherwise(rate)
+        expected = F.when(n >= LEAST[kind], F.greatest(rate * n / F.lit(100.0), F.lit(0.0))).otherwise(0.0)
+        u = F.conv(F.substring(digest("count")(F.lit(kind)), *DIGITS["rank"]), 16, 10).cast("double") / F.lit(4294967296.0)
+        want = F.floor(expected).cast("int") + F.when(u < expected - F.floor(expected), 1).otherwise(0)
+        out = _once(out, "_want", want)
+        out = _once(out, "_found", F.when(F.col("_want") > 0, found).otherwise(none))
+        out = _once(out, "_events", _taken(F.col("_found"), F.col("_want"), F.col("events")))
+        out = out.withColumn("events", F.col("_events")).drop("_want", "_found", "_events")
+    return out.withColumn("events", F.array_sort("events"))
+
+
+def _phrased(e: Column, n: Column, seed: int, key: str) -> Column:
+    """An event with its words: wrong (said and taken back) and edit (said in between)."""
+    uid = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    digest = lambda kind, p: F.md5(F.concat_ws(":", F.lit(str(seed)), uid, F.lit(kind), p.cast("string")).cast("binary"))
+    said, k, none = F.col("said"), e.past - e.at, F.array().cast(_NONE)
+    repair, more = digest("repair", e.at), digest("more", e.at)
+    begun = F.array_join(F.transform(F.slice("clean_tokens", e.at + 1, F.lit(2)), normalise), " ")
+    fragments = F.filter(_words(L.FRAGMENTS), lambda f: F.array_join(f, " ") != begun)
+    fragment = F.get(fragments, _index(digest("false_start", e.at), DIGITS["phrase"], F.size(fragments)))
+    gone = _index(more, MORE["gone"], k - 1) + 1
+    shorter = F.concat(F.slice(said, e.at + 1, gone), F.slice(said, e.at + gone + 2, F.greatest(k - gone - 1, F.lit(0))))
+    places = F.filter(F.sequence(e.at, F.greatest(e.past - 1, e.at)), lambda q: F.get("others", q) > 0)
+    q = F.get(places, _index(more, MORE["place"], F.size(places)))
+    wrong_at = lambda p: F.array(F.get(F.get("wrongs", p), _index(digest("repair", p), DIGITS["word"], F.get("others", p))))
+    swapped = F.concat(F.slice(said, e.at + 1, q - e.at), wrong_at(q), F.slice(said, q + 2, F.greatest(e.past - q - 1, F.lit(0))))
+    editing = F.get(_words(L.INTERREGNA), _index(more, MORE["said"], F.lit(len(L.INTERREGNA))))
+    edit = F.when((e.how == LATE) | _under(repair, DIGITS["edit"], L.SHAPE["interregnum"]), editing).otherwise(none)
+    pause = digest("filler", e.at)
+    filler, total = F.array(*map(F.lit, L.FILLERS[-1][0].split())), sum(w for _, w in L.FILLERS)
+    upto = total
+    for phrase, weight in reversed(L.FILLERS[:-1]):
+        upto = sum(w for _, w in L.FILLERS[: [p for p, _ in L.FILLERS].index(phrase) + 1])
+        filler = F.when(_under(pause, DIGITS["phrase"], round(upto / total, 6)), F.array(*map(F.lit, phrase.split()))).otherwise(filler)
+    wrong = (
+        F.when(e.how == RESTART, fragment).when(e.how == SHORTER, shorter).when(e.how == SWAPPED, swapped).when(e.how.isin(WRONG_WORD, LATE), wrong_at(e.at))
+        .when(e.how == TWICE, F.slice(said, e.at + 1, k)).otherwise(none)
+    )
+    return F.struct(e.at.alias("at"), e.past.alias("past"), e.how.alias("how"), e.late.alias("late"), wrong.alias("wrong"), F.when(e.how == PAUSE, filler).when(e.how.between(SHORTER, LATE), edit).otherwise(none).alias("edit"))
+
+
+def spoken_by_rules(scripts: DataFrame, dial: dict[int, Rates], seed: int = 13, level: str = "asked_level", key: str = "utt_id") -> DataFrame:
+    """Scripts in the corpus schema with speech at each row's level; rows at level 0 (no rates) are the spoken text itself.
+
+    A null or empty script is said with no word; rows with equal keys and texts are said alike; a null key counts as the empty text.
+    """
+    out = scripts.withColumn("clean_tokens", F.coalesce(canonical_tokens(F.col("clean")), F.array().cast(_NONE))).withColumn("n_clean", F.size("clean_tokens"))
+    keep = out.columns
+    n, span, none = F.col("n_clean"), (lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")).cast(SPAN)), F.lit(None).cast(SPAN)
+    inner = {c: f"_x{k}" for k, c in enumerate(keep) if c not in ("clean_tokens", "n_clean", key, level)}  # whatever the other columns are called
+    out = out.select(*[F.col(f"`{c}`").alias(inner.get(c, c)) for c in keep])
+    e = _once(planned(out, dial, seed, level, key), "told", F.transform("events", lambda x: _phrased(x, n, seed, key)))
+    at = lambda i: F.get(F.filter("told", lambda x: x.at == i), F.lit(0))
+    back = lambda i: F.get(F.filter("told", lambda x: (x.late > 0) & (x.at + x.late == i)), F.lit(0))
+    e = _once(e, "here", F.transform("said", lambda w, i: F.struct(at(i).alias("e"), back(i).alias("b"))))
+    empty, gap = F.array().cast(_NONE), (lambda words: F.array_repeat(F.lit(None).cast("int"), F.size(words)))
+    head = lambda x: F.when(x.e.isNull(), empty).when(x.e.late > 0, x.e.wrong).otherwise(F.concat(x.e.wrong, x.e.edit))
+    held = lambda x: F.coalesce(x.e.late > 0, F.lit(False))
+    tokens = F.transform("here", lambda x, i: F.concat(head(x), F.when(held(x), empty).otherwise(F.array(F.get("said", i))), F.when(x.b.isNull(), empty).otherwise(F.concat(x.b.edit, F.array(F.get("said", x.b.at))))))
+    places = F.transform("here", lambda x, i: F.concat(gap(head(x)), F.when(held(x), F.array().cast("array<int>")).otherwise(F.array(i.cast("int"))), F.when(x.b.isNull(), F.array().cast("array<int>")).otherwise(F.concat(gap(x.b.edit), F.array(x.b.at)))))
+
+    def note(x: Column, j: Column) -> Column:
+        s = F.aggregate(F.slice("told", F.lit(1), j), x.at, lambda a, y: a + F.size(y.wrong) + F.size(y.edit))
+        w, d = F.size(x.wrong), F.size(x.edit)
+        edit_at = s + w + x.late
+        fix = F.when(x.how == PAUSE, none).when(x.how == RESTART, span(s + w, s + w + F.least(F.lit(3), n - x.at))).when(x.late > 0, span(edit_at + d, edit_at + d + 1)).otherwise(span(s + w + d, s + w + d + x.past - x.at))
+        kind = F.get(F.array(*map(F.lit, KIND_OF)), x.how)
+        return F.struct(kind.alias("type"), F.when(w > 0, span(s, s + w)).alias("reparandum"), F.when(d > 0, span(edit_at, edit_at + d)).alias("interregnum"), fix.alias("repair")).cast(ANNOTATION)
+
+    done = e.select(*[inner.get(c, c) for c in keep], F.flatten(tokens).alias("_d"), F.flatten(places).alias("_a"), F.transform("told", note).alias("_n"))
+    made = {"disfluent_tokens": "_d", "alignment": "_a", "annotations": "_n"}
+    return done.select(*[F.col(inner.get(c, c)).alias(c) for c in keep if c not in made], *[F.col(v).alias(k) for k, v in made.items()])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from disfluo.functions import lexicon as L
 from disfluo.functions.text import spoken_text
 from disfluo.operators import corpus, detect, evaluate, inject, measure, pools
 from disfluo.plans.detect_sql import CONFUSION_SQL, DETECT_SQL, PAIRS_SQL, RECORDS_SQL
+from disfluo.plans.inject_sql import rules_sql
 from disfluo.plans.rates import CUTS_SQL, LEVEL_SQL, SUMS_SQL, UNI_SQL, W, measured, rates_sql, said
+from disfluo.plans.sources import _ASKED, _balanced_sql
 from disfluo.plans.texts import CLAUSE, CONTENT, NORM, SPOKEN, WORDS_ONLY
 
 #: Rates of the rule injector's levels, for 100 clean words.
@@ -227,6 +231,7 @@ _RUN = f"{TARGETS_SQL}, run AS (SELECT asked_level, utterances, clean_words, eve
 _GOLD = f"""rec AS (SELECT utt_id, asked_level, CAST(row_number() OVER (PARTITION BY utt_id ORDER BY i) - 1 AS INTEGER) AS k, type, CAST(coalesce(int_e, rep_e) - coalesce(rep_s, int_s) AS INTEGER) AS length, CAST(i AS INTEGER) AS clean_index, i / CAST(n_clean AS DOUBLE) AS relative,
 {NORM("clean_tokens[i + 1]")} AS next_word, {CONTENT("clean_tokens[i + 1]")} AS next_is_content, i = 0 OR coalesce({CLAUSE("clean_tokens[i]")}, false) AS at_onset FROM ann JOIN (SELECT utt_id, clean_tokens FROM scripts) USING (utt_id))"""
 _FOUND = f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS_SQL}, {DETECT_SQL}"
+_RULED = W.replace("WITH", "WITH RECURSIVE", 1)
 _FLOOR = "(SELECT coalesce(min(log_freq), -6.0) FROM uni)"
 _PLACE = f"""pl AS (SELECT asked_level, count(*) AS n, round(avg(CAST(at_onset AS INTEGER)), 9) AS at_clause_onset, round(avg(CAST(next_is_content AS INTEGER)), 9) AS before_content_word,
 round(coalesce(avg(coalesce(log_freq, {_FLOOR})) FILTER (next_word <> ''), 0.0), 9) AS mean_next_log_freq, count(*) FILTER (NOT at_onset) AS n_mid_clause,
@@ -242,6 +247,10 @@ sw AS (SELECT utt_id, k, pos, -coalesce(x.log_freq, {_FLOOR}) * log2(10.0) AS da
 ORACLES = {
     "inject_hash": f"{W} SELECT utt_id, array_to_string(disfluent_tokens, ' ') AS spoken, CAST(len(list_filter(alignment, lambda x: x IS NULL)) AS INTEGER) AS n_inserted FROM utt",
     "invert_annotations": f"{W} SELECT count(*) AS n, count(*) FILTER (array_to_string(list_transform(list_sort(list_filter(alignment, lambda x: x IS NOT NULL)), lambda j: clean_tokens[j + 1]), ' ') <> array_to_string(clean_tokens, ' ')) AS wrong FROM utt",
+    "inject_rules": f"{_RULED}, {rules_sql(RULES)} SELECT utt_id, asked_level, clean, array_to_string(disfluent_tokens, ' ') AS spoken, CAST(n_events AS INTEGER) AS n_events FROM ruled JOIN (SELECT utt_id, n_events FROM rms) USING (utt_id)",
+    "synthetic_pairs": f"""{_RULED}, long AS (SELECT * FROM scripts WHERE n_clean >= {L.MIN_WORDS}), {rules_sql(RULES, "long")}, {re.sub(r"\bms\b", "rms", CUTS_SQL)}
+SELECT utt_id, asked_level, {LEVEL_SQL} AS level, rate FROM rms, cuts""",
+    "balanced_pairs": f"{_RULED}, {CUTS_SQL}, {_ASKED}, {rules_sql(RULES, 'sx')}, {_balanced_sql(50).replace('ms_x', 'rms')} SELECT utt_id, sentence, asked_level, level FROM t4",
     "gold_records": f"{W}, {_GOLD} SELECT * FROM rec",
     "rate_control": f"{W}, {_RUN} SELECT *, CASE WHEN target > 0 THEN total_rate / target ELSE 0.0 END AS ratio FROM run",
     "rate_error": f"{W}, {_RUN} SELECT round(avg(abs(total_rate - target)), 9) AS mean_absolute_error, round(avg(abs(total_rate - target) / target), 9) AS mean_relative_error FROM run WHERE asked_level BETWEEN 1 AND 3",

@@ -1,12 +1,15 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from disfluo.operators import detect as D
 from disfluo.operators import evaluate, inject
 from disfluo.plans.evaluation import RULES
+from disfluo.plans.inject_sql import rules_sql
 
 SCRIPT = "please carry both green boxes upstairs after lunch".split()
 
@@ -50,40 +53,48 @@ def test_alignment_is_the_longest_block_first_one():
 SENTENCES = ["Mail the monthly invoice to Omar before Tuesday, and then phone the studio.", "Her blue folder holds forty letters; please sort the second half tonight.", "They drove south past the harbour until a narrow lane came into sight."]
 
 
-def injected(seed, sentence, rates=RULES[3]):
-    raw = sentence.split()
-    said = [w.strip(inject.L.STRIP).lower() for w in raw]
-    return said, inject.inject(raw, said, rates, seed)
+@pytest.fixture(scope="module")
+def injected(spark):
+    """Words and speech of so many renderings of the sentences, as dictionaries."""
 
+    def run(n, rates=RULES[3], sentences=SENTENCES, seed=13):
+        rows = spark.createDataFrame([(i, sentences[i % len(sentences)], 1) for i in range(n)], "utt_id long, clean string, asked_level int")
+        got = inject.spoken_by_rules(rows, {1: rates}, seed).orderBy("utt_id").collect()
+        return [([w.strip(inject.L.STRIP).lower() for w in r["clean"].split()], r.asDict(recursive=True)) for r in got]
 
-def test_injection_inverts_and_never_overlaps():
-    for seed in range(300):
-        said, r = injected(seed, SENTENCES[seed % 3])
+    return run
+
+
+def test_injection_inverts_and_never_overlaps(injected):
+    for said, r in injected(300):
         assert sorted(a for a in r["alignment"] if a is not None) == list(range(len(said)))
         assert all(r["disfluent_tokens"][j] == said[a] for j, a in enumerate(r["alignment"]) if a is not None)
         gone = [i for a in r["annotations"] for k in ("reparandum", "interregnum") if a[k] for i in range(a[k]["start"], a[k]["end"])]
         assert len(gone) == len(set(gone)) and set(gone) == {j for j, a in enumerate(r["alignment"]) if a is None}
+        assert [D.first_place(a) for a in r["annotations"]] == sorted(D.first_place(a) for a in r["annotations"])
 
 
-def test_same_seed_same_speech_and_level_zero_is_clean():
-    assert injected(7, SENTENCES[0]) == injected(7, SENTENCES[0])
-    said, r = injected(7, SENTENCES[0], inject.Rates())
+def test_same_seed_same_speech_and_level_zero_is_clean(injected):
+    assert injected(5) == injected(5) and injected(50, seed=13) != injected(50, seed=14)
+    ((said, r),) = injected(1, inject.Rates())
     assert r["disfluent_tokens"] == said and r["annotations"] == []
 
 
-def test_expected_counts():
-    rng = random.Random(3)
-    assert abs(sum(inject.count_for(3.0, 12, rng.random()) for _ in range(20000)) / 20000 - 0.36) < 0.02
-    assert inject.count_for(0, 10, 0.0) == inject.count_for(5, 0, 0.0) == inject.count_for(-1, 10, 0.0) == 0
+def test_expected_counts(injected):
+    """The whole part of the rate's events, and one more as often as the rest says; a rate below zero is none."""
+    n = [len(r["annotations"]) for _, r in injected(4000, inject.Rates(repetition=10.0), SENTENCES[:1])]
+    assert set(n) == {1, 2} and abs(np.mean(n) - 1.3) < 0.03
+    assert not any(r["annotations"] for _, r in injected(20, inject.Rates(filler=-4.0)))
 
 
-def test_shares_of_each_shape():
+def test_shares_of_each_shape(injected):
     """Over many renderings the shares that are published hold: editing phrases, two-word repetitions, spans, late corrections, filler words."""
-    notes = [(a, r) for seed in range(6000) for _, r in [injected(seed, SENTENCES[seed % 3], inject.Rates(repair=8.0, repetition=8.0, filler=8.0))] for a in r["annotations"]]
+    notes = [(a, r) for _, r in injected(6000, inject.Rates(repair=8.0, repetition=8.0, filler=8.0)) for a in r["annotations"]]
     size = lambda s: s["end"] - s["start"] if s else 0
     repairs = [a for a, _ in notes if a["type"] == "repair"]
-    late = [a for a in repairs if a["repair"]["start"] - (a["interregnum"] or a["reparandum"])["end"] == 0 and a["interregnum"] and a["interregnum"]["start"] > a["reparandum"]["end"]]
+    late = [a for a in repairs if a["interregnum"] and a["interregnum"]["start"] > a["reparandum"]["end"]]
     assert 0.15 < np.mean([a["interregnum"] is not None for a in repairs]) < 0.30 and late and len(late) < 0.15 * len(repairs)
+    assert {a["interregnum"]["start"] - a["reparandum"]["end"] for a in late} == {2, 3, 4, 5, 6}
     assert 0.10 < np.mean([size(a["reparandum"]) == 2 for a, _ in notes if a["type"] == "repetition"]) < 0.22
     assert {size(a["reparandum"]) for a in repairs} == {1, 2, 3}
     words = [" ".join(r["disfluent_tokens"][a["interregnum"]["start"] : a["interregnum"]["end"]]) for a, r in notes if a["type"] == "filler"]
@@ -91,10 +102,9 @@ def test_shares_of_each_shape():
         assert abs(np.mean([w == phrase for w in words]) - weight) < 0.02
 
 
-def test_restarts_break_off_where_they_may():
+def test_restarts_break_off_where_they_may(injected):
     at = []
-    for seed in range(2000):
-        said, r = injected(seed, SENTENCES[0], inject.Rates(false_start=100 / 13))
+    for said, r in injected(2000, inject.Rates(false_start=100 / 13), SENTENCES[:1]):
         (a,) = r["annotations"]
         words = r["disfluent_tokens"][a["reparandum"]["start"] : a["reparandum"]["end"]]
         assert " ".join(words) in inject.L.FRAGMENTS and a["repair"]["end"] - a["repair"]["start"] == 3
@@ -102,15 +112,52 @@ def test_restarts_break_off_where_they_may():
     assert set(at) == {0, 8} and 0.36 < np.mean([x > 0 for x in at]) < 0.44  # after the comma, or at the start
 
 
-def test_detector_finds_what_is_injected():
+def test_wrong_words_are_of_the_same_kind(injected):
+    """Where one word is said wrong, it comes from its own group, or is a number near it."""
+    seen = set()
+    for said, r in injected(600, inject.Rates(repair=9.0), ["Send 7 copies to Sarah on Monday."]):
+        for a in r["annotations"]:
+            wrong = r["disfluent_tokens"][a["reparandum"]["start"] : a["reparandum"]["end"]]
+            right = r["disfluent_tokens"][a["repair"]["start"] : a["repair"]["end"]]
+            if len(wrong) == len(right) == 1:
+                seen.add((right[0], wrong[0]))
+    assert {w for r, w in seen if r == "7"} <= {"4", "5", "6", "8", "9", "10", "17"} and len({w for r, w in seen if r == "sarah"}) > 10
+    assert all(w in inject.L.SWAPS[r] and w != r for r, w in seen if r != "7")
+
+
+def test_detector_finds_what_is_injected(injected):
     found = want = drops = 0
-    for seed in range(400):
-        said, r = injected(seed, SENTENCES[seed % 3], inject.Rates(filler=12.0))
+    for said, r in injected(400, inject.Rates(filler=12.0)):
         d = D.detect(said, r["disfluent_tokens"])
         found, want, drops = found + len(d["annotations"]), want + len(r["annotations"]), drops + len(d["dropped"])
     assert 0.95 <= found / want <= 1.05 and drops == 0
 
 
+def test_rules_against_sql_on_sentences_with_swaps(spark):
+    """The walk in SQL over sentences whose words have alternatives, at every level and beyond."""
+    dial = RULES | {4: inject.Rates(20.0, 20.0, 30.0, 12.0)}
+    rows = [(i, i % 5, SENTENCES[i % 3] if i % 4 else "Call Anna, Peter or Tom: the red report, 12 letters; 3 memos!") for i in range(1500)]
+    got = inject.spoken_by_rules(spark.createDataFrame(rows, "utt_id long, asked_level int, clean string"), dial).collect()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE texts (utt_id BIGINT, asked_level INTEGER, clean VARCHAR)")
+    con.executemany("INSERT INTO texts VALUES (?, ?, ?)", rows)
+    want = con.sql(f"WITH RECURSIVE sents AS (SELECT *, string_split(clean, ' ') AS clean_tokens FROM texts), {rules_sql(dial, 'sents')} SELECT utt_id, disfluent_tokens, alignment, n_events, n_repair FROM ruled JOIN (SELECT utt_id, n_events, n_repair FROM rms) USING (utt_id)").fetchall()
+    count = lambda r: sum(a["type"] == "repair" for a in r["annotations"])
+    assert sorted((r["utt_id"], r["disfluent_tokens"], r["alignment"], len(r["annotations"]), count(r)) for r in got) == sorted((i, list(d), list(a), n, k) for i, d, a, n, k in want)
+
+
+def test_odd_scripts(spark):
+    rows = [(1, None, 3), (2, "", 3), (3, "...", 3), (4, "One.", 3), (None, SENTENCES[0], 3), (5, SENTENCES[0], None), (6, " ".join(SENTENCES * 40), 3), (7, "red", 3)]
+    odd = spark.createDataFrame(rows, "utt_id long, clean string, asked_level int").withColumns({c: F.lit("x") for c in ("said", "events", "told", "here", "others")})
+    got = inject.spoken_by_rules(odd, RULES).collect()
+    assert len(got) == len(rows) and all(r["said"] == r["told"] == "x" for r in got)
+    by = {r["utt_id"]: r for r in got}
+    assert by[1]["disfluent_tokens"] == by[2]["disfluent_tokens"] == by[3]["disfluent_tokens"] == [] and by[5]["annotations"] == []
+    words = SENTENCES[0].split()
+    assert len([x for x in by[6]["alignment"] if x is not None]) == len(" ".join(SENTENCES * 40).split()) and len(by[6]["annotations"]) > 100 and len([x for x in by[None]["alignment"] if x is not None]) == len(words)
+    assert inject.spoken_by_rules(odd.filter("false"), RULES).count() == 0
+
+
 def test_assignment_is_one_to_one_and_in_order():
     e = lambda t, s: {"type": t, "start": s}
     got = D.assign([e("filler", 3), e("repair", 4)], [e("filler", 4), e("repair", 4), e("filler", 9)])
