@@ -1,13 +1,12 @@
 """Insertions recovered from a script and its spoken form alone, by aligning the two.
 
-The alignment is inherently sequential, so it runs as one vectorised function over Arrow batches; everything around it is
-Column expressions. Filter before detecting: the function is marked as not to be repeated, which holds filters back.
+The pairs of an Arrow batch are aligned together, on arrays of word numbers (``align``); then only the stretches with words that
+the script lacks are looked at, one by one. Everything around it is Column expressions, the assignment of found events to gold
+ones included. Filter before detecting: the function is marked as not to be repeated, which holds filters back.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 
 from disfluo.functions import lexicon as L
 from disfluo.functions.text import canonical_tokens, spoken_form, tokens
+from disfluo.operators.align import gaps
 from disfluo.operators.evaluate import deleted
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -81,28 +81,30 @@ def first_place(a: dict) -> int:
     return next((a[k]["start"] for k in ("interregnum", "repair", "reparandum") if a[k]), 0)
 
 
+def detect_all(clean: list[list], out: list[list]) -> list[dict]:
+    """For each pair alignment, annotations in order of their boundary, and the script's words that the spoken side lacks."""
+    found = []
+    for script, said, alignment, stretches in zip(clean, out, *gaps(clean, out)):
+        said, notes, dropped = tuple(said), [], []
+        for i, i2, j, j2 in stretches:
+            dropped += script[i:i2]
+            if j == j2:
+                continue
+            fillers, lo, hi = peel(said[j:j2])
+            pieces = [("filler", j + a, j + b) for a, b in fillers]
+            if lo < hi:
+                pieces.append((core_type(said, j + lo, j + hi, i2), j + lo, j + hi))
+            notes += [note(said, *p) for p in sorted(pieces, key=lambda p: p[1])]
+        found.append({"alignment": alignment, "annotations": sorted(notes, key=first_place), "dropped": dropped})
+    return found
+
+
 def detect(clean: list, out: list) -> dict:
-    """Alignment, annotations in order of their boundary, and the script's words that the spoken side lacks."""
-    out = tuple(out)
-    alignment, notes, dropped = [None] * len(out), [], []
-    for tag, i, i2, j, j2 in SequenceMatcher(None, list(clean), out, autojunk=False).get_opcodes():
-        if tag == "equal":
-            alignment[j:j2] = range(i, i2)
-            continue
-        dropped += clean[i:i2]
-        if j == j2:
-            continue
-        at = i2 if tag == "replace" else i
-        fillers, lo, hi = peel(out[j:j2])
-        pieces = [("filler", j + a, j + b) for a, b in fillers]
-        if lo < hi:
-            pieces.append((core_type(out, j + lo, j + hi, at), j + lo, j + hi))
-        notes += [note(out, *p) for p in sorted(pieces, key=lambda p: p[1])]
-    return {"alignment": alignment, "annotations": sorted(notes, key=first_place), "dropped": dropped}
+    return detect_all([clean], [out])[0]
 
 
 def _detect_rows(clean: pd.Series, out: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([detect(list(c), list(o)) for c, o in zip(clean, out)], columns=["alignment", "annotations", "dropped"])
+    return pd.DataFrame(detect_all([list(c) for c in clean], [list(o) for o in out]), columns=["alignment", "annotations", "dropped"])
 
 
 detect_udf = F.pandas_udf(_detect_rows, DETECTED).asNondeterministic()
@@ -126,21 +128,23 @@ def trace(rows: DataFrame) -> DataFrame:
     return e.select("utt_id", "k", F.col("a.type").alias("type"), F.col("start").alias("position"), F.coalesce(F.get(rest, F.lit(0)), F.size("clean_tokens")).alias("before_clean_word"), words.alias("words"))
 
 
-PAIRS = T.ArrayType(T.StructType([T.StructField("gold", T.StringType()), T.StructField("found", T.StringType())]))
-
+def assigned(gold: str, found: str, reach: int = 1) -> Column:
+    """Pairs (gold, found) of types: found events (type, start), in order, each take the nearest unused gold event within reach, the
+    first of equally near ones; what is left pairs with ``none``. A fold over the found events, whose state holds which gold ones are used."""
+    state = F.struct(F.array_repeat(F.lit(False), F.size(gold)).alias("used"), F.array().cast("array<struct<gold:string,found:string>>").alias("pairs"))
+    marked = lambda g, k: F.struct(g.type.alias("type"), g.start.alias("start"), k.cast("int").alias("k"))
 
-def assign(gold: list, found: list, reach: int = 1) -> list[dict]:
-    """Found events (type, start), in order, each take the nearest unused gold event within reach; what is left pairs with none."""
-    free, out = list(gold), []
-    for f in found:
-        best = min((g for g in free if abs(g["start"] - f["start"]) <= reach), key=lambda g: abs(g["start"] - f["start"]), default=None)
-        if best is not None:
-            free.remove(best)
-        out.append({"gold": best["type"] if best is not None else "none", "found": f["type"]})
-    return out + [{"gold": g["type"], "found": "none"} for g in free]
+    def step(s: Column, f: Column) -> Column:
+        near = F.filter(F.transform(gold, marked), lambda g: ~F.get(s.used, g.k) & (F.abs(g.start - f.start) <= reach))
+        best = F.get(F.array_sort(F.transform(near, lambda g: F.struct(F.abs(g.start - f.start).alias("d"), g.k.alias("k"), g.type.alias("type")))), F.lit(0))
+        used = F.when(best.isNull(), s.used).otherwise(F.transform(s.used, lambda u, k: u | (k == best.k)))
+        return F.struct(used.alias("used"), F.concat(s.pairs, F.array(F.struct(F.coalesce(best.type, F.lit("none")).alias("gold"), f.type.alias("found")))).alias("pairs"))
 
+    def rest(s: Column) -> Column:
+        free = F.filter(F.transform(gold, marked), lambda g: ~F.get(s.used, g.k))
+        return F.concat(s.pairs, F.transform(free, lambda g: F.struct(g.type.alias("gold"), F.lit("none").alias("found"))))
 
-assign_udf = F.pandas_udf(lambda g, f: pd.Series([assign(list(x), list(y)) for x, y in zip(g, f)]), PAIRS)
+    return F.aggregate(found, state, step, rest)
 
 
 def _events(notes: str) -> Column:
@@ -151,7 +155,7 @@ def _events(notes: str) -> Column:
 def confusion(gold: DataFrame, found: DataFrame) -> DataFrame:
     """gold, found, n: how often each gold type was found as which; ``none`` on either side is a miss or a false alarm."""
     both = gold.select("utt_id", _events("annotations").alias("g")).join(found.select("utt_id", _events("annotations").alias("f")), "utt_id")
-    pair = both.select(F.explode(assign_udf("g", "f")).alias("p"))
+    pair = both.select(F.explode(assigned("g", "f")).alias("p"))
     return pair.groupBy(F.col("p.gold").alias("gold"), F.col("p.found").alias("found")).agg(F.count("*").alias("n"))
 
 

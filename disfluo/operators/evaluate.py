@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from disfluo.functions import lexicon as L
+from disfluo.operators.align import edits
 from disfluo.functions.text import ends_clause, is_content, normalise, spoken_form, tokens, words_only
 
 
@@ -100,18 +101,8 @@ def unseen(utts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.IntegerType())
 def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Word-level edit distance of two lists of words, row by row of the table as vectors."""
-
-    def distance(x: list, y: list) -> int:
-        y = np.array(y, dtype=object)
-        row = np.arange(len(y) + 1)
-        for n, w in enumerate(x, 1):
-            best = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-            row = np.concatenate(([n], best))
-            row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))
-        return int(row[-1])
-
-    return pd.Series([distance(list(x), list(y)) for x, y in zip(a, b)])
+    """Word-level edit distance of two lists of words."""
+    return pd.Series(edits([list(x) for x in a], [list(y) for y in b]), dtype="int32")
 
 
 def recovery(pairs: DataFrame, *keys: str) -> DataFrame:

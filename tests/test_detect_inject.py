@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from disfluo.operators import detect as D
-from disfluo.operators import evaluate, inject
+from disfluo.operators import align, evaluate, inject
 from disfluo.plans.evaluation import RULES
 from disfluo.plans.inject_sql import rules_sql
 
@@ -158,10 +158,42 @@ def test_odd_scripts(spark):
     assert inject.spoken_by_rules(odd.filter("false"), RULES).count() == 0
 
 
-def test_assignment_is_one_to_one_and_in_order():
-    e = lambda t, s: {"type": t, "start": s}
-    got = D.assign([e("filler", 3), e("repair", 4)], [e("filler", 4), e("repair", 4), e("filler", 9)])
-    assert got == [{"gold": "repair", "found": "filler"}, {"gold": "filler", "found": "repair"}, {"gold": "none", "found": "filler"}]
+def test_assignment_is_one_to_one_and_in_order(spark):
+    """Two found events contest a gold one, one has the choice of two that are equally near, and one of each side is left."""
+    rows = [
+        (1, [("filler", 3), ("repair", 4)], [("filler", 4), ("repair", 4), ("filler", 9)]), (2, [("filler", 3), ("repair", 5)], [("repetition", 4)]), (3, [("filler", 2)], [("repair", 3), ("filler", 2)]),
+        (4, [], []), (5, [("repair", 1)], []), (6, [], [("filler", 1)]),
+    ]
+    df = spark.createDataFrame(rows, "k int, g array<struct<type:string,start:int>>, f array<struct<type:string,start:int>>")
+    got = {r["k"]: [tuple(p) for p in r["p"]] for r in df.select("k", D.assigned("g", "f").alias("p")).collect()}
+    assert got == {
+        1: [("repair", "filler"), ("filler", "repair"), ("none", "filler")], 2: [("filler", "repetition"), ("repair", "none")], 3: [("filler", "repair"), ("none", "filler")],
+        4: [], 5: [("repair", "none")], 6: [("none", "filler")],
+    }
+
+
+def test_blocks_of_a_batch_are_those_of_each_pair(monkeypatch):
+    """Many pairs at once, cut into small parts or not, give what each gives alone; ties, repeats and empty sides included."""
+    rng = random.Random(6)
+    left = [[rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(300)]
+    right = [[rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(300)]
+    want = [(k, b.a + d, b.b + d) for k, (x, y) in enumerate(zip(left, right)) for b in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for d in range(b.size)]
+    for held in (2_000_000, 50):
+        monkeypatch.setattr(align, "AGREEMENTS", held)
+        assert [(p, i + d, j + d) for p, i, j, n in align.blocks(left, right).tolist() for d in range(n)] == want
+    assert align.blocks([], []).shape == align.blocks([[]], [["a"]]).shape == (0, 4)
+
+
+def test_edit_distances_against_the_whole_table():
+    rng = random.Random(9)
+    for n in (0, 1, 5, 63, 64, 65, 150):
+        x, y = [rng.choice("abcd") for _ in range(n)], [rng.choice("abcd") for _ in range(rng.randint(0, 150))]
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, before = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+        assert align.edits([x], [y]) == [row[-1]]
 
 
 def test_trace_and_confusion(spark):
