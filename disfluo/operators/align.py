@@ -51,14 +51,22 @@ def agreements(left: list, right: list) -> Iterator[tuple[np.ndarray, np.ndarray
         first = last
 
 
+def _places(key: np.ndarray, wide: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rest, i = np.divmod(key, wide)
+    pair, diagonal = np.divmod(rest, 2 * wide)
+    return pair + first, i, i + diagonal - wide
+
+
 def blocks(left: list, right: list) -> np.ndarray:
     """Rows (pair, i, j, size) of all matching blocks, in order."""
     found = []
     for pair, i, j in agreements(left, right):
+        wide = int(max(i.max(initial=0), j.max(initial=0))) + 2  # a place is one number: window, diagonal, place on the left
+        first = int(pair[0]) if len(pair) else 0
+        key = np.sort(((pair - first) * 2 * wide + (j - i + wide)) * wide + i)
+        pair, i, j = _places(key, wide, first)
         window = pair
         while len(window):
-            by = np.lexsort((i, j - i, window))
-            pair, i, j, window = pair[by], i[by], j[by], window[by]
             new = np.concatenate(([True], (window[1:] != window[:-1]) | (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)))
             at = np.flatnonzero(new)
             size = np.diff(np.append(at, len(window)))
@@ -69,8 +77,11 @@ def blocks(left: list, right: list) -> np.ndarray:
             own = np.cumsum(np.concatenate(([False], window[1:] != window[:-1])))  # windows are in order, and each has its block
             bi, bj, bk = row[own, 1], row[own, 2], row[own, 3]
             before, after = (i < bi) & (j < bj), (i >= bi + bk) & (j >= bj + bk)
-            keep = before | after
-            pair, i, j, window = pair[keep], i[keep], j[keep], (2 * own + after)[keep]
+            keep = np.flatnonzero(before | after)
+            window = (2 * own + after)[keep]
+            by = np.argsort(window, kind="stable")  # the order within a window stays
+            keep = keep[by]
+            pair, i, j, window = pair[keep], i[keep], j[keep], window[by]
     if not found:
         return np.zeros((0, 4), dtype=np.int64)
     out = np.concatenate(found)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,33 +160,42 @@ def scored_windows(utts: DataFrame, score: Callable[[DataFrame], DataFrame], rea
     return e.select("utt_id", "k", "pos", F.get("said_bits", F.col("b") + F.col("pos")).alias("data"), F.get("meant_bits", F.col("c") + F.col("pos")).alias("control"))
 
 
+#: Digits of a digest that make a draw's number, and draws that one digest serves.
+DRAW_DIGITS, DRAWS_EACH = 8, 4
+
+
+def poisson_limits(most: int = 12) -> list[int]:
+    """The number of limits at or under a draw's number is a Poisson(1) count: limit k is the share of counts up to k."""
+    term, total, out = math.exp(-1), 0.0, []
+    for k in range(most):
+        total += term
+        term /= k + 1
+        out.append(math.ceil(total * 16**DRAW_DIGITS))
+    return out
+
+
 def bootstrap(windows: DataFrame, draws: int = 500, seed: int = 13) -> DataFrame:
-    """Mean effect (data minus control) by position with a percentile interval.
+    """Mean effect (data minus control) by position with a percentile interval, rounded to six digits.
 
-    Each draw weighs every window by a Poisson(1) number from a generator seeded by the window, the same at all its positions,
-    so draws are sums that combine map-side and no position's rows have to meet in one task.
+    Each draw weighs every window by a Poisson(1) count, the same at all its positions: a count comes from md5 digits of seed,
+    utterance, window and draw, so any engine draws alike. Draws are sums that combine map-side, so no position's rows meet in one
+    task; a digest serves several draws. A null effect counts nowhere; without windows there is no row.
     """
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for utt, k, at, effects in zip(batch["utt_id"], batch["k"], batch["at"], batch["effects"]):
-                w = np.append(np.random.default_rng([seed, int(utt) % (1 << 64), k]).poisson(1.0, draws), 1)  # the last one is the mean itself
-                for pos, effect in zip(at, effects):
-                    s = sums.setdefault(int(pos), np.zeros((2, draws + 1)))
-                    s[0] += w * effect
-                    s[1] += w
-        for pos, s in sums.items():
-            yield pd.DataFrame({"pos": pos, "draw": np.arange(draws + 1), "x": s[0], "n": s[1]})
-
-    effect = windows.groupBy("utt_id", "k").agg(F.collect_list("pos").alias("at"), F.collect_list(F.col("data") - F.col("control")).alias("effects"))  # a window's few positions
-    total = effect.mapInPandas(weigh, "pos int, draw int, x double, n double").groupBy("pos", "draw").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    mean = F.col("x") / F.col("n")
-    drawn = F.when((F.col("draw") < draws) & (F.col("n") > 0), mean)
-    return total.groupBy("pos").agg(
-        F.max(F.when(F.col("draw") == draws, F.col("n"))).cast("long").alias("n"), F.max(F.when(F.col("draw") == draws, mean)).alias("mean_effect"),
-        F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"),
-    )
+    effect = (F.col("data") - F.col("control")).alias("effect")
+    by_window = windows.filter((F.col("data") - F.col("control")).isNotNull()).groupBy("utt_id", "k").agg(F.collect_list(F.struct("pos", effect)).alias("at"))  # a window's few positions
+    part = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_EACH))).alias("part")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("utt_id").cast("string"), F.lit("")), F.col("k").cast("string"), F.col("part").cast("string")).cast("binary"))
+    parts = by_window.select("at", "utt_id", "k", part).select("at", "part", h.alias("h"))
+    number = lambda d: F.conv(F.substring("h", 1 + d * DRAW_DIGITS, DRAW_DIGITS), 16, 10).cast("long")
+    parts = parts.select("at", "part", *[number(d).alias(f"u{d}") for d in range(DRAWS_EACH)])
+    count = lambda u: sum((F.when(F.col(u) >= x, 1).otherwise(0) for x in poisson_limits()), F.lit(0))
+    parts = parts.select("part", *[count(f"u{d}").alias(f"w{d}") for d in range(DRAWS_EACH)], F.explode("at").alias("x"))
+    sums = parts.groupBy("x.pos", "part").agg(*[F.sum(F.col(f"w{d}") * F.col("x.effect")).alias(f"x{d}") for d in range(DRAWS_EACH)], *[F.sum(f"w{d}").alias(f"n{d}") for d in range(DRAWS_EACH)])
+    each = F.explode(F.array(*[F.struct((F.col("part") * DRAWS_EACH + d).alias("draw"), F.col(f"x{d}").alias("x"), F.col(f"n{d}").alias("n")) for d in range(DRAWS_EACH)])).alias("d")
+    drawn = sums.select("pos", each).filter((F.col("d.draw") < draws) & (F.col("d.n") > 0)).select("pos", (F.col("d.x") / F.col("d.n")).alias("m"))
+    ends = drawn.groupBy("pos").agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    means = windows.groupBy("pos").agg(F.count(F.col("data") - F.col("control")).alias("n"), F.round(F.avg(F.col("data") - F.col("control")), 6).alias("mean_effect")).filter("n > 0")
+    return means.join(ends, "pos", "left").select("pos", "n", "mean_effect", "low", "high")  # a row for each position
 
 
 def effect_summary(by_position: DataFrame) -> DataFrame:

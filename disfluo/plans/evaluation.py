@@ -244,7 +244,22 @@ _WINDOWS = f"""rp AS (SELECT a.utt_id, a.k, coalesce(int_s, fix_s) AS b, a.i AS
 wn AS (SELECT utt_id, k, CAST(r.pos AS INTEGER) AS pos, {NORM("disfluent_tokens[b + r.pos + 1]")} AS said_word, {NORM("clean_tokens[c + r.pos + 1]")} AS meant FROM rp JOIN utt USING (utt_id), range(-5, 6) r(pos)
 WHERE b >= 5 AND b + 5 < len(disfluent_tokens) AND c >= 5 AND c + 5 < len(clean_tokens)),
 sw AS (SELECT utt_id, k, pos, -coalesce(x.log_freq, {_FLOOR}) * log2(10.0) AS data, -coalesce(y.log_freq, {_FLOOR}) * log2(10.0) AS control FROM wn LEFT JOIN uni x ON said_word = x.word LEFT JOIN uni y ON meant = y.word)"""
+_LIMITS = " + ".join(f"CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in evaluate.poisson_limits())
+
+
+def _bootstrap_sql(draws: int = 500, seed: int = 13) -> str:
+    """Relation bs (pos, n, mean_effect, low, high) from sw."""
+    return f"""bd AS (SELECT utt_id, k, CAST(r.d AS BIGINT) AS draw, md5('{seed}:' || utt_id || ':' || k || ':' || (r.d // {evaluate.DRAWS_EACH})) AS h FROM (SELECT DISTINCT utt_id, k FROM sw), range({draws}) r(d)),
+bu AS (SELECT utt_id, k, draw, CAST(('0x' || substr(h, 1 + (draw % {evaluate.DRAWS_EACH}) * {evaluate.DRAW_DIGITS}, {evaluate.DRAW_DIGITS})) AS BIGINT) AS u FROM bd),
+bm AS (SELECT pos, draw, sum(w * (data - control)) / sum(w) AS m FROM (SELECT utt_id, k, draw, {_LIMITS} AS w FROM bu) JOIN sw USING (utt_id, k) GROUP BY pos, draw HAVING sum(w) > 0),
+bs AS (SELECT pos, n, mean_effect, low, high FROM (SELECT pos, count(*) AS n, round(avg(data - control), 6) AS mean_effect FROM sw GROUP BY pos) JOIN (SELECT pos, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm GROUP BY pos) USING (pos))"""
+
+
 ORACLES = {
+    "surprisal_bootstrap": f"{W}, {UNI_SQL}, {_WINDOWS}, {_bootstrap_sql()} SELECT * FROM bs",
+    "effect_summary_ci": f"""{W}, {UNI_SQL}, {_WINDOWS}, {_bootstrap_sql()}, pk AS (SELECT * FROM bs ORDER BY abs(mean_effect) DESC, pos LIMIT 1)
+SELECT coalesce(max(bs.n), 0) AS n, max(pk.pos) AS peak_position, max(pk.mean_effect) AS peak_effect, max(pk.low) AS peak_low, max(pk.high) AS peak_high, max(bs.mean_effect) FILTER (bs.pos = 0) AS effect_at_boundary,
+max(bs.low) FILTER (bs.pos = 0) AS boundary_low, max(bs.high) FILTER (bs.pos = 0) AS boundary_high FROM bs LEFT JOIN pk ON true""",
     "inject_hash": f"{W} SELECT utt_id, array_to_string(disfluent_tokens, ' ') AS spoken, CAST(len(list_filter(alignment, lambda x: x IS NULL)) AS INTEGER) AS n_inserted FROM utt",
     "invert_annotations": f"{W} SELECT count(*) AS n, count(*) FILTER (array_to_string(list_transform(list_sort(list_filter(alignment, lambda x: x IS NOT NULL)), lambda j: clean_tokens[j + 1]), ' ') <> array_to_string(clean_tokens, ' ')) AS wrong FROM utt",
     "inject_rules": f"{_RULED}, {rules_sql(RULES)} SELECT utt_id, asked_level, clean, array_to_string(disfluent_tokens, ' ') AS spoken, CAST(n_events AS INTEGER) AS n_events FROM ruled JOIN (SELECT utt_id, n_events FROM rms) USING (utt_id)",

@@ -58,11 +58,16 @@ def system_copy_failure(spark, sf_dir):
 
 
 def system_round_trip(spark, sf_dir):
-    """Recovery of the injector's scripts by a cleaner that does nothing, level by level, and of the corpus's by one that undoes annotations, at no level."""
+    """Recovery of the injector's scripts by a cleaner that does nothing, by one that loses each script's last word and by one that swaps
+    its first two words and puts another in the fourth's place, level by level, and of the corpus's by one that undoes annotations, at no level."""
     r = runs(spark, sf_dir)
     as_is = r.filter("system = 'injector'").select("system", "asked_level", F.array_join("clean_tokens", " ").alias("original"), F.array_join("disfluent_tokens", " ").alias("recovered"))
     undone = r.filter("system = 'corpus'").select("system", F.lit(None).cast("int").alias("asked_level"), F.array_join("clean_tokens", " ").alias("original"), evaluate.without_disfluencies().alias("recovered"))
-    return report.placed(evaluate.recovery(as_is.unionByName(undone), "system", "asked_level"))
+    words, n = F.col("clean_tokens"), F.size("clean_tokens")
+    other = F.transform(words, lambda w, i: F.when(i == 0, F.get(words, F.lit(1))).when(i == 1, F.get(words, F.lit(0))).when(i == 3, F.lit("other")).otherwise(w))
+    s = corpus.scripts(spark, sf_dir)
+    worse = [s.select(F.lit(name).alias("system"), "asked_level", F.array_join(words, " ").alias("original"), F.array_join(said, " ").alias("recovered")) for name, said in (("lossy", F.slice(words, F.lit(1), n - 1)), ("swapped", other))]
+    return report.placed(evaluate.recovery(as_is.unionByName(undone).unionByName(worse[0]).unionByName(worse[1]), "system", "asked_level"))
 
 
 def detector_confusion_ordered(spark, sf_dir):
@@ -119,9 +124,18 @@ m AS (SELECT {_NAME}, u.utt_id IS NOT NULL AS has_unseen, len(a) AS n_clean, dro
   FROM pairs JOIN lost USING (utt_id) LEFT JOIN d USING (utt_id) LEFT JOIN u ON u.utt_id = pairs.utt_id // 3 WHERE asked_level = 2),
 g AS (SELECT system, has_unseen, {SUMS_SQL}, CAST(sum(dropped) AS BIGINT) AS dropped FROM m GROUP BY ALL), r AS ({rates_sql("g", "system, has_unseen, dropped,")})
 SELECT *, 1 - dropped / CAST(clean_words AS DOUBLE) AS kept FROM r""",
-    "system_round_trip": f"""{_W2}, p AS (SELECT 'injector' AS system, asked_level, array_to_string(clean_tokens, ' ') AS a, array_to_string(disfluent_tokens, ' ') AS b FROM utt_r
-UNION ALL SELECT 'corpus', NULL, array_to_string(clean_tokens, ' '), array_to_string(list_transform(list_sort(list_filter(alignment, lambda x: x IS NOT NULL)), lambda j: clean_tokens[j + 1]), ' ') FROM utt), {_RECOVERED},
-g AS (SELECT system, asked_level, count(*) AS n, avg(CAST(exact AS INTEGER)) AS exact_match, avg(CAST(x = y AS INTEGER)) AS words_only_match, sum(len(string_split(y, ' ')) - len(string_split(x, ' '))) / CAST(sum(len(string_split(x, ' '))) AS DOUBLE) AS wer_words_only FROM w GROUP BY ALL)
+    "system_round_trip": f"""{_W2.replace("WITH", "WITH RECURSIVE", 1)}, p AS (SELECT 'injector' AS system, asked_level, array_to_string(clean_tokens, ' ') AS a, array_to_string(disfluent_tokens, ' ') AS b FROM utt_r
+UNION ALL SELECT 'corpus', NULL, array_to_string(clean_tokens, ' '), array_to_string(list_transform(list_sort(list_filter(alignment, lambda x: x IS NOT NULL)), lambda j: clean_tokens[j + 1]), ' ') FROM utt
+UNION ALL SELECT 'lossy', asked_level, array_to_string(clean_tokens, ' '), array_to_string(clean_tokens[1 : len(clean_tokens) - 1], ' ') FROM scripts
+UNION ALL SELECT 'swapped', asked_level, array_to_string(clean_tokens, ' '), array_to_string([clean_tokens[2], clean_tokens[1], clean_tokens[3], 'other'] || clean_tokens[5 : len(clean_tokens)], ' ') FROM scripts), {_RECOVERED},
+wl AS (SELECT *, row_number() OVER () AS id, string_split(x, ' ') AS xs, string_split(y, ' ') AS ys FROM w),
+dp AS (
+  SELECT id, CAST(0 AS BIGINT) AS i, CAST(r.j AS BIGINT) AS j, CAST(r.j AS BIGINT) AS v FROM wl, range(200) r(j) WHERE x <> y AND r.j <= len(ys)
+  UNION ALL
+  SELECT id, i, j, CAST(j + min(best - j) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) FROM (
+    SELECT id, i + 1 AS i, j, CASE WHEN j = 0 THEN v + 1 ELSE least(v + 1, lag(v) OVER (PARTITION BY id ORDER BY j) + CASE WHEN xs[i + 1] = ys[j] THEN 0 ELSE 1 END) END AS best FROM dp JOIN (SELECT id, xs, ys FROM wl) USING (id) WHERE i < len(xs))),
+ed AS (SELECT id, v AS edits FROM dp JOIN (SELECT id, xs, ys FROM wl) USING (id) WHERE i = len(xs) AND j = len(ys)),
+g AS (SELECT system, asked_level, count(*) AS n, avg(CAST(exact AS INTEGER)) AS exact_match, avg(CAST(x = y AS INTEGER)) AS words_only_match, sum(coalesce(edits, 0)) / CAST(sum(len(xs)) AS DOUBLE) AS wer_words_only FROM wl LEFT JOIN ed USING (id) GROUP BY ALL)
 SELECT *, {_AT} FROM g""",
     "detector_confusion_ordered": f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS_SQL}, {DETECT_SQL}, {CONFUSION_SQL} SELECT gold, found, n, CAST(row_number() OVER (ORDER BY n DESC, gold, found) AS INTEGER) AS place FROM cells",
     "detector_report": f"""{W.replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS_SQL}, {DETECT_SQL}, {_D} SELECT count(*) AS utterances, count(*) FILTER (dropped > 0) AS utterances_with_drop,
