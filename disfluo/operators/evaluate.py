@@ -20,6 +20,13 @@ def deleted(a: Column) -> tuple[Column, Column]:
     return F.least(a.reparandum.start, a.interregnum.start), F.greatest(a.reparandum.end, a.interregnum.end)
 
 
+def deleted_places(annotations: Column) -> Column:
+    """The places that the annotations delete, each once and in order: all of a reparandum and an interregnum, none of an empty one."""
+    one = lambda s: F.when(s.end > s.start, F.sequence(s.start, s.end - 1)).otherwise(F.array().cast("array<int>"))
+    both = F.transform(annotations, lambda a: F.concat(F.coalesce(one(a.reparandum), F.array().cast("array<int>")), F.coalesce(one(a.interregnum), F.array().cast("array<int>"))))
+    return F.array_sort(F.array_distinct(F.flatten(both)))
+
+
 def boundary(a: Column) -> Column:
     return F.coalesce(a.interregnum.start, a.repair.start, a.reparandum.start)
 

@@ -50,6 +50,15 @@ def balanced_pairs(spark, sf_dir, each: int = 50):
     return pools.balanced(m.select("utt_id", "sentence", "asked_level", "level"), "sentence", "13", each)
 
 
+def deleted_sets(spark, sf_dir):
+    """Of each script the places that its annotations delete, and whether they are those that the alignment leaves out; with what the rule injector says of it."""
+    out = []
+    for system, said_by in (("corpus", said(spark, sf_dir)), ("rules", inject.spoken_by_rules(corpus.scripts(spark, sf_dir), RULES))):
+        gone, null = evaluate.deleted_places(F.col("annotations")), F.transform("alignment", lambda x, j: F.when(x.isNull(), j.cast("int")))
+        out.append(said_by.select(F.lit(system).alias("system"), "utt_id", F.array_join(gone, " ").alias("deleted"), (gone == F.filter(null, lambda j: j.isNotNull())).alias("covers")))
+    return out[0].unionByName(out[1])
+
+
 def _pairs(spark, sf_dir):
     return said(spark, sf_dir).select("utt_id", "asked_level", "clean", F.array_join("disfluent_tokens", " ").alias("spoken"))
 
@@ -221,7 +230,7 @@ def level_zero_speech(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    inject_hash, invert_annotations, inject_rules, synthetic_pairs, balanced_pairs, detect_events, detection_report, trace_rows, insertion_records, gold_records, fidelity, detector_confusion, detector_check,
+    inject_hash, deleted_sets, invert_annotations, inject_rules, synthetic_pairs, balanced_pairs, detect_events, detection_report, trace_rows, insertion_records, gold_records, fidelity, detector_confusion, detector_check,
     detector_type_mix, rate_control, rate_error, type_mix, type_mix_kl, placement, placement_baseline, onset_lift, relative_position_hist, unseen_split, recovery, recovery_inverse,
     surprisal_windows, surprisal_effect, surprisal_bootstrap, effect_summary, effect_summary_ci, scored_windows, level_zero_speech)}
 
@@ -244,6 +253,8 @@ _WINDOWS = f"""rp AS (SELECT a.utt_id, a.k, coalesce(int_s, fix_s) AS b, a.i AS
 wn AS (SELECT utt_id, k, CAST(r.pos AS INTEGER) AS pos, {NORM("disfluent_tokens[b + r.pos + 1]")} AS said_word, {NORM("clean_tokens[c + r.pos + 1]")} AS meant FROM rp JOIN utt USING (utt_id), range(-5, 6) r(pos)
 WHERE b >= 5 AND b + 5 < len(disfluent_tokens) AND c >= 5 AND c + 5 < len(clean_tokens)),
 sw AS (SELECT utt_id, k, pos, -coalesce(x.log_freq, {_FLOOR}) * log2(10.0) AS data, -coalesce(y.log_freq, {_FLOOR}) * log2(10.0) AS control FROM wn LEFT JOIN uni x ON said_word = x.word LEFT JOIN uni y ON meant = y.word)"""
+#: Places of the spoken side that the alignment leaves out.
+_NULLS = "array_to_string(list_filter(list_transform(alignment, lambda x, j: CASE WHEN x IS NULL THEN j - 1 END), lambda j: j IS NOT NULL), ' ')"
 _LIMITS = " + ".join(f"CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in evaluate.poisson_limits())
 
 
@@ -256,6 +267,7 @@ bs AS (SELECT pos, n, mean_effect, low, high FROM (SELECT pos, count(*) AS n, ro
 
 
 ORACLES = {
+    "deleted_sets": f"""{_RULED}, {rules_sql(RULES)} SELECT 'corpus' AS system, utt_id, {_NULLS} AS deleted, true AS covers FROM utt UNION ALL SELECT 'rules', utt_id, {_NULLS}, true FROM ruled""",
     "surprisal_bootstrap": f"{W}, {UNI_SQL}, {_WINDOWS}, {_bootstrap_sql()} SELECT * FROM bs",
     "effect_summary_ci": f"""{W}, {UNI_SQL}, {_WINDOWS}, {_bootstrap_sql()}, pk AS (SELECT * FROM bs ORDER BY abs(mean_effect) DESC, pos LIMIT 1)
 SELECT coalesce(max(bs.n), 0) AS n, max(pk.pos) AS peak_position, max(pk.mean_effect) AS peak_effect, max(pk.low) AS peak_low, max(pk.high) AS peak_high, max(bs.mean_effect) FILTER (bs.pos = 0) AS effect_at_boundary,

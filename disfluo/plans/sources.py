@@ -50,6 +50,19 @@ def transcript_statuses(spark, sf_dir):
     return io.parse_counts(io.load_utterances(spark, path))
 
 
+def transcript_layouts(spark, sf_dir):
+    """Transcripts in files of three layouts in one folder, one of them without a text, one with its columns the other way round and
+    line ends in cells, read by each file's own header: units, conversations and characters by layout."""
+    path = scratch(spark)
+    marked = corpus.markup(corpus.scripts(spark, sf_dir)).withColumn("number", (F.col("utt_id") % 7).cast("string"))
+    text, other = F.col("text"), F.regexp_replace("text", "^([^ ]+) ", "$1\n")
+    layouts = ((text.alias("text"), F.col("number").alias("conversation_no")), (F.col("number").alias("conversation_no"), F.lit("a, b").alias("act"), other.alias("text")), (text.alias("words"), F.col("number").alias("conversation_no")))
+    for k, columns in enumerate(layouts):
+        marked.filter(F.col("utt_id") % 3 == k).select(*columns).write.option("header", True).option("escape", '"').csv(f"{path}/layout{k}")
+    rows = io.read_transcripts(spark, path).withColumn("layout", F.regexp_extract("file", "layout([0-9])", 1).cast("int"))
+    return rows.groupBy("layout", "conversation_no").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"), F.sum(F.when(F.contains("text", F.lit("\n")), 1).otherwise(0)).alias("with_line_end"))
+
+
 def level_settings(spark, sf_dir):
     """The level table written as a specification, read again, and turned into targets and injector rates."""
     path = scratch(spark)
@@ -74,6 +87,15 @@ def generations_roundtrip(spark, sf_dir):
     return io.read_generations(spark, path).groupBy("system", "level").agg(F.count("*").alias("n"), F.sum(F.length("spoken")).alias("characters"))
 
 
+def generations_of_systems(spark, sf_dir):
+    """One system's generations written, another's beside them twice: each is there once."""
+    path, s = scratch(spark), corpus.scripts(spark, sf_dir)
+    for system, seed in (("first", "say"), ("second", "run"), ("second", "run")):
+        rows = corpus.spoken(s, seed).select("utt_id", F.array_join("disfluent_tokens", " ").alias("spoken"), F.lit(system).alias("system"), F.col("asked_level").alias("level"))
+        io.write_generations(rows, path)
+    return io.read_generations(spark, path).groupBy("system", "level").agg(F.count("*").alias("n"), F.sum(F.length("spoken")).alias("characters"))
+
+
 def report_roundtrip(spark, sf_dir):
     """A report written with one table, patched with a second one, and read: its tables and their rows."""
     path = scratch(spark)
@@ -192,7 +214,7 @@ def inject_rules_inverse(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    jsonl_roundtrip, transcript_statuses, level_settings, frequencies_roundtrip, generations_roundtrip, report_roundtrip, training_pairs, real_pairs, typed_lines, sentence_source, template_sentences, source_pools,
+    jsonl_roundtrip, transcript_statuses, transcript_layouts, generations_of_systems, level_settings, frequencies_roundtrip, generations_roundtrip, report_roundtrip, training_pairs, real_pairs, typed_lines, sentence_source, template_sentences, source_pools,
     balanced_generation, training_mix, repairs_per_split, annotation_types, word_spans, folded_scores, surprisal_bits, annotations_json, structural_events, inject_rules_inverse)}
 
 
@@ -238,7 +260,12 @@ t{k} AS (SELECT * FROM t{k - 1} UNION ALL SELECT bl.utt_id, bl.sentence, asked_l
 
 
 _INVERSE = "array_to_string(clean_tokens, ' ')"
+_SPOKEN_COUNT = "SELECT asked_level AS level, count(*) AS n, CAST(sum(length(array_to_string(disfluent_tokens, ' '))) AS BIGINT) AS characters FROM"
 ORACLES = {
+    "generations_of_systems": f"{W},{corpus.spoken_sql('_r', seed='run')} SELECT 'first' AS system, * FROM ({_SPOKEN_COUNT} utt GROUP BY ALL) UNION ALL SELECT 'second', * FROM ({_SPOKEN_COUNT} utt_r GROUP BY ALL)",
+    "transcript_layouts": f"""{W}, mk AS (SELECT utt_id, CAST(sum(length(piece)) + max(i) + 2 AS BIGINT) AS size FROM (SELECT utt_id, i, CASE coalesce(kind, '') WHEN '' THEN word WHEN 'filler' THEN '{{F ' || array_to_string(head, ' ') || ', }} ' || word WHEN 'false_start' THEN '[ ' || array_to_string(head, ' ') || ', + ] ' || word
+  WHEN 'repetition' THEN '[ ' || array_to_string(head, ' ') || ', + ' || word || ' ]' ELSE '[ ' || head[1] || ', + ' || CASE WHEN len(head) > 1 THEN '{{E ' || array_to_string(head[2 : len(head)], ' ') || ', }} ' ELSE '' END || word || ' ]' END AS piece FROM ev) GROUP BY utt_id)
+SELECT CAST(utt_id % 3 AS INTEGER) AS layout, CAST(utt_id % 7 AS VARCHAR) AS conversation_no, count(*) AS n, CAST(sum(size) AS BIGINT) AS characters, count(*) FILTER (utt_id % 3 = 1) AS with_line_end FROM mk WHERE utt_id % 3 < 2 GROUP BY ALL""",
     "jsonl_roundtrip": f"{W}, g AS (SELECT asked_level, {SUMS_SQL} FROM ms GROUP BY asked_level) {rates_sql('g', 'asked_level,')}",
     "transcript_statuses": f"""{W}, t AS (SELECT utt_id % 5 AS r, array_to_string(disfluent_tokens, ' ') AS spoken FROM utt)
 SELECT 'unparsed' AS status, count(*) AS n FROM t WHERE r = 1 UNION ALL SELECT 'length', count(*) FROM t WHERE r = 2

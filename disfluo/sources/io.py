@@ -23,17 +23,51 @@ from disfluo.operators.levels import TOKENS
 from disfluo.operators.ordering import seeded
 
 
+FILES_BROADCAST = 100_000  # so many files' headers are broadcast at most
+
+
+def _with_whole_records(lines: DataFrame) -> DataFrame:
+    """Lines (file, ord, value) as records: a line whose quotes so far in its file are odd goes on with the record before it.
+
+    Running counts are taken within a file's blocks and over the blocks' totals, so a large file is many tasks' work.
+    """
+    odd = F.pmod(F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))), F.lit(2))
+    lines = lines.select("file", "ord", F.col("ord.block").alias("block"), "value", odd.alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file", "block").orderBy("ord")
+    blocks = lines.groupBy("file", "block").agg(F.sum("odd").alias("n")).withColumn("open", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    lines = lines.join(blocks, ["file", "block"]).withColumn("open", F.col("open") + F.coalesce(F.sum("odd").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lines = lines.withColumn("begins", F.when(F.pmod("open", F.lit(2)) == 0, F.col("ord")))
+    held = lines.groupBy("file", "block").agg(F.max("begins").alias("last")).withColumn("before", F.last("last", ignorenulls=True).over(earlier)).drop("last")
+    lines = lines.join(held, ["file", "block"]).withColumn("first", F.coalesce(F.last("begins", ignorenulls=True).over(within), "before"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "value")))
+    return lines.groupBy("file", "first").agg(F.array_join(F.transform(parts, lambda x: x.value), "\n").alias("value")).select("file", F.col("first").alias("ord"), "value")
+
+
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """text, conversation_no, file and ord (order within a file) of every CSV file under root.
 
-    Columns are taken by header name from files of one layout; without a ``text`` column there are no rows. Undecodable
-    bytes become replacement characters. A file whose cells may hold line ends is read by one task, so its rows are numbered
-    in their order; (file, ord) is the order of all.
+    Each file's own header says where its columns are; a file without a ``text`` column is passed over, one without
+    ``conversation_no`` has nulls there. Undecodable bytes become replacement characters, blank lines are no rows, and cells may
+    hold line ends. Files are read by lines, so a large one is split; only files with such cells have their lines put together.
     """
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("multiLine", True).option("escape", '"').csv(root)
-    have = set(rows.columns)
-    pick = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in schemas.TRANSCRIPT.names]
-    return rows.select(*pick, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord")).filter("text is not null")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), at.alias("ord"), F.make_valid_utf8("value").alias("value"))
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    heads = lines.groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.min("ord").alias("top"), F.max(F.pmod(quotes, F.lit(2))).alias("spans"))
+    stat = heads.agg(F.max(F.size(F.split("head", ","))).alias("width"), F.count("*").alias("files"), F.max("spans").alias("spans")).first()
+    names = [f"c{k}" for k in range(stat["width"] or 1)]
+    cells = lambda c: F.from_csv(F.col(c), ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    heads = heads.withColumn("h", cells("head")).withColumn("h", F.array(*[F.col(f"h.{n}") for n in names]))
+    heads = heads.select("file", "top", "spans", *[F.array_position("h", n).cast("int").alias(f"at_{n}") for n in schemas.TRANSCRIPT.names]).filter("at_text > 0")
+    known = F.broadcast(heads) if stat["files"] <= FILES_BROADCAST else heads
+    body = lines.join(known, "file").filter(F.col("ord") > F.col("top"))
+    rows = body.select("file", "ord", "value")
+    if stat["spans"]:
+        rows = body.filter("spans = 0").select("file", "ord", "value").unionByName(_with_whole_records(body.filter("spans = 1").select("file", "ord", "value")))
+    rows = rows.filter(F.col("value") != "").join(known, "file").withColumn("c", cells("value")).withColumn("c", F.array(*[F.col(f"c.{n}") for n in names]))
+    return rows.select(*[F.get("c", F.col(f"at_{n}") - 1).alias(n) for n in schemas.TRANSCRIPT.names], "file", "ord").filter("text is not null")
 
 
 def load_utterances(spark: SparkSession, root: str, least: int = 5, most: int = 40) -> DataFrame:
@@ -113,8 +147,9 @@ def read_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
 
 
 def write_generations(rows: DataFrame, path: str) -> None:
-    """Generations laid out by system and level, so that readers prune to what they need."""
-    rows.write.mode("overwrite").partitionBy("system", "level").parquet(path)
+    """Generations laid out by system and level, so that readers prune to what they need. What stands there of the same systems and
+    levels is replaced, so writing again changes nothing; all else stays."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("system", "level").parquet(path)
 
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
@@ -137,11 +172,33 @@ def write_jsonl(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def usable_sentences(rows: DataFrame, order: str) -> DataFrame:
-    """text, ambiguous and the first place (order, pos) of each distinct usable sentence of rows (text, order); headings are passed over."""
+def _first_of_each_task(good: DataFrame, order: str, most: int) -> DataFrame:
+    """good without what can't be among the first ``most`` distinct plain or ambiguous sentences: each task keeps so many of each.
+
+    A sentence that is among the first of all is among the first of the task where it first stands, so nothing is lost, and no
+    more than tasks x 2 x most rows are shuffled.
+    """
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch])
+            held = held.sort_values([order, "line", "pos"], kind="stable").drop_duplicates("text").groupby("ambiguous").head(most)
+        if held is not None:
+            yield held
+
+    flat = good.select(F.col(f"at.{order}").alias(order), "at.line", "at.pos", "text", has_ambiguous(F.split("text", " ")).alias("ambiguous"))
+    kept = flat.mapInPandas(keep, flat.schema)
+    return kept.select(F.struct(order, "line", "pos").alias("at"), "text")
+
+
+def usable_sentences(rows: DataFrame, order: str, most: int | None = None) -> DataFrame:
+    """text, ambiguous and the first place (order, pos) of each distinct usable sentence of rows (text, order), or of those that can be
+    among the first ``most`` of their kind; headings are passed over."""
     lines = rows.select(order, F.posexplode(F.split("text", "\n")).alias("line", "raw")).filter(~F.ltrim("raw").startswith("="))
     sents = lines.select(order, "line", F.posexplode(sentence_split(F.col("raw"))).alias("pos", "raw")).select(F.struct(order, "line", "pos").alias("at"), F.trim("raw").alias("raw"))
     good = sents.filter((F.col("raw") != "") & is_usable_sentence(F.col("raw"))).select("at", detokenise(F.col("raw")).alias("text"))
+    good = good if most is None else _first_of_each_task(good, order, most)
     return good.groupBy("text").agg(F.min("at").alias("at")).withColumn("ambiguous", has_ambiguous(F.split("text", " ")))
 
 
@@ -160,7 +217,7 @@ def sentence_source(spark: SparkSession, paths: list[str], limit: int, ambiguous
         return empty
     for path in paths:
         rows = _or_empty(spark, lambda p=path: spark.read.parquet(p), f"{order} long, text string")
-        found = with_quota(usable_sentences(rows.filter("text is not null").select(order, "text"), order), limit, ambiguous_share)
+        found = with_quota(usable_sentences(rows.filter("text is not null").select(order, "text"), order, limit), limit, ambiguous_share)
         if not found.isEmpty():
             return found
     return empty

@@ -18,6 +18,40 @@ def test_transcripts_are_parsed_and_first_copies_kept(spark, tmp_path):
     assert rows.filter("status = 'kept'").first()["conversation_no"] == "1"
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    """Layouts in one folder, a cell over several lines and across a split, blank lines, bytes that are no text, a file of another kind."""
+    (tmp_path / "a.csv").write_text('text,conversation_no\n"one, ""quoted""\nand on",1\n\nplain,2\n')
+    (tmp_path / "b.csv").write_text("conversation_no,act,text\n3,x,three\n")
+    (tmp_path / "c.csv").write_text("other,thing\nno,4\n")
+    (tmp_path / "d.csv").write_bytes(b"text\ncaf\xff bar\n")
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "f.csv").write_text('id,text\n1,"' + "\n".join(f"line {k}" for k in range(2000)) + '"\n2,last\n')
+    rows = [r[:2] for r in io.read_transcripts(spark, str(tmp_path)).orderBy("file", "ord").collect()]
+    want = [('one, "quoted"\nand on', "1"), ("plain", "2"), ("three", "3"), ("caf\ufffd bar", None), ("\n".join(f"line {k}" for k in range(2000)), None), ("last", None)]
+    assert rows == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert [r[:2] for r in io.read_transcripts(spark, str(tmp_path)).orderBy("file", "ord").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_system_is_replaced_and_others_stay(spark, tmp_path):
+    rows = lambda system, level, n: spark.range(n).select(F.col("id").alias("utt_id"), F.lit(system).alias("system"), F.lit(level).alias("level"))
+    for system, level, n in (("a", 1, 3), ("b", 1, 4), ("b", 2, 5), ("b", 1, 2)):
+        io.write_generations(rows(system, level, n), str(tmp_path / "g"))
+    assert sorted((r["system"], r["level"], r["count"]) for r in io.read_generations(spark, str(tmp_path / "g")).groupBy("system", "level").count().collect()) == [("a", 1, 3), ("b", 1, 2), ("b", 2, 5)]
+
+
+def test_early_stop_keeps_the_same_sentences(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select("doc_id", "text").repartition(6)
+    rows = rows.unionByName(rows)
+    for limit in (1, 10, 60):
+        whole, early = (io.with_quota(io.usable_sentences(rows, "doc_id", most), limit).collect() for most in (None, limit))
+        assert whole == early
+    assert io.usable_sentences(rows, "doc_id", 5).count() <= 2 * 5 * 12
+
+
 def test_jsonl_round_trip_counts_and_missing_files(spark, tmp_path, sf):
     said = corpus.spoken(corpus.scripts(spark, sf)).limit(50).withColumn("disfluent", F.array_join("disfluent_tokens", " "))
     path = str(tmp_path / "u")
