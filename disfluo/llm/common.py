@@ -79,11 +79,6 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def uniform(id_col: str, seed: str) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer on uint64 with good avalanche."""
     x = np.asarray(x, dtype=np.uint64)

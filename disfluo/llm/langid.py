@@ -18,18 +18,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import id_text, mix64, read, remainder, short_batches, uniform, whole_numbers
+from disfluo.llm.common import id_text, mix64, read, remainder, short_batches, whole_numbers
+from disfluo.llm.sampling import chosen, key_of
 
 
 @dataclass(frozen=True)
 class Fit:
-    """bound, total: training texts of each language and of all together at most, drawn by a hash of the id (the documented
-    sample; of more languages than ``total`` the most frequent are learned); rejected: share of the training texts that the
+    """bound, total, bound_chars: training texts of each language and of all together at most, and characters of each language, drawn by a hash of id and text (the documented
+    sample; rows alike count once; of more languages than ``total`` the most frequent are learned); rejected: share of the training texts that the
     rejection distance leaves out."""
 
     dims: int = 4096
     bound: int = 600
     total: int = 4000
+    bound_chars: int = 60_000_000
     centroids: int = 3
     rounds: int = 8
     rejected: float = 0.005
@@ -104,13 +106,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 def fit(docs: DataFrame, cfg: Fit = Fit()) -> Model:
     """Learn from the bounded sample; only its vectors come to the driver."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.total).collect()}
-    if not counts:
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").alias("kind"), F.col("text").cast("string").alias("text"), key_of(F.col("doc_id"), F.col("text"), cfg.seed).alias("key"))
+    langs = [r["kind"] for r in known.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(cfg.total).collect()]
+    if not langs:
         return Model(cfg)
-    bound = max(1, min(cfg.bound, cfg.total // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, bound / n))])
-    rows = known.filter(uniform("doc_id", cfg.seed) < share[F.col("lang")]).select("lang", F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    bound = max(1, min(cfg.bound, cfg.total // len(langs)))
+    drawn, _ = chosen(known.filter(F.col("kind").isin(langs)).select("kind", "key", F.length("text").alias("chars")), bound, cfg.bound_chars)
+    # at most ``total`` keys, so broadcasting them is bounded
+    rows = known.join(F.broadcast(drawn), ["kind", "key"]).groupBy("kind", "key").agg(F.first("text").alias("text")).select(F.col("kind").alias("lang"), F.col("key").alias("id"), "text")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,7 +123,6 @@ def fit(docs: DataFrame, cfg: Fit = Fit()) -> Model:
                 yield pd.DataFrame({"lang": [p[0] for p in part], "id": [p[1] for p in part], "v": [p[2].tobytes() for p in part]})
 
     got = short_batches(rows).mapInPandas(vectors, "lang string, id string, v binary").toPandas().sort_values(["lang", "id", "v"], kind="stable")
-    got = got.groupby("lang").head(bound)
     if not len(got):
         return Model(cfg)
     x = np.stack([np.frombuffer(v, dtype=np.float32) for v in got["v"]]).astype(np.float64)

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are put in an order by a hash of their ids, again and again for up to ``repeats`` rounds. A copy's
+Each source's documents are put in an order by a hash of their ids and texts, again and again for up to ``repeats`` rounds. A copy's
 virtual finish time is the words its source has sent up to and with it, divided by the source's target. All copies are
 taken in order of that time until the budget is reached.
 
@@ -8,12 +8,13 @@ Sources weigh 1, 2, 3, 1, 2, 3, ... in order of code point, null last, and share
 exceeds ``repeats`` times the source's words, and what that leaves over goes to the others by weight.
 
 Defined results: a null text has no words and takes none; so does a text of white space; a null source is a source of its
-own; documents with equal ids are told apart by size, and rows alike in both get their places in any order; a null id
+own; documents with equal ids are told apart by their texts, and rows alike in both get their places in any order; a null id
 counts as the empty text; an empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,15 @@ ORDER = ("order", "doc_id", "size", "row")
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """rows with the shuffling hash: the md5 of the id as text."""
-    return rows.withColumn("order", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    """rows with the shuffling hash in place of their text's digest: the md5 of both the id as text and the digest, so that neither a
+    repeated id nor a missing one puts its documents in one slice."""
+    return rows.withColumn("order", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest")).cast("binary"))).drop("digest")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, the shuffling hash, and row, which tells apart rows that are packed in blocks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return _ordered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.lit(0).cast("long").alias("row")))
+    return _ordered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.lit(0).cast("long").alias("row"), F.md5(text.cast("binary")).alias("digest")))
 
 
 def targets(totals: DataFrame, repeats: int = 3) -> DataFrame:
@@ -173,7 +175,7 @@ def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             for block in blocks_of(batch):
                 own = [x if x is None else str(x) for x in block.extra[f"x{source}"].to_pylist()]
-                yield block.frame(source=own, size=[len(t.split()) for t in block.texts()], row=block.rows)
+                yield block.frame(source=own, size=[len(t.split()) for t in block.texts()], row=block.rows, digest=[hashlib.md5(t).hexdigest() for t in block.texts()])
 
     def take(block: Block, taken: pd.DataFrame) -> pa.Table:
         copies = np.zeros(len(block.rows), dtype=np.int32)
@@ -181,7 +183,7 @@ def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         out = block.table(block.texts()).append_column(name, pa.array(copies))
         return out.filter(pa.array(copies > 0))
 
-    mixed = mix_sizes(_ordered(blocks.mapInPandas(words, "doc_id long, source string, size long, row long"))).filter("taken > 0")
+    mixed = mix_sizes(_ordered(blocks.mapInPandas(words, "doc_id long, source string, size long, row long, digest string"))).filter("taken > 0")
     mixed = mixed.select(block_of(F.col("row")).alias("block"), "row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
     return unpacked(docs, blocks, mixed, take, T.StructField(name, T.IntegerType()))
 
@@ -189,7 +191,7 @@ def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE_OP3 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
 t AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS weight,
              CAST(3 * source_size AS DOUBLE) AS most FROM t),

@@ -148,14 +148,28 @@ def shared_by_lcs(a: list, b: list) -> set[int]:
     return out
 
 
+#: Lines of so many words are prose; pages that share half of a page's article, or of its prose, and so many lines of it tell the same story.
+PROSE_WORDS, PROSE_LINES = 8, 3
+
+
+def same_story(lines: list[tuple[str, bool]], shared: set[int]) -> bool:
+    """Whether a neighbour that shares these lines shows the page's own article (a print view, a mirror): then what it shares says
+    nothing about the template. A page that marks its article is judged by that, any other by its lines of prose."""
+    marked = [k for k, (_, inside) in enumerate(lines) if inside]
+    own = marked or [k for k, (text, _) in enumerate(lines) if text.count(" ") >= PROSE_WORDS - 1]
+    size = lambda places: sum(len(lines[k][0]) for k in places)
+    both = [k for k in own if k in shared]
+    return len(both) >= PROSE_LINES and 2 * size(both) >= size(own)
+
+
 def main_text(lines: list[tuple[str, bool]], *others: list[tuple[str, bool]] | None) -> str:
-    """What is left of a page's lines without those of its template, by its neighbours, the nearest one first."""
+    """What is left of a page's lines without those of its template, by its neighbours of other stories, the nearest one first."""
     own, near = [text for text, _ in lines], []
     for other in others:
         texts = [text for text, _ in other or []]
         if texts and texts != own and texts not in near:
             near.append(texts)
-    shared = [shared_by_lcs(own, texts) for texts in near]
+    shared = [s for texts in near if not same_story(lines, s := shared_by_lcs(own, texts))]
     if any(inside for _, inside in lines):
         places = [k for k, (_, inside) in enumerate(lines) if inside]
         tries = [shared[0] & shared[1]] if len(shared) > 1 else []

@@ -5,8 +5,8 @@ its sentences' scores is the document's score, and the weights are trained on do
 scores then say where the offending sentences are.
 
 Defined results: a null or empty text has no sentence and scores 0; without a label of each kind the model is empty and
-every score is 0; repeated labels count once, conflicting ones once each; null labels are ignored; repeated rows are
-scored alike; extra columns are ignored.
+every score is 0; repeated labels count once, conflicting ones once each; null labels are ignored; repeated rows count once
+in training and are scored alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disfluo.llm.common import id_text, read, remainder, short_batches, uniform, whole_numbers
+from disfluo.llm.common import id_text, read, remainder, short_batches, whole_numbers
+from disfluo.llm.sampling import labelled
 
 _PIECE = re.compile(r"[^\W\d_]+|[.!?\n]+")
 
@@ -41,7 +42,7 @@ def sentences(text: str | None) -> list[list[str]]:
 
 @dataclass(frozen=True)
 class Training:
-    """bound, bound_chars: labelled documents of each class that are trained on at most, drawn by a hash of the id alone (the
+    """bound, bound_chars: labelled documents of each class that are trained on at most, drawn by a hash of id and text (the
     documented sample), fewer of them where they would hold more than so many characters; min_docs, lift: a feature must
     stand in so many sampled documents, and that many times as often in toxic ones."""
 
@@ -129,19 +130,10 @@ def fit_noisy_or(bags: list[list[list[str]]], labels: np.ndarray, importance: np
 
 def train(docs: DataFrame, labels: DataFrame, cfg: Training = Training()) -> NoisyOr:
     """Fit on at most ``bound`` labelled documents of each class; the classes' true shares are restored by weights."""
-    tagged = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    tagged = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("chars")).join(tagged, "doc_id")
-    stat = tagged.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
-    counts = {r["toxic"]: r["n"] for r in stat}
+    rows, counts = labelled(docs, labels, "toxic", cfg.bound, cfg.bound_chars, cfg.seed)
     if len(counts) < 2:
         return NoisyOr()
-    share = {r["toxic"]: min(1.0, cfg.bound / r["n"], cfg.bound_chars / max(1, r["chars"])) for r in stat}
-    u = uniform("doc_id", cfg.seed)
-    sample = [tagged.filter(F.col("toxic") == k).withColumn("u", u).filter(F.col("u") < share[k]).orderBy("u").limit(cfg.bound) for k in (0, 1)]
-    chosen = sample[0].unionByName(sample[1])
-    chosen = chosen.select("doc_id", "toxic").distinct()  # at most 2 * bound ids, so broadcasting them is bounded
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    pdf = short_batches(rows).toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")
+    pdf = short_batches(rows).toPandas().sort_values(["label", "key"]).rename(columns={"label": "toxic"})  # at most 2 * bound rows
     got = pdf["toxic"].value_counts().to_dict()
     if len(got) < 2:
         return NoisyOr()

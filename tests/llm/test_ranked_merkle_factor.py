@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disfluo.llm import common, factor, merkle, ranked, sampling
+from disfluo.llm import common, factor, langid, merkle, mixing, pagetext, ranked, sampling, toxicity
 
 MID = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -231,3 +231,49 @@ def test_samples_are_bounded_and_whole(spark):
     assert counts == {"a": 6000, "b": 1001} and Counter(r["kind"] for r in drawn.collect()) == {"a": 500, "b": 500}
     few, _ = sampling.chosen(keys, 500, 100)
     assert all(1 <= n <= 16 for n in Counter(r["kind"] for r in few.collect()).values())
+
+
+# --- samples of operators 4 and 9, the order of 3, copies in 6
+
+
+def test_languages_are_learned_whatever_the_ids_are(spark):
+    docs = common.read(spark, MID, "documents").filter("text is not null and lang is not null")
+    many = docs.crossJoin(spark.range(3).select(F.col("id").alias("copy"))).withColumn("text", F.concat("text", F.lit(" "), F.col("copy").cast("string"))).drop("copy")
+    cfg = langid.Fit(bound=60)
+    for ids in (F.lit(None).cast("long"), F.lit(9).cast("long"), F.col("doc_id")):
+        model = langid.fit(many.withColumn("doc_id", ids), cfg)
+        assert model.langs == sorted({r["lang"] for r in docs.select("lang").distinct().collect()})
+        got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang_pred <> 'und'")
+        assert got.filter("lang_pred = lang").count() > 0.97 * got.count()
+
+
+def test_toxic_rows_of_few_ids_are_learned_in_bounds(spark, monkeypatch):
+    """Ids with thousands of different texts, and one text repeated as often, give bounded samples of both classes."""
+    docs = spark.range(6000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.when(F.col("id") % 3 == 0, "vile filth ").otherwise("kind words "), F.when(F.col("id") % 3 == 1, F.lit("")).otherwise(F.col("id").cast("string"))).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit_noisy_or
+    monkeypatch.setattr(toxicity, "fit_noisy_or", lambda bags, y, importance, cfg: (seen.append(Counter(y.tolist())), real(bags, y, importance, cfg))[1])
+    model = toxicity.train(docs, labels, toxicity.Training(bound=200, bound_chars=10**6))
+    assert seen == [Counter({0: 200, 1: 200})] and model.score("vile filth 7") > 0.7 > model.score("kind words 7")
+
+
+def test_documents_without_id_are_put_in_slices(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    assert mixing.sizes(rows).select("order").distinct().count() == 4000
+    assert sum(r["taken"] for r in mixing.mix(rows, slice_rows=100).collect()) == 8000
+
+
+def test_views_of_one_story_keep_it(spark):
+    """A page between other views of its story keeps the story, marked or not, and loses what pages of other stories share."""
+    rng = random.Random(3)
+    story = [" ".join(rng.choices([f"w{k}" for k in range(400)], k=20)) for _ in range(6)]
+    for tag in ("article", "div"):
+        for views in (("amp", "mobile", "print"), ("amp", "print"), tuple(f"v{k}" for k in range(10))):
+            page = lambda v: f"<p>menu home about</p><{tag}>" + "".join(f"<p>{p}</p>" for p in story) + f"<p>{v} version</p></{tag}>"
+            pages = [(k, f"http://h.net/story/{v}", page(v)) for k, v in enumerate(views)]
+            got = {r["page_id"]: r["text"].split("\n") for r in pagetext.extract(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()}
+            assert all(set(story) < set(got[k]) and f"{v} version" in got[k] for k, v in enumerate(views)), (tag, views)
+    other = [(k, f"http://h.net/{k}", "<p>menu home about us and our many friends all over</p><p>Own text of page " + " ".join(rng.choices(story[k].split(), k=15)) + "</p>") for k in range(4)]
+    got = pagetext.extract(spark.createDataFrame(other, "page_id long, url string, html string").coalesce(1)).collect()
+    assert all(r["text"].startswith("Own text") for r in got)
