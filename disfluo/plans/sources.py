@@ -12,7 +12,7 @@ from disfluo.functions import lexicon as L
 from disfluo.functions import text as X
 from disfluo.functions.templates import TEMPLATES, VALUES
 from disfluo.operators import corpus, inject, levels, measure, ordering, pools
-from disfluo.plans.rates import CUTS_SQL, LEVEL_SQL, SUMS_SQL, UNI_SQL, W, measured, rates_sql, said
+from disfluo.plans.rates import CUTS_SQL, LEVEL_SQL, SUMS_SQL, UNI_KEY, UNI_SQL, W, measured, rates_sql, said
 from disfluo.plans.texts import _ABBR, _AMB, _BAD, _DETOK, _H, SPLIT, SPOKEN
 from disfluo.sources import io
 
@@ -121,8 +121,8 @@ def real_pairs(spark, sf_dir):
 
 
 def typed_lines(spark, sf_dir):
-    """Lines as they are typed: blank ones dropped, the rest stripped and numbered."""
-    return io.read_lines(spark, ["  Call Omar at ten. ", "", "\t", "No one knows yet.", "So be it."])
+    """Lines of messages as they are typed: blank ones dropped, the rest stripped and numbered."""
+    return io.lines_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
 
 
 def sentence_source(spark, sf_dir, limit: int = 300):
@@ -131,7 +131,11 @@ def sentence_source(spark, sf_dir, limit: int = 300):
 
 
 def template_sentences(spark, sf_dir, each: int = 20):
-    return pools.template_sentences(spark, each=each)
+    """Fillings of the templates, with their different words and how many of these the documents' scripts hold."""
+    t = pools.template_sentences(spark, each=each)
+    words = t.select("template_id", "text", F.explode(F.array_distinct(F.transform(X.tokens(F.col("text")), X.unigram_key))).alias("word"))
+    held = measure.unigrams(corpus.scripts(spark, sf_dir)).select("word", F.lit(1).alias("held"))
+    return words.join(held, "word", "left").groupBy("template_id", "text").agg(F.count("*").alias("words"), F.count("held").alias("known"))
 
 
 def source_pools(spark, sf_dir, each: int = 20):
@@ -279,10 +283,11 @@ p AS ({rates_sql("f", "level,")}) SELECT level, {", ".join(f"rate_{t} AS {t}" fo
     "report_roundtrip": f"{W} SELECT 'rates' AS name, asked_level, CAST(sum(n_events) AS BIGINT) AS events FROM ms GROUP BY asked_level UNION ALL SELECT 'totals', -1, CAST(sum(n_events) AS BIGINT) FROM ms",
     "training_pairs": f"{W} SELECT '<d' || asked_level || '> say aloud: ' || clean AS source, array_to_string(disfluent_tokens, ' ') AS target, asked_level AS level FROM utt",
     "real_pairs": f"{W} SELECT utt_id, n_clean, CASE WHEN n_events = 0 THEN 0 WHEN rate >= CAST(21.42857142857143 AS DOUBLE) THEN 3 WHEN rate >= 10.0 THEN 2 ELSE 1 END AS level FROM ms WHERE n_clean >= {L.MIN_WORDS}",
-    "typed_lines": "SELECT CAST(i AS BIGINT) AS utt_id, t AS clean FROM (VALUES (0, 'Call Omar at ten.'), (3, 'No one knows yet.'), (4, 'So be it.')) v(i, t)",
+    "typed_lines": "SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS line, clean FROM (SELECT conv_id, turn, i, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS clean FROM (SELECT conv_id, turn, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations WHERE text IS NOT NULL))) WHERE clean <> ''",
     "sentence_source": f"""WITH {_SENTENCES}, r AS (SELECT *, row_number() OVER (PARTITION BY ambiguous ORDER BY at_) AS n FROM fa)
 SELECT text, ambiguous, CAST(row_number() OVER (ORDER BY ambiguous, at_) AS INTEGER) AS place FROM r WHERE n <= CASE WHEN ambiguous THEN 90 ELSE 210 END""",
-    "template_sentences": f"WITH {_template_sql()} SELECT template_id, text FROM ts",
+    "template_sentences": f"""{W}, {UNI_SQL}, {_template_sql()}, tw AS (SELECT template_id, text, unnest(list_distinct(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: {UNI_KEY}))) AS word FROM ts)
+SELECT template_id, text, count(*) AS words, count(uni.word) AS known FROM tw LEFT JOIN uni ON tw.word = uni.word GROUP BY ALL""",
     "source_pools": f"""{W}, {_template_sql()}, hd AS (SELECT template_id FROM (SELECT DISTINCT template_id FROM ts) ORDER BY {_H("13", "template_id")}, template_id LIMIT {round(0.2 * len(TEMPLATES))}),
 cs AS (SELECT DISTINCT clean AS text FROM scripts), sn_ AS (SELECT * FROM ts WHERE template_id NOT IN (SELECT template_id FROM hd)), {_cut("cs", "cc", "text")}, {_cut("sn_", "tc", "template_id, text")}
 SELECT text, 'corpus' AS source, CAST(NULL AS INTEGER) AS template_id, split FROM cc UNION ALL SELECT text, 'template', template_id, split FROM tc UNION ALL SELECT text, 'template', template_id, 'test' FROM ts WHERE template_id IN (SELECT template_id FROM hd)""",

@@ -146,6 +146,12 @@ def read_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([(k, x.strip()) for k, x in enumerate(lines) if x.strip()], "utt_id long, clean string")
 
 
+def lines_of(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """keys, line and clean of the lines of a text column that aren't blank, stripped and numbered within their text; a null text has none."""
+    lines = rows.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    return lines.select(*keys, "line", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("clean")).filter("clean <> ''")
+
+
 def write_generations(rows: DataFrame, path: str) -> None:
     """Generations laid out by system and level, so that readers prune to what they need. What stands there of the same systems and
     levels is replaced, so writing again changes nothing; all else stays."""
