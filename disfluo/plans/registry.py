@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from disfluo.plans import evaluation, rates, sources, systems, texts
+from disfluo.plans import evaluation, models, rates, sources, systems, texts
 
-QUERIES: dict = {**rates.QUERIES, **texts.QUERIES, **evaluation.QUERIES, **systems.QUERIES, **sources.QUERIES}
-ORACLES: dict = {**rates.ORACLES, **texts.ORACLES, **evaluation.ORACLES, **systems.ORACLES, **sources.ORACLES}
+QUERIES: dict = {**rates.QUERIES, **texts.QUERIES, **evaluation.QUERIES, **systems.QUERIES, **sources.QUERIES, **models.QUERIES}
+ORACLES: dict = {**rates.ORACLES, **texts.ORACLES, **evaluation.ORACLES, **systems.ORACLES, **sources.ORACLES, **models.ORACLES}
