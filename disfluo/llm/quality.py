@@ -1,11 +1,14 @@
 """Quality rules: distribution divergence.
 
-Each document's histograms of character classes and of common words are held against the reference of its language by
-Jensen-Shannon distance (square root of the base-2 divergence, so 0 to 1). References are sums over all documents.
+Each document's histograms are held against the reference of its language by Jensen-Shannon distance (square root of the base-2
+divergence, so 0 to 1): characters (each small letter a cell of its own), the language's most common words among themselves, and common
+words against all others. References are sums over all documents. A language's limits come from its own documents' distances, by
+length: the median and ``spreads`` times what lies between it and the lower quartile, as junk stands at the upper end.
 
 Defined results: a null or empty text has no words and fails the base rule; an unknown or null language is judged by the
-nearest reference; documents under ``min_words`` words are not judged on the histograms (they pass); a text without any common
-word is judged as all "other"; with no reference at all nothing is judged. Repeated rows are judged alike. Extra columns are ignored.
+nearest reference, with its limits; documents under ``min_words`` words are not judged on the histograms (they pass); a text without any
+common word has word distance 0 and is judged on the share of such words; a share above the reference's has distance 0; with no reference
+at all nothing is judged. Repeated rows are judged alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,20 +26,36 @@ from disfluo.llm.common import id_text, read, short_batches, stable, whole_numbe
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-CLASSES = ("lower", "upper", "digit", "space", "punct", "symbol", "other")
+#: Cells of the histogram of characters: letters from a to z, small letters of Latin-1 from U+00DF, and classes of the rest.
+CLASSES = ("upper", "digit", "space", "punct", "symbol", "letter", "other")
+LATIN = range(0xDF, 0x100)
+CELLS = 26 + len(LATIN) + len(CLASSES)
+DISTANCES = ("char_distance", "word_distance", "rate_distance")
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
 @dataclass(frozen=True)
 class Divergence:
     """held: different words that a task adds up before it hands them on; common: how many words, by their count over all
-    documents, make the histogram beside "other"."""
+    documents, make the histograms; least: documents of a language about as long that limits need (else those of all lengths count, then
+    ``fixed`` holds); least_spread: what counts as lying between quartile and median at least, by distance."""
 
     held: int = 200_000
     common: int = 40
     min_words: int = 50
-    char_limit: float = 0.25
-    word_limit: float = 0.5
+    spreads: float = 7.0
+    least_spread: tuple[float, float, float] = (0.02, 0.04, 0.02)
+    least: int = 50
+    fixed: tuple[float, float, float] = (0.3, 0.7, 0.3)
+
+
+@dataclass(frozen=True)
+class Reference:
+    """A language's common words, its counts of characters by cell, and of each common word and all others."""
+
+    words: list[bytes]
+    chars: np.ndarray
+    hist: np.ndarray
 
 
 def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
@@ -84,20 +103,31 @@ def repeated_words(words: list, window: int = 5) -> int:
 _TABLE: np.ndarray | None = None
 
 
-def _class_table() -> np.ndarray:
+def cell(c: str) -> int:
+    """The cell of a character below U+3000."""
+    if "a" <= c <= "z":
+        return ord(c) - ord("a")
+    if c.islower() and ord(c) in LATIN:
+        return 26 + ord(c) - LATIN.start
+    kind = (
+        "space" if c.isspace() else "symbol" if c in SYMBOLS else "upper" if c.isupper() else "digit" if c.isdigit() else "letter" if c.isalpha()
+        else "punct" if ord(c) < 0x80 or 0x2010 <= ord(c) < 0x2060 else "other"
+    )
+    return 26 + len(LATIN) + CLASSES.index(kind)
+
+
+def _cell_table() -> np.ndarray:
     global _TABLE
     if _TABLE is None:
-        table = np.full(0x110000, 6, dtype=np.uint8)
-        for c in range(0x3000):
-            s = chr(c)
-            table[c] = 3 if s.isspace() else 5 if s in SYMBOLS else 0 if s.islower() else 1 if s.isupper() else 2 if s.isdigit() else 4 if c < 0x80 or 0x2010 <= c < 0x2060 else 6
+        table = np.full(0x110000, CELLS - 1, dtype=np.uint8)
+        table[:0x3000] = [cell(chr(c)) for c in range(0x3000)]
         _TABLE = table
     return _TABLE
 
 
-def char_classes(text: str) -> np.ndarray:
+def char_cells(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    return np.bincount(_class_table()[points], minlength=len(CLASSES)).astype(np.float64)
+    return np.bincount(_cell_table()[points], minlength=CELLS).astype(np.float64)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -119,103 +149,141 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return short_batches(docs).select(id_text("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
-def common_words(docs: DataFrame, cfg: Divergence = Divergence()) -> dict[str, list[bytes]]:
-    """The most frequent words of each language, by their counts over all documents (this top-k is the feature).
+def references(docs: DataFrame, cfg: Divergence = Divergence()) -> dict[str, Reference]:
+    """Each language's reference, from one pass over all documents (the most common words are a top-k by exact counts).
 
-    Each task adds up its words, and hands on what it has when there are ``held`` different ones; the sums by word are exact.
+    A task adds up its words, and hands on what it has when there are ``held`` different ones; its characters are one row for each cell.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = defaultdict(Counter)
+        chars: dict[str, np.ndarray] = {}
 
         def spill() -> pd.DataFrame:
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+            rows = [(lang, False, w, n) for lang, c in counts.items() for w, n in c.items()]
             counts.clear()
-            return pd.DataFrame(rows, columns=["lang", "word", "n"])
+            return pd.DataFrame(rows, columns=["lang", "is_cell", "word", "n"])
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
                 if isinstance(lang, str) and isinstance(text, str):
                     counts[lang].update(_words(text))
+                    chars[lang] = chars.get(lang, 0) + char_cells(text)
             if sum(map(len, counts.values())) >= cfg.held:
                 yield spill()
         if counts:
             yield spill()
+        if chars:
+            rows = [(lang, True, b"%d" % k, int(n)) for lang, c in chars.items() for k, n in enumerate(c) if n]
+            yield pd.DataFrame(rows, columns=["lang", "is_cell", "word", "n"])
 
-    total = _narrow(docs).mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    total = _narrow(docs).mapInPandas(count, "lang string, is_cell boolean, word binary, n long").groupBy("lang", "is_cell", "word").agg(F.sum("n").alias("n"))
     total = stable(total.withColumn("slice", F.pmod(F.xxhash64("word"), F.lit(64))))
     # the best of each slice first, so that a language's words never meet in one task
-    best = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= cfg.common)
-    out: dict[str, list] = defaultdict(list)
+    best = total.filter("not is_cell").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= cfg.common)
+    top: dict[str, list] = defaultdict(list)
     for r in best.select("lang", "word", "n").collect():  # at most 64 * common words of each language
-        out[r["lang"]].append((-r["n"], bytes(r["word"])))
-    return {lang: [w for _, w in sorted(ws)[: cfg.common]] for lang, ws in sorted(out.items())}
+        top[r["lang"]].append((-r["n"], bytes(r["word"])))
+    chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CELLS))
+    for r in total.filter("is_cell").select("lang", "word", "n").collect():  # CELLS rows for each language
+        chars[r["lang"]][int(r["word"])] = r["n"]
+    every = {r["lang"]: r["n"] for r in total.filter("not is_cell").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    out = {}
+    for lang, ws in sorted(top.items()):
+        ws = sorted(ws)[: cfg.common]
+        own = [-n for n, _ in ws]
+        out[lang] = Reference([w for _, w in ws], chars[lang], np.array([*own, every[lang] - sum(own)], dtype=np.float64))
+    return out
 
 
-def references(docs: DataFrame, words: dict[str, list[bytes]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each language the character-class and common-word counts over all of its documents."""
-    place = {lang: {w: k for k, w in enumerate(ws)} for lang, ws in words.items()}
+def common_words(docs: DataFrame, cfg: Divergence = Divergence()) -> dict[str, list[bytes]]:
+    """The most frequent words of each language, by their counts over all documents."""
+    return {lang: r.words for lang, r in references(docs, cfg).items()}
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chars: dict[str, np.ndarray] = {}
-        hist: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                if isinstance(lang, str) and isinstance(text, str) and lang in place:
-                    chars[lang] = chars.get(lang, 0) + char_classes(text)
-                    hist[lang] = hist.get(lang, 0) + word_histogram(_words(text), place[lang])
-        if chars:
-            yield pd.DataFrame({"lang": list(chars), "chars": [chars[k].tolist() for k in chars], "hist": [hist[k].tolist() for k in chars]})
 
-    parts = _narrow(docs).mapInPandas(sums, "lang string, chars array<double>, hist array<double>")
-    spread = parts.select("lang", F.posexplode(F.concat("chars", "hist")).alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()
-    out = {}
-    for lang, ws in words.items():
-        flat = np.zeros(len(CLASSES) + len(ws) + 1)
-        for r in spread:
-            if r["lang"] == lang:
-                flat[r["k"]] = r["n"]
-        out[lang] = flat[: len(CLASSES)], flat[len(CLASSES) :]
+def word_histogram(words: Counter, place: dict[bytes, int]) -> np.ndarray:
+    """Counts of the common words, and of all others at the end."""
+    out = np.zeros(len(place) + 1)
+    for w, k in place.items():
+        out[k] = words.get(w, 0)
+    out[-1] = words.total() - out.sum()
     return out
 
 
-def word_histogram(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    out = np.zeros(len(place) + 1)
-    for w, n in Counter(words).items():
-        out[place.get(w, len(place))] += n
-    return out
+def rate_distance(hist: np.ndarray, ref: np.ndarray) -> float:
+    """Distance of (common words, others); 0 where common words are no rarer than in the reference."""
+    own, held = (np.array([h[:-1].sum(), h[-1]]) for h in (hist, ref))
+    return js_distance(own, held) if own[0] * held.sum() < held[0] * own.sum() else 0.0
 
 
-def divergences(docs: DataFrame, cfg: Divergence = Divergence()) -> DataFrame:
-    """For each document the base measures, both distances (null where not judged), and the verdict of each rule."""
-    docs = _narrow(docs)
-    words = common_words(docs, cfg)
-    refs = references(docs, words)
-    place = {lang: {w: k for k, w in enumerate(ws)} for lang, ws in words.items()}
+def measured(docs: DataFrame, refs: dict[str, Reference], cfg: Divergence = Divergence()) -> DataFrame:
+    """For each document the base measures, the reference that it is held against (null if none), whether that is its own language's, and the distances."""
+    place = {lang: {w: k for k, w in enumerate(r.words)} for lang, r in refs.items()}
 
-    def distance(lang: str, own: list[bytes], chars: np.ndarray) -> tuple[float, float]:
-        hist = word_histogram(own, place[lang])
-        return js_distance(chars, refs[lang][0]), js_distance(hist, refs[lang][1])
+    def distances(lang: str, own: Counter, chars: np.ndarray) -> tuple[float, float, float]:
+        hist, ref = word_histogram(own, place[lang]), refs[lang]
+        return js_distance(chars, ref.chars), js_distance(hist[:-1], ref.hist[:-1]), rate_distance(hist, ref.hist)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text, lang in zip(batch["text"], batch["lang"]):
                 text = text if isinstance(text, str) else ""
                 n_words, *rest = base_measures(text)
                 failed = n_words < 10 or 100 * rest[-1] > 20 * n_words
-                char = word = None
+                held, found = None, (None, None, None)
                 if n_words >= cfg.min_words and refs:
-                    own, chars = _words(text), char_classes(text)
-                    tried = [distance(k, own, chars) for k in ([lang] if lang in refs else refs)]
-                    char, word = min(tried, key=sum)
-                kept = not failed and (char is None or char <= cfg.char_limit) and (word is None or word <= cfg.word_limit)
-                rows.append((n_words, *rest, failed, char, word, kept))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
+                    own, chars = Counter(_words(text)), char_cells(text)
+                    tried = [(distances(k, own, chars), k) for k in ([lang] if lang in refs else refs)]
+                    found, held = min(tried, key=lambda t: sum(t[0]))
+                rows.append((n_words, *rest, failed, held, held == lang, *found))
+            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "held_against", "own", *DISTANCES])
             out.insert(0, "doc_id", whole_numbers(batch["doc_id"]))
-            yield out.astype({"char_distance": "float64", "word_distance": "float64"})
+            yield out.astype(dict.fromkeys(DISTANCES, "float64"))
+
+    return _narrow(docs).mapInPandas(measure, f"{MEASURES}, held_against string, own boolean, {', '.join(f'{d} double' for d in DISTANCES)}")
+
+
+def limit(counts: dict[int, np.ndarray], length: int, rule: int, cfg: Divergence) -> float | None:
+    """The limit at a length (a power of two) from counts of distances, in thousandths, by length; None where there are too few."""
+    for near in ([length], range(length - 1, length + 2), counts):
+        n = sum((counts[k] for k in near if k in counts), np.zeros(1001))
+        if n.sum() >= cfg.least:
+            upto = np.cumsum(n)
+            lower, middle = (int(np.searchsorted(upto, q * upto[-1])) / 1000 for q in (0.25, 0.5))
+            return middle + cfg.spreads * max(middle - lower, cfg.least_spread[rule])
+    return None
+
+
+def limits(found: DataFrame, cfg: Divergence = Divergence()) -> list[tuple]:
+    """(reference, length, limit of each distance) for each reference and each length that there is (a power of two).
+
+    Documents of the same distances count once, so that a large group of copies doesn't make the limits."""
+    each = found.filter("held_against is not null").select("held_against", "length", "own", *DISTANCES).distinct().select("held_against", "length", "own", F.posexplode(F.array(*DISTANCES)).alias("rule", "d"))
+    counts = each.groupBy("held_against", "length", "rule", F.floor(F.col("d") * 1000).cast("int").alias("bin")).agg(F.count_if("own").alias("n"))
+    by: dict = defaultdict(lambda: defaultdict(lambda: np.zeros(1001)))
+    for r in counts.collect():  # languages x lengths x rules x 1001 rows at most, however many documents there are
+        by[r["held_against"], r["rule"]][r["length"]][r["bin"]] += r["n"]
+    out = []
+    for ref in sorted({k for k, _ in by}):
+        for length in sorted(by[ref, 0]):
+            at = [limit(by[ref, k], length, k, cfg) for k in range(len(DISTANCES))]
+            out.append((ref, length, *[cfg.fixed[k] if x is None else x for k, x in enumerate(at)]))
+    return out
+
 
-    return docs.mapInPandas(judge, f"{MEASURES}, char_distance double, word_distance double, kept boolean")
+def divergences(docs: DataFrame, cfg: Divergence = Divergence()) -> DataFrame:
+    """For each document the base measures, the distances (null where not judged), and the verdict. Texts are read twice: for the
+    references, and for the distances, which are written before the limits are read off them."""
+    found = measured(docs, references(docs, cfg), cfg)
+    found = stable(found.withColumn("length", F.floor(F.log2("n_words")).cast("int")))
+    names = [f"limit_{k}" for k in range(len(DISTANCES))]
+    table = docs.sparkSession.createDataFrame(limits(found, cfg), f"held_against string, length int, {', '.join(f'{c} double' for c in names)}")
+    out = found.join(F.broadcast(table), ["held_against", "length"], "left")  # a row for each language and length
+    fits = F.lit(True)
+    for d, c in zip(DISTANCES, names):
+        fits = fits & (F.col(d).isNull() | (F.col(d) <= F.col(c)))
+    return out.withColumn("kept", ~F.col("base_failed") & fits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *DISTANCES, "kept")
 
 
 def op8_quality_divergence(spark, sf_dir: str) -> DataFrame:

@@ -317,43 +317,98 @@ def test_common_words_are_counted_over_all_documents(spark, table):
 
 
 def test_verdicts_by_plain_loops_at_any_partitioning(spark, sf, table):
-    """References, distances and verdicts recomputed with dictionaries, for three layouts of the table."""
+    """References, distances, limits and verdicts recomputed with dictionaries, for three layouts of the table."""
     docs = table("documents", sf)
-    kind = lambda c: "space" if c.isspace() else "symbol" if c in "#*$%&|<>" else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "punct" if ord(c) < 128 or 0x2010 <= ord(c) < 0x2060 else "other"
+
+    def kind(c):
+        if "a" <= c <= "z" or (0xDF <= ord(c) <= 0xFF and c.islower()):
+            return c
+        return "space" if c.isspace() else "symbol" if c in "#*$%&|<>" else "upper" if c.isupper() else "digit" if c.isdigit() else "letter" if ord(c) < 0x3000 and c.isalpha() else "punct" if ord(c) < 128 or 0x2010 <= ord(c) < 0x2060 else "other"
+
     chars, words = {}, {}
     for lang, text in zip(docs["lang"], docs["text"]):
         chars.setdefault(lang, Counter()).update(map(kind, text))
         words.setdefault(lang, Counter()).update(text.lower().encode().split())
     top = {lang: set(sorted(c, key=lambda w: (-c[w], w))[:40]) for lang, c in words.items()}
-    fold = lambda c, lang: Counter({w: n for w, n in c.items() if w in top[lang]}) + Counter({"other": sum(n for w, n in c.items() if w not in top[lang])})
+    among = lambda c, lang: Counter({w: n for w, n in c.items() if w in top[lang]})
 
     def distance(p, q):
         a, b = sum(p.values()), sum(q.values())
         part = lambda x, m: x * math.log2(x / m) if x else 0.0
-        return math.sqrt(max(0.0, sum(part(p[k] / a, (p[k] / a + q[k] / b) / 2) + part(q[k] / b, (p[k] / a + q[k] / b) / 2) for k in set(p) | set(q)) / 2))
+        return math.sqrt(max(0.0, sum(part(p[k] / a, (p[k] / a + q[k] / b) / 2) + part(q[k] / b, (p[k] / a + q[k] / b) / 2) for k in set(p) | set(q)) / 2)) if a and b else 0.0
+
+    def rate(c, lang):
+        own, held = ({"in": sum(among(x, lang).values()), "out": sum(x.values()) - sum(among(x, lang).values())} for x in (c, words[lang]))
+        return distance(own, held) if own["in"] / sum(own.values()) < held["in"] / sum(held.values()) else 0.0
 
-    want = {}
+    found = {}
     for i, lang, text in zip(docs["doc_id"], docs["lang"], docs["text"]):
         n, *_, repeated = quality.base_measures(text)
-        c = distance(Counter(map(kind, text)), chars[lang]) if n >= 50 else None
-        w = distance(fold(Counter(text.lower().encode().split()), lang), fold(words[lang], lang)) if n >= 50 else None
-        want[i] = (c, w, not (n < 10 or 100 * repeated > 20 * n) and (c is None or c <= 0.25) and (w is None or w <= 0.5))
+        own = Counter(text.lower().encode().split())
+        d = (distance(Counter(map(kind, text)), chars[lang]), distance(among(own, lang), among(words[lang], lang)), rate(own, lang)) if n >= 50 else None
+        found[i] = (lang, n.bit_length() - 1, d, n < 10 or 100 * repeated > 20 * n)
+
+    def limit(lang, length, k):
+        for near in (range(length, length + 1), range(length - 1, length + 2), range(64)):
+            at = sorted(int(d[k] * 1000) for lg, _, d in {(round(d[0], 12), round(d[1], 12)): (lg, ln, d) for lg, ln, d, _ in found.values() if d and lg == lang and ln in near}.values())
+            if len(at) >= 50:
+                lower, middle = (at[max(0, math.ceil(q * len(at)) - 1)] / 1000 for q in (0.25, 0.5))
+                return middle + 7 * max(middle - lower, (0.02, 0.04, 0.02)[k])
+        return (0.3, 0.7, 0.3)[k]
+
+    limits = {(lang, length): [limit(lang, length, k) for k in range(3)] for lang, length, d, _ in found.values() if d}
+    want = {i: (d, not failed and (d is None or all(x <= y + 1e-12 for x, y in zip(d, limits[lang, length])))) for i, (lang, length, d, failed) in found.items()}
     for parts in (1, 4, 16):
         for r in quality.divergences(common.read(spark, sf, "documents").repartition(parts)).collect():
-            c, w, kept = want[r["doc_id"]]
-            assert r["kept"] == kept and (r["char_distance"], r["word_distance"]) == ((None, None) if c is None else (pytest.approx(c, abs=1e-9), pytest.approx(w, abs=1e-9)))
+            d, kept = want[r["doc_id"]]
+            assert tuple(r[c] for c in quality.DISTANCES) == ((None,) * 3 if d is None else tuple(pytest.approx(x, abs=1e-7) for x in d))
+            assert r["kept"] == kept
 
 
-def test_salad_of_plain_letters_is_judged_on_its_words(spark, table):
-    rng = random.Random(7)
-    salad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(6, 9))) for _ in range(n)) for n in (60, 200, 900)]
+@pytest.fixture(scope="module")
+def beside(spark, table):
+    """Verdicts over a table with 10 texts of each other language, 20 salads of letters and 20 of shuffled letters called English."""
     docs = common.read(spark, MID, "documents").select("doc_id", "text", "lang")
-    added = spark.createDataFrame([(10_000_000 + k, t, "en") for k, t in enumerate(salad)], docs.schema)
-    got = quality.divergences(docs.unionByName(added)).filter("doc_id >= 10000000").collect()
-    words = quality.common_words(docs.unionByName(added))
-    other = np.array([0.0] * 40 + [1.0])
-    want = quality.js_distance(other, quality.references(docs.unionByName(added), words)["en"][1])
-    assert len(got) == 3 and all(not r["base_failed"] and r["word_distance"] == pytest.approx(want) for r in got)
+    rng, own = random.Random(7), table("documents")
+    own = own[own["text"].notna() & (own["text"].str.split().str.len() >= 50) & (own["text"].str.count(r"[|#*]") == 0)]
+    foreign = [t for lang in ("de", "es", "fr") for t in own[own["lang"] == lang]["text"].sample(10, random_state=3)]
+    salad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.choice([60, 200, 900]))) for _ in range(20)]
+    mixed = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for t in own[own["lang"] == "en"]["text"].sample(20, random_state=4)]
+    added = [(k * 1_000_000 + j, t, "en") for k, texts in ((10, foreign), (20, salad), (30, mixed)) for j, t in enumerate(texts)]
+    return quality.divergences(docs.unionByName(spark.createDataFrame(added, docs.schema))).toPandas(), set(own["doc_id"])
+
+
+def test_other_languages_and_salads_are_dropped_and_prose_is_kept(beside):
+    got, prose = beside
+    judged = got[~got["base_failed"] & got["char_distance"].notna()]
+    for k, least in ((10, 25), (20, 20), (30, 15)):
+        of = judged[judged["doc_id"] // 1_000_000 == k]
+        assert len(of) >= least and 1 - of["kept"].mean() >= 0.9
+    own = judged[judged["doc_id"].isin(prose)]
+    for _, same in own.groupby(np.minimum(np.log2(own["n_words"]).astype(int), 10)):  # at every length
+        assert len(same) < 30 or same["kept"].mean() >= 0.97
+    assert own["kept"].mean() >= 0.97
+
+
+def test_many_copies_do_not_make_the_limits(spark, table):
+    """A third of all rows is one text; the verdicts on prose stay."""
+    docs = common.read(spark, MID, "documents").select("doc_id", "text", "lang")
+    own = table("documents")
+    one = own[(own["lang"] == "en") & own["text"].str.split().str.len().between(150, 250) & (own["text"].str.count(r"[|#*]") == 0)].iloc[0]["text"]
+    copies = spark.range(500).select((F.col("id") + 10_000_000).alias("doc_id"), F.lit(one).alias("text"), F.lit("en").alias("lang"))
+    got = quality.divergences(docs.unionByName(copies)).toPandas()
+    prose = own[own["text"].notna() & (own["text"].str.count(r"[|#*]") == 0)]["doc_id"]
+    judged = got[~got["base_failed"] & got["char_distance"].notna() & (got["doc_id"].isin(prose) | (got["doc_id"] >= 10_000_000))]
+    assert judged[judged["doc_id"] < 10_000_000]["kept"].mean() >= 0.97 and judged[judged["doc_id"] >= 10_000_000]["kept"].all()
+
+
+def test_limits_by_length_and_with_few_documents():
+    cfg = quality.Divergence(least=4)
+    at = lambda *xs: np.bincount(xs, minlength=1001).astype(float)
+    counts = {6: at(50, 100, 200, 300, 900), 8: at(50)}
+    assert quality.limit(counts, 6, 0, cfg) == pytest.approx(0.2 + 7 * 0.1) and quality.limit({6: at(50, 50, 50, 50)}, 6, 1, cfg) == pytest.approx(0.05 + 7 * 0.04)
+    assert quality.limit(counts, 7, 0, cfg) == quality.limit({7: counts[6] + counts[8]}, 7, 0, cfg)
+    assert quality.limit(counts, 12, 0, cfg) == quality.limit({12: counts[6] + counts[8]}, 12, 0, cfg) and quality.limit({6: at(1)}, 6, 0, cfg) is None
 
 
 def test_noisy_or_by_plain_loops():
