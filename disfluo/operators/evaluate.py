@@ -74,11 +74,15 @@ def script_words(utts: DataFrame, *keep: str) -> DataFrame:
 
 
 def placement_baseline(utts: DataFrame, words: DataFrame, by: str = "asked_level") -> DataFrame:
-    """The same numbers for a random word of the same scripts."""
-    rows = with_frequency(script_words(utts, *({by} - {"asked_level"})), words, "word")
+    """The same numbers for a random word of the same scripts. Words are counted before they meet their frequencies, so a frequent
+    word is a few rows in the join, however often it stands there."""
+    counts = script_words(utts, *({by} - {"asked_level"})).groupBy(by, "word", "at_onset", "content").agg(F.count("*").alias("times"))
+    rows, n = with_frequency(counts, words, "word"), F.col("times")
+    share = lambda c: F.sum(F.when(F.col(c), n).otherwise(0)) / F.sum(n)
+    away = F.coalesce(F.sum(F.when(~F.col("at_onset"), n)), F.lit(0))
     return rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.avg(F.col("at_onset").cast("int")).alias("at_clause_onset"), F.avg(F.col("content").cast("int")).alias("before_content_word"), F.avg("log_freq").alias("mean_next_log_freq"),
-        F.count_if(~F.col("at_onset")).alias("n_mid_clause"), F.coalesce(F.avg(F.when(~F.col("at_onset"), F.col("log_freq"))), F.lit(0.0)).alias("mid_clause_next_log_freq"),
+        F.sum(n).alias("n"), share("at_onset").alias("at_clause_onset"), share("content").alias("before_content_word"), (F.sum(n * F.col("log_freq")) / F.sum(n)).alias("mean_next_log_freq"),
+        away.alias("n_mid_clause"), F.coalesce(F.sum(F.when(~F.col("at_onset"), n * F.col("log_freq"))) / F.when(away > 0, away), F.lit(0.0)).alias("mid_clause_next_log_freq"),
     )
 
 
