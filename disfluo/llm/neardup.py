@@ -233,9 +233,11 @@ def classes_of_rows(blocks: DataFrame, cfg: Darts = Darts()) -> DataFrame:
     rest = met.select("band", "bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))  # heads have met everyone in their bucket
     mixed = rest.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "bucket")
     more = stable(_links(_could_be_similar(stable(rest.join(mixed, ["band", "bucket"])), sets, reps.select("id", "bands"), cfg), sets, cfg))
-    if more.limit(1).count():
-        roots = components(stable(linked.unionByName(more).distinct()))
     of = reps.select("content", "least", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if more.limit(1).count():  # they join whole classes: only their roots are put together
+        side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(c + "_root"))
+        between = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(*[F.coalesce(c + "_root", c).alias(c) for c in ("a", "b")])
+        of = of.join(components(stable(between.distinct())).select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
     least = of.groupBy("root").agg(F.min("least").alias("head"))
     of = of.join(least, "root").select("content", "head")
     out = signed.select("row", "doc_id", "content").join(of, "content", "left")
