@@ -387,16 +387,15 @@ def proofs(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     def make(rows: pa.Table, paths: Callable, given: bytes) -> pa.Table:
         subroot, above = given[:32].hex(), _proof_path(given[32:])
         proof, folded = [], []
-        for (path, siblings), other in zip(paths((above, "".join(b + a for b, a in _links(above)))), rows["tampered"].to_pylist()):
+        leaves = [x.hex() for x in rows["leaf"].to_pylist()]
+        for (path, siblings), leaf, other in zip(paths((above, "".join(b + a for b, a in _links(above)))), leaves, rows["tampered"].to_pylist()):
             proof.append(hashlib.sha256(siblings.encode()).hexdigest())
-            h = root
-            if other is not None:
-                h = other.hex()
-                for before, after in _links(path):
-                    h = hashlib.sha256((before + h + after).encode()).hexdigest()
+            h = leaf if other is None else other.hex()
+            for before, after in _links(path):
+                h = hashlib.sha256((before + h + after).encode()).hexdigest()
             folded.append(h)
         n = rows.num_rows
-        return pa.table({"doc_id": rows["doc_id"], "leaf": pa.array([x.hex() for x in rows["leaf"].to_pylist()]), "subroot": pa.array([subroot] * n), "proof_sha256": pa.array(proof), "folded_root": pa.array(folded)})
+        return pa.table({"doc_id": rows["doc_id"], "leaf": pa.array(leaves), "subroot": pa.array([subroot] * n), "proof_sha256": pa.array(proof), "folded_root": pa.array(folded)})
 
     out = _per_piece(trees, given, ["doc_id", "tampered"], "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string", make)
     return out.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))

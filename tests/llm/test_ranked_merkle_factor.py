@@ -277,3 +277,14 @@ def test_views_of_one_story_keep_it(spark):
     other = [(k, f"http://h.net/{k}", "<p>menu home about us and our many friends all over</p><p>Own text of page " + " ".join(rng.choices(story[k].split(), k=15)) + "</p>") for k in range(4)]
     got = pagetext.extract(spark.createDataFrame(other, "page_id long, url string, html string").coalesce(1)).collect()
     assert all(r["text"].startswith("Own text") for r in got)
+
+
+def test_each_proof_is_folded_not_assumed(spark, monkeypatch):
+    """Where siblings are spoiled, leaves that nobody tampered with don't fold to the root either."""
+    docs = spark.createDataFrame([(k, "a", "en", 1, f"t{k}") for k in range(40)], "doc_id long, source string, lang string, n_chars int, text string")
+    shape = merkle.Shape(piece_rows=7)
+    assert all(r["verified"] and r["folded_root"] == r["root"] for r in merkle.proofs(docs, shape).collect())
+    borrowed = merkle._borrowed
+    monkeypatch.setattr(merkle, "_borrowed", lambda trees: borrowed(trees).withColumn("digest", F.unhex(F.lit("00" * 32))))
+    wrong = merkle.proofs(docs, shape).collect()
+    assert len(wrong) == 40 and any(not r["verified"] and r["folded_root"] != r["root"] for r in wrong)
