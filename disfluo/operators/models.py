@@ -8,14 +8,19 @@ inputs alone (a generator's seed is one of them), so batches and partitions neve
 from __future__ import annotations
 
 import hashlib
+import json
+import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from disfluo.functions.text import ends_clause, normalise, spoken_form, tokens
 from disfluo.operators.evaluate import deleted
@@ -108,12 +113,44 @@ class PackedBigrams:
         return np.split(-np.log2(p), ends[:-1])
 
 
+#: Tokens in a chunk of sentences and keys in a bucket of facts, about, where bigrams are too many to be held by a task.
+CHUNK_TOKENS, BUCKET_KEYS, LEAST_PARTS = 500_000, 400_000, 16
+
+
+class Asked:
+    """What the sentences of a chunk ask: each word and each pair of neighbours once, as keys (a pair is two words with a space between),
+    by bucket and in order, so that answers need no keys."""
+
+    def __init__(self, texts: list[str], buckets: int):
+        words = [t.split(" ") for t in texts]
+        self.ends = np.cumsum([len(ws) for ws in words])
+        codes, names = pd.factorize(np.array([START, *[w for ws in words for w in ws]], dtype=object))
+        self.ids = codes[1:]
+        self.before = codes[:-1].copy()
+        self.before[[0, *self.ends[:-1]]] = 0  # START
+        pairs, self.pair = np.unique(self.before * len(names) + self.ids, return_inverse=True)
+        self.names = names.tolist()
+        self.keys = self.names + [f"{self.names[x]} {self.names[y]}" for x, y in zip(*(part.tolist() for part in np.divmod(pairs, len(names))))]
+        self.parts: dict[int, list[int]] = {}
+        for k in sorted(range(len(self.keys)), key=self.keys.__getitem__):
+            self.parts.setdefault(zlib.crc32(self.keys[k].encode()) % buckets, []).append(k)
+
+    def bits(self, answers: dict[int, np.ndarray], known: int, every: int) -> list[np.ndarray]:
+        facts = np.zeros((3, len(self.keys)), dtype=np.int64)
+        for bucket, at in self.parts.items():
+            facts[:, at] = answers[bucket]
+        n, (followers, times), own = facts[0, len(self.names) + self.pair], facts[:2, self.before], facts[2, self.ids]
+        p1 = (own + 1.0 / (known + 1)) / (every + 1)
+        p = np.where(times > 0, (n + followers * p1) / np.maximum(times + followers, 1), p1)
+        return np.split(-np.log2(p), self.ends[:-1])
+
+
 @dataclass
 class Bigrams:
     """A scorer of sentences by word bigrams (see PackedBigrams); ``counts`` comes from bigram_counts.
 
-    Up to ``most`` different bigrams, counted first, travel to the workers as one broadcast, and ``loaded`` serves them; more are joined
-    as tables: the sentences' distinct pairs with the counts, then each sentence's bits are put together again. Both give the
+    Up to ``most`` different bigrams travel to the workers as one broadcast, and ``loaded`` serves them; of more, chunks of
+    sentences ask the buckets that the counts are dealt to for their different words and pairs, and get numbers back. Both give the
     same bits. Defined results: an empty text is one empty word; unknown words share what one word's count is worth with the known
     ones; without any counts every word has 0 bits; a null text has null bits.
     """
@@ -124,9 +161,11 @@ class Bigrams:
     small: bool | None = field(default=None, repr=False)
 
     def __post_init__(self):
-        held = self.counts.limit(self.most + 1).toPandas()  # bounded by most
-        self.small = len(held) <= self.most
+        self.counts = self.counts.persist()  # counted once for all that is read from it
+        self.size = self.counts.count()
+        self.small = self.size <= self.most
         if self.small:
+            held = self.counts.toPandas()  # bounded by most
             data = self.counts.sparkSession.sparkContext.broadcast((held["before"].tolist(), held["word"].tolist(), held["n"].to_numpy()))
             self.column = loaded(lambda: PackedBigrams(*data.value), "array<double>")
 
@@ -137,18 +176,41 @@ class Bigrams:
         return self.joined(sentences)
 
     def joined(self, sentences: DataFrame) -> DataFrame:
-        after = self.counts.groupBy("before").agg(F.count("*").alias("followers"), F.sum("n").alias("times"))
-        own = self.counts.groupBy("word").agg(F.sum("n").alias("own"))
-        total = F.broadcast(own.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("all"), F.count("*").alias("known")))  # one row
-        rows = sentences.select("text").distinct().filter("text is not null").select("text", F.explode(F.array(word_keys(F.col("text")))).alias("ws"))
-        rows = rows.select("text", F.explode(F.transform("ws", lambda x, i: F.struct(i.alias("i"), F.when(i == 0, START).otherwise(F.get("ws", i - 1)).alias("before"), x.alias("word")))).alias("p")).select("text", "p.*")
-        pairs = rows.select("before", "word").distinct()  # a frequent pair meets the counts once
-        known = pairs.join(self.counts, ["before", "word"], "left").join(after, "before", "left").join(own, "word", "left").crossJoin(total)
-        p1 = (F.coalesce("own", F.lit(0)) + 1.0 / (F.col("known") + 1)) / (F.col("all") + 1)
-        p = F.when(F.col("times") > 0, (F.coalesce("n", F.lit(0)) + F.col("followers") * p1) / (F.col("times") + F.col("followers"))).otherwise(p1)
-        each = rows.join(known.select("before", "word", (-F.log2(p)).alias("b")), ["before", "word"])
-        bits = each.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x.b).alias("bits"))  # a sentence's words
-        return sentences.join(bits, "text", "left")
+        long = lambda c: c.cast("long")
+        first = self.counts.select(F.col("before").alias("key"), F.lit(1).alias("a"), F.col("n").alias("b"), F.lit(0).alias("c"))
+        second = self.counts.select(F.col("word").alias("key"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("n").alias("c"))
+        of_words = first.unionByName(second).groupBy("key").agg(*[F.sum(x).alias(x) for x in "abc"])  # followers, times as context, times as word
+        of_pairs = self.counts.select(F.concat_ws(" ", "before", "word").alias("key"), long(F.col("n")).alias("a"), long(F.lit(0)).alias("b"), long(F.lit(0)).alias("c"))
+        known, every = self.counts.agg(F.count_distinct("word"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        chunks, buckets = max(LEAST_PARTS, -(-every // CHUNK_TOKENS)), max(LEAST_PARTS, -(-self.size // BUCKET_KEYS))
+        facts = of_words.unionByName(of_pairs).withColumn("bucket", F.pmod(F.crc32(F.encode("key", "utf-8")), F.lit(buckets)).cast("int"))
+        whole = [F.col(f"`{c.name}`") for c in sentences.schema if "map" not in c.dataType.simpleString()]  # copies of a text spread by what else stands in the row
+        cut = sentences.withColumn("_keys", F.array_join(word_keys(F.col("text")), " ")).withColumn("_chunk", F.pmod(F.xxhash64(*whole), F.lit(chunks)).cast("int"))
+
+        def ask(rows: pa.Table) -> pa.Table:
+            parts = (asked := Asked(rows["_keys"].to_pylist(), buckets)).parts
+            packed = [zlib.compress(json.dumps([asked.keys[k] for k in at]).encode(), 1) for at in parts.values()]
+            return pa.table({"bucket": pa.array(list(parts), pa.int32()), "chunk": pa.array([rows["_chunk"][0].as_py()] * len(parts), pa.int32()), "asked": pa.array(packed, pa.binary())})
+
+        def answer(held: pa.Table, asks: pa.Table) -> pa.Table:
+            at = {k: i for i, k in enumerate(held["key"].to_pylist(), 1)}
+            numbers = np.array([[0, *held[c].to_pylist()] for c in "abc"], dtype=np.int64)
+            packed = [zlib.compress(numbers[:, [at.get(k, 0) for k in json.loads(zlib.decompress(x))]].tobytes(), 1) for x in asks["asked"].to_pylist()]
+            return asks.drop_columns("asked").append_column("found", pa.array(packed, pa.binary()))
+
+        def put(rows: pa.Table, answers: pa.Table) -> pa.Table:
+            keys = rows["_keys"].to_pylist()
+            bits: list = [None] * len(keys)
+            if given := [i for i, k in enumerate(keys) if k is not None]:
+                found = {b: np.frombuffer(zlib.decompress(x), dtype=np.int64).reshape(3, -1) for b, x in zip(answers["bucket"].to_pylist(), answers["found"].to_pylist())}
+                for i, own in zip(given, Asked([keys[i] for i in given], buckets).bits(found, known, every)):
+                    bits[i] = own
+            return rows.drop_columns(["_keys", "_chunk"]).append_column("bits", pa.array(bits, pa.list_(pa.float64())))
+
+        asks = cut.filter("_keys is not null").select("_keys", "_chunk").groupBy("_chunk").applyInArrow(ask, "bucket int, chunk int, asked binary")
+        answers = facts.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(answer, "bucket int, chunk int, found binary")
+        schema = T.StructType([*sentences.schema, T.StructField("bits", T.ArrayType(T.DoubleType()))])
+        return cut.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put, schema)
 
 
 # --- a Markov chain of events --------------------------------------------------------------------------------------------
@@ -192,7 +254,7 @@ def drawn(choices: tuple[list[str], list[int]] | None, digits: int) -> str | Non
     if choices is None:
         return None
     names, upto = choices
-    return names[int(np.searchsorted(np.array([x << 32 for x in upto], dtype=object), digits * upto[-1], side="right"))]
+    return names[bisect_right(upto, digits * upto[-1] >> 32)]
 
 
 class Chain:
@@ -207,9 +269,9 @@ class Chain:
     def say(self, text: str, flags: str, level: str, seed: str) -> str:
         out, kind = [], NONE
         for i, word in enumerate(text.split(" ") if text else []):
-            h = hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
-            kind = drawn(self.steps.get((level, kind, flags[i])), int(h[:8], 16)) or NONE
-            head = word if kind == AGAIN else drawn(self.phrases.get(kind), int(h[8:16], 16)) if kind != NONE else None
+            h = hashlib.md5(f"{seed}:{i}".encode()).digest()
+            kind = drawn(self.steps.get((level, kind, flags[i])), int.from_bytes(h[:4])) or NONE
+            head = word if kind == AGAIN else drawn(self.phrases.get(kind), int.from_bytes(h[4:8])) if kind != NONE else None
             out += [head, word] if head else [word]
         return " ".join(out)
 
@@ -218,14 +280,20 @@ def learn_chain(utts: DataFrame, phrases: int = 1000) -> Chain:
     """A chain from utterances with annotations: counts of each kind after (level, kind before the last word, onset), and the ``phrases`` most
     frequent words of each kind (equal counts by text). Only these counts come to the driver: they don't grow with the rows."""
     at = events_by_word(utts)
-    step = lambda x, i: F.struct(F.when(i == 0, NONE).otherwise(F.get("at", i - 1).kind).alias("before"), x.onset.cast("int").alias("onset"), x.kind.alias("kind"))
-    counts = at.select("asked_level", F.explode(F.transform("at", step)).alias("s")).groupBy("asked_level", "s.before", "s.onset", "s.kind").agg(F.count("*").alias("n"))
+    said = lambda x: F.when(~x.kind.isin(NONE, AGAIN), x.words)
+    step = lambda x, i: F.struct(F.when(i == 0, NONE).otherwise(F.get("at", i - 1).kind).alias("before"), x.onset.cast("int").alias("onset"), x.kind.alias("kind"), said(x).alias("words"))
+    counts = at.select("asked_level", F.explode(F.transform("at", step)).alias("s")).groupBy("asked_level", "s.before", "s.onset", "s.kind", "s.words").agg(F.count("*").alias("n"))
+    counts = counts.persist()  # the utterances are read once; both tables come from these counts
     steps: dict = {}
-    for r in sorted(counts.collect(), key=lambda r: r["kind"]):  # levels x kinds x kinds x 2 rows at most
+    by_step = counts.groupBy("asked_level", "before", "onset", "kind").agg(F.sum("n").alias("n"))
+    for r in sorted(by_step.collect(), key=lambda r: r["kind"]):  # levels x kinds x kinds x 2 rows at most
         steps.setdefault((str(r["asked_level"]), r["before"], str(r["onset"])), []).append((r["kind"], r["n"]))
-    words = at.select(F.explode("at").alias("x")).filter((F.col("x.kind") != NONE) & (F.col("x.kind") != AGAIN) & (F.col("x.words") != "")).groupBy("x.kind", "x.words").agg(F.count("*").alias("n"))
-    kinds = sorted({k for row in steps.values() for k, _ in row} - {NONE, AGAIN})
-    found = {k: [(r["words"], r["n"]) for r in words.filter(F.col("kind") == k).orderBy(F.desc("n"), "words").limit(phrases).collect()] for k in kinds}
+    words = counts.filter("words <> ''").groupBy("kind", "words").agg(F.sum("n").alias("n"))
+    first = words.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "words"))).filter(F.col("place") <= phrases)
+    found: dict = {}
+    for r in sorted(first.collect(), key=lambda r: r["place"]):  # so many phrases of each kind at most
+        found.setdefault(r["kind"], []).append((r["words"], r["n"]))
+    counts.unpersist()
     return Chain({s: cumulated(row) for s, row in steps.items()}, {k: cumulated(row) for k, row in found.items() if row})
 
 
