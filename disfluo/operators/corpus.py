@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disfluo.functions import lexicon as L
-from disfluo.functions.text import sentence_split, spoken_form, tokens
+from disfluo.functions.text import sentence_split, spoken_form
 
 #: By asked level: probability at a word of a filled pause, a repetition and a substitution, and at the start of a restart.
 DIAL = {0: (0.0, 0.0, 0.0, 0.0), 1: (0.045, 0.008, 0.01, 0.02), 2: (0.09, 0.02, 0.03, 0.06), 3: (0.18, 0.05, 0.06, 0.12)}
@@ -41,9 +42,11 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' and text is not null").select("doc_id", "text"))
     sents = docs.select("doc_id", F.posexplode(sentence_split(F.col("text"))).alias("pos", "raw"))
     out = sents.select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), "doc_id", F.trim("raw").alias("clean"))
-    out = out.filter(F.col("clean").rlike("^[A-Z][A-Za-z0-9 ,.;:!?'-]*[.!?]$")).withColumn("clean_tokens", tokens(F.col("clean")))
+    # no white space but the space is left; every word (the first begins with a letter) has a letter or digit
+    out = out.filter(F.col("clean").rlike("^[A-Z][A-Za-z0-9 ,.;:!?'-]*[.!?]$") & ~F.col("clean").rlike(" [^0-9a-zA-Z ]+( |$)"))
+    words = F.array_remove(F.split("clean", " "), "")
+    out = out.select("*", F.explode(F.array(words)).alias("clean_tokens"))  # one element, so words are cut once
     out = out.withColumn("n_clean", F.size("clean_tokens")).filter(F.col("n_clean").between(5, 40))
-    out = out.filter(~F.exists("clean_tokens", lambda w: ~w.rlike("[0-9a-zA-Z]")))
     return out.withColumn("asked_level", F.floor(uniform("level", F.col("utt_id")) * 4).cast("int"))
 
 
@@ -69,7 +72,10 @@ KINDS = ("filler", "repetition", "repair", "false_start")
 
 
 def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
-    """The scripts with, for each word, the kind of event that goes before it (its place in KINDS, or null) and the event's words."""
+    """The scripts with their events: kind (its place in KINDS), i (the word that it goes before), and its words, k of them.
+
+    A word costs one digest and one comparison; all else is worked out for the few words with an event alone.
+    """
     once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  one element, so what it holds is computed once
 
     def limit(k: int) -> Column:
@@ -82,34 +88,38 @@ def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
     key = F.concat_ws(":", F.lit(seed), F.col("utt_id").cast("string"))
     begins = (F.col("n_clean") >= 6) & (F.md5(F.concat_ws(":", F.lit(seed), F.lit("start"), F.col("utt_id").cast("string")).cast("binary")) < limit(3))
     out = once(scripted, "dial", F.struct(key.alias("key"), begins.alias("begins"), *[limit(k).alias(KINDS[k]) for k in range(3)]))
-    digest = lambda w, i: F.md5(F.concat_ws(":", "dial.key", i.cast("string")).cast("binary"))
-    out = once(out, "digests", F.when(F.col("dial.repair") > _below(0.0), F.transform("clean_tokens", digest)).otherwise(F.array().cast("array<string>")))
-
-    def kind(w: Column, i: Column) -> Column:
-        h = F.get("digests", i)
-        return F.when((i == 0) & F.col("dial.begins"), 3).when(h < F.col("dial.filler"), 0).when(h < F.col("dial.repetition"), 1).when(h < F.col("dial.repair"), 2)
+    hashed = F.transform("clean_tokens", lambda w, i: F.struct(i.cast("int").alias("i"), F.md5(F.concat_ws(":", "dial.key", i.cast("string")).cast("binary")).alias("h")))
+    late = lambda x: (x.i == 0) & F.col("dial.begins")
+    picked = F.filter(hashed, lambda x: (x.h < F.col("dial.repair")) | late(x))
+    calm = ~F.col("dial.begins") & (F.col("dial.repair") <= _below(0.0))
+    out = once(out, "picked", F.when(calm, F.array().cast("array<struct<i:int,h:string>>")).otherwise(picked))
 
-    out = once(out, "kinds", F.transform("clean_tokens", kind))
+    def kind(x: Column) -> Column:
+        return F.struct(F.when(late(x), 3).when(x.h < F.col("dial.filler"), 0).when(x.h < F.col("dial.repetition"), 1).otherwise(2).alias("kind"), x.i.alias("i"), x.h.alias("h"))
 
-    def head(k: Column, i: Column) -> Column:
-        v, w = (F.substring(F.get("digests", i), at, 8) for at in (9, 17))
+    def words(x: Column) -> Column:
+        v, w = (F.substring(x.h, at, 8) for at in (9, 17))
         number = F.conv(v, 16, 10).cast("double") / F.lit(4294967296.0)
         edit = F.when(w < _below(L.SHAPE["interregnum"]), F.array(F.lit("i"), F.lit("mean"))).otherwise(F.array().cast("array<string>"))
         wrong = F.get(F.array(*map(F.lit, WRONG)), F.floor(number * len(WRONG)).cast("int"))
-        return (
-            F.when(k.isNull(), F.array().cast("array<string>")).when(k == 0, _filler(v)).when(k == 1, F.array(spoken_form(F.get("clean_tokens", i))))
-            .when(k == 2, F.concat(F.array(wrong), edit)).otherwise(_pick(list(L.FRAGMENTS), number))
-        )
+        own = F.array(spoken_form(F.get("clean_tokens", x.i)))
+        head = F.when(x.kind == 0, _filler(v)).when(x.kind == 1, own).when(x.kind == 2, F.concat(F.array(wrong), edit)).otherwise(_pick(list(L.FRAGMENTS), number))
+        return F.struct(x.kind.alias("kind"), x.i.alias("i"), head.alias("words"))
+
+    sized = lambda x: F.struct(x.kind.alias("kind"), x.i.alias("i"), F.size(x.words).alias("k"), x.words.alias("words"))
+    return once(out, "events", F.transform(F.transform(F.transform("picked", kind), words), sized)).drop("dial", "picked")
+
 
-    return once(out, "heads", F.transform("kinds", head)).drop("dial", "digests")
+def _between(events: str, here: Callable[[Column, Column], Column], last: Callable[[Column], Column]) -> Column:
+    """Of the stretches of words before each event, with the event, and of the one after the last event: what here and last make of them, in a row."""
+    past = lambda e: F.coalesce(e.i, F.lit(0))
+    each = F.transform(events, lambda e, j: here(past(F.get(events, j - 1)), e))
+    return F.flatten(F.concat(each, F.array(last(past(F.get(events, F.size(events) - 1))))))
 
 
 def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
     """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations."""
-    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
-    out = planned(scripted, seed)
-    event = lambda k, i: F.struct(k.alias("kind"), i.cast("int").alias("i"), F.size(F.get("heads", i)).alias("k"))
-    out = once(out, "events", F.filter(F.transform("kinds", event), lambda e: e.kind.isNotNull()))
+    out, n = planned(scripted, seed), F.size("clean_tokens")
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     none = F.lit(None).cast(SPAN)
 
@@ -125,8 +135,11 @@ def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
         fix = F.when(fill, none).when(late, span(s + k, s + k + F.least(F.lit(3), F.col("n_clean")))).otherwise(span(s + k, s + k + 1))
         return F.struct(F.get(F.array(*map(F.lit, KINDS)), e.kind).alias("type"), rep.alias("reparandum"), inter.alias("interregnum"), fix.alias("repair")).cast(ANNOTATION)
 
-    said = F.flatten(F.transform("clean_tokens", lambda w, i: F.concat(F.get("heads", i), F.array(spoken_form(w)))))
-    align = F.flatten(F.transform("heads", lambda h, i: F.concat(F.array_repeat(F.lit(None).cast("int"), F.size(h)), F.array(i.cast("int")))))
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    words = _between("events", lambda p, e: F.concat(F.slice("clean_tokens", p + 1, e.i - p), e.words), lambda p: F.slice("clean_tokens", p + 1, n - p))
+    said = F.transform(F.when(F.size("events") == 0, F.col("clean_tokens")).otherwise(words), spoken_form)  # the events' words are spoken forms already
+    places = _between("events", lambda p, e: F.concat(run(p, e.i), F.array_repeat(F.lit(None).cast("int"), e.k)), lambda p: run(p, n))
+    align = F.when(F.size("events") == 0, run(F.lit(0), n)).otherwise(places)
     notes = F.transform(F.transform("events", place), note)
     return out.select("utt_id", "doc_id", "asked_level", "clean", "clean_tokens", "n_clean", said.alias("disfluent_tokens"), align.alias("alignment"), notes.alias("annotations"))
 
@@ -136,7 +149,8 @@ def markup(scripted: DataFrame, seed: str = "say") -> DataFrame:
     comma = lambda words: F.concat(F.array_join(words, " "), F.lit(","))
 
     def at(word: Column, i: Column) -> Column:
-        kind, head = F.get("kinds", i), F.get("heads", i)
+        event = F.get(F.filter("events", lambda e: e.i == i), F.lit(0))
+        kind, head = event.kind, event.words
         edit = F.when(F.size(head) > 1, F.concat(F.lit("{E "), comma(F.slice(head, F.lit(2), F.size(head))), F.lit(" } "))).otherwise(F.lit(""))
         return (
             F.when(kind.isNull(), word).when(kind == 0, F.concat(F.lit("{F "), comma(head), F.lit(" } "), word)).when(kind == 3, F.concat(F.lit("[ "), comma(head), F.lit(" + ] "), word))
