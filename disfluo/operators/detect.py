@@ -7,10 +7,13 @@ ones included. Filter before detecting: the function is marked as not to be repe
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from disfluo.functions import lexicon as L
 from disfluo.functions.text import canonical_tokens, spoken_form, tokens
@@ -103,11 +106,19 @@ def detect(clean: list, out: list) -> dict:
     return detect_all([clean], [out])[0]
 
 
-def _detect_rows(clean: pd.Series, out: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(detect_all([list(c) for c in clean], [list(o) for o in out]), columns=["alignment", "annotations", "dropped"])
+def word_lists(column: pa.Array) -> list[list]:
+    """The lists of an Arrow column of lists of words; a null counts as an empty one."""
+    words, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+    return [words[i:j].tolist() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-detect_udf = F.pandas_udf(_detect_rows, DETECTED).asNondeterministic()
+def _detect_rows(clean: pa.Array, out: pa.Array) -> pa.Array:
+    found = detect_all(word_lists(clean), word_lists(out))
+    return pa.StructArray.from_arrays([pa.array([d[f.name] for d in found], type=f.type) for f in _DETECTED], fields=list(_DETECTED))
+
+
+_DETECTED = to_arrow_schema(DETECTED)
+detect_udf = F.arrow_udf(_detect_rows, DETECTED).asNondeterministic()
 
 
 def detected(pairs: DataFrame, clean: str = "clean", spoken: str = "spoken") -> DataFrame:
@@ -144,7 +155,10 @@ def assigned(gold: str, found: str, reach: int = 1) -> Column:
         free = F.filter(F.transform(gold, marked), lambda g: ~F.get(s.used, g.k))
         return F.concat(s.pairs, F.transform(free, lambda g: F.struct(g.type.alias("gold"), F.lit("none").alias("found"))))
 
-    return F.aggregate(found, state, step, rest)
+    starts = lambda x: F.transform(x, lambda e: e.start)
+    alike = (starts(gold) == starts(found)) & (F.size(F.array_distinct(starts(gold))) == F.size(gold))  # most rows: each takes the one at its own place
+    own = F.zip_with(gold, found, lambda g, f: F.struct(g.type.alias("gold"), f.type.alias("found")))
+    return F.when(alike, own).otherwise(F.aggregate(found, state, step, rest))
 
 
 def _events(notes: str) -> Column:

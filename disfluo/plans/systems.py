@@ -23,13 +23,18 @@ def runs(spark, sf_dir):
     return a.unionByName(b)
 
 
-def detected(spark, sf_dir):
-    """What the detector finds, also for a system that loses the last word of each script; utterances are numbered anew, one number for each system's."""
-    said = runs(spark, sf_dir).select("system", "utt_id", "asked_level", "clean", F.array_join("disfluent_tokens", " ").alias("spoken"))
+def detected(spark, sf_dir, *systems):
+    """What the detector finds in the given systems' speech, or in all: also in that of one that loses the last word of each script. Utterances
+    are numbered anew, one number for each system's. Systems are chosen before detecting, as the detector holds later filters back."""
+    out, s = None, corpus.scripts(spark, sf_dir)
     own = F.transform("clean_tokens", spoken_form)
-    lossy = corpus.scripts(spark, sf_dir).select(F.lit("lossy").alias("system"), "utt_id", "asked_level", "clean", F.array_join(F.slice(own, F.lit(1), F.size(own) - 1), " ").alias("spoken"))
-    number = F.when(F.col("system") == "corpus", 0).when(F.col("system") == "injector", 1).otherwise(2)
-    return detect.detected(said.unionByName(lossy).withColumn("utt_id", F.col("utt_id") * 3 + number))
+    for number, system in enumerate((*SEEDS, "lossy")):
+        if systems and system not in systems:
+            continue
+        said = corpus.spoken(s, SEEDS[system]).withColumn("spoken", F.array_join("disfluent_tokens", " ")) if system in SEEDS else s.withColumn("spoken", F.array_join(F.slice(own, F.lit(1), F.size(own) - 1), " "))
+        one = said.select(F.lit(system).alias("system"), (F.col("utt_id") * 3 + number).alias("utt_id"), "asked_level", "clean", "spoken")
+        out = one if out is None else out.unionByName(one)
+    return detect.detected(out)
 
 
 def system_rates(spark, sf_dir):
@@ -71,14 +76,14 @@ def system_round_trip(spark, sf_dir):
 
 
 def detector_confusion_ordered(spark, sf_dir):
-    found = detected(spark, sf_dir).filter("system = 'corpus'").withColumn("utt_id", F.expr("utt_id div 3"))
+    found = detected(spark, sf_dir, "corpus").withColumn("utt_id", F.expr("utt_id div 3"))
     return report.by_count(detect.confusion(corpus.spoken(corpus.scripts(spark, sf_dir)), found))
 
 
 def detector_report(spark, sf_dir):
     """One row: utterances, those that lose a word, and gold and detected events of each type."""
     gold = measure.measure(corpus.spoken(corpus.scripts(spark, sf_dir))).select("utt_id", *[F.col(f"n_{t}").alias(f"gold_{t}") for t in L.TYPES])
-    found = detected(spark, sf_dir).filter("system = 'corpus'")
+    found = detected(spark, sf_dir, "corpus")
     d = measure.measure(found.withColumn("n_clean", F.size("clean_tokens")).withColumn("doc_id", F.lit(0).cast("long")).withColumn("lost", F.size("dropped")), "lost")
     both = gold.join(d.withColumn("utt_id", F.expr("utt_id div 3")), "utt_id")
     sums = [F.sum(f"{a}_{t}").alias(f"{b}_{t}") for a, b in (("gold", "gold"), ("n", "detected")) for t in L.TYPES]
