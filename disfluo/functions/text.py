@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from disfluo.functions import lexicon as L
 
@@ -124,10 +128,33 @@ def fold_to_words(rows: DataFrame, text: str, pieces: str, name: str = "bits") -
     inner = lambda p: F.substr(text, p.start + 1, p.end - p.start)
     first = F.transform(pieces, lambda p: F.struct((p.end - F.length(F.ltrim(F.translate(inner(p), "\t\n\r\x0b\x0c", "     ")))).alias("at"), p.end.alias("end"), p.bits.alias("bits")))
     out = rows.select("*", F.explode(F.array(word_spans(F.col(text)))).alias("_spans")).select("*", F.explode(F.array(F.filter(first, lambda p: p.at < p.end))).alias("_first"))
-    placed = F.transform("_first", lambda p: F.struct((F.size(F.filter("_spans", lambda s: s.start <= p.at)) - 1).alias("word"), p.bits.alias("bits")))
-    out = out.select("*", F.explode(F.array(placed)).alias("_placed"))
-    folded = F.transform("_spans", lambda s, k: F.aggregate("_placed", F.lit(0.0), lambda a, p: a + F.when(p.word == k, p.bits).otherwise(0.0)))
-    return out.withColumn(name, folded).drop("_spans", "_first", "_placed")
+    starts = F.transform("_spans", lambda s: s.start)
+    return out.withColumn(name, _summed(starts, F.transform("_first", lambda p: p.at), F.transform("_first", lambda p: p.bits))).drop("_spans", "_first")
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of an Arrow column of lists, and the row of each."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _sums(starts: pa.Array, at: pa.Array, bits: pa.Array) -> pa.Array:
+    first, row = _flat(starts, np.int64)
+    place, own = _flat(at, np.int64)
+    worth, _ = _flat(bits, np.float64)  # a null is no number, and makes its word's sum none
+    far = int(max(first.max(initial=0), place.max(initial=0))) + 1
+    word = np.searchsorted(row * far + first, own * far + place, side="right") - 1
+    inside = np.flatnonzero((word >= 0) & (row[np.maximum(word, 0)] == own)) if len(first) else np.zeros(0, np.int64)
+    sums = np.bincount(word[inside], weights=worth[inside], minlength=len(first))  # added in the order of the pieces
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(starts), 0).to_numpy())))
+    gone = pc.or_(pc.is_null(starts), pc.is_null(at)).to_numpy(zero_copy_only=False)
+    lists = [None if gone[k] else sums[ends[k] : ends[k + 1]] for k in range(len(starts))]
+    out = pa.array(lists, pa.list_(pa.float64()))
+    return pa.array([None if x is None else [None if y != y else y for y in x] for x in lists], pa.list_(pa.float64())) if np.isnan(sums).any() else out
+
+
+#: Sums of the pieces' bits by word: a batch's pieces find their words by one search.
+_summed = F.arrow_udf(_sums, T.ArrayType(T.DoubleType()))
 
 
 def surprisal_bits(scores: Column, chosen: Column) -> Column:
