@@ -2,7 +2,7 @@
 
 What may happen at a place, and in which order places are tried, comes from md5 digits of seed, utterance and place alone,
 so the same row gets the same speech under any partitioning and in any engine that has md5. All of it is Column expressions:
-the candidates of each kind are an array, ordered by their digits; a fold walks over it and takes what is still free, as many
+the places of each kind are an array, ordered by their digits; a fold walks over it and takes what is still free there, as many
 events as the kind's rate asks for; the words of the events chosen are then put between the script's. Nothing crosses rows.
 
 Kinds that hold more words choose first: restarts, repairs, repetitions, fillers. A candidate is a struct of its kind's place
@@ -68,13 +68,13 @@ def _words(phrases) -> Column:
     return F.array(*[F.array(*map(F.lit, p.split())) for p in phrases])
 
 
-def alternatives(token: Column) -> Column:
-    """Wrong words of the same kind: the others of its group, or nearby numbers; none for most words."""
-    key = normalise(token)
+def alternatives(key: Column) -> Column:
+    """Wrong words of the same kind as a normalised word: the others of its group, or nearby numbers; none for most words."""
     groups = F.create_map(*[x for word, group in L.SWAPS.items() for x in (F.lit(word), F.array(*[F.lit(w) for w in group if w != word]))])
     number = key.cast("long")
     near = F.filter(F.transform(F.array(*[F.lit(d) for d in (-1, 1, -2, 2, -3, 3, -10, 10)]), lambda d: number + d), lambda m: m > 0)
-    return F.when(key.rlike("^[0-9]{1,15}$"), F.transform(near, lambda m: m.cast("string"))).otherwise(F.coalesce(F.try_element_at(groups, key), F.array().cast(_NONE)))
+    listed = F.when(key.isin(*sorted(L.SWAPS)), F.try_element_at(groups, key))  # a set is asked before the map, which is walked
+    return F.when(key.rlike("^[0-9]{1,15}$"), F.transform(near, lambda m: m.cast("string"))).otherwise(F.coalesce(listed, F.array().cast(_NONE)))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -96,16 +96,16 @@ def _ranked(places: Column, digest: Callable[[Column], Column]) -> Column:
     return F.array_sort(F.transform(hashed, lambda x: F.struct(F.substring(x.h, *DIGITS["rank"]).alias("rank"), x.p.alias("p"), x.h.alias("h"))))
 
 
-def _restarts(n: Column, onset: Column, digest: Callable) -> Column:
+def _restarts(n: Column, onset: Column, digest: Callable) -> tuple[Column, Callable]:
     """Clause starts with three words after them; the sentence's start first, or one place later where the speech breaks off midway."""
     inner = _ranked(F.filter(_places(n), lambda p: (p >= 1) & (p < n - 3) & F.get(onset, p)), digest)
     first = F.when((F.size(inner) > 0) & _under(digest(F.lit(0)), DIGITS["phrase"], L.SHAPE["midsentence"]), 1).otherwise(0)
     at = F.transform(inner, lambda r: r.p)
     order = F.concat(F.slice(at, F.lit(1), first), F.array(F.lit(0)), F.slice(at, first + 1, F.size(at)))
-    return F.transform(order, lambda p: _candidate(p, F.least(p + 3, n), RESTART))
+    return order, lambda p: F.array(_candidate(p, F.least(p + 3, n), RESTART))
 
 
-def _repairs(n: Column, others: Column, content: Column, digest: Callable, more: Callable) -> Column:
+def _repairs(n: Column, others: Column, content: Column, digest: Callable, more: Callable) -> tuple[Column, Callable]:
     """At each place a few words said with one left out or swapped, or else one word said wrong, with its correction at once or late."""
     other, any_in = (lambda p: F.get(others, p) > 0), lambda flags, p, k: F.exists(F.slice(flags, p + 1, k), lambda x: x > 0)
     usable = lambda p: other(p) | ((p < n - 1) & F.exists(F.slice(content, p + 1, F.lit(3)), lambda c: c))
@@ -126,34 +126,35 @@ def _repairs(n: Column, others: Column, content: Column, digest: Callable, more:
         word = F.when(other(p), F.concat(delays, F.array(_candidate(p, p + 1, WRONG_WORD)))).otherwise(F.array(_candidate(p, p + 2, SHORTER)))
         return F.concat(F.filter(spans, lambda c: c.isNotNull()), F.filter(word, lambda c: c.past <= n))
 
-    return F.flatten(F.transform(_ranked(F.filter(_places(n), usable), digest), options))
+    return _ranked(F.filter(_places(n), usable), digest), options
 
 
-def _repetitions(n: Column, digest: Callable) -> Column:
+def _repetitions(n: Column, digest: Callable) -> tuple[Column, Callable]:
     def option(r: Column) -> Column:
         two = (n >= 5) & _under(r.h, DIGITS["phrase"], L.SHAPE["bigram"])
-        return _candidate(r.p, r.p + F.when(two, 2).otherwise(1), TWICE)
+        return F.filter(F.array(_candidate(r.p, r.p + F.when(two, 2).otherwise(1), TWICE)), lambda c: c.past <= n)
 
-    return F.filter(F.transform(_ranked(_places(n), digest), option), lambda c: c.past <= n)
+    return _ranked(_places(n), digest), option
 
 
-def _pauses(n: Column, said: Column, onset: Column, content: Column, digest: Callable) -> Column:
+def _pauses(n: Column, said: Column, onset: Column, content: Column, digest: Callable) -> tuple[Column, Callable]:
     """A filled pause, at an onset or before a content word; not beside a word that could be one. It holds no word."""
     beside = lambda p: F.exists(F.slice(said, F.greatest(p, F.lit(1)), F.when(p == 0, 2).otherwise(3)), lambda w: w.isin(*sorted(L.FILLER_WORDS)))
     fit = F.filter(_places(n), lambda p: (F.get(onset, p) | F.get(content, p)) & ~beside(p))
-    return F.transform(_ranked(fit, digest), lambda r: _candidate(r.p, r.p, PAUSE))
+    return _ranked(fit, digest), lambda r: F.array(_candidate(r.p, r.p, PAUSE))
 
 
-def _taken(candidates: Column, want: Column, held: Column) -> Column:
-    """held with the first candidates that are free, as many as wanted; a pause, which holds no word, needs the word after it."""
+def _taken(places: Column, options: Callable[[Column], Column], want: Column, held: Column) -> Column:
+    """held with a candidate of each of the first places that have a free one, as many as wanted; a pause, which holds no word, needs the
+    word after it. A place's options (all of them hold its word, so one is taken at most) are worked out when it is reached."""
 
-    def step(state: Column, c: Column) -> Column:
-        past = F.greatest(c.past, c.at + 1)
-        free = ~F.exists(state.events, lambda e: (e.at < past) & (e.past > c.at))
-        goes = (state.left > 0) & free
-        return F.struct((state.left - F.when(goes, 1).otherwise(0)).alias("left"), F.when(goes, F.concat(state.events, F.array(c))).otherwise(state.events).alias("events"))
+    def step(state: Column, place: Column) -> Column:
+        free = lambda c: ~F.exists(state.events, lambda e: (e.at < F.greatest(c.past, c.at + 1)) & (e.past > c.at))
+        first = F.slice(F.filter(options(place), free), F.lit(1), F.lit(1))
+        more = F.transform(F.array(first), lambda c: F.struct((state.left - F.size(c)).alias("left"), F.concat(state.events, c).alias("events")))
+        return F.when(state.left > 0, F.get(more, F.lit(0))).otherwise(state)
 
-    return F.aggregate(candidates, F.struct(want.alias("left"), held.alias("events")), step, lambda s: s.events)
+    return F.aggregate(places, F.struct(want.alias("left"), held.alias("events")), step, lambda s: s.events)
 
 
 def planned(scripts: DataFrame, dial: dict[int, Rates], seed: int, level: str, key: str) -> DataFrame:
@@ -161,26 +162,30 @@ def planned(scripts: DataFrame, dial: dict[int, Rates], seed: int, level: str, k
     n, uid = F.col("n_clean"), F.coalesce(F.col(key).cast("string"), F.lit(""))
     digest = lambda kind: lambda p: F.md5(F.concat_ws(":", F.lit(str(seed)), uid, F.lit(kind), p.cast("string")).cast("binary"))
     out = _once(scripts, "said", F.transform("clean_tokens", spoken_form))
-    out = _once(out, "wrongs", F.transform("clean_tokens", alternatives))
-    out = _once(out, "others", F.transform("wrongs", lambda w: F.size(w)))
-    out = _once(out, "content", F.transform("clean_tokens", is_content))
-    out = _once(out, "onset", F.transform("clean_tokens", lambda w, p: (p == 0) | ends_clause(F.get("clean_tokens", p - 1))))
-    candidates = {
-        "false_start": _restarts(n, F.col("onset"), digest("false_start")), "repair": _repairs(n, F.col("others"), F.col("content"), digest("repair"), digest("more")),
-        "repetition": _repetitions(n, digest("repetition")), "filler": _pauses(n, F.col("said"), F.col("onset"), F.col("content"), digest("filler")),
-    }
-    out, none = out.withColumn("events", F.array().cast(f"array<{_CANDIDATE}>")), F.array().cast(f"array<{_CANDIDATE}>")
-    for kind, found in candidates.items():
+    def wanted(kind: str) -> Column:
         rate = F.lit(0.0)
         for lv, rates in dial.items():
             rate = F.when(F.col(level) == lv, F.lit(float(getattr(rates, kind)))).otherwise(rate)
         expected = F.when(n >= LEAST[kind], F.greatest(rate * n / F.lit(100.0), F.lit(0.0))).otherwise(0.0)
         u = F.conv(F.substring(digest("count")(F.lit(kind)), *DIGITS["rank"]), 16, 10).cast("double") / F.lit(4294967296.0)
-        want = F.floor(expected).cast("int") + F.when(u < expected - F.floor(expected), 1).otherwise(0)
-        out = _once(out, "_want", want)
-        out = _once(out, "_found", F.when(F.col("_want") > 0, found).otherwise(none))
-        out = _once(out, "_events", _taken(F.col("_found"), F.col("_want"), F.col("events")))
-        out = out.withColumn("events", F.col("_events")).drop("_want", "_found", "_events")
+        return (F.floor(expected).cast("int") + F.when(u < expected - F.floor(expected), 1).otherwise(0)).alias(kind)
+
+    out = _once(out, "_want", F.struct(*map(wanted, LEAST)))
+    asked = lambda *kinds: sum((F.col(f"_want.{k}") for k in kinds), F.lit(0)) > 0  # noqa: E731  what no kind asks for is not worked out
+    none, flags = F.array().cast(f"array<{_CANDIDATE}>"), F.array().cast("array<boolean>")
+    out = _once(out, "wrongs", F.when(asked("repair"), F.transform(F.transform("clean_tokens", normalise), alternatives)).otherwise(F.array().cast(f"array<{_NONE}>")))
+    out = _once(out, "others", F.transform("wrongs", lambda w: F.size(w)))
+    out = _once(out, "content", F.when(asked("repair", "filler"), F.transform("clean_tokens", is_content)).otherwise(flags))
+    out = _once(out, "onset", F.when(asked("false_start", "filler"), F.transform("clean_tokens", lambda w, p: (p == 0) | ends_clause(F.get("clean_tokens", p - 1)))).otherwise(flags))
+    candidates = {
+        "false_start": _restarts(n, F.col("onset"), digest("false_start")), "repair": _repairs(n, F.col("others"), F.col("content"), digest("repair"), digest("more")),
+        "repetition": _repetitions(n, digest("repetition")), "filler": _pauses(n, F.col("said"), F.col("onset"), F.col("content"), digest("filler")),
+    }
+    out = out.withColumn("events", none)
+    for kind, (places, options) in candidates.items():
+        out = _once(out, "_events", F.when(F.col(f"_want.{kind}") > 0, _taken(places, options, F.col(f"_want.{kind}"), F.col("events"))).otherwise(F.col("events")))
+        out = out.withColumn("events", F.col("_events")).drop("_events")
+    out = out.drop("_want")
     return out.withColumn("events", F.array_sort("events"))
 
 

@@ -117,3 +117,11 @@ def test_pairs_at_the_same_places_are_assigned_alike(spark):
             if best:
                 del free[next(k for k, g in enumerate(free) if g is best)]
         assert sorted(map(tuple, r["p"])) == sorted(want + [(g["type"], "none") for g in free])
+
+
+def test_a_place_is_worked_out_when_it_is_reached(spark, sf):
+    from disfluo.operators import inject
+    from disfluo.plans.evaluation import RULES
+
+    shown = plan(inject.spoken_by_rules(corpus.scripts(spark, sf), RULES))
+    assert "_found" not in shown  # before, an array of all candidates
