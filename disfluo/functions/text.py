@@ -23,6 +23,16 @@ BAD_PARTS = ("<unk>", "@-@", "@.@", "@,@", "=", "|", "http", "–", "—")
 ABBREVIATIONS = ("St.", "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Jr.", "Sr.", "No.", "vs.")
 # End of the fixed values.
 
+_KEPT = ALLOWED[2:-3]
+_WORD = r"(?![,.;:!?%)']|[nN]')[" + _KEPT.replace(" ", "") + r"]++(?<![($£€])"
+#: Detokenising takes quotes away and makes white space one space or none, so these are the raw sentences that it makes begin with a capital,
+#: hold ALLOWED characters alone and end with a stop; those with gaps enough for five words; and those that it leaves as they are.
+MAY_PASS = r"(?U)^[\s\"“”]*[A-Z][\s\"“”" + _KEPT + r"]*[.!?][\s\"“”]*\z"
+FIVE_WORDS = "^(?:[{0}]*+[^{0}]){{4}}".format(_KEPT.replace(" ", ""))
+DETOKENISED = rf"^{_WORD}(?: {_WORD})*+\z"
+#: An ambiguous word in a usable sentence with a space before it, as has_ambiguous finds it among the sentence's words.
+AMBIGUOUS_WORD = r"(?i) [.,;:!?\"'()]*(" + "|".join(L.AMBIGUOUS.split()) + r")[.,;:!?\"'()]*( |\z)"
+
 
 def tokens(text: Column) -> Column:
     """Words between white space; none for an empty text."""
@@ -66,7 +76,7 @@ def unigram_key(token: Column) -> Column:
 
 def detokenise(text: Column) -> Column:
     """Undo white-space tokenisation: quotes go, clitics and punctuation rejoin their words."""
-    out = F.array_join(tokens(F.translate(text, '"“”', "")), " ")
+    out = F.trim(F.regexp_replace(F.translate(text, '"“”', ""), r"(?U)\s+", " "))
     for pattern in (CLITICS, SPACE_BEFORE, SPACE_AFTER):
         out = F.regexp_replace(out, pattern, "$1")
     return F.trim(out)
@@ -173,19 +183,35 @@ def sentence_split(text: Column) -> Column:
     return F.split(F.regexp_replace(text, SENTENCE_END, "$1\n$2"), "\n")
 
 
-def is_usable_sentence(raw: Column) -> Column:
-    """The nine tests that a sentence of a source corpus must pass."""
-    sent = detokenise(raw)
-    words = tokens(sent)
-    n = F.size(words)
+def may_be_usable(raw: Column) -> Column:
+    """The tests that a raw sentence decides alone: detokenised, it will begin with a capital, end with a stop and hold allowed characters."""
     bad = F.lit(False)
     for part in BAD_PARTS:
         bad = bad | raw.contains(part)
+    return raw.rlike(FIVE_WORDS) & raw.rlike(MAY_PASS) & ~bad
+
+
+def as_sentence(raw: Column) -> Column:
+    """The detokenised sentence; most raw ones are so already."""
+    return F.when(raw.rlike(DETOKENISED), raw).otherwise(detokenise(raw))
+
+
+def is_usable(sent: Column) -> Column:
+    """The other tests, of a detokenised sentence that may be usable: its words stand between single spaces, and the first begins with a capital."""
+    n = F.length(sent) - F.length(F.replace(sent, F.lit(" "), F.lit(""))) + 1
     short = F.lit(False)
     for a in ABBREVIATIONS:
         short = short | sent.endswith(a)
-    digits = F.size(F.filter(words, lambda w: w.rlike("^[0-9]")))
-    return (
-        ~bad & sent.rlike("^[A-Z]") & sent.rlike("[.!?]$") & n.between(5, 40) & sent.rlike(ALLOWED)
-        & ~sent.rlike(LOOSE_APOSTROPHE) & ~short & (digits <= F.floor(n / 3)) & (F.size(F.filter(words, lambda w: ~w.rlike("[0-9a-zA-Z]"))) == 0)
-    )
+    loose = sent.contains("'") & sent.rlike(LOOSE_APOSTROPHE)
+    unworded = sent.rlike(" [^A-Za-z]") & (sent.rlike(" [^0-9a-zA-Z ]+( |$)") | (F.regexp_count(sent, F.lit(" [0-9]")) > F.floor(n / 3)))
+    return n.between(5, 40) & ~short & ~loose & ~unworded
+
+
+def is_ambiguous(sent: Column) -> Column:
+    """Whether a usable sentence holds an ambiguous word."""
+    return F.concat(F.lit(" "), sent).rlike(AMBIGUOUS_WORD)
+
+
+def is_usable_sentence(raw: Column) -> Column:
+    """The nine tests that a sentence of a source corpus must pass; it is detokenised once, as an array's one element."""
+    return may_be_usable(raw) & F.exists(F.array(as_sentence(raw)), is_usable)

@@ -10,6 +10,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from disfluo import schemas
 from disfluo.functions import lexicon as L
 from disfluo.functions.report import markdown
-from disfluo.functions.text import control_source, detokenise, has_ambiguous, is_usable_sentence, sentence_split
+from disfluo.functions.text import as_sentence, control_source, is_ambiguous, is_usable, may_be_usable, sentence_split
 from disfluo.operators import measure, parse
+from disfluo.operators.corpus import spread
 from disfluo.operators.levels import TOKENS
 from disfluo.operators.ordering import seeded
 
@@ -182,50 +185,76 @@ def _first_of_each_task(good: DataFrame, order: str, most: int) -> DataFrame:
     """good without what can't be among the first ``most`` distinct plain or ambiguous sentences: each task keeps so many of each.
 
     A sentence that is among the first of all is among the first of the task where it first stands, so nothing is lost, and no
-    more than tasks x 2 x most rows are shuffled.
+    more than tasks x 2 x most rows are shuffled. What comes after the last of a full kind is passed over before it is sorted.
     """
+    place = [(c, "ascending") for c in (order, "line", "pos")]
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(rows: pa.Table) -> list[pa.Table]:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=place, null_placement="at_start"))
+        at = rows.append_column("_n", pa.array(range(len(rows)), pa.int64())).group_by("text").aggregate([("_n", "min")])["_n_min"]
+        rows = rows.take(at.take(pc.sort_indices(at)))
+        return [rows.filter(pc.equal(rows["ambiguous"], flag)).slice(0, most) for flag in (False, True)]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch])
-            held = held.sort_values([order, "line", "pos"], kind="stable").drop_duplicates("text").groupby("ambiguous").head(most)
-        if held is not None:
-            yield held
+            rows = pa.Table.from_batches([batch])
+            for kind, flag in zip(held or [], (False, True)):
+                if len(kind) == most and kind[order][-1].is_valid:
+                    late = pc.and_(pc.equal(rows["ambiguous"], flag), pc.fill_null(pc.greater(rows[order], kind[order][-1]), False))
+                    rows = rows.filter(pc.invert(late))
+            if len(rows):
+                held = first(pa.concat_tables([*(held or []), rows]))
+        for kind in held or []:
+            yield from kind.combine_chunks().to_batches()
 
-    flat = good.select(F.col(f"at.{order}").alias(order), "at.line", "at.pos", "text", has_ambiguous(F.split("text", " ")).alias("ambiguous"))
-    kept = flat.mapInPandas(keep, flat.schema)
-    return kept.select(F.struct(order, "line", "pos").alias("at"), "text")
+    return good.mapInArrow(keep, good.schema)
 
 
-def usable_sentences(rows: DataFrame, order: str, most: int | None = None) -> DataFrame:
-    """text, ambiguous and the first place (order, pos) of each distinct usable sentence of rows (text, order), or of those that can be
-    among the first ``most`` of their kind; headings are passed over."""
+def _sentences(rows: DataFrame, order: str) -> DataFrame:
+    """text, ambiguous and place (order, line, pos) of the usable sentences of rows (text, order); headings are passed over."""
     lines = rows.select(order, F.posexplode(F.split("text", "\n")).alias("line", "raw")).filter(~F.ltrim("raw").startswith("="))
-    sents = lines.select(order, "line", F.posexplode(sentence_split(F.col("raw"))).alias("pos", "raw")).select(F.struct(order, "line", "pos").alias("at"), F.trim("raw").alias("raw"))
-    good = sents.filter((F.col("raw") != "") & is_usable_sentence(F.col("raw"))).select("at", detokenise(F.col("raw")).alias("text"))
+    sents = lines.select(order, "line", F.posexplode(sentence_split(F.col("raw"))).alias("pos", "raw")).filter(may_be_usable(F.col("raw")))
+    good = sents.select(order, "line", "pos", F.explode(F.array(as_sentence(F.col("raw")))).alias("text")).filter(is_usable(F.col("text")))  # one element, so it is worked out once
+    return good.withColumn("ambiguous", is_ambiguous(F.col("text")))
+
+
+def usable_sentences(rows: DataFrame, order: str, most: int | None = None) -> DataFrame:
+    """text, ambiguous and the first place (order, line, pos) of each distinct usable sentence of rows (text, order), or of those that can
+    be among the first ``most`` of their kind; headings are passed over."""
+    good = _sentences(rows, order)
     good = good if most is None else _first_of_each_task(good, order, most)
-    return good.groupBy("text").agg(F.min("at").alias("at")).withColumn("ambiguous", has_ambiguous(F.split("text", " ")))
+    # ambiguous is aggregated, so that a filter on it stays above: plain and ambiguous ones come from the same rows, read once
+    return good.groupBy("text").agg(F.min(F.struct(order, "line", "pos")).alias("at"), F.bool_or("ambiguous").alias("ambiguous"))
+
+
+def _quota(limit: int, ambiguous_share: float) -> dict[bool, int]:
+    """How many sentences are wanted at most, plain (False) and ambiguous (True)."""
+    want = int(max(0, limit) * ambiguous_share)
+    return {False: max(0, limit) - want, True: want}
 
 
 def with_quota(sentences: DataFrame, limit: int, ambiguous_share: float = 0.30) -> DataFrame:
     """text and place of at most ``limit`` sentences: the first plain ones, then the first ambiguous ones, of which a share is kept free."""
-    want = int(max(0, limit) * ambiguous_share)
-    take = lambda flag, n: sentences.filter(F.col("ambiguous") == flag).orderBy("at").limit(n)
-    both = take(False, max(0, limit) - want).unionByName(take(True, want))
+    plain, ambiguous = (sentences.filter(F.col("ambiguous") == flag).orderBy("at").limit(n) for flag, n in _quota(limit, ambiguous_share).items())
+    both = plain.unionByName(ambiguous)
     return both.withColumn("place", F.row_number().over(Window.orderBy("ambiguous", "at"))).select("text", "ambiguous", "place")  # at most limit rows
 
 
 def sentence_source(spark: SparkSession, paths: list[str], limit: int, ambiguous_share: float = 0.30, order: str = "doc_id") -> DataFrame:
-    """Sentences of the first of several tables, the largest first, that can be read and has any; none if there is no such table."""
+    """Sentences of the first of several tables, the largest first, that can be read and has any; none if there is no such table.
+
+    A table before the last is asked for one sentence of a kind that is wanted, which ends at the first; the last is taken as it is.
+    """
     empty = spark.createDataFrame([], "text string, ambiguous boolean, place int")
     if limit <= 0:
         return empty
-    for path in paths:
+    wanted = [flag for flag, n in _quota(limit, ambiguous_share).items() if n > 0]
+    for k, path in enumerate(paths, 1):
         rows = _or_empty(spark, lambda p=path: spark.read.parquet(p), f"{order} long, text string")
-        found = with_quota(usable_sentences(rows.filter("text is not null").select(order, "text"), order, limit), limit, ambiguous_share)
-        if not found.isEmpty():
-            return found
+        rows = rows.filter("text is not null").select(order, "text")
+        if k == len(paths) or not _sentences(rows, order).filter(F.col("ambiguous").isin(wanted)).isEmpty():
+            return with_quota(usable_sentences(spread(rows), order, limit), limit, ambiguous_share)
     return empty
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from disfluo.functions import text as X
 from disfluo.operators import corpus, detect, evaluate, models
 from disfluo.plans import systems
+from disfluo.sources import io
 
 
 def plan(df):
@@ -125,3 +126,12 @@ def test_a_place_is_worked_out_when_it_is_reached(spark, sf):
 
     shown = plan(inject.spoken_by_rules(corpus.scripts(spark, sf), RULES))
     assert "_found" not in shown  # before, an array of all candidates
+
+
+def test_sentences_are_read_and_detokenised_once(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select("doc_id", "text")
+    assert plan(io.usable_sentences(docs, "doc_id")).count("translate(") == 1  # before, once for each test
+    counted, seen = counting(spark, docs, "text")
+    monkeypatch.setattr(io, "_or_empty", lambda spark, read, schema: counted)
+    rows = io.sentence_source(spark, ["documents"], 60).collect()
+    assert len(rows) > 42 and seen.value == docs.count()  # before, four times as many

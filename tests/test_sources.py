@@ -52,6 +52,30 @@ def test_early_stop_keeps_the_same_sentences(spark, sf):
     assert io.usable_sentences(rows, "doc_id", 5).count() <= 2 * 5 * 12
 
 
+def test_first_sentences_in_any_order_of_rows(spark):
+    """Small batches, falling and mixed ids, ids beyond a double's digits beside none, copies that stand earlier in a later batch."""
+    text = lambda k: f"Row {'abcdefgh'[k % 8]}{'xyz'[k % 3]} is {'well' if k % 5 == 0 else 'good'} and it ends.\n= Not this one at all.\nThen come the words {'pqr'[k % 3]}. So it goes on here."
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for ids in (range(300, 0, -1), [(k * 37) % 301 for k in range(300)], [None if k == 3 else 2**53 + (k * 37) % 301 for k in range(300)]):
+            rows = spark.createDataFrame([(i, text(k)) for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+            for limit in (1, 4, 20):
+                whole, early = (io.with_quota(io.usable_sentences(rows, "doc_id", most), limit).collect() for most in (None, limit))
+                assert whole == early and whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_table_without_wanted_sentences_is_passed_over(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    for name, text in (("none", "too short."), ("ambiguous", "So it goes on here."), ("plain", "And it goes on here.")):
+        spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(path(name))
+    texts = lambda names, limit: [r["text"] for r in io.sentence_source(spark, [path(x) for x in names], limit).collect()]
+    assert texts(["missing", "none", "ambiguous", "plain"], 1) == ["And it goes on here."]  # one alone is to be a plain one
+    assert texts(["missing", "none", "ambiguous", "plain"], 10) == ["So it goes on here."]
+    assert texts(["plain", "ambiguous"], 10) == ["And it goes on here."] and texts(["plain", "none"], 0) == texts(["none"], 5) == texts(["missing"], 5) == texts([], 5) == []
+
+
 def test_jsonl_round_trip_counts_and_missing_files(spark, tmp_path, sf):
     said = corpus.spoken(corpus.scripts(spark, sf)).limit(50).withColumn("disfluent", F.array_join("disfluent_tokens", " "))
     path = str(tmp_path / "u")

@@ -58,3 +58,30 @@ def test_spoken_form_matches_python(spark):
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(X.spoken_form(F.col("w"))).collect()]
     table = str.maketrans("", "", L.QUOTES)
     assert got == [w.translate(table).strip(L.STRIP).lower() for w in words]
+
+
+def test_quick_tests_of_sentences_beside_plain_ones(spark):
+    rng = random.Random(8)
+    words = ["We", "the", "so,", "(No", "n't", "'s", "'", "boys'", "don't", "n'ts", "3", "4th", "£", "£5", "$ 6", "(", ")", ",", "%", "-", "--", "a-b", "St.", "no.", "home.", "well", "I'LL", "[", "é", "http", "=", "“", '"', "K's"]
+    gaps = [" "] * 12 + ["  ", "\t", "\u00a0", "\u2003", "\r", "\x85", "\x1f", ""]
+    texts = [None, "", " ", "The.", "A b c d e.", "A" + " b" * 38 + " c.", "A" + " b" * 39 + " c.", "So it is 4 5."]
+    for _ in range(20000):
+        text = "".join(rng.choice(words[rng.choice([0, 1, 8, 25]) :] if rng.random() < 0.1 else words[:2] + words[8:9] + words[25:26] + words) + rng.choice(gaps) for _ in range(rng.choice([3, 4, 5, 6, 8, 12, 45])))
+        texts.append(rng.choice(["", "", "The ", "So ", ' "', "“Like "]) + text.strip(rng.choice(["", " "])) + rng.choice([".", " .", "!", "?", '."', " ? ”", ". ", ".\x85", ""]))
+    t, raw = F.col("t"), F.col("raw")
+    out = F.array_join(X.tokens(F.translate(t, '"“”', "")), " ")
+    for pattern in (X.CLITICS, X.SPACE_BEFORE, X.SPACE_AFTER):
+        out = F.regexp_replace(out, pattern, "$1")
+    rows = spark.createDataFrame([(x,) for x in texts], "raw string").repartition(8).select("raw", F.explode(F.array("raw")).alias("t")).select("raw", F.explode(F.array(F.trim(out))).alias("t"))
+    count = lambda test: F.size(F.filter(X.tokens(t), test))
+    n = F.size(X.tokens(t))
+    want = t.rlike("^[A-Z]") & t.rlike("[.!?]$") & n.between(5, 40) & t.rlike(X.ALLOWED) & ~t.rlike(X.LOOSE_APOSTROPHE) & (count(lambda w: w.rlike("^[0-9]")) <= F.floor(n / 3)) & (count(lambda w: ~w.rlike("[0-9a-zA-Z]")) == 0)
+    for part in X.BAD_PARTS:
+        want = want & ~raw.contains(part)
+    for part in X.ABBREVIATIONS:
+        want = want & ~t.endswith(part)
+    rows = rows.withColumn("want", want).withColumn("got", X.is_usable_sentence(raw)).withColumn("steps", X.may_be_usable(raw) & X.is_usable(X.as_sentence(raw))).withColumn("same", X.as_sentence(raw).eqNullSafe(t) & X.detokenise(raw).eqNullSafe(t))
+    rows = rows.withColumn("ambiguous", X.is_ambiguous(t).eqNullSafe(X.has_ambiguous(F.split(t, " ")))).persist()
+    assert rows.filter("not (want <=> got) or not (want <=> steps) or not same or want and not ambiguous").collect() == []
+    assert rows.filter("want").count() > 500 and rows.filter("not want").count() > 5000 and rows.filter("want and raw <> t").count() > 100
+    rows.unpersist()
