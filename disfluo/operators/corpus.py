@@ -21,6 +21,8 @@ from disfluo.functions.text import sentence_split, spoken_form
 #: By asked level: probability at a word of a filled pause, a repetition and a substitution, and at the start of a restart.
 DIAL = {0: (0.0, 0.0, 0.0, 0.0), 1: (0.045, 0.008, 0.01, 0.02), 2: (0.09, 0.02, 0.03, 0.06), 3: (0.18, 0.05, 0.06, 0.12)}
 WRONG = L.SWAP_GROUPS[7].split()
+#: A script: a capital first, a stop last, and words of these characters, each with a letter or digit. What matched is not tried again, so one pass decides.
+SCRIPT = r"^[A-Z][A-Za-z0-9,.;:!?'-]*+(?: ++[,.;:!?'-]*+[0-9A-Za-z][A-Za-z0-9,.;:!?'-]*+)*+(?<=[.!?])\z"
 SPAN = "struct<start:int,end:int>"
 ANNOTATION = f"struct<type:string,reparandum:{SPAN},interregnum:{SPAN},repair:{SPAN}>"
 
@@ -41,9 +43,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """utt_id, doc_id, clean, clean_tokens, n_clean and asked_level of the English documents' sentences of 5 to 40 words."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' and text is not null").select("doc_id", "text"))
     sents = docs.select("doc_id", F.posexplode(sentence_split(F.col("text"))).alias("pos", "raw"))
-    out = sents.select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), "doc_id", F.trim("raw").alias("clean"))
-    # no white space but the space is left; every word (the first begins with a letter) has a letter or digit
-    out = out.filter(F.col("clean").rlike("^[A-Z][A-Za-z0-9 ,.;:!?'-]*[.!?]$") & ~F.col("clean").rlike(" [^0-9a-zA-Z ]+( |$)"))
+    out = sents.select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), "doc_id", F.trim("raw").alias("clean")).filter(F.col("clean").rlike(SCRIPT))
     words = F.array_remove(F.split("clean", " "), "")
     out = out.select("*", F.explode(F.array(words)).alias("clean_tokens"))  # one element, so words are cut once
     out = out.withColumn("n_clean", F.size("clean_tokens")).filter(F.col("n_clean").between(5, 40))
@@ -71,12 +71,17 @@ def _filler(digits: Column) -> Column:
 KINDS = ("filler", "repetition", "repair", "false_start")
 
 
-def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
-    """The scripts with their events: kind (its place in KINDS), i (the word that it goes before), and its words, k of them.
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row: one element of an array, exploded."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-    A word costs one digest and one comparison; all else is worked out for the few words with an event alone.
-    """
-    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  one element, so what it holds is computed once
+
+def _late(x: Column) -> Column:
+    return (x.i == 0) & F.col("dial.begins")
+
+
+def _picked(scripted: DataFrame, seed: str) -> DataFrame:
+    """The scripts with dial (the limits of their level) and picked, the words that an event goes before: i and the word's digest h."""
 
     def limit(k: int) -> Column:
         """By level: digits below which events of the first k + 1 kinds lie."""
@@ -87,15 +92,26 @@ def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
 
     key = F.concat_ws(":", F.lit(seed), F.col("utt_id").cast("string"))
     begins = (F.col("n_clean") >= 6) & (F.md5(F.concat_ws(":", F.lit(seed), F.lit("start"), F.col("utt_id").cast("string")).cast("binary")) < limit(3))
-    out = once(scripted, "dial", F.struct(key.alias("key"), begins.alias("begins"), *[limit(k).alias(KINDS[k]) for k in range(3)]))
+    out = _once(scripted, "dial", F.struct(key.alias("key"), begins.alias("begins"), *[limit(k).alias(KINDS[k]) for k in range(3)]))
     hashed = F.transform("clean_tokens", lambda w, i: F.struct(i.cast("int").alias("i"), F.md5(F.concat_ws(":", "dial.key", i.cast("string")).cast("binary")).alias("h")))
-    late = lambda x: (x.i == 0) & F.col("dial.begins")
-    picked = F.filter(hashed, lambda x: (x.h < F.col("dial.repair")) | late(x))
+    picked = F.filter(hashed, lambda x: (x.h < F.col("dial.repair")) | _late(x))
     calm = ~F.col("dial.begins") & (F.col("dial.repair") <= _below(0.0))
-    out = once(out, "picked", F.when(calm, F.array().cast("array<struct<i:int,h:string>>")).otherwise(picked))
+    return _once(out, "picked", F.when(calm, F.array().cast("array<struct<i:int,h:string>>")).otherwise(picked))
+
+
+def counted(scripted: DataFrame, seed: str = "say") -> DataFrame:
+    """The scripts with n_events, how many events their spoken side has; nothing else of it is worked out."""
+    return _picked(scripted, seed).withColumn("n_events", F.size("picked").cast("long")).drop("dial", "picked")
+
+
+def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
+    """The scripts with their events: kind (its place in KINDS), i (the word that it goes before), and its words, k of them.
+
+    A word costs one digest and one comparison; all else is worked out for the few words with an event alone.
+    """
 
     def kind(x: Column) -> Column:
-        return F.struct(F.when(late(x), 3).when(x.h < F.col("dial.filler"), 0).when(x.h < F.col("dial.repetition"), 1).otherwise(2).alias("kind"), x.i.alias("i"), x.h.alias("h"))
+        return F.struct(F.when(_late(x), 3).when(x.h < F.col("dial.filler"), 0).when(x.h < F.col("dial.repetition"), 1).otherwise(2).alias("kind"), x.i.alias("i"), x.h.alias("h"))
 
     def words(x: Column) -> Column:
         v, w = (F.substring(x.h, at, 8) for at in (9, 17))
@@ -107,7 +123,7 @@ def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
         return F.struct(x.kind.alias("kind"), x.i.alias("i"), head.alias("words"))
 
     sized = lambda x: F.struct(x.kind.alias("kind"), x.i.alias("i"), F.size(x.words).alias("k"), x.words.alias("words"))
-    return once(out, "events", F.transform(F.transform(F.transform("picked", kind), words), sized)).drop("dial", "picked")
+    return _once(_picked(scripted, seed), "events", F.transform(F.transform(F.transform("picked", kind), words), sized)).drop("dial", "picked")
 
 
 def _between(events: str, here: Callable[[Column, Column], Column], last: Callable[[Column], Column]) -> Column:

@@ -16,8 +16,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from disfluo.functions import lexicon as L
 from disfluo.functions.text import canonical_tokens, ends_clause, is_content, normalise, spoken_form
@@ -105,10 +110,14 @@ def _restarts(n: Column, onset: Column, digest: Callable) -> tuple[Column, Calla
     return order, lambda p: F.array(_candidate(p, F.least(p + 3, n), RESTART))
 
 
-def _repairs(n: Column, others: Column, content: Column, digest: Callable, more: Callable) -> tuple[Column, Callable]:
+def _usable(n: Column, others: Column, content: Column) -> Column:
+    """Where a repair may stand: at a word with another that it could be, or near a content word."""
+    return F.filter(_places(n), lambda p: (F.get(others, p) > 0) | ((p < n - 1) & F.exists(F.slice(content, p + 1, F.lit(3)), lambda c: c)))
+
+
+def _repairs(n: Column, others: Column, usable: Column, digest: Callable, more: Callable) -> tuple[Column, Callable]:
     """At each place a few words said with one left out or swapped, or else one word said wrong, with its correction at once or late."""
     other, any_in = (lambda p: F.get(others, p) > 0), lambda flags, p, k: F.exists(F.slice(flags, p + 1, k), lambda x: x > 0)
-    usable = lambda p: other(p) | ((p < n - 1) & F.exists(F.slice(content, p + 1, F.lit(3)), lambda c: c))
 
     def options(r: Column) -> Column:
         p, h = r.p, r.h
@@ -126,7 +135,7 @@ def _repairs(n: Column, others: Column, content: Column, digest: Callable, more:
         word = F.when(other(p), F.concat(delays, F.array(_candidate(p, p + 1, WRONG_WORD)))).otherwise(F.array(_candidate(p, p + 2, SHORTER)))
         return F.concat(F.filter(spans, lambda c: c.isNotNull()), F.filter(word, lambda c: c.past <= n))
 
-    return _ranked(F.filter(_places(n), usable), digest), options
+    return _ranked(usable, digest), options
 
 
 def _repetitions(n: Column, digest: Callable) -> tuple[Column, Callable]:
@@ -137,10 +146,14 @@ def _repetitions(n: Column, digest: Callable) -> tuple[Column, Callable]:
     return _ranked(_places(n), digest), option
 
 
-def _pauses(n: Column, said: Column, onset: Column, content: Column, digest: Callable) -> tuple[Column, Callable]:
-    """A filled pause, at an onset or before a content word; not beside a word that could be one. It holds no word."""
+def _fit(n: Column, said: Column, onset: Column, content: Column) -> Column:
+    """Where a filled pause may stand: at an onset or before a content word; not beside a word that could be one."""
     beside = lambda p: F.exists(F.slice(said, F.greatest(p, F.lit(1)), F.when(p == 0, 2).otherwise(3)), lambda w: w.isin(*sorted(L.FILLER_WORDS)))
-    fit = F.filter(_places(n), lambda p: (F.get(onset, p) | F.get(content, p)) & ~beside(p))
+    return F.filter(_places(n), lambda p: (F.get(onset, p) | F.get(content, p)) & ~beside(p))
+
+
+def _pauses(fit: Column, digest: Callable) -> tuple[Column, Callable]:
+    """A filled pause holds no word."""
     return _ranked(fit, digest), lambda r: F.array(_candidate(r.p, r.p, PAUSE))
 
 
@@ -157,20 +170,112 @@ def _taken(places: Column, options: Callable[[Column], Column], want: Column, he
     return F.aggregate(places, F.struct(want.alias("left"), held.alias("events")), step, lambda s: s.events)
 
 
-def planned(scripts: DataFrame, dial: dict[int, Rates], seed: int, level: str, key: str) -> DataFrame:
-    """Scripts (clean_tokens, n_clean) with said, others (counts of alternatives) and events (candidates taken, by place)."""
-    n, uid = F.col("n_clean"), F.coalesce(F.col(key).cast("string"), F.lit(""))
-    digest = lambda kind: lambda p: F.md5(F.concat_ws(":", F.lit(str(seed)), uid, F.lit(kind), p.cast("string")).cast("binary"))
-    out = _once(scripts, "said", F.transform("clean_tokens", spoken_form))
+def _digests(seed: int, key: str) -> Callable:
+    uid = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return lambda kind: lambda p: F.md5(F.concat_ws(":", F.lit(str(seed)), uid, F.lit(kind), p.cast("string")).cast("binary"))
+
+
+def _wanted(dial: dict[int, Rates], level: str, digest: Callable) -> dict[str, Column]:
+    """How many events of each kind a row asks for."""
+    n = F.col("n_clean")
+
     def wanted(kind: str) -> Column:
         rate = F.lit(0.0)
         for lv, rates in dial.items():
             rate = F.when(F.col(level) == lv, F.lit(float(getattr(rates, kind)))).otherwise(rate)
         expected = F.when(n >= LEAST[kind], F.greatest(rate * n / F.lit(100.0), F.lit(0.0))).otherwise(0.0)
         u = F.conv(F.substring(digest("count")(F.lit(kind)), *DIGITS["rank"]), 16, 10).cast("double") / F.lit(4294967296.0)
-        return (F.floor(expected).cast("int") + F.when(u < expected - F.floor(expected), 1).otherwise(0)).alias(kind)
+        more = (expected > F.floor(expected)) & (u < expected - F.floor(expected))  # a whole number needs no digest
+        return (F.floor(expected).cast("int") + F.when(more, 1).otherwise(0)).alias(kind)
+
+    return {kind: wanted(kind) for kind in LEAST}
+
+
+def _lower(words: pa.Array) -> pa.Array:
+    low, odd = pc.utf8_lower(words), pc.invert(pc.string_is_ascii(words))
+    return pc.replace_with_mask(low, odd, pa.array([w.lower() for w in words.filter(odd).to_pylist()], pa.string())) if pc.any(odd).as_py() else low
+
+
+def _traits(column: pa.Array) -> pa.Array:
+    """What ``planned`` asks of each script's words by themselves, for a batch at once, on flat arrays of its words."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    words = column.flatten().cast(pa.string())
+    ends, own = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(own)) - np.repeat(ends - sizes, sizes)
+    flags = lambda x: pc.fill_null(x, False).to_numpy(zero_copy_only=False)
+    among = lambda x, those: flags(pc.is_in(x, value_set=pa.array(sorted(those), pa.string())))
+
+    def near(x: np.ndarray, d: int) -> np.ndarray:
+        """The flags of the words d places on; none beyond the script."""
+        out = np.zeros(len(x), dtype=bool)
+        if d > 0:
+            out[:-d] = x[d:] & (own[:-d] == own[d:])
+        else:
+            out[-d:] = x[:d] & (own[-d:] == own[:d])
+        return out
+
+    keys = _lower(pc.utf8_trim(words, L.STRIP))
+    quoted = flags(pc.match_substring_regex(words, f"[{L.QUOTES}]")).any()
+    said = _lower(pc.utf8_trim(pc.replace_substring_regex(words, f"[{L.QUOTES}]", ""), L.STRIP)) if quoted else keys
+    pause = among(said, L.FILLER_WORDS)
+    content = (pc.fill_null(pc.utf8_length(keys), 0).to_numpy() > 3) & ~among(keys, L.STOPWORD_SET)
+    others = among(keys, L.SWAPS) | flags(pc.match_substring_regex(keys, "^[0-9]{1,15}$"))
+    onset = (place == 0) | near(flags(pc.match_substring_regex(pc.utf8_rtrim(words, L.AFTER_CLAUSE), "[,;:]$")), -1)
+    usable = others | ((place < np.repeat(sizes, sizes) - 1) & (content | near(content, 1) | near(content, 2)))
+    fit = (onset | content) & ~(pause | near(pause, 1) | near(pause, -1))
+    lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(x))
+    held = lambda x: lists(place[x].astype(np.int32), np.bincount(own[x], minlength=len(sizes)))
+    columns = [lists(others.astype(np.int32), sizes), lists(onset, sizes), held(usable), held(fit)]
+    return pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, _TRAITS)], fields=list(_TRAITS))
+
+
+#: Of a script's words: others (1 where another could be meant) and onset; the places usable for repairs and fit for pauses.
+TRAITS = T.StructType([T.StructField("others", T.ArrayType(T.IntegerType())), T.StructField("onset", T.ArrayType(T.BooleanType())), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("usable", "fit")]])
+_TRAITS = to_arrow_schema(TRAITS)
+traits_udf = F.arrow_udf(_traits, TRAITS)
+
+
+def traits(scripts: DataFrame) -> DataFrame:
+    """Scripts with _others, _onset, _usable and _fit, which ``counted`` asks for: they don't depend on level and key, so they are worked
+    out once for all renderings."""
+    out = scripts.withColumn("_t", traits_udf("clean_tokens"))
+    return out.select(*scripts.columns, *[F.col(f"_t.{c}").alias(f"_{c}") for c in TRAITS.names])
+
+
+def counted(scripts: DataFrame, dial: dict[int, Rates], seed: int = 13, level: str = "asked_level", key: str = "utt_id") -> DataFrame:
+    """Scripts (clean_tokens, n_clean, with ``traits``) with n_events, how many events ``spoken_by_rules`` gives them.
+
+    A kind gets all the events that it asks for where it has more places than the events before could take away; such rows, most of
+    them, need no place's digest. In the others the events that hold words are taken one by one; pauses hold none, so as many are
+    taken as asked for or as places are left.
+    """
+    n, digest = F.col("n_clean"), _digests(seed, key)
+    out = scripts.withColumns({f"_n_{kind}": w for kind, w in _wanted(dial, level, digest).items()})
+    restarts, repairs, twice, pauses = wants = [F.col(f"_n_{kind}") for kind in LEAST]
+    # words that an event holds at most; places are tried with two words at most in the end, so an event takes a place more than it has words
+    long = F.when(F.array_contains("_others", 1), max(L.MAX_SPAN, L.MAX_DELAY + 1)).otherwise(L.MAX_SPAN)
+    taken = lambda r, s: r * 4 + s * (long + 1)
+    enough = (
+        (restarts <= 1) & ((repairs == 0) | (F.size("_usable") > taken(restarts, repairs - 1))) & ((twice == 0) | (n - 1 > taken(restarts, repairs) + (twice - 1) * 3))
+        & ((pauses == 0) | (F.size("_fit") >= pauses + restarts * 3 + repairs * long + twice * 2))
+    )
+    candidates = [
+        _restarts(n, F.col("_onset"), digest("false_start")), _repairs(n, F.col("_others"), F.col("_usable"), digest("repair"), digest("more")), _repetitions(n, digest("repetition")),
+    ]
+    free = lambda p, held: ~F.exists(held, lambda e: (e.at <= p) & (e.past > p))
+    held = F.array(F.array().cast(f"array<{_CANDIDATE}>"))  # one element, so that the next step's fold has it as a value
+    for (places, options), want in zip(candidates, wants):
+        held = F.transform(held, lambda x: F.when(want > 0, _taken(places, options, want, x)).otherwise(x))  # noqa: B023  called at once
+    one_by_one = F.get(F.transform(held, lambda x: F.size(x) + F.least(pauses, F.size(F.filter("_fit", lambda p: free(p, x))))), F.lit(0))
+    count = F.when(enough, restarts + repairs + twice + pauses).otherwise(one_by_one)
+    return out.select(*[c for c in scripts.columns if c not in [f"_{t}" for t in TRAITS.names]], count.cast("long").alias("n_events"))
 
-    out = _once(out, "_want", F.struct(*map(wanted, LEAST)))
+
+def planned(scripts: DataFrame, dial: dict[int, Rates], seed: int, level: str, key: str) -> DataFrame:
+    """Scripts (clean_tokens, n_clean) with said, others (counts of alternatives) and events (candidates taken, by place)."""
+    n, digest = F.col("n_clean"), _digests(seed, key)
+    out = _once(scripts, "said", F.transform("clean_tokens", spoken_form))
+    out = _once(out, "_want", F.struct(*_wanted(dial, level, digest).values()))
     asked = lambda *kinds: sum((F.col(f"_want.{k}") for k in kinds), F.lit(0)) > 0  # noqa: E731  what no kind asks for is not worked out
     none, flags = F.array().cast(f"array<{_CANDIDATE}>"), F.array().cast("array<boolean>")
     out = _once(out, "wrongs", F.when(asked("repair"), F.transform(F.transform("clean_tokens", normalise), alternatives)).otherwise(F.array().cast(f"array<{_NONE}>")))
@@ -178,8 +283,8 @@ def planned(scripts: DataFrame, dial: dict[int, Rates], seed: int, level: str, k
     out = _once(out, "content", F.when(asked("repair", "filler"), F.transform("clean_tokens", is_content)).otherwise(flags))
     out = _once(out, "onset", F.when(asked("false_start", "filler"), F.transform("clean_tokens", lambda w, p: (p == 0) | ends_clause(F.get("clean_tokens", p - 1)))).otherwise(flags))
     candidates = {
-        "false_start": _restarts(n, F.col("onset"), digest("false_start")), "repair": _repairs(n, F.col("others"), F.col("content"), digest("repair"), digest("more")),
-        "repetition": _repetitions(n, digest("repetition")), "filler": _pauses(n, F.col("said"), F.col("onset"), F.col("content"), digest("filler")),
+        "false_start": _restarts(n, F.col("onset"), digest("false_start")), "repair": _repairs(n, F.col("others"), _usable(n, F.col("others"), F.col("content")), digest("repair"), digest("more")),
+        "repetition": _repetitions(n, digest("repetition")), "filler": _pauses(_fit(n, F.col("said"), F.col("onset"), F.col("content")), digest("filler")),
     }
     out = out.withColumn("events", none)
     for kind, (places, options) in candidates.items():

@@ -26,8 +26,12 @@ def measure(utts: DataFrame, *keep: str) -> DataFrame:
     counts = [_of(t) for t in L.TYPES]
     inserted = F.aggregate("annotations", F.lit(0).cast("long"), lambda acc, a: acc + span_length(a.reparandum) + span_length(a.interregnum))
     out = utts.select("utt_id", "doc_id", "asked_level", "n_clean", *counts, inserted.alias("inserted"), *keep)
-    out = out.withColumn("n_events", sum((F.col(f"n_{t}") for t in L.TYPES[1:]), F.col(f"n_{L.TYPES[0]}")))
-    return out.withColumn("rate", F.col("n_events") * (F.lit(100.0) / F.col("n_clean")))
+    return rated(out.withColumn("n_events", sum((F.col(f"n_{t}") for t in L.TYPES[1:]), F.col(f"n_{L.TYPES[0]}"))))
+
+
+def rated(counted: DataFrame) -> DataFrame:
+    """Rows of n_events and n_clean with their rate."""
+    return counted.withColumn("rate", F.col("n_events") * (F.lit(100.0) / F.col("n_clean")))
 
 
 def eligible(measured: DataFrame) -> DataFrame:
@@ -48,8 +52,8 @@ def cuts_of(counted: DataFrame) -> DataFrame:
 
 
 def percentile_cuts(measured: DataFrame) -> DataFrame:
-    """The cuts between light, middling and heavy utterances."""
-    return cuts_of(cells(measured))
+    """The cuts between light, middling and heavy utterances, from n_clean, n_events and rate."""
+    return cuts_of(eligible(measured).groupBy("n_events", "rate").agg(F.count("*").alias("utterances")))
 
 
 def with_level(measured: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from disfluo.functions.templates import TEMPLATES, VALUES
 from disfluo.operators.corpus import uniform
+from disfluo.operators.inject import below
 from disfluo.operators.ordering import seeded, three_way
 
 
@@ -41,17 +45,38 @@ def build_pools(corpus_sentences: DataFrame, from_templates: DataFrame, seed: st
     return parts.unionByName(seen).unionByName(t.filter("held").select("text", F.lit("template").alias("source"), "template_id", F.lit("test").alias("split")))
 
 
-def balanced(measured: DataFrame, sentence: str, seed: str, each: int) -> DataFrame:
+#: Rows of a level that ``balanced`` orders at first, for each that it draws; where copies of few sentences fill them, it takes more.
+AHEAD = 64
+
+
+def balanced(measured: DataFrame, sentence: str, seed: str, each: int, ahead: int = AHEAD) -> DataFrame:
     """At most ``each`` rows of each level, no sentence twice, from sentences said at several levels and labelled by what was
-    measured: the level with the fewest rows chooses first, ties going to the lower level; rows come in a seeded order."""
-    rows = measured.withColumn("h", seeded(seed, "utt_id")).persist()  # read once for each level
+    measured: the level with the fewest rows chooses first, ties going to the lower level; rows come in a seeded order.
+
+    Only rows whose hash lies below a level's bound are put in order: a row beyond it comes after all of them, so the draw is the
+    same as long as they hold enough sentences; if not, the bounds are raised until they do or all rows are below.
+    """
+    rows = measured.persist()  # read for the sizes and for the draw
     sizes = {r["level"]: r["n"] for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect()}  # at most four rows
-    out = None
-    for level in sorted(sizes, key=lambda k: (sizes[k], k)):
-        own = rows.filter(F.col("level") == level)
-        if out is not None:
-            own = own.join(F.broadcast(out.select(sentence)), sentence, "left_anti")  # at most 3 * each rows
-        first = own.groupBy(sentence).agg(F.min(F.struct("h", "utt_id")).alias("least")).orderBy("least").limit(each)  # a sentence once
-        chosen = own.join(F.broadcast(first.select(F.col("least.utt_id").alias("utt_id"))), "utt_id", "left_semi").drop("h")
-        out = chosen if out is None else out.unionByName(chosen)
-    return rows.drop("h") if out is None else out
+    order = sorted(sizes, key=lambda k: (sizes[k], k))
+    if not order:
+        return rows
+    hashed = rows.withColumn("h", seeded(seed, "utt_id"))
+    while True:
+        share = {k: ahead * each / sizes[k] for k in order}
+        near = hashed
+        if min(share.values()) < 1:
+            near = hashed.filter(reduce(or_, [(F.col("level") == k) & (F.col("h") < below(share[k], 12) if share[k] < 1 else F.lit(True)) for k in order])).persist()
+        chosen, got, drawn = [], {}, near.select(sentence, "utt_id", "level").limit(0)
+        for level in order:
+            own = near.filter(F.col("level") == level)
+            if chosen:
+                own = own.join(F.broadcast(drawn.select(sentence)), sentence, "left_anti")
+            first = own.groupBy(sentence).agg(F.min(F.struct("h", "utt_id")).alias("least")).orderBy("least").limit(each)  # a sentence once
+            new = [(r[sentence], r["least"]["utt_id"], level) for r in first.collect()]  # each at most
+            chosen, got[level] = chosen + new, len(new)
+            drawn = near.sparkSession.createDataFrame(chosen, drawn.schema)
+        if all(got[k] >= each or share[k] >= 1 for k in order):
+            return near.join(F.broadcast(drawn.select("utt_id", "level")), ["utt_id", "level"], "left_semi").select(*measured.columns)
+        near.unpersist()
+        ahead *= 16
