@@ -39,15 +39,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """utt_id, doc_id, clean, clean_tokens, n_clean and asked_level of the English documents' sentences of 5 to 40 words."""
+def scripts(spark: SparkSession, sf_dir: str, level: int | None = None) -> DataFrame:
+    """utt_id, doc_id, clean, clean_tokens, n_clean and asked_level of the English documents' sentences of 5 to 40 words; those of one
+    level alone are told by their number, before their text is looked at."""
+    asked = F.floor(uniform("level", F.col("utt_id")) * 4).cast("int")
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' and text is not null").select("doc_id", "text"))
     sents = docs.select("doc_id", F.posexplode(sentence_split(F.col("text"))).alias("pos", "raw"))
-    out = sents.select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), "doc_id", F.trim("raw").alias("clean")).filter(F.col("clean").rlike(SCRIPT))
+    out = sents.select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), "doc_id", F.trim("raw").alias("clean"))
+    out = (out if level is None else out.filter(asked == level)).filter(F.col("clean").rlike(SCRIPT))
     words = F.array_remove(F.split("clean", " "), "")
     out = out.select("*", F.explode(F.array(words)).alias("clean_tokens"))  # one element, so words are cut once
     out = out.withColumn("n_clean", F.size("clean_tokens")).filter(F.col("n_clean").between(5, 40))
-    return out.withColumn("asked_level", F.floor(uniform("level", F.col("utt_id")) * 4).cast("int"))
+    return out.withColumn("asked_level", asked)
 
 
 def _below(p: float) -> str:
@@ -80,7 +83,7 @@ def _late(x: Column) -> Column:
     return (x.i == 0) & F.col("dial.begins")
 
 
-def _picked(scripted: DataFrame, seed: str) -> DataFrame:
+def _picked(scripted: DataFrame, seed: str | Column) -> DataFrame:
     """The scripts with dial (the limits of their level) and picked, the words that an event goes before: i and the word's digest h."""
 
     def limit(k: int) -> Column:
@@ -90,8 +93,9 @@ def _picked(scripted: DataFrame, seed: str) -> DataFrame:
             out = F.when(F.col("asked_level") == lv, F.lit(_below(sum(row[: k + 1]) if k < 3 else row[3]))).otherwise(out)
         return out
 
-    key = F.concat_ws(":", F.lit(seed), F.col("utt_id").cast("string"))
-    begins = (F.col("n_clean") >= 6) & (F.md5(F.concat_ws(":", F.lit(seed), F.lit("start"), F.col("utt_id").cast("string")).cast("binary")) < limit(3))
+    own = F.lit(seed) if isinstance(seed, str) else seed
+    key = F.concat_ws(":", own, F.col("utt_id").cast("string"))
+    begins = (F.col("n_clean") >= 6) & (F.md5(F.concat_ws(":", own, F.lit("start"), F.col("utt_id").cast("string")).cast("binary")) < limit(3))
     out = _once(scripted, "dial", F.struct(key.alias("key"), begins.alias("begins"), *[limit(k).alias(KINDS[k]) for k in range(3)]))
     hashed = F.transform("clean_tokens", lambda w, i: F.struct(i.cast("int").alias("i"), F.md5(F.concat_ws(":", "dial.key", i.cast("string")).cast("binary")).alias("h")))
     picked = F.filter(hashed, lambda x: (x.h < F.col("dial.repair")) | _late(x))
@@ -104,7 +108,7 @@ def counted(scripted: DataFrame, seed: str = "say") -> DataFrame:
     return _picked(scripted, seed).withColumn("n_events", F.size("picked").cast("long")).drop("dial", "picked")
 
 
-def planned(scripted: DataFrame, seed: str = "say") -> DataFrame:
+def planned(scripted: DataFrame, seed: str | Column = "say") -> DataFrame:
     """The scripts with their events: kind (its place in KINDS), i (the word that it goes before), and its words, k of them.
 
     A word costs one digest and one comparison; all else is worked out for the few words with an event alone.
@@ -133,8 +137,8 @@ def _between(events: str, here: Callable[[Column, Column], Column], last: Callab
     return F.flatten(F.concat(each, F.array(last(past(F.get(events, F.size(events) - 1))))))
 
 
-def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
-    """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations."""
+def spoken(scripted: DataFrame, seed: str | Column = "say", *keep: str) -> DataFrame:
+    """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations; and with columns to be kept."""
     out, n = planned(scripted, seed), F.size("clean_tokens")
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     none = F.lit(None).cast(SPAN)
@@ -157,7 +161,7 @@ def spoken(scripted: DataFrame, seed: str = "say") -> DataFrame:
     places = _between("events", lambda p, e: F.concat(run(p, e.i), F.array_repeat(F.lit(None).cast("int"), e.k)), lambda p: run(p, n))
     align = F.when(F.size("events") == 0, run(F.lit(0), n)).otherwise(places)
     notes = F.transform(F.transform("events", place), note)
-    return out.select("utt_id", "doc_id", "asked_level", "clean", "clean_tokens", "n_clean", said.alias("disfluent_tokens"), align.alias("alignment"), notes.alias("annotations"))
+    return out.select(*keep, "utt_id", "doc_id", "asked_level", "clean", "clean_tokens", "n_clean", said.alias("disfluent_tokens"), align.alias("alignment"), notes.alias("annotations"))
 
 
 def markup(scripted: DataFrame, seed: str = "say") -> DataFrame:

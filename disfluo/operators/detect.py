@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from disfluo.functions import lexicon as L
 from disfluo.functions.text import canonical_tokens, spoken_form, tokens
-from disfluo.operators.align import gaps
+from disfluo.operators.align import gaps, stretches_of
 from disfluo.operators.evaluate import deleted
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -102,6 +102,28 @@ def detect_all(clean: list[list], out: list[list]) -> list[dict]:
     return found
 
 
+def count_all(clean: list[list], out: list[list]) -> list[tuple[int, ...]]:
+    """For each pair how many annotations of each type ``detect_all`` finds, the words that they insert, and the words dropped."""
+    found, at = [], {t: k for k, t in enumerate(L.TYPES)}
+    inserted, lost = len(at), len(at) + 1
+    for said, stretches in zip(out, stretches_of(clean, out)):
+        said, row = tuple(said), [0] * (len(at) + 2)
+        for i, i2, j, j2 in stretches:
+            row[lost] += i2 - i
+            if j == j2:
+                continue
+            fillers, lo, hi = peel(said[j:j2])
+            row[at["filler"]] += len(fillers)
+            row[inserted] += j2 - j - (hi - lo)
+            if lo < hi:
+                kind = core_type(said, j + lo, j + hi, i2)
+                edit = editing_phrase(said[j + lo : j + hi]) if kind == "repair" else None
+                row[at[kind]] += 1
+                row[inserted] += edit[1] if edit else hi - lo  # what follows an editing phrase counts as said again
+        found.append(tuple(row))
+    return found
+
+
 def detect(clean: list, out: list) -> dict:
     return detect_all([clean], [out])[0]
 
@@ -129,6 +151,25 @@ def detected(pairs: DataFrame, clean: str = "clean", spoken: str = "spoken") ->
     return out.withColumn("alignment", F.col("_d.alignment")).withColumn("annotations", F.col("_d.annotations")).withColumn("dropped", F.col("_d.dropped")).drop("_d")
 
 
+COUNTED = T.StructType([*[T.StructField(f"n_{t}", T.LongType()) for t in L.TYPES], T.StructField("inserted", T.LongType()), T.StructField("lost", T.LongType())])
+_COUNTED = to_arrow_schema(COUNTED)
+
+
+def _count_rows(clean: pa.Array, out: pa.Array) -> pa.Array:
+    rows = np.array(count_all(word_lists(clean), word_lists(out)), dtype=np.int64).reshape(len(clean), len(_COUNTED))
+    return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(_COUNTED))], fields=list(_COUNTED))
+
+
+count_udf = F.arrow_udf(_count_rows, COUNTED).asNondeterministic()
+
+
+def counted(pairs: DataFrame, clean: str = "clean_tokens", spoken: str = "disfluent_tokens") -> DataFrame:
+    """pairs of words with n_clean, the numbers of ``measure.measure`` and lost, the words dropped: what ``detected`` finds, without its places."""
+    out = pairs.withColumn("_c", count_udf(F.transform(clean, spoken_form), F.col(spoken)))
+    out = out.select(*[c for c in pairs.columns if c != "n_clean"], F.size(clean).alias("n_clean"), "_c.*")
+    return out.withColumn("n_events", sum((F.col(f"n_{t}") for t in L.TYPES[1:]), F.col(f"n_{L.TYPES[0]}")))
+
+
 def trace(rows: DataFrame) -> DataFrame:
     """One row for each detected insertion: type, position, the clean word it stands before, and its words."""
     e = rows.select("utt_id", "clean_tokens", "disfluent_tokens", "alignment", F.posexplode("annotations").alias("k", "a"))

@@ -77,11 +77,11 @@ def mixes(counted: DataFrame) -> DataFrame:
     return counted.select(*[c for c in counted.columns if not c.startswith("n_")], *share)
 
 
-def summary(grouped_cols: list[str], measured: DataFrame) -> DataFrame:
-    """Utterances, words, events, rates, mix and inserted words of each group; structural are the events that are no fillers."""
+def summary(grouped_cols: list[str], measured: DataFrame, *more: Column) -> DataFrame:
+    """Utterances, words, events, rates, mix and inserted words of each group, and more sums; structural are the events that are no fillers."""
     sums = [F.sum(f"n_{t}").alias(f"n_{t}") for t in L.TYPES]
     g = measured.groupBy(*grouped_cols) if grouped_cols else measured.groupBy()
-    out = g.agg(F.count("*").alias("utterances"), F.sum("n_clean").cast("long").alias("clean_words"), F.sum("n_events").alias("events"), F.sum("inserted").alias("inserted"), *sums)
+    out = g.agg(F.count("*").alias("utterances"), F.sum("n_clean").cast("long").alias("clean_words"), F.sum("n_events").alias("events"), F.sum("inserted").alias("inserted"), *sums, *more)
     return with_rates(out)
 
 
@@ -129,9 +129,14 @@ def filler_phrases(utts: DataFrame, top: int = 25) -> DataFrame:
     return counts.orderBy(F.desc("n"), "phrase").limit(top).crossJoin(F.broadcast(total)).select("phrase", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def word_counts(utts: DataFrame) -> DataFrame:
+    """word and n over all rows' clean tokens; tokens are counted as they stand first, so each different one is stripped once a task."""
+    tokens = utts.select(F.explode("clean_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.select(unigram_key(F.col("token")).alias("word"), "n").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def unigrams(utts: DataFrame) -> DataFrame:
     """word, n and log_freq (log10 of the relative frequency) over all rows' clean tokens."""
-    words = utts.select(F.explode("clean_tokens").alias("token")).select(unigram_key(F.col("token")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    counts = word_counts(utts)
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("word", "n", F.log10(F.col("n") / F.col("total")).alias("log_freq"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from disfluo.functions import lexicon as L
-from disfluo.operators import evaluate, measure
+from disfluo.operators import detect, evaluate, measure
 
 #: Systems in the order of reports; others follow by name.
 ORDER = ("model", "model greedy", "injector", "corpus")
@@ -72,10 +72,14 @@ def placement_table(records: DataFrame, scripts: DataFrame, words: DataFrame, le
     return placed(out.withColumn("lift", F.round(ratio(F.col("at_clause_onset"), F.col("baseline_at_clause_onset")), 9)))
 
 
-def copy_failure(detected: DataFrame, vocabulary: DataFrame, level: int = 2) -> DataFrame:
-    """Rates and kept words of each system at a level, for scripts with and without a word outside the vocabulary."""
-    here = detected.filter(F.col("asked_level") == level).withColumn("n_clean", F.size("clean_tokens")).withColumn("lost", F.size("dropped").cast("long"))
-    flags = evaluate.unseen(here.select(F.col("utt_id"), "clean_tokens"), vocabulary).select("utt_id", "has_unseen")
-    m = measure.measure(here.withColumn("doc_id", F.lit(0).cast("long")), "system", "lost").join(flags, "utt_id")
-    out = measure.summary(["system", "has_unseen"], m).join(m.groupBy("system", "has_unseen").agg(F.sum("lost").alias("dropped")), ["system", "has_unseen"])
+def copy_failure(said: DataFrame, scripts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rates and kept words of each system, for scripts with and without a word outside the vocabulary.
+
+    said: system, utt_id, clean_tokens and disfluent_tokens of what the detector is to compare; scripts: utt_id and clean_tokens. A pair goes
+    through the detector once, and only its numbers meet the scripts' flags.
+    """
+    numbers = detect.counted(said.select("system", "utt_id", "clean_tokens", "disfluent_tokens")).drop("clean_tokens", "disfluent_tokens")
+    m = numbers.join(evaluate.with_unseen(scripts, vocabulary).withColumn("_u", F.lit(True)), "utt_id", "left").withColumn("has_unseen", F.coalesce("_u", F.lit(False)))
+    out = measure.summary(["system", "has_unseen"], m, F.sum("lost").alias("dropped"))
+    out = out.select(*[c for c in out.columns if c != "dropped"], "dropped")
     return out.withColumn("kept", F.when(F.col("clean_words") > 0, 1 - F.col("dropped") / F.col("clean_words")).otherwise(0.0))

@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from disfluo.functions import lexicon as L
 from disfluo.functions.text import canonical_tokens
-from disfluo.operators import corpus, inject, measure, pools
+from disfluo.operators import corpus, detect, inject, measure, pools
+from disfluo.plans import systems
 from disfluo.plans.evaluation import RULES
 
 WORDS = "Monday, two 17 0 report; uh well 'so' the and of walked quietly «green» İab ÉTÉ harbour: north (south) like, x1 123456789012345678".split()
@@ -69,3 +71,35 @@ def test_a_script_holds_no_white_space_but_the_space(spark, tmp_path):
     spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     said = [r["clean"] for r in corpus.scripts(spark, str(tmp_path)).orderBy("utt_id").collect()]
     assert said == ["Nobody came to fetch them yet.", "It is late, and the lights are out!"]  # before, the first line too, with its \r
+
+
+def test_pairs_are_counted_as_they_are_detected(spark):
+    rng = random.Random(6)
+    words = "uh um you know i mean no wait sorry what can we carry both green boxes upstairs".split()
+    rows = [(0, "", ""), (1, "a b c", ""), (2, "", "uh"), (3, "a b a b", "a b"), (4, "a b c", "a b c"), (5, "a a b", "a b")]
+    for k in range(400):
+        clean = [rng.choice(words) for _ in range(rng.randrange(12))]
+        said = [w for c in clean for w in [*rng.choices(words, k=rng.choice((0, 0, 0, 1, 2, 4))), *([c] if rng.random() < 0.9 else [])]]
+        rows.append((10 + k, " ".join(clean), " ".join(said if k % 4 else clean[: rng.randrange(13)])))
+    df = spark.createDataFrame(rows, "utt_id long, clean string, spoken string").withColumns({"doc_id": F.lit(0).cast("long"), "asked_level": F.lit(2)})
+    found = detect.detected(df)
+    names = [f"n_{t}" for t in L.TYPES] + ["inserted", "n_events"]
+    whole = measure.measure(found.withColumn("n_clean", F.size("clean_tokens")).withColumn("lost", F.size("dropped").cast("long")), "lost")
+    lean = detect.counted(found.select("utt_id", "clean_tokens", "disfluent_tokens"))
+    cols = ["utt_id", "n_clean", *names, "lost"]
+    assert lean.select(cols).orderBy("utt_id").collect() == whole.select(cols).orderBy("utt_id").collect()
+    assert lean.select(names).dtypes == whole.select(names).dtypes
+
+
+def test_copy_failure_detects_a_pair_of_its_level_once(spark, sf, monkeypatch):
+    seen, whole = spark.sparkContext.accumulator(0), detect._count_rows
+
+    def rows(clean, out):
+        seen.add(len(clean))
+        return whole(clean, out)
+
+    monkeypatch.setattr(detect, "count_udf", F.arrow_udf(rows, detect.COUNTED).asNondeterministic())
+    assert len(systems.system_copy_failure(spark, sf).collect()) == 6
+    n = corpus.scripts(spark, sf).filter("asked_level = 2").count()
+    assert seen.value == 3 * n  # before, all four levels' pairs, twice
+    assert sorted(corpus.scripts(spark, sf, 2).collect()) == sorted(corpus.scripts(spark, sf).filter("asked_level = 2").collect())
