@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disfluo.functions.report import markdown, qualitative
-from disfluo.functions.text import canonical_tokens, spoken_text, tokens
+from disfluo.functions.text import canonical_tokens, spoken_form, spoken_text, tokens
 from disfluo.operators import detect, evaluate, levels, measure, ordering, pools, report, systems
 from disfluo.plans.evaluation import RULES
 from disfluo.sources import io
@@ -156,6 +156,7 @@ def copyfail(spark: SparkSession, a: argparse.Namespace) -> int:
     """Rates and kept words of scripts with and without a word outside the vocabulary (words seen at least twice)."""
     vocabulary = measure.unigrams(io.read_jsonl(spark, a.vocabulary)).filter("n >= 2")
     own = _generated(spark, a).filter(F.col("asked_level") == levels.check(a.level)).withColumn("clean_tokens", canonical_tokens(F.col("clean"))).withColumn("disfluent_tokens", tokens(F.col("spoken")))
+    own = own.withColumn("own", F.transform("clean_tokens", spoken_form))
     table = report.copy_failure(own, own, vocabulary)
     io.write_report({"copy_failure": table}, a.out)
     print(markdown(table, ["system", "has_unseen"]))

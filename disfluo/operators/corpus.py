@@ -100,7 +100,7 @@ def _picked(scripted: DataFrame, seed: str | Column) -> DataFrame:
     hashed = F.transform("clean_tokens", lambda w, i: F.struct(i.cast("int").alias("i"), F.md5(F.concat_ws(":", "dial.key", i.cast("string")).cast("binary")).alias("h")))
     picked = F.filter(hashed, lambda x: (x.h < F.col("dial.repair")) | _late(x))
     calm = ~F.col("dial.begins") & (F.col("dial.repair") <= _below(0.0))
-    return _once(out, "picked", F.when(calm, F.array().cast("array<struct<i:int,h:string>>")).otherwise(picked))
+    return out.withColumn("picked", F.when(calm, F.array().cast("array<struct<i:int,h:string>>")).otherwise(picked))  # used once
 
 
 def counted(scripted: DataFrame, seed: str = "say") -> DataFrame:
@@ -137,8 +137,9 @@ def _between(events: str, here: Callable[[Column, Column], Column], last: Callab
     return F.flatten(F.concat(each, F.array(last(past(F.get(events, F.size(events) - 1))))))
 
 
-def spoken(scripted: DataFrame, seed: str | Column = "say", *keep: str) -> DataFrame:
-    """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations; and with columns to be kept."""
+def spoken(scripted: DataFrame, seed: str | Column = "say", *keep: str, own: str | None = None) -> DataFrame:
+    """The scripts with a spoken side: disfluent_tokens, alignment (null at inserted words) and annotations; and with columns to be kept.
+    own names a column with the words' spoken forms, if there is one."""
     out, n = planned(scripted, seed), F.size("clean_tokens")
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     none = F.lit(None).cast(SPAN)
@@ -156,8 +157,10 @@ def spoken(scripted: DataFrame, seed: str | Column = "say", *keep: str) -> DataF
         return F.struct(F.get(F.array(*map(F.lit, KINDS)), e.kind).alias("type"), rep.alias("reparandum"), inter.alias("interregnum"), fix.alias("repair")).cast(ANNOTATION)
 
     run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-    words = _between("events", lambda p, e: F.concat(F.slice("clean_tokens", p + 1, e.i - p), e.words), lambda p: F.slice("clean_tokens", p + 1, n - p))
-    said = F.transform(F.when(F.size("events") == 0, F.col("clean_tokens")).otherwise(words), spoken_form)  # the events' words are spoken forms already
+    script = own or "clean_tokens"
+    words = _between("events", lambda p, e: F.concat(F.slice(script, p + 1, e.i - p), e.words), lambda p: F.slice(script, p + 1, n - p))
+    said = F.when(F.size("events") == 0, F.col(script)).otherwise(words)
+    said = said if own else F.transform(said, spoken_form)  # the events' words are spoken forms already
     places = _between("events", lambda p, e: F.concat(run(p, e.i), F.array_repeat(F.lit(None).cast("int"), e.k)), lambda p: run(p, n))
     align = F.when(F.size("events") == 0, run(F.lit(0), n)).otherwise(places)
     notes = F.transform(F.transform("events", place), note)

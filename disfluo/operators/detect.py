@@ -163,10 +163,11 @@ def _count_rows(clean: pa.Array, out: pa.Array) -> pa.Array:
 count_udf = F.arrow_udf(_count_rows, COUNTED).asNondeterministic()
 
 
-def counted(pairs: DataFrame, clean: str = "clean_tokens", spoken: str = "disfluent_tokens") -> DataFrame:
-    """pairs of words with n_clean, the numbers of ``measure.measure`` and lost, the words dropped: what ``detected`` finds, without its places."""
-    out = pairs.withColumn("_c", count_udf(F.transform(clean, spoken_form), F.col(spoken)))
-    out = out.select(*[c for c in pairs.columns if c != "n_clean"], F.size(clean).alias("n_clean"), "_c.*")
+def counted(pairs: DataFrame, own: str = "own", spoken: str = "disfluent_tokens") -> DataFrame:
+    """pairs of words (the script's in their spoken form) with n_clean, the numbers of ``measure.measure`` and lost, the words dropped: what
+    ``detected`` finds, without its places."""
+    out = pairs.withColumn("_c", count_udf(own, spoken))
+    out = out.select(*[c for c in pairs.columns if c != "n_clean"], F.size(own).alias("n_clean"), "_c.*")
     return out.withColumn("n_events", sum((F.col(f"n_{t}") for t in L.TYPES[1:]), F.col(f"n_{L.TYPES[0]}")))
 
 

@@ -75,10 +75,10 @@ def placement_table(records: DataFrame, scripts: DataFrame, words: DataFrame, le
 def copy_failure(said: DataFrame, scripts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rates and kept words of each system, for scripts with and without a word outside the vocabulary.
 
-    said: system, utt_id, clean_tokens and disfluent_tokens of what the detector is to compare; scripts: utt_id and clean_tokens. A pair goes
-    through the detector once, and only its numbers meet the scripts' flags.
+    said: system, utt_id, own (the script's words in their spoken form) and disfluent_tokens, which the detector is to compare; scripts:
+    utt_id and clean_tokens. A pair goes through the detector once, and only its numbers meet the scripts' flags.
     """
-    numbers = detect.counted(said.select("system", "utt_id", "clean_tokens", "disfluent_tokens")).drop("clean_tokens", "disfluent_tokens")
+    numbers = detect.counted(said.select("system", "utt_id", "own", "disfluent_tokens")).drop("own", "disfluent_tokens")
     m = numbers.join(evaluate.with_unseen(scripts, vocabulary).withColumn("_u", F.lit(True)), "utt_id", "left").withColumn("has_unseen", F.coalesce("_u", F.lit(False)))
     out = measure.summary(["system", "has_unseen"], m, F.sum("lost").alias("dropped"))
     out = out.select(*[c for c in out.columns if c != "dropped"], "dropped")

@@ -60,13 +60,14 @@ def system_fidelity(spark, sf_dir):
 
 def system_copy_failure(spark, sf_dir, level: int = 2):
     """All systems' speech of a level's scripts, from one reading of them; words are counted over the scripts of all levels."""
-    s, own = corpus.scripts(spark, sf_dir, level), F.transform("clean_tokens", spoken_form)
+    s = corpus.scripts(spark, sf_dir, level)
     systems = F.array(*[F.struct(F.lit(name).alias("system"), F.lit(seed).alias("seed")) for name, seed in SEEDS.items()])
-    said = corpus.spoken(s.withColumn("by", F.explode(systems)), F.col("by.seed"), "by").withColumn("system", F.col("by.system"))
+    asked = s.withColumn("own", F.transform("clean_tokens", spoken_form)).withColumn("by", F.explode(systems))
+    said = corpus.spoken(asked, F.col("by.seed"), "by", "own", own="own").withColumn("system", F.col("by.system"))
     speech = lambda system, words: F.struct(system.alias("system"), words.alias("words"))
-    one, lossy = speech(F.col("system"), F.col("disfluent_tokens")), speech(F.lit("lossy"), F.slice(own, F.lit(1), F.size(own) - 1))
+    one, lossy = speech(F.col("system"), F.col("disfluent_tokens")), speech(F.lit("lossy"), F.slice("own", F.lit(1), F.size("own") - 1))
     each = F.explode(F.when(F.col("system") == "corpus", F.array(one, lossy)).otherwise(F.array(one))).alias("x")
-    said = said.select("utt_id", "clean_tokens", each).select("utt_id", "clean_tokens", "x.system", F.col("x.words").alias("disfluent_tokens"))
+    said = said.select("utt_id", "own", each).select("utt_id", "own", "x.system", F.col("x.words").alias("disfluent_tokens"))
     return report.copy_failure(said, s, measure.word_counts(corpus.scripts(spark, sf_dir)).filter("n >= 2"))
 
 
